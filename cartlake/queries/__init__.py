@@ -3,8 +3,9 @@ the driver tables, plus the DuckDB SQL that computes the same result."""
 
 from __future__ import annotations
 
+from . import chat as _chat
 from . import retail as _retail
 
 REGISTRY: dict[str, tuple] = {}
-for _mod in (_retail,):
+for _mod in (_retail, _chat):
     REGISTRY.update(_mod.QUERIES)
