@@ -4,9 +4,10 @@ the driver tables, plus the DuckDB SQL that computes the same result."""
 from __future__ import annotations
 
 from . import chat as _chat
+from . import evaluation as _evaluation
 from . import memory as _memory
 from . import retail as _retail
 
 REGISTRY: dict[str, tuple] = {}
-for _mod in (_retail, _chat, _memory):
+for _mod in (_retail, _chat, _memory, _evaluation):
     REGISTRY.update(_mod.QUERIES)

@@ -46,7 +46,7 @@ def _truncate_sql(c: str, n: int) -> str:
 
 
 ADAPTERS.update({
-    "message_parts": f"""SELECT conv_id * 100 + turn AS id, conv_id AS chat_id, role,
+    "message_parts": f"""SELECT conv_id * 100 + turn AS id, conv_id AS chat_id, role, text,
   CASE WHEN role = 'assistant' AND turn % 3 <> 1
        THEN list_concat(list_transform(string_split(text, chr(10)), lambda line, i: {_part_sql()}), [{TRACE_PART}])
        ELSE list_transform(string_split(text, chr(10)), lambda line, i: {_part_sql()}) END AS parts,

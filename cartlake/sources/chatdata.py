@@ -62,7 +62,7 @@ def message_parts(t: Tables) -> DataFrame:
                           null_s.alias("tool_name"), null_s.alias("media_type"))
     lines = F.transform(F.split("text", "\n"), lambda line, i: _part(role, line, i))
     parts = F.when((role == "assistant") & (turn % 3 != 1), F.concat(lines, F.array(trace_part))).otherwise(lines)
-    return cv.select((F.col("conv_id") * 100 + turn).alias("id"), F.col("conv_id").alias("chat_id"), "role",
+    return cv.select((F.col("conv_id") * 100 + turn).alias("id"), F.col("conv_id").alias("chat_id"), "role", "text",
                      parts.alias("parts"), _day_offset(F.col("conv_id"), turn).alias("created_at"),
                      trace.alias("trace_id"))
 
