@@ -6,8 +6,9 @@ from __future__ import annotations
 from . import chat as _chat
 from . import evaluation as _evaluation
 from . import memory as _memory
+from . import rag as _rag
 from . import retail as _retail
 
 REGISTRY: dict[str, tuple] = {}
-for _mod in (_retail, _chat, _memory, _evaluation):
+for _mod in (_retail, _chat, _memory, _evaluation, _rag):
     REGISTRY.update(_mod.QUERIES)
