@@ -7,8 +7,9 @@ from . import chat as _chat
 from . import evaluation as _evaluation
 from . import memory as _memory
 from . import rag as _rag
+from . import streams as _streams
 from . import retail as _retail
 
 REGISTRY: dict[str, tuple] = {}
-for _mod in (_retail, _chat, _memory, _evaluation, _rag):
+for _mod in (_retail, _chat, _memory, _evaluation, _rag, _streams):
     REGISTRY.update(_mod.QUERIES)
