@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from . import chat as _chat
 from . import evaluation as _evaluation
+from . import gen as _gen
 from . import memory as _memory
 from . import rag as _rag
 from . import streams as _streams
 from . import retail as _retail
 
 REGISTRY: dict[str, tuple] = {}
-for _mod in (_retail, _chat, _memory, _evaluation, _rag, _streams):
+for _mod in (_retail, _chat, _memory, _evaluation, _rag, _streams, _gen):
     REGISTRY.update(_mod.QUERIES)
