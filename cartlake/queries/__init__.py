@@ -7,11 +7,12 @@ from . import chat as _chat
 from . import evaluation as _evaluation
 from . import gen as _gen
 from . import memory as _memory
+from . import policy as _policy
 from . import rag as _rag
 from . import src as _src
 from . import streams as _streams
 from . import retail as _retail
 
 REGISTRY: dict[str, tuple] = {}
-for _mod in (_src, _retail, _chat, _memory, _evaluation, _rag, _streams, _gen):
+for _mod in (_src, _retail, _chat, _memory, _evaluation, _rag, _streams, _gen, _policy):
     REGISTRY.update(_mod.QUERIES)
