@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import line_amount, money
+from ..plans.numbering import offsets
 
 
 def _money(c: Column) -> Column:
@@ -202,3 +203,104 @@ def ref_integrity(customers: DataFrame, products: DataFrame, txns: DataFrame, it
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+ID_BLOCK = 1 << 14
+
+
+def _category_rank(df: DataFrame, order: list, blocks: list, count_col: str = "_one", out: str = "rank") -> DataFrame:
+    """1-based rank inside ``category`` by ascending ``order`` (unique),
+    computed with blocked prefix sums (no per-category task)."""
+    d = df if count_col in df.columns else df.withColumn(count_col, F.lit(1))
+    r = offsets(d, "", count_col, out=out, partition=["category"], order=order, block_cols=blocks)
+    return r.withColumn(out, (F.col(out) + 1).cast("long")) if count_col == "_one" else r
+
+
+def out_of_stock_alternatives(products: DataFrame, n: int = 3) -> DataFrame:
+    """For every sold-out product, the n in-stock products of its category
+    priced at or below it, nearest price first (ties: higher id first).
+
+    Exact without pairing a category's products: in-stock and sold-out rows
+    share one order (price, in-stock before sold-out at equal price, id); a
+    sold-out row's count c of in-stock rows before it is an exclusive prefix
+    sum, the in-stock rows get their rank r the same way, and the answer is
+    the equi-join on (category, r) for r in (c - n, c]."""
+    p = products.select("product_id", "category", "price", "stock_quantity",
+                        F.round(F.col("price") * 100).cast("long").alias("cents"),
+                        F.when(F.col("stock_quantity") > 0, 0).otherwise(1).alias("kind"))
+    p = p.withColumn("_in", F.when(F.col("kind") == 0, 1).otherwise(0))
+    order = [F.col("cents"), F.col("kind"), F.col("product_id")]
+    blocks = [F.col("cents"), F.col("kind"), F.floor(F.col("product_id") / ID_BLOCK)]
+    ranked = offsets(p, "", "_in", out="before", partition=["category"], order=order, block_cols=blocks)
+    instock = ranked.filter(F.col("kind") == 0).select(
+        "category", (F.col("before") + 1).alias("r"), F.col("product_id").alias("alt_product_id"),
+        F.col("price").alias("alt_price"))
+    sold = ranked.filter(F.col("kind") == 1).filter(F.col("before") > 0).select(
+        "category", "product_id", "price", "before",
+        F.explode(F.sequence(F.greatest(F.col("before") - n + 1, F.lit(1)), F.col("before"))).alias("r"))
+    return sold.join(instock, ["category", "r"]).select(
+        "product_id", "category", "price", (F.col("before") - F.col("r") + 1).alias("alt_rank"), "alt_product_id",
+        "alt_price")
+
+
+def _popularity(items: DataFrame, products: DataFrame) -> DataFrame:
+    units = items.groupBy("product_id").agg(F.sum("quantity").alias("units"))
+    return products.select("product_id", "name", "category", "price").join(units, "product_id", "left") \
+        .fillna(0.0, ["units"])
+
+
+def budget_basket(items: DataFrame, products: DataFrame, budget: float) -> DataFrame:
+    """Per category, the most popular products taken in order while the
+    running total stays within ``budget`` (prices summed in integer cents,
+    so the running total is exact). Ranks and running totals are blocked
+    prefix sums."""
+    pop = _popularity(items, products).withColumn("cents", F.round(F.col("price") * 100).cast("long"))
+    order = [F.desc("units"), F.col("product_id")]
+    blocks = [F.col("units").cast("long") * -1, F.floor(F.col("product_id") / ID_BLOCK)]
+    # units are whole quantities here; the block key sorts like (-units, id)
+    r = offsets(pop.withColumn("_one", F.lit(1)), "", "_one", out="rank0", partition=["category"],
+                order=[(-F.col("units")), F.col("product_id")], block_cols=blocks)
+    r = offsets(r, "", "cents", out="spent_before", partition=["category"],
+                order=[(-F.col("units")), F.col("product_id")], block_cols=blocks)
+    total = F.col("spent_before") + F.col("cents")
+    return r.filter(total <= round(budget * 100)).select(
+        "category", (F.col("rank0") + 1).cast("long").alias("rank"), "product_id", "name", "price",
+        (total / 100.0).alias("basket_total"))
+
+
+def recommend_preferences(customers: DataFrame, txns: DataFrame, items: DataFrame, products: DataFrame,
+                          n: int = 5, favorite_weight: float = 2.0) -> DataFrame:
+    """Top-n products per customer not bought before, from the categories the
+    customer declared as favourite or bought from. Score = favourite weight
+    + the category's share of the customer's spend; within a category the
+    most popular products come first.
+
+    A customer needs at most n + (products already bought in the category)
+    entries of a category's popularity list, so candidates are an equi-join
+    on (category, rank <= that depth): linear in customers x categories x n
+    plus purchases, never customers x products."""
+    pop = _popularity(items, products)
+    blocks = [F.col("units").cast("long") * -1, F.floor(F.col("product_id") / ID_BLOCK)]
+    ranked = offsets(pop.withColumn("_one", F.lit(1)), "", "_one", out="prank", partition=["category"],
+                     order=[(-F.col("units")), F.col("product_id")], block_cols=blocks) \
+        .withColumn("prank", F.col("prank") + 1)
+    bought = (items.select("transaction_id", "product_id", line_amount().alias("amount"))
+              .join(txns.select("transaction_id", "customer_id"), "transaction_id")
+              .join(products.select("product_id", "category"), "product_id"))
+    per_cat = bought.groupBy("customer_id", "category").agg(F.sum("amount").alias("spend"),
+                                                          F.count_distinct("product_id").alias("n_bought"))
+    tot = per_cat.groupBy("customer_id").agg(F.sum("spend").alias("total"))
+    favs = customers.select("customer_id", F.explode(F.from_json("preferences", "favorite_categories array<string>",
+                                                                  )["favorite_categories"]).alias("category")) \
+        .distinct().withColumn("fav", F.lit(True))
+    aff = favs.join(per_cat, ["customer_id", "category"], "full_outer").join(tot, "customer_id", "left")
+    score = money(F.when(F.col("fav"), F.lit(favorite_weight)).otherwise(F.lit(0.0))
+                  + F.coalesce(F.col("spend") / F.col("total"), F.lit(0.0)), 6)
+    aff = aff.select("customer_id", "category", score.alias("score"),
+                     (F.coalesce(F.col("n_bought"), F.lit(0)) + n).alias("depth"))
+    cand = aff.select("customer_id", "category", "score", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("prank")) \
+        .join(ranked.select("category", "prank", "product_id", "units"), ["category", "prank"])
+    cand = cand.join(bought.select("customer_id", "product_id").distinct(), ["customer_id", "product_id"], "left_anti")
+    w = Window.partitionBy("customer_id").orderBy(F.desc("score"), F.desc("units"), "product_id")
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
+        "customer_id", F.col("rank").cast("long").alias("rank"), "product_id", "category", "score")

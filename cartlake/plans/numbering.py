@@ -1,26 +1,41 @@
-"""Dense global numbering without a single-partition window.
+"""Exact running counts / ranks without one task per (hot) group.
 
-``offsets(df, order_key, count_col)`` gives every row the sum of
-``count_col`` over all rows with a smaller ``order_key`` (an exclusive
-prefix sum). Rows are grouped into blocks of ``block`` consecutive keys:
-block totals are a small aggregate (one row per block) whose prefix sum is
-a window over that small table; inside a block the prefix is a window
-partitioned by block, so no task ever holds more than one block.
+``offsets`` gives every row the sum of ``count_col`` over the rows that come
+strictly before it in (``partition`` , ``order``) order - an exclusive
+prefix sum, i.e. a rank when count_col is 1. A plain window partitioned by
+the group would sort a hot group (say a third of all rows) in one task;
+here rows are cut into blocks of ``block_size`` consecutive order positions
+(block = a coarsening of the order key that sorts the same way): block
+totals are a small aggregate whose prefix sum runs over one row per block,
+and the within-block prefix is a window over at most one block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def offsets(df: DataFrame, order_key: str, count_col: str, block: int = 1 << 16, out: str = "offset") -> DataFrame:
-    b = F.floor(F.col(order_key) / block)
-    d = df.withColumn("_blk", b)
-    totals = d.groupBy("_blk").agg(F.sum(count_col).alias("_blk_total"))
-    before = totals.select("_blk", (F.sum("_blk_total").over(Window.orderBy("_blk")) - F.col("_blk_total")).alias("_blk_off"))
-    inner = Window.partitionBy("_blk").orderBy(order_key)
+def offsets(df: DataFrame, order_key: str, count_col: str, block: int = 1 << 16, out: str = "offset",
+            partition: list[str] | None = None, order: list[Column] | None = None,
+            block_cols: list[Column] | None = None) -> DataFrame:
+    """Exclusive prefix sum of ``count_col``.
+
+    Simple form: one numeric ``order_key``, blocks of ``block`` keys.
+    General form: ``partition`` columns, ascending ``order`` columns (unique
+    within a partition) and ``block_cols``, expressions that sort like a
+    prefix of ``order`` (e.g. [price_cents, kind, floor(id / B)])."""
+    partition = partition or []
+    if order is None:
+        order = [F.col(order_key)]
+        block_cols = [F.floor(F.col(order_key) / block)]
+    names = [f"_b{i}" for i in range(len(block_cols))]
+    d = df.select("*", *[c.alias(n) for c, n in zip(block_cols, names)])
+    totals = d.groupBy(*partition, *names).agg(F.sum(count_col).alias("_blk_total"))
+    wb = Window.partitionBy(*partition).orderBy(*names) if partition else Window.orderBy(*names)
+    before = totals.select(*partition, *names, (F.sum("_blk_total").over(wb) - F.col("_blk_total")).alias("_blk_off"))
+    inner = Window.partitionBy(*partition, *names).orderBy(*order)
     d = d.withColumn("_in_off", F.sum(count_col).over(inner) - F.col(count_col))
-    return d.join(before, "_blk").withColumn(out, (F.col("_blk_off") + F.col("_in_off")).cast("long")) \
-        .drop("_blk", "_blk_off", "_in_off")
+    return (d.join(before, [*partition, *names]).withColumn(out, F.col("_blk_off") + F.col("_in_off"))
+            .drop(*names, "_blk_off", "_in_off"))

@@ -206,3 +206,43 @@ def q_union(s, d):
 
 
 QUERIES = Q
+
+
+def _sufficiency_rows(s, d):
+    from ..operators import rag as G
+    from .rag import batch_queries, index
+    t = _t(s, d)
+    hits = G.topk_batch(index(t), batch_queries(t), 5, "chunk_id")
+    h = hits.join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id") \
+        .withColumnRenamed("label", "doc_name")
+    ctx = G.context(batch_queries(t), h, "doc_name", "content")
+    own = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("doc_id")).join(t.documents, "doc_id") \
+        .select(F.col("label").cast("long").alias("query_id"), F.slice(F.split("text", r"\. "), 1, 3).alias("facts"))
+    return ctx.join(own, "query_id").withColumnRenamed("query_id", "row_id")
+
+
+@reg("evl_retrieval_sufficiency", None)
+def q_sufficiency(s, d):
+    return E.fact_coverage(_sufficiency_rows(s, d), "context", "facts", 0.6)
+
+
+def _sufficiency_sql():
+    from ..operators import rag as G
+    from .rag import BATCH_SQL
+    tok = TOK
+    return W(f"""WITH {BATCH_SQL},
+h AS (SELECT h.query_id, h.rank, concat('【', CAST(h.label AS VARCHAR), '】', chr(10), d.text) AS b
+  FROM hits h JOIN documents d ON d.doc_id = h.chunk_id),
+ctx AS (SELECT q.query_id, coalesce(string_agg(b, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank), '{G.EMPTY_CONTEXT}') AS context
+  FROM qs q LEFT JOIN h USING (query_id) GROUP BY q.query_id),
+own AS (SELECT CAST(e.label AS BIGINT) AS query_id, string_split(d.text, '. ')[1:3] AS facts FROM
+  (SELECT label, min(vec_id) AS doc_id FROM embeddings GROUP BY label) e JOIN documents d USING (doc_id)),
+r AS (SELECT c.query_id AS row_id, {tok.format(x='c.context')} AS ans_tok, o.facts FROM ctx c JOIN own o USING (query_id)),
+f AS (SELECT row_id, len(facts) AS n_facts, list_transform(facts, lambda f:
+    CASE WHEN len(list_distinct({tok.format(x='f')})) = 0 THEN false
+    ELSE len(list_intersect(list_distinct({tok.format(x='f')}), ans_tok)) / len(list_distinct({tok.format(x='f')})) >= 0.6 END) AS found FROM r)
+SELECT row_id, CAST(n_facts AS INTEGER) AS n_facts, CAST(len(list_filter(found, lambda x: x)) AS INTEGER) AS n_found,
+  CASE WHEN n_facts > 0 THEN floor(len(list_filter(found, lambda x: x)) / n_facts * 1000000 + 0.5) / 1000000 END AS coverage FROM f""")
+
+
+Q["evl_retrieval_sufficiency"] = (q_sufficiency, _sufficiency_sql())

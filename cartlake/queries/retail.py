@@ -252,3 +252,63 @@ QUERIES = {
     "rtl_total_reconcile": (q_total_reconcile, SQL_TOTAL_RECONCILE),
     "rtl_ref_integrity": (q_ref_integrity, SQL_REF_INTEGRITY),
 }
+
+
+def q_out_of_stock(spark, d):
+    return R.out_of_stock_alternatives(T.products(_t(spark, d)), 3)
+
+
+SQL_OUT_OF_STOCK = W("""
+WITH s AS (SELECT * FROM products WHERE NOT stock_quantity > 0), i AS (SELECT * FROM products WHERE stock_quantity > 0)
+SELECT * FROM (SELECT s.product_id, s.category, s.price,
+    row_number() OVER (PARTITION BY s.product_id ORDER BY i.price DESC, i.product_id DESC) AS alt_rank,
+    i.product_id AS alt_product_id, i.price AS alt_price
+  FROM s JOIN i ON i.category = s.category AND round(i.price * 100) <= round(s.price * 100)) WHERE alt_rank <= 3""", "products")
+
+BUDGET = 20000.0
+
+
+def q_budget(spark, d):
+    t = _t(spark, d)
+    return R.budget_basket(T.transaction_items(t), T.products(t), BUDGET)
+
+
+SQL_BUDGET = W(f"""
+WITH u AS (SELECT product_id, sum(quantity) AS units FROM transaction_items GROUP BY 1),
+pop AS (SELECT p.product_id, p.name, p.category, p.price, coalesce(u.units, 0.0) AS units,
+  CAST(round(p.price * 100) AS BIGINT) AS cents FROM products p LEFT JOIN u USING (product_id)),
+r AS (SELECT *, row_number() OVER w AS rank, CAST(sum(cents) OVER w AS BIGINT) AS spent FROM pop
+  WINDOW w AS (PARTITION BY category ORDER BY units DESC, product_id ROWS UNBOUNDED PRECEDING))
+SELECT category, rank, product_id, name, price, CAST(spent AS DOUBLE) / 100.0::DOUBLE AS basket_total FROM r
+WHERE spent <= {round(BUDGET * 100)}""", "transaction_items", "products")
+
+
+def q_recommend(spark, d):
+    t = _t(spark, d)
+    return R.recommend_preferences(T.customers(t), T.transactions(t), T.transaction_items(t), T.products(t), 5)
+
+
+SQL_RECOMMEND = W("""
+WITH u AS (SELECT product_id, sum(quantity) AS units FROM transaction_items GROUP BY 1),
+pop AS (SELECT p.product_id, p.category, coalesce(u.units, 0.0) AS units FROM products p LEFT JOIN u USING (product_id)),
+b AS (SELECT t.customer_id, i.product_id, p.category, i.quantity * i.unit_price - i.discount AS amount
+  FROM transaction_items i JOIN transactions t USING (transaction_id) JOIN products p USING (product_id)),
+bought AS (SELECT DISTINCT customer_id, product_id FROM b),
+pc AS (SELECT customer_id, category, sum(amount) AS spend FROM b GROUP BY ALL),
+tot AS (SELECT customer_id, sum(spend) AS total FROM pc GROUP BY 1),
+favs AS (SELECT DISTINCT customer_id, unnest(from_json(preferences, '{"favorite_categories":["VARCHAR"]}').favorite_categories) AS category,
+  true AS fav FROM customers),
+aff AS (SELECT customer_id, category, floor(((CASE WHEN fav THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END)
+    + coalesce(spend / total, 0.0::DOUBLE)) * 1000000 + 0.5) / 1000000 AS score
+  FROM favs FULL OUTER JOIN pc USING (customer_id, category) LEFT JOIN tot USING (customer_id)),
+cand AS (SELECT a.customer_id, p.product_id, p.category, a.score, p.units FROM aff a JOIN pop p USING (category)
+  WHERE NOT EXISTS (SELECT 1 FROM bought x WHERE x.customer_id = a.customer_id AND x.product_id = p.product_id))
+SELECT customer_id, rank, product_id, category, score FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+  ORDER BY score DESC, units DESC, product_id) AS rank FROM cand) WHERE rank <= 5""",
+                  "customers", "transactions", "transaction_items", "products")
+
+QUERIES.update({
+    "rtl_out_of_stock_alternatives": (q_out_of_stock, SQL_OUT_OF_STOCK),
+    "rtl_budget_basket": (q_budget, SQL_BUDGET),
+    "rtl_recommend_preferences": (q_recommend, SQL_RECOMMEND),
+})
