@@ -2,6 +2,7 @@
 micro-batches, equals its batch twin."""
 
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,8 +21,13 @@ def _rows(df, cols=None):
 @pytest.fixture(scope="module")
 def chunk_dir(spark):
     d = tempfile.mkdtemp(prefix="cartlake-stream-")
-    # event-time ordered files, as a log source delivers them
-    T.stream_chunk(Tables(spark, SF_SMALL)).repartitionByRange(4, "ts").write.parquet(d + "/chunks")
+    # event-time ordered files, as a log source delivers them: the file source
+    # takes files in modification-time order, so write the slices one by one
+    chunks = T.stream_chunk(Tables(spark, SF_SMALL)).withColumn("slice", F.dayofmonth("ts") / 8)
+    chunks = chunks.withColumn("slice", F.floor("slice"))
+    for k in range(5):
+        chunks.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(d + "/chunks")
+        time.sleep(1.1)
     Tables(spark, SF_SMALL).events.repartition(4).write.parquet(d + "/events")
     return d
 
