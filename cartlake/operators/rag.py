@@ -136,17 +136,21 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
                                           F.max(F.length("content")).alias("max_len"))
 
 
-def embed(chunks: DataFrame, dim: int = 64, col: str = "content") -> DataFrame:
-    """Offline embedding: L2-normalised hashed term counts (token bucket =
-    md5 prefix mod dim). Computed per row with array functions, no shuffle.
-    Callers with a real model pass their own ARRAY<FLOAT> column instead."""
-    toks = F.filter(F.split(F.lower(F.col(col)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def embed_column(text: Column, dim: int = 64) -> Column:
+    """Offline embedding of a text column: L2-normalised hashed term counts
+    (token bucket = md5 prefix mod dim), computed per row with array
+    functions (no shuffle). Callers with a real model supply their own
+    ARRAY<FLOAT> column instead."""
+    toks = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     buckets = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                          lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
     n = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v))
-    vec = F.transform(counts, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))
-    return chunks.withColumn("embedding", vec)
+    return F.transform(counts, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))
+
+
+def embed(chunks: DataFrame, dim: int = 64, col: str = "content") -> DataFrame:
+    return chunks.withColumn("embedding", embed_column(F.col(col), dim))
 
 
 def topk(index: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "chunk_id") -> DataFrame:
@@ -247,12 +251,18 @@ def changes(old: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "c
     return j.select(key, action.alias("action")).filter(F.col("action").isNotNull())
 
 
-def sync_plan(index: DataFrame, old: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "content",
-              embedder=embed) -> DataFrame:
-    """Apply a snapshot change set to a vector index: rows deleted or
-    changed leave (left_anti), inserted or changed rows are embedded and
-    appended; unchanged rows are never re-embedded."""
-    ch = changes(old, new, key, col)
-    keep = index.join(ch.select(key), key, "left_anti").withColumn("reembedded", F.lit(False))
-    fresh = new.join(ch.filter(F.col("action") != "delete").select(key), key, "left_semi")
-    return keep.unionByName(embedder(fresh).select(*index.columns).withColumn("reembedded", F.lit(True)))
+def sync_plan(index: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "content",
+              embedder=embed_column) -> DataFrame:
+    """Apply a new snapshot to a vector index in one full outer join on the
+    key: unchanged rows keep their stored vector, inserted or changed rows
+    are embedded (the embedding expression only runs for them), deleted
+    rows drop out. ``reembedded`` marks the rows that were embedded now."""
+    others = [c for c in new.columns if c != key]
+    o = index.select(key, F.md5(F.col(col)).alias("_old_md5"), *[F.col(c).alias(f"_o_{c}") for c in others],
+                     F.col("embedding").alias("_o_embedding"))
+    n = new.select(key, F.md5(F.col(col)).alias("_new_md5"), *[F.col(c).alias(f"_n_{c}") for c in others])
+    j = o.join(n, key, "full_outer").filter(F.col("_new_md5").isNotNull())
+    fresh = F.col("_old_md5").isNull() | (F.col("_old_md5") != F.col("_new_md5"))
+    return j.select(key, *[F.when(fresh, F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in others],
+                    F.when(fresh, embedder(F.col(f"_n_{col}"))).otherwise(F.col("_o_embedding")).alias("embedding"),
+                    fresh.alias("reembedded"))

@@ -146,9 +146,8 @@ SELECT chunk_id, doc_name, content, false AS reembedded FROM old WHERE chunk_id
 UNION ALL SELECT chunk_id, doc_name, content, true FROM new WHERE chunk_id IN (SELECT chunk_id FROM ch WHERE action IN ('insert', 'update'))""")
 def q_sync(s, d):
     t = _t(s, d)
-    old, new = para_chunks(docs(t)), para_chunks(new_docs(t))
-    idx = G.embed(old)
-    return G.sync_plan(idx, old, new).select("chunk_id", "doc_name", "content", "reembedded")
+    idx = G.embed(para_chunks(docs(t)))
+    return G.sync_plan(idx, para_chunks(new_docs(t))).select("chunk_id", "doc_name", "content", "reembedded")
 
 
 @reg("src_chunk_changes", f"""WITH {DOCS_SQL}, {NEW_DOCS_SQL}, {_para_chunks_sql('old', 'docs')}, {_para_chunks_sql('new', 'new_docs')}

@@ -145,11 +145,7 @@ def q_index_sync(s, d):
     """Batch twin of the triggered sync: the change set with an embedding
     computed for every inserted or updated chunk."""
     t = _t(s, d)
-    old, new = para_chunks(docs(t)), para_chunks(new_docs(t))
-    ch = G.changes(old, new)
-    emb = G.embed(new.join(ch.filter(F.col("action") != "delete").select("chunk_id"), "chunk_id", "left_semi"))
-    return ch.join(emb.select("chunk_id", F.lit(True).alias("e"), "embedding"), "chunk_id", "left").select(
-        "chunk_id", "action", (F.col("e").isNotNull() & F.col("embedding").isNotNull()).alias("embedded"))
+    return S.index_sync_batch(para_chunks(docs(t)), para_chunks(new_docs(t)), G.embed_column)
 
 
 QUERIES = Q

@@ -217,3 +217,31 @@ def approval_state_stream(ev: DataFrame) -> DataFrame:
     return ev.groupBy("request_id").applyInPandasWithState(
         _approval_fn, "request_id long, state string, action string", "status string", "update",
         GroupStateTimeout.NoTimeout)
+
+
+def index_sync_batch(old: DataFrame, new: DataFrame, embedder) -> DataFrame:
+    """One micro-batch of the triggered index sync: the change set (one
+    full outer join on chunk_id comparing md5 digests) with a vector
+    computed for every inserted or updated chunk."""
+    o = old.select("chunk_id", F.md5("content").alias("old_md5"))
+    n = new.select("chunk_id", F.md5("content").alias("new_md5"), "content")
+    j = o.join(n, "chunk_id", "full_outer")
+    action = (F.when(F.col("old_md5").isNull(), "insert").when(F.col("new_md5").isNull(), "delete")
+              .when(F.col("old_md5") != F.col("new_md5"), "update"))
+    j = j.select("chunk_id", action.alias("action"), "content").filter(F.col("action").isNotNull())
+    emb = F.when(F.col("action") != "delete", embedder(F.col("content")))
+    return j.select("chunk_id", "action", emb.isNotNull().alias("embedded"))
+
+
+def index_sync_stream(new_chunks: DataFrame, index_path: str, log_path: str, checkpoint: str, embedder):
+    """Triggered sync: each micro-batch of changed chunks is diffed against
+    the stored index and the change rows (with vectors) are appended to the
+    sync log under batch_id=N (idempotent on replay)."""
+    def write(df, batch_id):
+        old = df.sparkSession.read.parquet(index_path)
+        o = old.select("chunk_id", F.md5("content").alias("old_md5"))
+        j = df.join(o, "chunk_id", "left").filter(F.col("old_md5").isNull() | (F.col("old_md5") != F.md5("content")))
+        j.select("chunk_id", "content", embedder(F.col("content")).alias("embedding")) \
+            .write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
+    return (new_chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
