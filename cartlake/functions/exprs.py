@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode-aware whitespace (Python str.strip/split semantics, incl. U+3000);
-# plain trim() only removes ASCII spaces.
-USPACE = r"(?U)\s"
+# Fixed value: the characters Python's str.strip()/str.split() treat as
+# whitespace (str.isspace), so stripping matches Python exactly.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+# the same set as a regex character class (for splitting on runs)
+PY_WHITESPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE) + "]"
 
 
 def ustrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
+    """Python str.strip(): a set trim (codegen, no regex)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def md5_pick(key: Column, salt: str, n) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import cosine, money, norm
+from ..functions.exprs import PY_WHITESPACE_CLASS, cosine, money, norm, ustrip
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -23,12 +23,12 @@ CONTEXT_SEPARATOR = "\n\n---\n\n"
 EMPTY_CONTEXT = "関連するポリシー情報が見つかりませんでした。"
 UNKNOWN_DOC = "不明"
 
-_WS = r"(?U)\s+"
+_WS = PY_WHITESPACE_CLASS + "+"
 
 
 def _strip(c: Column) -> Column:
-    """Python str.strip(): Unicode whitespace at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python str.strip(): the str.isspace characters at both ends."""
+    return ustrip(c)
 
 
 def _quote(sep: str) -> str:
@@ -36,7 +36,8 @@ def _quote(sep: str) -> str:
 
 
 def paragraphs_of(text: Column, sep: str = "\n\n") -> Column:
-    return F.filter(F.transform(F.split(text, _quote(sep)), _strip), lambda p: p != "")
+    """Split on ``sep``, strip every piece (set trim), drop empty pieces."""
+    return F.array_remove(F.transform(F.split(text, _quote(sep)), _strip), "")
 
 
 def paragraphs(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
