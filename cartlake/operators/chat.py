@@ -258,19 +258,24 @@ def _name_part(p: Column) -> Column:
     return (p["type"] == "text") & F.coalesce(p["text"].startswith("<name>") & p["text"].endswith("</name>"), F.lit(False))
 
 
-def part_segments(messages: DataFrame) -> DataFrame:
-    """Segment number of every part (0-based), computed by one fold over the
-    parts array. Rules: a source-url joins the block when the previous part
+def _joins_block(acc, p):
+    """Segmentation rule: a source-url joins the block when the previous part
     is text or source-url; a plain text joins when its block starts with a
     plain text; anything else opens a new block."""
+    kind = F.when(_name_part(p), "name").otherwise(p["type"])
+    joins = (((p["type"] == "source-url") & acc["prev"].isin("text", "name", "source-url"))
+             | ((kind == "text") & (acc["first"] == "text")))
+    return kind, F.coalesce(joins, F.lit(False))
+
+
+def part_segments(messages: DataFrame) -> DataFrame:
+    """Segment number of every part (0-based), by one fold over the parts
+    array (no shuffle)."""
     init = F.struct(F.lit(-1).alias("seg"), F.lit(None).cast("string").alias("prev"),
                     F.lit(None).cast("string").alias("first"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, p):
-        kind = F.when(_name_part(p), "name").otherwise(p["type"])
-        joins = (((p["type"] == "source-url") & acc["prev"].isin("text", "name", "source-url"))
-                 | ((kind == "text") & (acc["first"] == "text")))
-        joins = F.coalesce(joins, F.lit(False))
+        kind, joins = _joins_block(acc, p)
         seg = F.when(joins, acc["seg"]).otherwise(acc["seg"] + 1)
         return F.struct(seg.alias("seg"), kind.alias("prev"), F.when(joins, acc["first"]).otherwise(kind).alias("first"),
                         F.concat(acc["out"], F.array(seg)).alias("out"))
@@ -287,16 +292,35 @@ def citation_markdown(p: Column) -> Column:
     return F.concat(F.lit("["), label, F.lit("]("), p["url"], F.lit(CITATION_SUFFIX + ")"))
 
 
+def _render(acc: Column, p: Column) -> Column:
+    md = citation_markdown(p)
+    src = (F.when(acc.endswith("|"), F.concat(acc.substr(F.lit(1), F.length(acc) - 1), F.lit(" "), md, F.lit("|")))
+           .otherwise(F.concat(acc, F.lit(" "), md)))
+    return F.when(p["type"] == "text", F.concat(acc, F.coalesce(p["text"], F.lit("")))) \
+        .when(p["type"] == "source-url", src).otherwise(acc)
+
+
 def join_citations(messages: DataFrame) -> DataFrame:
-    """Markdown of each message's parts: text appended, citations appended
-    after a space, or put inside a trailing table cell ``|``."""
+    """Markdown of every segment: text appended, each citation appended after
+    a space, or put inside a trailing table cell ``|``. One fold per message
+    segments and renders at once."""
+    init = F.struct(F.lit(-1).alias("seg"), F.lit(None).cast("string").alias("prev"),
+                    F.lit(None).cast("string").alias("first"), F.array().cast("array<string>").alias("outs"),
+                    F.lit("").alias("cur"))
+
     def step(acc, p):
-        md = citation_markdown(p)
-        src = (F.when(acc.endswith("|"), F.concat(acc.substr(F.lit(1), F.length(acc) - 1), F.lit(" "), md, F.lit("|")))
-               .otherwise(F.concat(acc, F.lit(" "), md)))
-        return F.when(p["type"] == "text", F.concat(acc, F.coalesce(p["text"], F.lit("")))) \
-            .when(p["type"] == "source-url", src).otherwise(acc)
-    return messages.select(F.col("id").alias("message_id"), F.aggregate("parts", F.lit(""), step).alias("markdown"))
+        kind, joins = _joins_block(acc, p)
+        flush = ~joins & (acc["seg"] >= 0)
+        outs = F.when(flush, F.concat(acc["outs"], F.array(acc["cur"]))).otherwise(acc["outs"])
+        base = F.when(joins, acc["cur"]).otherwise(F.lit(""))
+        return F.struct(F.when(joins, acc["seg"]).otherwise(acc["seg"] + 1).alias("seg"), kind.alias("prev"),
+                        F.when(joins, acc["first"]).otherwise(kind).alias("first"), outs.alias("outs"),
+                        _render(base, p).alias("cur"))
+
+    done = F.aggregate("parts", init, step)
+    segs = F.when(done["seg"] >= 0, F.concat(done["outs"], F.array(done["cur"]))).otherwise(F.array().cast("array<string>"))
+    return (messages.select(F.col("id").alias("message_id"), F.posexplode(segs).alias("segment", "markdown"))
+            .withColumn("segment", F.col("segment").cast("long")))
 
 
 def decode_citation(c: Column) -> Column:
