@@ -11,6 +11,8 @@ with its own last ``overlap`` characters.
 
 from __future__ import annotations
 
+import sys
+
 
 def _tail(s: str, n: int) -> str:
     return s[-n:] if len(s) > n else s
@@ -57,3 +59,10 @@ def chunk_batches(batches, size: int, overlap: int, sep: str):
                 content.append(c)
         yield pd.DataFrame({"doc_name": pd.Series(names, dtype=pdf["doc_name"].dtype),
                             "chunk_index": pd.Series(idx, dtype="int64"), "content": pd.Series(content, dtype=object)})
+
+
+# Executors need not have this package installed: functions of this module
+# are shipped by value with the tasks that use them.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -28,9 +28,10 @@ def _t(s, d):
 
 @reg("src_markdown_docs")
 def q_markdown(s, d):
-    """Documents exported as one text file each, read back whole."""
-    path = IO.export_text(_t(s, d).documents.select("doc_id", "text"), "doc_id", scratch_path(s, "docs"))
-    return IO.markdown_docs(s, path, ".txt", name_from="doc_id")
+    """Documents exported as one markdown file each, read back whole."""
+    path = scratch_path(s, "docs")
+    IO.export_files(_t(s, d).documents, "doc_id", "text", path, ".md")
+    return IO.markdown_docs(s, path, ".md")
 
 
 @reg("src_write_overwrite")

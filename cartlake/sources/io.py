@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,34 @@ def markdown_docs(spark: SparkSession, path: str, suffix: str = ".md", name_from
     return df.select(name.alias("doc_name"), F.col("value").alias("text"))
 
 
-def export_text(df: DataFrame, key: str, path: str) -> str:
-    """One text file per ``key`` value (partitioned layout)."""
-    df.select(key, "text").write.mode("overwrite").partitionBy(key).text(path)
-    return path
+def _write_files(batches, root: str, suffix: str):
+    import pandas as pd
+    from pyarrow import fs
+
+    filesystem, base = fs.FileSystem.from_uri(root)
+    filesystem.create_dir(base, recursive=True)
+    for pdf in batches:
+        n = 0
+        for name, text in zip(pdf["name"], pdf["text"]):
+            with filesystem.open_output_stream(f"{base}/{name}{suffix}") as out:
+                out.write((text or "").encode("utf-8"))
+            n += 1
+        yield pd.DataFrame({"files": [n]})
+
+
+def export_files(df: DataFrame, name_col: str, text_col: str, path: str, suffix: str = ".md") -> int:
+    """One file ``<name><suffix>`` per row, written by the executors through
+    an Arrow filesystem (local, HDFS or object store URI); returns the
+    number of files written."""
+    if "://" in path:
+        root = path
+    elif path.startswith("file:"):          # Hadoop style file:/abs/path
+        root = "file://" + path[len("file:"):]
+    else:
+        root = "file://" + path
+    out = df.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).mapInPandas(
+        lambda it: _write_files(it, root, suffix), "files long")
+    return int(out.agg(F.sum("files")).first()[0] or 0)
 
 
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> int:
@@ -94,3 +120,10 @@ def sse_payloads(lines: DataFrame, col: str = "line") -> DataFrame:
     keep = F.col(col).startswith("data: ") & (F.col(col) != "data: [DONE]")
     parsed = lines.filter(keep).select("*", body.alias("payload"), F.try_parse_json(body).alias("v"))
     return parsed.filter(F.col("v").isNotNull() & ~F.trim(F.col("payload")).isin(*FALSY)).drop("v")
+
+
+# Executors need not have this package installed: functions of this module
+# are shipped by value with the tasks that use them.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])

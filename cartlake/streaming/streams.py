@@ -10,6 +10,8 @@ or applyInPandasWithState for the approval state machine. Window functions
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -245,3 +247,10 @@ def index_sync_stream(new_chunks: DataFrame, index_path: str, log_path: str, che
             .write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
     return (new_chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+# Executors need not have this package installed: functions of this module
+# are shipped by value with the tasks that use them.
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
