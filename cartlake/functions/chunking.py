@@ -18,6 +18,19 @@ def _tail(s: str, n: int) -> str:
     return s[-n:] if len(s) > n else s
 
 
+def pack_words(para: str, size: int, overlap: int, done: list[str]) -> str:
+    """Word packing of one oversize paragraph from an empty chunk; full
+    chunks are appended to ``done``, the open chunk is returned."""
+    cur = ""
+    for word in para.split():
+        if len(cur) + len(word) + 1 <= size:
+            cur = f"{cur} {word}" if cur else word
+        else:
+            done.append(cur.strip())
+            cur = f"{_tail(cur, overlap)} {word}"
+    return cur
+
+
 def chunk_text(text: str, size: int, overlap: int, sep: str) -> list[str]:
     done: list[str] = []
     cur = ""
@@ -33,18 +46,30 @@ def chunk_text(text: str, size: int, overlap: int, sep: str) -> list[str]:
         if len(para) <= size:
             cur = f"{_tail(done[-1], overlap)}\n\n{para}" if done else para
             continue
-        cur = ""
-        for word in para.split():
-            if len(cur) + len(word) + 1 <= size:
-                cur = f"{cur} {word}" if cur else word
-            else:
-                done.append(cur.strip())
-                cur = f"{_tail(cur, overlap)} {word}"
+        cur = pack_words(para, size, overlap, done)
     if cur.strip():
         done.append(cur.strip())
     return done
 
 
+def split_batches(batches, size: int, overlap: int):
+    """mapInPandas body: oversize paragraphs -> their word-packed pieces."""
+    import pandas as pd
+
+    for pdf in batches:
+        names, pos, idx, pieces = [], [], [], []
+        for name, p, para in zip(pdf["doc_name"], pdf["pos"], pdf["paragraph"]):
+            done: list[str] = []
+            last = pack_words(para, size, overlap, done)
+            for i, piece in enumerate(done + [last.strip()]):
+                names.append(name)
+                pos.append(p)
+                idx.append(i)
+                pieces.append(piece)
+        yield pd.DataFrame({"doc_name": pd.Series(names, dtype=pdf["doc_name"].dtype), "pos": pd.Series(pos, dtype="int64"),
+                            "piece_index": pd.Series(idx, dtype="int64"), "piece": pd.Series(pieces, dtype=object)})
+
+
 def chunk_batches(batches, size: int, overlap: int, sep: str):
     """mapInPandas body: (doc_name, text) batches -> (doc_name, chunk_index,
     content) batches."""

@@ -125,11 +125,13 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
 
 def split_oversize(paras: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """The word path alone: pieces of every paragraph longer than ``size``
-    (the current chunk left at the end is the last piece)."""
-    big = paras.filter(F.length("paragraph") > size)
-    st = _pack_words(F.array().cast("array<string>"), F.col("paragraph"), size, overlap)
-    pieces = F.concat(st["chunks"], F.array(_strip(st["cur"])))
-    return big.select("doc_name", "pos", F.posexplode(pieces).alias("piece_index", "piece"))
+    (the chunk left open at the end is the last piece), packed by the same
+    helper the chunker uses, over Arrow batches."""
+    from ..functions.chunking import split_batches
+    big = paras.filter(F.length("paragraph") > size).select("doc_name", "pos", "paragraph")
+    name_type = big.schema["doc_name"].dataType.simpleString()
+    return spread(big).mapInPandas(lambda it: split_batches(it, size, overlap),
+                                   f"doc_name {name_type}, pos long, piece_index long, piece string")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -137,21 +139,22 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
                                           F.max(F.length("content")).alias("max_len"))
 
 
-def embed_column(text: Column, dim: int = 64) -> Column:
-    """Offline embedding of a text column: L2-normalised hashed term counts
-    (token bucket = md5 prefix mod dim), computed per row with array
-    functions (no shuffle). Callers with a real model supply their own
-    ARRAY<FLOAT> column instead."""
-    toks = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    buckets = F.transform(toks, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    n = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(counts, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))
+def _tokens(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def embed(chunks: DataFrame, dim: int = 64, col: str = "content") -> DataFrame:
-    return chunks.withColumn("embedding", embed_column(F.col(col), dim))
+def embed(df: DataFrame, dim: int = 64, col: str = "content", out: str = "embedding") -> DataFrame:
+    """Offline embedding: L2-normalised hashed term counts of the lower-cased
+    word tokens (pyspark.ml HashingTF + Normalizer, JVM transformers, no
+    shuffle). Callers with a real model supply their own ARRAY<FLOAT>
+    column instead."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    d = df.withColumn("_toks", _tokens(F.coalesce(F.col(col), F.lit(""))))
+    d = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(d)
+    d = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(d)
+    return d.withColumn(out, vector_to_array("_unit", "float32")).drop("_toks", "_tf", "_unit")
 
 
 def topk(index: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "chunk_id") -> DataFrame:
@@ -252,18 +255,19 @@ def changes(old: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "c
     return j.select(key, action.alias("action")).filter(F.col("action").isNotNull())
 
 
-def sync_plan(index: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "content",
-              embedder=embed_column) -> DataFrame:
+def sync_plan(index: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "content", embedder=embed) -> DataFrame:
     """Apply a new snapshot to a vector index in one full outer join on the
     key: unchanged rows keep their stored vector, inserted or changed rows
-    are embedded (the embedding expression only runs for them), deleted
-    rows drop out. ``reembedded`` marks the rows that were embedded now."""
+    are embedded (unchanged rows pass an empty text, so no work is spent on
+    them), deleted rows drop out. ``reembedded`` marks the rows embedded now."""
     others = [c for c in new.columns if c != key]
     o = index.select(key, F.md5(F.col(col)).alias("_old_md5"), *[F.col(c).alias(f"_o_{c}") for c in others],
                      F.col("embedding").alias("_o_embedding"))
     n = new.select(key, F.md5(F.col(col)).alias("_new_md5"), *[F.col(c).alias(f"_n_{c}") for c in others])
     j = o.join(n, key, "full_outer").filter(F.col("_new_md5").isNotNull())
     fresh = F.col("_old_md5").isNull() | (F.col("_old_md5") != F.col("_new_md5"))
-    return j.select(key, *[F.when(fresh, F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in others],
-                    F.when(fresh, embedder(F.col(f"_n_{col}"))).otherwise(F.col("_o_embedding")).alias("embedding"),
-                    fresh.alias("reembedded"))
+    j = j.withColumn("reembedded", fresh).withColumn("_to_embed", F.when(fresh, F.col(f"_n_{col}")).otherwise(F.lit("")))
+    j = embedder(j, col="_to_embed", out="_new_embedding")
+    return j.select(key, *[F.when(F.col("reembedded"), F.col(f"_n_{c}")).otherwise(F.col(f"_o_{c}")).alias(c) for c in others],
+                    F.when(F.col("reembedded"), F.col("_new_embedding")).otherwise(F.col("_o_embedding")).alias("embedding"),
+                    "reembedded")

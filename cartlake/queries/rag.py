@@ -86,7 +86,7 @@ def q_chunk_stats(s, d):
 
 @reg("rag_embed")
 def q_embed(s, d):
-    return G.embed(q_chunks(s, d)).select("chunk_id", "embedding")
+    return G.embed(q_chunks(s, d)).select("chunk_id", "embedding")  # hashed term vectors
 
 
 def index(t):

@@ -145,7 +145,7 @@ def q_index_sync(s, d):
     """Batch twin of the triggered sync: the change set with an embedding
     computed for every inserted or updated chunk."""
     t = _t(s, d)
-    return S.index_sync_batch(para_chunks(docs(t)), para_chunks(new_docs(t)), G.embed_column)
+    return S.index_sync_batch(para_chunks(docs(t)), para_chunks(new_docs(t)), G.embed)
 
 
 QUERIES = Q

@@ -231,8 +231,9 @@ def index_sync_batch(old: DataFrame, new: DataFrame, embedder) -> DataFrame:
     action = (F.when(F.col("old_md5").isNull(), "insert").when(F.col("new_md5").isNull(), "delete")
               .when(F.col("old_md5") != F.col("new_md5"), "update"))
     j = j.select("chunk_id", action.alias("action"), "content").filter(F.col("action").isNotNull())
-    emb = F.when(F.col("action") != "delete", embedder(F.col("content")))
-    return j.select("chunk_id", "action", emb.isNotNull().alias("embedded"))
+    j = embedder(j.withColumn("_t", F.when(F.col("action") != "delete", F.col("content")).otherwise(F.lit(""))),
+                 col="_t", out="_e")
+    return j.select("chunk_id", "action", ((F.col("action") != "delete") & F.col("_e").isNotNull()).alias("embedded"))
 
 
 def index_sync_stream(new_chunks: DataFrame, index_path: str, log_path: str, checkpoint: str, embedder):
@@ -243,7 +244,7 @@ def index_sync_stream(new_chunks: DataFrame, index_path: str, log_path: str, che
         old = df.sparkSession.read.parquet(index_path)
         o = old.select("chunk_id", F.md5("content").alias("old_md5"))
         j = df.join(o, "chunk_id", "left").filter(F.col("old_md5").isNull() | (F.col("old_md5") != F.md5("content")))
-        j.select("chunk_id", "content", embedder(F.col("content")).alias("embedding")) \
+        embedder(j.select("chunk_id", "content"), col="content", out="embedding") \
             .write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
     return (new_chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
