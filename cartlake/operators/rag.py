@@ -197,16 +197,25 @@ def hyperplanes(dim: int, bits: int, tables: int, seed: str = "lsh") -> list[lis
 
 
 def _signatures(df: DataFrame, planes: list[list[float]], bits: int, tables: int) -> DataFrame:
-    e = F.col("embedding")
-    sig = []
-    for t in range(tables):
-        code = F.lit(0)
-        for b in range(bits):
-            p = F.array(*[F.lit(float(x)) for x in planes[t * bits + b]])
-            dotp = F.aggregate(F.zip_with(e, p, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, v: a + v)
-            code = code * 2 + F.when(dotp >= 0, 1).otherwise(0)
-        sig.append(F.struct(F.lit(t).alias("table"), code.alias("bucket")))
-    return df.withColumn("sig", F.explode(F.array(*sig))).select("*", "sig.table", "sig.bucket").drop("sig")
+    """(table, bucket) rows per vector: signs of the dot products with the
+    hyperplanes, one numpy matrix product per Arrow batch."""
+    import numpy as np
+    import pandas as pd
+
+    plane_matrix = np.asarray(planes, dtype=np.float64)          # (tables*bits) x dim, a small constant
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
+
+    def signature_codes(emb):
+        if len(emb) == 0:
+            return pd.Series([], dtype=object)
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in emb])
+        signs = (m @ plane_matrix.T >= 0).reshape(len(emb), tables, bits).astype(np.int64)
+        return pd.Series(list(signs @ weights))
+
+    signature_codes.__annotations__ = {"emb": pd.Series, "return": pd.Series}
+    codes = F.pandas_udf(signature_codes, "array<bigint>")
+
+    return df.select("*", F.posexplode(codes(F.col("embedding"))).alias("table", "bucket"))
 
 
 def topk_lsh(index: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", dim: int = 64,

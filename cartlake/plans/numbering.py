@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def offsets(df: DataFrame, order_key: str, count_col: str, block: int = 1 << 16, out: str = "offset",
+def offsets(df: DataFrame, order_key: str, count_col: str, block: int = 1 << 12, out: str = "offset",
             partition: list[str] | None = None, order: list[Column] | None = None,
             block_cols: list[Column] | None = None) -> DataFrame:
     """Exclusive prefix sum of ``count_col``.

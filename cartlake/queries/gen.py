@@ -105,13 +105,12 @@ def items_sql():
     line = "concat(CAST(x.i AS VARCHAR), ':', CAST(x.j AS VARCHAR))"
     return f"""WITH txns AS ({transactions_sql()}), products AS ({products_sql()}),
 tx AS (SELECT *, (SELECT count(*) FROM part) AS np FROM txns),
-t AS (SELECT i, transaction_id, n_items, sum(n_items) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - n_items AS item_base,
-  list_sort(list_transform(range(0, {G.CANDIDATE_WINDOW}), lambda j: {{'h': md5(concat(CAST(i AS VARCHAR), ':pick:', CAST(j AS VARCHAR))),
-    'p': ({pick('i', 'start', n)} + j) % {n} + 1}}))[1:n_items] AS chosen FROM tx),
-x AS (SELECT i, transaction_id, item_base, generate_subscripts(chosen, 1) - 1 AS j, unnest(chosen).p AS p FROM t)
-SELECT printf('ITEM-%06d', x.item_base + x.j + 1) AS item_id, x.transaction_id, printf('PROD-%04d', x.p) AS product_id,
+t AS (SELECT i, transaction_id, n_items, np, sum(n_items) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - n_items AS item_base,
+  {pick('i', 'start', n)} AS st, {pick('i', 'step', f'CAST(greatest(floor({n} / {G.MAX_ITEMS}), 1) AS BIGINT)')} + 1 AS sp FROM tx),
+x AS (SELECT i, transaction_id, item_base, unnest(range(0, n_items)) AS j, np, st, sp FROM t)
+SELECT printf('ITEM-%06d', x.item_base + x.j + 1) AS item_id, x.transaction_id, printf('PROD-%04d', (x.st + x.j * x.sp) % x.np + 1) AS product_id,
   CAST({uni(line, 'qty', 1, 5)} AS DOUBLE) AS quantity, pr.price AS unit_price, {choose(line, 'disc', G.DISCOUNTS)} AS discount
-FROM x JOIN products pr ON pr.product_id = printf('PROD-%04d', x.p)"""
+FROM x JOIN products pr ON pr.product_id = printf('PROD-%04d', (x.st + x.j * x.sp) % x.np + 1)"""
 
 
 # ------------------------------------------------------------------ Spark side
