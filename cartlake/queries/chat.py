@@ -276,7 +276,16 @@ def q_feedback_supported(s, d):
     return C.feedback_supported(CD.message_parts(_t(s, d)))
 
 
-@reg("cht_part_segments")
+@reg("cht_part_segments", """WITH p AS (SELECT id AS message_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS part FROM message_parts),
+k AS (SELECT message_id, pos, part.type AS type, CASE WHEN part.type = 'text'
+    AND coalesce(starts_with(part.text, '<name>') AND ends_with(part.text, '</name>'), false) THEN 'name' ELSE part.type END AS kind FROM p),
+w AS (SELECT *, lag(kind) OVER (PARTITION BY message_id ORDER BY pos) AS prev,
+  last_value(CASE WHEN kind <> 'source-url' THEN kind END IGNORE NULLS) OVER (PARTITION BY message_id ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ns FROM k),
+f AS (SELECT *, CASE WHEN kind = 'source-url' THEN NOT coalesce(prev IN ('text', 'name', 'source-url'), false)
+  WHEN kind = 'text' THEN NOT coalesce(last_ns = 'text', false) ELSE true END AS brk FROM w)
+SELECT message_id, CAST(pos AS BIGINT) AS pos, CAST(sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY message_id ORDER BY pos
+  ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS segment, type FROM f""", ("message_parts",))
 def q_part_segments(s, d):
     return C.part_segments(CD.message_parts(_t(s, d)))
 
