@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.numbering import rank_within, time_blocks
 from ..sources.chatdata import truncate_words
 from .upsert import alive, first_write, last_by_op, last_write
 
@@ -127,9 +128,12 @@ def history_before(chats: DataFrame, cursors: DataFrame, limit: int) -> DataFram
 
 
 def history_pages(chats: DataFrame, size: int = 20) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
-    rn = F.row_number().over(w)
-    return chats.select("user_id", "id", "created_at", F.floor((rn - 1) / size).cast("long").alias("page"))
+    """Page number of every chat when a user's history is read newest first
+    in pages of ``size``. The rank is a blocked prefix sum (a user with a
+    huge history is not sorted in one task)."""
+    r = rank_within(chats.select("user_id", "id", "created_at"), ["user_id"], [F.desc("created_at"), F.desc("id")],
+                    time_blocks(F.col("created_at"), descending=True))
+    return r.select("user_id", "id", "created_at", F.floor((F.col("rank") - 1) / size).cast("long").alias("page"))
 
 
 def date_buckets(chats: DataFrame, now: Column) -> DataFrame:
@@ -165,11 +169,12 @@ def traced_messages(messages: DataFrame) -> DataFrame:
 def context_merge(messages: DataFrame) -> DataFrame:
     """Model context per chat: prior messages then the new user message; a
     continuation (last message not from the user) sends the prior only."""
-    w = Window.partitionBy("chat_id")
-    last = F.max_by("role", "created_at").over(w)
-    pos = F.row_number().over(Window.partitionBy("chat_id").orderBy("created_at", "id"))
-    return messages.select("chat_id", F.col("id").alias("message_id"), "role", pos.cast("long").alias("position"),
-                           F.when(last == "user", "new_message").otherwise("continuation").alias("mode"))
+    last = messages.groupBy("chat_id").agg(F.max_by("role", "created_at").alias("last_role"))
+    ranked = rank_within(messages.select("chat_id", "id", "role", "created_at"), ["chat_id"],
+                         [F.col("created_at"), F.col("id")], time_blocks(F.col("created_at")), out="position")
+    return ranked.join(last, "chat_id").select(
+        "chat_id", F.col("id").alias("message_id"), "role", "position",
+        F.when(F.col("last_role") == "user", "new_message").otherwise("continuation").alias("mode"))
 
 
 def continuation_rows(prior: DataFrame, now: Column) -> DataFrame:
@@ -365,11 +370,11 @@ def feedback_dedup(submissions: DataFrame, messages: DataFrame) -> DataFrame:
     update it; messages without a trace id are skipped."""
     traced = messages.filter(F.col("trace_id").isNotNull()).select(F.col("id").alias("message_id"), "trace_id")
     s = submissions.join(traced, "message_id")
-    w = Window.partitionBy("message_id", "user_id").orderBy("seq")
-    last = F.max("seq").over(Window.partitionBy("message_id", "user_id"))
-    return s.select("message_id", "user_id", "seq", "trace_id", "feedback_type",
-                    F.when(F.row_number().over(w) == 1, "create").otherwise("update").alias("action"),
-                    (F.col("seq") == last).alias("is_final"))
+    bounds = s.groupBy("message_id", "user_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return s.join(bounds, ["message_id", "user_id"]).select(
+        "message_id", "user_id", "seq", "trace_id", "feedback_type",
+        F.when(F.col("seq") == F.col("first_seq"), "create").otherwise("update").alias("action"),
+        (F.col("seq") == F.col("last_seq")).alias("is_final"))
 
 
 def chat_bundle(chats: DataFrame, messages: DataFrame, votes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import cosine, money, norm
+from ..plans.numbering import rank_within, time_blocks
 from .upsert import last_write
 
 KEYS = ["ns_kind", "ns_user", "mem_key"]
@@ -141,8 +142,10 @@ def merge_messages(log: DataFrame) -> DataFrame:
     """Message-list reducer: a new id is appended, a known id is replaced in
     place (keeps its first position, takes the last value)."""
     g = log.groupBy("chat_id", "id").agg(F.min(F.struct("seq", "created_at")).alias("first"), last_write("text"))
-    w = Window.partitionBy("chat_id").orderBy(F.col("first.seq"), F.col("first.created_at"), "id")
-    return g.select("chat_id", "id", F.row_number().over(w).cast("long").alias("position"), "text")
+    g = g.select("chat_id", "id", "text", F.col("first.seq").alias("s0"), F.col("first.created_at").alias("c0"))
+    r = rank_within(g, ["chat_id"], [F.col("s0"), F.col("c0"), F.col("id")],
+                    [F.col("s0"), *time_blocks(F.col("c0"))], out="position")
+    return r.select("chat_id", "id", "position", "text")
 
 
 def broken_threads(calls: DataFrame, results: DataFrame, ckpts: DataFrame) -> DataFrame:

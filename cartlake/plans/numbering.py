@@ -39,3 +39,20 @@ def offsets(df: DataFrame, order_key: str, count_col: str, block: int = 1 << 12,
     d = d.withColumn("_in_off", F.sum(count_col).over(inner) - F.col(count_col))
     return (d.join(before, [*partition, *names]).withColumn(out, F.col("_blk_off") + F.col("_in_off"))
             .drop(*names, "_blk_off", "_in_off"))
+
+
+def rank_within(df: DataFrame, partition: list[str], order: list[Column], block_cols: list[Column],
+                out: str = "rank") -> DataFrame:
+    """1-based row_number inside ``partition`` by ``order`` (unique), via
+    blocked prefix sums: a hot partition is ranked by many tasks."""
+    r = offsets(df.withColumn("_one", F.lit(1)), "", "_one", out=out, partition=partition, order=order,
+                block_cols=block_cols)
+    return r.withColumn(out, (F.col(out) + 1).cast("long")).drop("_one")
+
+
+def time_blocks(ts: Column, descending: bool = False) -> list[Column]:
+    """Block key (day, second of day) of a TIMESTAMP_NTZ; sorts like the
+    timestamp (or its reverse), with no time-zone conversion."""
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01"))
+    sec = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return [-day, -sec] if descending else [day, sec]

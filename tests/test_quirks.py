@@ -191,3 +191,14 @@ def test_out_of_stock_alternatives_brute_force(spark):
         cands = sorted([(p2, i2) for i2, c2, p2, s2 in rows if c2 == cat and s2 > 0 and p2 <= price], reverse=True)[:3]
         exp += [(pid, k + 1, i2) for k, (_, i2) in enumerate(cands)]
     assert got == sorted(exp)
+
+
+def test_history_pages_hot_user_equals_window(spark):
+    rnd = random.Random(11)
+    rows = [(i, 1 if rnd.random() < 0.6 else rnd.randint(2, 5), T0 + dt.timedelta(seconds=rnd.randint(0, 50)))
+            for i in range(2000)]
+    chats = spark.createDataFrame(rows, "id long, user_id long, created_at timestamp_ntz")
+    got = {(r.id, r.page) for r in C.history_pages(chats, 20).collect()}
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    exp = {(r.id, r.page) for r in chats.select("id", F.floor((F.row_number().over(w) - 1) / 20).alias("page")).collect()}
+    assert got == exp
