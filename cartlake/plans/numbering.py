@@ -51,8 +51,9 @@ def rank_within(df: DataFrame, partition: list[str], order: list[Column], block_
 
 
 def time_blocks(ts: Column, descending: bool = False) -> list[Column]:
-    """Block key (day, second of day) of a TIMESTAMP_NTZ; sorts like the
-    timestamp (or its reverse), with no time-zone conversion."""
+    """Block key (day, hour) of a TIMESTAMP_NTZ; sorts like the timestamp
+    (or its reverse), with no time-zone conversion. Hour blocks keep both
+    the per-key block table (one row per active hour) and every block small
+    for a key that is busy for years."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01"))
-    sec = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return [-day, -sec] if descending else [day, sec]
+    return [-day, -F.hour(ts)] if descending else [day, F.hour(ts)]

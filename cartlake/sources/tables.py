@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -164,12 +163,13 @@ def spans(t: Tables) -> DataFrame:
 
 
 def stream_chunk(t: Tables) -> DataFrame:
-    e = t.events
-    # The sequence number is per stream (user); streams are independent so the
-    # window shuffles by user only.
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    from ..plans.numbering import rank_within, time_blocks
+    # The sequence number is per stream (user), a blocked rank so one busy
+    # stream is numbered by many tasks.
+    e = rank_within(t.events.select("user_id", "event_id", "ts", "event_type", "props"), ["user_id"],
+                    [F.col("ts"), F.col("event_id")], time_blocks(F.col("ts")), out="seq1")
     typ = _case(F.col("event_type"), {"signup": "text-start", "purchase": "finish", "error": "error"}, "text-delta")
-    return e.select(F.col("user_id").alias("stream_id"), seq.cast("long").alias("seq"), "ts",
+    return e.select(F.col("user_id").alias("stream_id"), (F.col("seq1") - 1).alias("seq"), "ts",
                     typ.alias("type"), F.col("props").alias("delta"))
 
 
