@@ -142,7 +142,7 @@ def return_eligibility(returns: DataFrame, windows: DataFrame) -> DataFrame:
     has_receipt) -> within window (elapsed may be negative: not eligible)
     and receipt rule."""
     j = returns.join(F.broadcast(windows), "product_class")
-    hours = (F.unix_timestamp(F.col("returned_at").cast("timestamp")) - F.unix_timestamp(F.col("purchased_at").cast("timestamp"))) / 3600.0
+    hours = F.timestamp_diff("SECOND", F.col("purchased_at"), F.col("returned_at")) / 3600.0  # TIMESTAMP_NTZ, no zone
     in_window = (hours >= 0) & (hours <= F.col("window_hours"))
     receipt_ok = F.col("has_receipt") | (F.col("no_receipt_limit").isNotNull() & (F.col("amount") <= F.col("no_receipt_limit")))
     reason = F.when(~in_window, "outside_window").when(~receipt_ok, "receipt_required").otherwise("ok")
@@ -155,8 +155,7 @@ def no_receipt_limit(returns: DataFrame, cap: float = NO_RECEIPT_CAP, n: int = N
     """No-receipt returns: each at most ``cap``, at most ``n`` per customer in
     a rolling ``days`` window (RANGE frame on the return day)."""
     r = returns.filter(~F.col("has_receipt")).withColumn("day", F.to_date("returned_at"))
-    w = Window.partitionBy("customer_id").orderBy(F.col("day").cast("timestamp").cast("long")) \
-        .rangeBetween(-days * 86400, 0)
+    w = Window.partitionBy("customer_id").orderBy(F.datediff(F.col("day"), F.lit("1970-01-01"))).rangeBetween(-days, 0)
     rolling = F.count(F.lit(1)).over(w)
     return r.select("return_id", "customer_id", "day", "amount", rolling.alias("in_window"),
                     ((F.col("amount") <= cap) & (rolling <= n)).alias("allowed"))
