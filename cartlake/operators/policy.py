@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import money
+from ..plans.numbering import offsets, time_blocks
 
 # ---------------------------------------------------------------------------
 # Fixed values from the policy documents.
@@ -102,14 +103,28 @@ def quarterly_tier(txns: DataFrame, tier_rules: DataFrame) -> DataFrame:
 def points_expiry(points: DataFrame, customers: DataFrame, months: int = POINTS_VALIDITY_MONTHS) -> DataFrame:
     """Points expire ``months`` after the last purchase; any purchase extends
     all points. A gap longer than that starts a new balance (island);
-    Platinum members' points do not expire."""
+    Platinum members' points do not expire.
+
+    Skew-safe: purchases are cut into (day, hour) blocks per customer. A
+    row's previous purchase is a lag inside its block, or for the block's
+    first row the latest purchase of the previous block (a window over the
+    per-customer block table). Island ids are a blocked prefix sum of the
+    breaks, so no customer's purchases are sorted in one task."""
     p = points.join(customers.select("customer_id", "membership_tier"), "customer_id")
-    w = Window.partitionBy("customer_id").orderBy("transaction_date", "transaction_id")
-    prev = F.lag("transaction_date").over(w)
+    blocks = time_blocks(F.col("transaction_date"))
+    p = p.withColumn("_d", blocks[0]).withColumn("_h", blocks[1])
+    inner = Window.partitionBy("customer_id", "_d", "_h").orderBy("transaction_date", "transaction_id")
+    bt = p.groupBy("customer_id", "_d", "_h").agg(F.max("transaction_date").alias("_bmax"))
+    bt = bt.withColumn("_prev_bmax", F.lag("_bmax").over(Window.partitionBy("customer_id").orderBy("_d", "_h")))
+    p = p.withColumn("_in_prev", F.lag("transaction_date").over(inner)).join(
+        bt.select("customer_id", "_d", "_h", "_prev_bmax"), ["customer_id", "_d", "_h"])
+    prev = F.coalesce(F.col("_in_prev"), F.col("_prev_bmax"))
     gap = prev.isNotNull() & (F.col("transaction_date") > F.add_months(prev, months).cast("timestamp_ntz")) \
         & (F.col("membership_tier") != "Platinum")
-    p = p.withColumn("brk", F.when(gap, 1).otherwise(0))
-    p = p.withColumn("island", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("brk", F.when(gap, 1).otherwise(0)).drop("_d", "_h", "_in_prev", "_prev_bmax")
+    p = offsets(p, "", "brk", out="_before", partition=["customer_id"],
+                order=[F.col("transaction_date"), F.col("transaction_id")], block_cols=blocks)
+    p = p.withColumn("island", F.col("_before") + F.col("brk"))
     g = p.groupBy("customer_id", "island").agg(
         F.min("transaction_date").alias("first_purchase"), F.max("transaction_date").alias("last_purchase"),
         F.sum("points").alias("points"), F.first("membership_tier").alias("tier"))
@@ -153,12 +168,17 @@ def return_eligibility(returns: DataFrame, windows: DataFrame) -> DataFrame:
 def no_receipt_limit(returns: DataFrame, cap: float = NO_RECEIPT_CAP, n: int = NO_RECEIPT_MAX,
                      days: int = NO_RECEIPT_DAYS) -> DataFrame:
     """No-receipt returns: each at most ``cap``, at most ``n`` per customer in
-    a rolling ``days`` window (RANGE frame on the return day)."""
+    a rolling ``days`` window. Returns are first counted per (customer, day);
+    the rolling sum runs over that daily table (one row per active day, so a
+    customer with a huge number of returns is still a small window), then is
+    joined back to the returns."""
     r = returns.filter(~F.col("has_receipt")).withColumn("day", F.to_date("returned_at"))
+    daily = r.groupBy("customer_id", "day").agg(F.count(F.lit(1)).alias("n_day"))
     w = Window.partitionBy("customer_id").orderBy(F.datediff(F.col("day"), F.lit("1970-01-01"))).rangeBetween(-days, 0)
-    rolling = F.count(F.lit(1)).over(w)
-    return r.select("return_id", "customer_id", "day", "amount", rolling.alias("in_window"),
-                    ((F.col("amount") <= cap) & (rolling <= n)).alias("allowed"))
+    rolling = daily.select("customer_id", "day", F.sum("n_day").over(w).alias("in_window"))
+    return r.join(rolling, ["customer_id", "day"]).select(
+        "return_id", "customer_id", "day", "amount", "in_window",
+        ((F.col("amount") <= cap) & (F.col("in_window") <= n)).alias("allowed"))
 
 
 def price_protection(purchases: DataFrame, sales: DataFrame, days: int = PRICE_PROTECTION_DAYS) -> DataFrame:

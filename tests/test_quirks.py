@@ -202,3 +202,28 @@ def test_history_pages_hot_user_equals_window(spark):
     w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     exp = {(r.id, r.page) for r in chats.select("id", F.floor((F.row_number().over(w) - 1) / 20).alias("page")).collect()}
     assert got == exp
+
+
+def test_points_expiry_blocked_equals_model(spark):
+    from cartlake.operators import policy as P
+    rnd = random.Random(2)
+    rows, t = [], dt.datetime(2010, 1, 1)
+    for i in range(600):
+        t += dt.timedelta(minutes=rnd.choice([5, 20, 90, 60 * 24 * 40, 60 * 24 * 400]))
+        rows.append((i, 1 if i % 3 else 2, t, float(rnd.randint(1, 9))))
+    pts = spark.createDataFrame(rows, "transaction_id long, customer_id long, transaction_date timestamp_ntz, points double")
+    cust = spark.createDataFrame([(1, "Gold"), (2, "Platinum")], "customer_id long, membership_tier string")
+    got = sorted((r.customer_id, r.island, r.points) for r in P.points_expiry(pts, cust).collect())
+    exp = []
+    for c, tier in ((1, "Gold"), (2, "Platinum")):
+        mine = sorted((r[2], r[0], r[3]) for r in rows if r[1] == c)
+        island, prev, acc = 0, None, {}
+        for ts, _, p in mine:
+            if prev is not None and tier != "Platinum":
+                y, m = prev.year + (prev.month - 1 + 12) // 12, (prev.month - 1 + 12) % 12 + 1
+                if ts > prev.replace(year=y, month=m):
+                    island += 1
+            acc[island] = acc.get(island, 0.0) + p
+            prev = ts
+        exp += [(c, k, v) for k, v in acc.items()]
+    assert got == sorted(exp)
