@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import exact_dedup as xd
+from . import huffman as hf
 from . import mixing as mx
 from .common import table
 
@@ -49,6 +50,18 @@ OP2_SQL = ("WITH " + MIX_TARGETS_SQL.format(cols="", docs="documents")
              " (times * size)::BIGINT AS taken FROM mixed")
 
 
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks(spark, table(spark, sf_dir, "documents"))
+
+
+def token_blocks(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    folder = hf.new_folder(spark)
+    hf.encode(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return hf.decode(spark, folder)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -71,6 +84,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r"""
 
 QUERIES = {
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
+    "op4_token_blocks": (op4_token_blocks, None),
     "op5_decontaminate": (op5_decontaminate, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
