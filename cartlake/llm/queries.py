@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 from . import decontaminate as dc
 from . import exact_dedup as xd
 from . import huffman as hf
+from . import language as lg
 from . import mixing as mx
-from .common import table
+from . import quality as ql
+from .common import in_fold, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = ql.features(table(spark, sf_dir, "documents"))
+    model = ql.fit(feats, table(spark, sf_dir, "labels"),
+                   learn=F.col("id").isNotNull() & ~in_fold(3, 1, "id"))
+    return ql.score(feats, model).withColumn("held_out", in_fold(3, 1))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +77,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lg.fit(docs, ~in_fold(3, 1))
+    return lg.identify(docs, model).withColumn("held_out", in_fold(3, 1))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = xd.exact_dedup(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -83,8 +98,10 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r"""
 
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
     "op4_token_blocks": (op4_token_blocks, None),
     "op5_decontaminate": (op5_decontaminate, None),
+    "op8_language": (op8_language, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
