@@ -12,6 +12,7 @@ from . import huffman as hf
 from . import language as lg
 from . import mixing as mx
 from . import quality as ql
+from . import toxicity as tx
 from .common import in_fold, table
 
 
@@ -59,6 +60,12 @@ OP2_SQL = ("WITH " + MIX_TARGETS_SQL.format(cols="", docs="documents")
              " (times * size)::BIGINT AS taken FROM mixed")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = tx.fit(docs, table(spark, sf_dir, "labels"), ~in_fold(5, 0))
+    return tx.score(docs, model).withColumn("held_out", in_fold(5, 0))
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(spark, table(spark, sf_dir, "documents"))
 
@@ -100,6 +107,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r"""
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
+    "op3_toxicity": (op3_toxicity, None),
     "op4_token_blocks": (op4_token_blocks, None),
     "op5_decontaminate": (op5_decontaminate, None),
     "op8_language": (op8_language, None),
