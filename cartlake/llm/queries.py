@@ -10,6 +10,7 @@ from . import decontaminate as dc
 from . import exact_dedup as xd
 from . import huffman as hf
 from . import language as lg
+from . import lm_score as lm
 from . import mixing as mx
 from . import quality as ql
 from . import toxicity as tx
@@ -84,6 +85,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.fit(docs.filter(F.col("doc_id").isNotNull() & ~in_fold(7, 2)))
+    return lm.score(docs, model).withColumn("held_out", in_fold(7, 2))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lg.fit(docs, ~in_fold(3, 1))
@@ -110,6 +117,7 @@ QUERIES = {
     "op3_toxicity": (op3_toxicity, None),
     "op4_token_blocks": (op4_token_blocks, None),
     "op5_decontaminate": (op5_decontaminate, None),
+    "op6_lm_score": (op6_lm_score, None),
     "op8_language": (op8_language, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
