@@ -12,6 +12,7 @@ from . import huffman as hf
 from . import language as lg
 from . import lm_score as lm
 from . import mixing as mx
+from . import ngram_join as nj
 from . import quality as ql
 from . import toxicity as tx
 from .common import in_fold, table
@@ -29,6 +30,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nj.ngram_join(table(spark, sf_dir, "documents"))
+
+
 # sources fill up in order of 2 * size / weight; the level after which nobody is full gives the targets
 MIX_TARGETS_SQL = """
 sized AS (SELECT {cols} doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -120,4 +125,5 @@ QUERIES = {
     "op6_lm_score": (op6_lm_score, None),
     "op8_language": (op8_language, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
+    "op10_ngram_join": (op10_ngram_join, None),
 }
