@@ -14,6 +14,7 @@ from . import lm_score as lm
 from . import mixing as mx
 from . import ngram_join as nj
 from . import quality as ql
+from . import suffix_dedup as sd
 from . import toxicity as tx
 from .common import in_fold, table
 
@@ -96,6 +97,13 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).withColumn("held_out", in_fold(7, 2))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sd.suffix_dedup(table(spark, sf_dir, "documents"))
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return d.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                    "kept_sha256")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lg.fit(docs, ~in_fold(3, 1))
@@ -123,6 +131,7 @@ QUERIES = {
     "op4_token_blocks": (op4_token_blocks, None),
     "op5_decontaminate": (op5_decontaminate, None),
     "op6_lm_score": (op6_lm_score, None),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_language": (op8_language, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_ngram_join": (op10_ngram_join, None),
