@@ -16,8 +16,8 @@ boundary row (rows with one id move together).
 Defined cases: null text = size 0; null source is a source of its own, last;
 null id hashes as the empty string; a source without words has target 0;
 with no words at all every target is 0; rows repeated or tied in hash are
-taken together; an empty table gives an empty result; other columns pass
-through ``carry`` only."""
+taken together; an empty table gives an empty result; extra columns are
+ignored by ``mix`` and kept by ``mixed_rows``."""
 
 from __future__ import annotations
 
@@ -31,8 +31,8 @@ from .common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_DIGITS = 15          # hex digits of md5: 60 bits
-LEVEL_BITS = 15
-LEVELS = 4
+LEVEL_BITS = 10
+LEVELS = 6
 
 
 def id_hash(c: Column) -> Column:
@@ -63,7 +63,8 @@ def source_targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
     by = (by.withColumn("full", F.coalesce(F.sum("most").over(fill), F.lit(0.0)))
           .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fill), F.lit(0.0)))
           .withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.col("full")) / F.col("open"))
-          .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level")))
+          # the first source that this level does not fill ends the filling; later ones have lower levels
+          .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level")))
                       .over(every)))
     target = F.when(F.col("level").isNull(), F.col("most")).otherwise(
         F.least("most", F.col("level") * F.col("weight")))
@@ -91,24 +92,50 @@ def thresholds(sized: DataFrame, need: DataFrame) -> DataFrame:
     return edge.select("rank", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, carry: list[str] | None = None) -> DataFrame:
-    """Every row with its size, its source's size and target, and ``times``
-    (0, 1 or 2: how often the mix takes it)."""
-    carry = carry or []
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                      word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash"),
-                      *([F.struct(*carry).alias("carried")] if carry else []))
-    sized = saved(sized, "mix-sizes")
+def plan(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per source: rank, source_size, target, whole (taken once
+    whole), threshold (rows up to this hash are taken once more; may be
+    null). sized: source, size, hash."""
     targets = saved(source_targets(sized, weights, share, cap), "mix-targets")
-    # null-safe equi-join; Spark broadcasts the per-source table when its size allows
-    t = targets.withColumnRenamed("source", "_s")
-    sized = sized.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     whole = (F.col("target") >= F.col("source_size")).cast("int")
     need = targets.select("rank", (F.col("target") - whole * F.col("source_size")).alias("need")).filter("need > 0")
-    cut = saved(thresholds(sized.select("rank", "hash", "size"), need), "mix-thresholds")
-    extra = F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
-    out = (sized.join(cut, "rank", "left").withColumn("times", whole + extra)
-           .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-                   "times", *([f"carried.{c}" for c in carry] if carry else [])))
-    return out
+    cut = thresholds(with_source(sized, targets).select("rank", "hash", "size"), need)
+    return saved(targets.withColumn("whole", whole).join(cut, "rank", "left"), "mix-plan")
+
+
+def with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """Null-safe equi-join on source; Spark broadcasts the per-source table
+    when its size allows."""
+    t = per_source.withColumnRenamed("source", "_source")
+    return rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def times() -> Column:
+    """How often the mix takes a row, from the plan's columns and its hash."""
+    return F.col("whole") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)
+
+
+def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    return saved(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                           word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")),
+                 "mix-sizes")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
+    """Every row's id, source, size, source_size, target and ``times`` (0, 1
+    or 2: how often the mix takes it)."""
+    sized = sizes(df, id_col, text_col, source_col)
+    return with_source(sized, plan(sized, **rules)).select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+        times().alias("times"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               **rules) -> DataFrame:
+    """The mix itself: every row of ``df`` as often as it is taken. The plan
+    meets the rows by source and hash, so texts are neither copied nor shuffled."""
+    found = plan(sizes(df, id_col, text_col, source_col), **rules)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(source_col).alias("source"),
+                     id_hash(F.col(id_col)).alias("hash"))
+    taken = with_source(rows, found).select("row", F.explode(F.array_repeat(F.lit(0), times().cast("int"))))
+    return taken.select(*[F.col("row")[c].alias(c) for c in df.columns])

@@ -48,7 +48,7 @@ filled AS (SELECT *, coalesce(sum(most) OVER w, 0.0) AS full_words,
                   sum(source_size) OVER () AS words
            FROM weighed WINDOW w AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (1.5::DOUBLE * words - full_words) / open_weight AS own FROM filled),
-level AS (SELECT min(own) FILTER (own * weight <= most) AS level FROM levels),
+level AS (SELECT max(own) FILTER (own * weight <= most) AS level FROM levels),
 targets AS (SELECT source, rank, source_size::BIGINT AS source_size,
                    CASE WHEN level IS NULL THEN most ELSE least(most, level * weight) END AS target FROM levels, level),
 rows_of AS (SELECT s.*, t.rank, t.source_size, t.target, CASE WHEN t.target >= t.source_size THEN 1 ELSE 0 END AS whole
