@@ -43,6 +43,7 @@ GRAM = 32
 CHUNK = 1 << 21            # bytes hashed at once
 PIECE = 1 << 20            # a longer text is cut into overlapping parts of this size
 PORTION = 1 << 21          # bytes of pieces sorted together, whole grams
+CROWDED = 1 << 18          # grams whose runs may be split (the table that goes to all tasks)
 FIRST = -(1 << 63)         # order of a null id
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -170,7 +171,7 @@ REPEATED = "row_no long, starts binary, windows binary, grams binary"
 
 def repeated_runs(crowd: int):
     """A partition's buckets -> the runs of grams met more than once, by row;
-    crowded grams under row -1."""
+    each crowded gram under row -1 with its number of runs as the start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[], [], [], [], []]
         for batch in batches:
@@ -188,8 +189,11 @@ def repeated_runs(crowd: int):
         keep = order[(total[group] > 1) & (row[order] >= 0)]
         hot = gram[order][new][total > crowd]
         if len(hot):
-            yield by_row(np.full(len(hot), -1), starts=np.zeros(len(hot), "<u4"), windows=np.zeros(len(hot), "<u1"),
-                         grams=hot)
+            yield pa.RecordBatch.from_pydict({
+                "row_no": pa.array(np.full(len(hot), -1)),
+                "starts": pa.array([int(n).to_bytes(8, "big") for n in total[total > crowd]], pa.binary()),
+                "windows": pa.array([b""] * len(hot), pa.binary()),
+                "grams": pa.array([g.tobytes() for g in hot], pa.binary())})
         for at in range(0, len(keep), 1 << 18):
             i = np.sort(keep[at:at + (1 << 18)])
             yield by_row(row[i], starts=start[i], windows=n[i], grams=gram[i])
@@ -468,8 +472,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.col(text_col).alias("text"))
     met = saved(rows.select("row_no", "text").mapInArrow(send_runs(length, parts), RUNS).repartition(parts, "bucket")
                 .mapInArrow(repeated_runs(crowd), REPEATED), "suffix-runs")
-    # grams with over ``crowd`` runs: at most (bytes of the corpus) / (crowd * 32)
-    crowded = met.filter("row_no < 0").select("grams").toPandas()["grams"]
+    # the most crowded grams; one beyond the table's bound merely stays unsplit
+    crowded = (met.filter("row_no < 0").orderBy(F.desc("starts"), "grams").limit(CROWDED).select("grams")
+               .toPandas()["grams"])
     crowded = np.frombuffer(b"".join(crowded), "<u8")
     wanted = (met.filter("row_no >= 0").groupBy("row_no")
               .agg(*[F.collect_list(c).alias(c) for c in ("starts", "windows", "grams")]))
