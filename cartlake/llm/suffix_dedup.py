@@ -44,6 +44,7 @@ CHUNK = 1 << 21            # bytes hashed at once
 PIECE = 1 << 20            # a longer text is cut into overlapping parts of this size
 PORTION = 1 << 21          # bytes of pieces sorted together, whole grams
 CROWDED = 1 << 18          # grams whose runs may be split (the table that goes to all tasks)
+BYTE_EDGES = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
 FIRST = -(1 << 63)         # order of a null id
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -109,10 +110,13 @@ RUNS = "bucket int, grams binary, counts binary, rows binary, starts binary, win
 
 
 def send_runs(length: int, buckets: int):
-    """(row_no, text) -> per bucket packed runs. A gram met twice in a chunk is
+    """(row_no, packed text) -> per bucket packed runs. A gram met twice in a chunk is
     sent as a count (its row is -1) beside its runs, which then need no answer
     but the count's: they travel marked by count 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         held, size = [], 0
 
         def pack():
@@ -142,7 +146,7 @@ def send_runs(length: int, buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                doc, start, n, gram = runs(texts(part.column(1)), length)
+                doc, start, n, gram = runs([unpack.decompress(t) for t in part.column(1).to_pylist()], length)
                 if len(doc):
                     held.append((part.column(0).to_numpy()[doc], start, n, gram))
                     size += len(doc)
@@ -303,8 +307,7 @@ def suffix_order(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
             common[0] = 0
         where = np.flatnonzero(parted)
         diff = word[where] ^ word[where - 1]
-        common[tied[where]] = 8 * w + (7 - np.floor(np.log2(np.maximum(diff, 1).astype(np.float64) * (1 - 1e-15)))
-                                       .astype(np.int64) // 8)
+        common[tied[where]] = 8 * w + 7 - np.searchsorted(BYTE_EDGES, diff, "right")
         start = np.flatnonzero(~same_group | parted)
         size = np.diff(np.concatenate((start, [len(tied)])))
         group = np.repeat(tied[start], size)
@@ -416,7 +419,7 @@ def find_repeats(length: int):
 
 
 def squeeze_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_no, id, text) with the text compressed for the shuffle."""
+    """(row_no, id, text) with the text compressed, as it is kept and shuffled."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -470,15 +473,16 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = shuffle_parts(spark)
     rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("id"),
                      F.col(text_col).alias("text"))
-    met = saved(rows.select("row_no", "text").mapInArrow(send_runs(length, parts), RUNS).repartition(parts, "bucket")
-                .mapInArrow(repeated_runs(crowd), REPEATED), "suffix-runs")
+    # written once: the row numbers must be the same in all three uses
+    packed = saved(rows.mapInArrow(squeeze_texts, "row_no long, id long, packed binary"), "suffix-texts")
+    met = saved(packed.select("row_no", "packed").mapInArrow(send_runs(length, parts), RUNS)
+                .repartition(parts, "bucket").mapInArrow(repeated_runs(crowd), REPEATED), "suffix-runs")
     # the most crowded grams; one beyond the table's bound merely stays unsplit
     crowded = (met.filter("row_no < 0").orderBy(F.desc("starts"), "grams").limit(CROWDED).select("grams")
                .toPandas()["grams"])
     crowded = np.frombuffer(b"".join(crowded), "<u8")
     wanted = (met.filter("row_no >= 0").groupBy("row_no")
               .agg(*[F.collect_list(c).alias(c) for c in ("starts", "windows", "grams")]))
-    packed = rows.mapInArrow(squeeze_texts, "row_no long, id long, packed binary")
     removed = saved(packed.join(wanted, "row_no").mapInArrow(send_pieces(length, parts, crowded), PIECES)
                     .repartition(parts, "bucket").mapInArrow(find_repeats(length), REMOVED), "suffix-removed")
     spans = removed.groupBy("row_no").agg(*[F.collect_list(c).alias(c) for c in ("starts", "windows")])
