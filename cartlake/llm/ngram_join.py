@@ -10,7 +10,7 @@ sets reach the threshold ``t``, their prefixes of
 the m of the smallest estimated cost (index entries plus candidates to
 verify), and a pair is verified only if it shares the smaller of its two m.
 
-Links are wanted up to connectivity: star rounds first verify, per node, the
+Links are wanted up to connectivity: ``stars`` (at least 1) star rounds first verify, per node, the
 pair with the leading node of its index entries; after connecting what they
 link, only pairs of nodes in different components remain, all of which are
 enumerated (index join between components, minority side first), counted,
@@ -363,17 +363,15 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                     .agg(F.max("size").alias("size"), F.max("ask").alias("ask")), "ngram-shared")
     wanted = entries.select("node", "digest").distinct()
     sets = saved(candidate_sets(df, wanted, k, id_col, text_col), "ngram-sets")
-    checked, links = None, None
-    for _ in range(stars):
-        entries = with_components(entries, links)
-        found = verify(star_pairs(entries, percent), sets, percent)
-        checked = found if checked is None else checked.unionByName(found)
-        links = checked.filter("linked")
-    entries = with_components(entries, links)
-    rest = cross_pairs(entries, percent).join(
-        checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(verify(rest, sets, percent).filter("linked"))
-    found = components(links)
+    entries = with_components(entries, None)
+    checked = verify(star_pairs(entries, percent), sets, percent)
+    for _ in range(stars - 1):
+        entries = with_components(entries, checked.filter("linked"))
+        checked = checked.unionByName(verify(star_pairs(entries, percent), sets, percent))
+    entries = with_components(entries, checked.filter("linked"))
+    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = verify(cross_pairs(entries, percent).join(done, ["a", "b"], "left_anti"), sets, percent)
+    found = components(checked.unionByName(rest).filter("linked"))
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = docs.join(named, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
