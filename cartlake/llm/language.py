@@ -46,32 +46,33 @@ def letter_table() -> np.ndarray:
     return out
 
 
-def grams(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature bucket, row) of every letter n-gram of the texts, rows ascending."""
-    size = np.array([len(t) + 2 for t in texts], np.int64)
-    flat = np.frombuffer(("  ".join(texts) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+def grams(pieces: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature bucket, piece) of the n-grams around every inner character of
+    the pieces; a piece's first and last characters are context."""
+    flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
     c = letters[flat].astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), size)
+    size = np.array([len(p) for p in pieces], np.int64)
+    inner = np.ones(len(c), bool)
+    inner[np.cumsum(size) - 1] = False
+    inner[np.cumsum(size) - size] = False
+    row = np.repeat(np.arange(len(pieces)), size)[1:-1]
     one, two, three = c[:-2], c[1:-1], c[2:]
-    row = row[:-2]
     mix = lambda *xs: ((sum(x * np.uint64(k) for x, k in zip(xs, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)))
                         * np.uint64(0x27D4EB2F165667C5)) >> np.uint64(40)) % np.uint64(FEATURES)
-    uni = one > 0
-    tri = (two > 0) & ((one > 0) | (three > 0))        # 0 marks a word's edge
-    pos = np.concatenate([np.flatnonzero(uni), np.flatnonzero(tri)])
-    bucket = np.concatenate([mix(one[uni]), mix(one[tri], two[tri], three[tri])])
-    order = np.argsort(pos, kind="stable")
-    return bucket[order].astype(np.int64), row[pos[order]]
+    uni = np.flatnonzero(inner[1:-1] & (two > 0))
+    tri = uni[(one[uni] > 0) | (three[uni] > 0)]            # 0 marks a word's edge
+    bucket = np.concatenate([mix(two[uni]), mix(one[tri], two[tri], three[tri])])
+    return bucket.astype(np.int64), np.concatenate([row[uni], row[tri]])
 
 
 def portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Row numbers and texts in portions of about CHUNK letters; a longer text
-    comes in overlapping pieces, so that no n-gram is lost."""
+    """Row numbers and pieces in portions of about CHUNK characters; every
+    character is the inner one of exactly one piece."""
     rows, part, size = [], [], 0
     for k, t in enumerate(texts):
         for at in range(0, max(len(t), 1), CHUNK):
             rows.append(k)
-            part.append(t[max(at - 2, 0):at + CHUNK])
+            part.append((t[at - 1] if at else " ") + t[at:at + CHUNK] + (t[at + CHUNK:at + CHUNK + 1] or " "))
             size += len(part[-1])
             if size >= CHUNK:
                 yield rows, part
