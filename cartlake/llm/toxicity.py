@@ -11,9 +11,9 @@ Scoring: document frequencies of restored words and their leading 4 to 6
 letters in toxic and clean training texts give log odds (the longest feature
 with enough support speaks for a word); a small logistic model on the
 strongest, second and third word, the number of telling words and the text's
-length turns them into a probability. Word counts come from at most about
-``per_class`` labelled rows per class (by a hash of the id; two thirds for
-the word evidence, one third for the logistic model); the character model
+length turns them into a probability. Word counts come from at most
+``per_class`` labelled ids per class (by a hash of the id; two thirds for the
+word evidence, one third for the logistic model); the character model
 counts all learnable texts; every whole text is scored.
 
 Defined cases: null, empty and letterless texts have no evidence and get the
@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,7 +220,7 @@ class Restorer:
 def restore(df: DataFrame, letters: Letters, text_col: str = "text", out: str = "restored") -> DataFrame:
     """``df`` with the restored text (null stays null)."""
     @F.pandas_udf("string")
-    def restored(batches: Iterator) -> Iterator:
+    def restored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         r = Restorer(letters)
         for texts in batches:
             yield texts.map(lambda t: None if t is None else r.text(t))
@@ -325,10 +326,12 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic
     n = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}    # two rows
     if len(n) < 2:
         return Model(letters, {}, None, float(next(iter(n), 0)))
-    share = {k: int((1 << 30) * min(1.0, per_class / n[k])) for k in n}
-    ids = ids.filter(F.col("draw") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
+    # at most per_class ids of each class: bounded, so they are broadcast and no text is shuffled
+    drawn = [ids.filter(F.col("label") == k).dropDuplicates(["id"]).orderBy("draw", "id").limit(per_class)
+             for k in (0, 1)]
+    drawn = saved(drawn[0].unionByName(drawn[1]), "toxic-drawn")
     sample = saved(known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                   .join(ids.dropDuplicates(["id"]), "id").select("label", "draw", "text"), "toxic-sample")
+                   .join(F.broadcast(drawn), "id").select("label", "draw", "text"), "toxic-sample")
     words, rest = sample.filter("draw % 3 > 0"), sample.filter("draw % 3 = 0")
     counts = {r.label: r.n for r in words.groupBy("label").agg(F.count("*").alias("n")).collect()}
     seen = (words.select("label", "text").mapInArrow(count_features(letters), "feature string, toxic long, clean long")
