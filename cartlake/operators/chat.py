@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exprs import ustrip
 from ..plans.numbering import rank_within, time_blocks
 from ..sources.chatdata import truncate_words
 from .upsert import alive, first_write, last_by_op, last_write
 
 VISIBILITIES = ("public", "private")
-CITATION_SUFFIX = "::databricks_citation"
+CITATION_SUFFIX = "::citation"      # marks a link as a citation; callers may pass their own
 FUNCTION_CALL_TAG = "<has_function_call>"
 # Fixed patterns of the credential-error message (case-insensitive).
 CRED_ERROR = r"(?i)Credential for user identity\([^)]*\) is not found for the connection"
@@ -27,8 +28,10 @@ CRED_CONNECTION = r"(?i)for the connection\s+'([^']+)'"
 # ---------------------------------------------------------------- chats log
 
 def insert_chat(log: DataFrame, chats: DataFrame, now: Column) -> DataFrame:
-    """Append insert operations; createdAt defaults to ``now``."""
-    nxt = chats.select(F.lit(1).alias("seq"), F.lit("insert").alias("op"), "id", "user_id",
+    """Append insert operations numbered by the caller (``seq``: where in the
+    log the insert stands, so that an insert after a delete revives the
+    chat); createdAt defaults to ``now``."""
+    nxt = chats.select("seq", F.lit("insert").alias("op"), "id", "user_id",
                        F.lit(None).cast("string").alias("title"), "visibility",
                        F.lit(None).cast("string").alias("last_context"),
                        F.coalesce(F.col("created_at"), now).alias("created_at"))
@@ -82,14 +85,15 @@ def delete_chat(chats: DataFrame, messages: DataFrame, votes: DataFrame, ids: Da
 
 def delete_trailing(messages: DataFrame, votes: DataFrame, anchors: DataFrame) -> DataFrame:
     """Delete messages with createdAt >= the chat's anchor timestamp and
-    their votes; returns surviving messages and votes."""
+    their votes; returns surviving messages and votes. Messages are read
+    once: a message survives when its chat has no anchor or a later one, a
+    vote when its message survives."""
     a = anchors.select("chat_id", F.col("ts").alias("anchor_ts"))
-    doomed = (messages.join(a, "chat_id").filter(F.col("created_at") >= F.col("anchor_ts"))
-              .select(F.col("id").alias("message_id")))
-    v = votes.join(doomed, "message_id", "left_anti")
-    m = messages.join(doomed.withColumnRenamed("message_id", "id"), "id", "left_anti")
-    return (m.select(F.lit("message").alias("kind"), F.col("id").alias("row_id"))
-            .unionByName(v.select(F.lit("vote").alias("kind"), F.col("message_id").alias("row_id"))))
+    v = votes.groupBy(F.col("message_id").alias("id")).agg(F.count(F.lit(1)).alias("n_votes"))
+    kept = (messages.select("id", "chat_id", "created_at").join(a, "chat_id", "left")
+            .filter(F.col("anchor_ts").isNull() | (F.col("created_at") < F.col("anchor_ts"))).join(v, "id", "left"))
+    kinds = F.concat(F.array(F.lit("message")), F.array_repeat(F.lit("vote"), F.coalesce("n_votes", F.lit(0)).cast("int")))
+    return kept.select(F.explode(kinds).alias("kind"), F.col("id").alias("row_id"))
 
 
 # ---------------------------------------------------------------- history paging
@@ -151,7 +155,8 @@ def upsert_messages(log: DataFrame) -> DataFrame:
     replaced (a later null trace id clears it); role, chatId and createdAt
     keep the first write."""
     return log.groupBy("id").agg(first_write("chat_id"), first_write("role"), first_write("created_at"),
-                                 last_write("text"), last_write("trace_id"))
+                                 last_write("text"), last_write("parts"), last_write("attachments"),
+                                 last_write("trace_id"))
 
 
 def messages_by_chat(messages: DataFrame, chat_id) -> DataFrame:
@@ -166,27 +171,32 @@ def traced_messages(messages: DataFrame) -> DataFrame:
     return messages.filter(F.col("trace_id").isNotNull()).select("chat_id", F.col("id").alias("message_id"), "trace_id")
 
 
-def context_merge(messages: DataFrame) -> DataFrame:
-    """Model context per chat: prior messages then the new user message; a
-    continuation (last message not from the user) sends the prior only."""
-    last = messages.groupBy("chat_id").agg(F.max_by("role", "created_at").alias("last_role"))
-    ranked = rank_within(messages.select("chat_id", "id", "role", "created_at"), ["chat_id"],
-                         [F.col("created_at"), F.col("id")], time_blocks(F.col("created_at")), out="position")
-    return ranked.join(last, "chat_id").select(
-        "chat_id", F.col("id").alias("message_id"), "role", "position",
-        F.when(F.col("last_role") == "user", "new_message").otherwise("continuation").alias("mode"))
+def context_merge(prior: DataFrame, new: DataFrame) -> DataFrame:
+    """Model context per chat: the prior messages in order, then the new user
+    message if the request carries one; a request without one is a
+    continuation and sends the prior messages only."""
+    cols = ["chat_id", "id", "role", "created_at", "parts"]
+    asked = new.select("chat_id").distinct().withColumn("mode", F.lit("new_message"))
+    rows = prior.select(*cols, F.lit(0).alias("turn")).unionByName(new.select(*cols, F.lit(1).alias("turn")))
+    ranked = rank_within(rows, ["chat_id"], [F.col("turn"), F.col("created_at"), F.col("id")],
+                         [F.col("turn"), *time_blocks(F.col("created_at"))], out="position")
+    return ranked.join(asked, "chat_id", "left").select(
+        "chat_id", F.col("id").alias("message_id"), "role", "position", "parts",
+        F.coalesce("mode", F.lit("continuation")).alias("mode"))
 
 
 def continuation_rows(prior: DataFrame, now: Column) -> DataFrame:
     """Rows written for a continuation: assistant messages of the prior
-    context, createdAt kept (else now), attachments empty, traceId null."""
+    context with their parts, createdAt kept (else now), attachments empty,
+    traceId null."""
     return prior.filter(F.col("role") == "assistant").select(
-        "id", "chat_id", "role", F.coalesce(F.col("created_at"), now).alias("created_at"),
-        F.lit(0).alias("n_attachments"), F.lit(None).cast("string").alias("trace_id"))
+        "id", "chat_id", "role", "parts", F.array().cast("array<string>").alias("attachments"),
+        F.coalesce(F.col("created_at"), now).alias("created_at"), F.lit(None).cast("string").alias("trace_id"))
 
 
 def ui_messages(messages: DataFrame) -> DataFrame:
-    return messages.select("id", "role", F.size("parts").alias("n_parts"),
+    """Messages as the client reads them: id, role, parts, ISO time."""
+    return messages.select("id", "role", "parts",
                            F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
 
 
@@ -202,7 +212,7 @@ def message_text(messages: DataFrame) -> DataFrame:
 
 def copy_text(messages: DataFrame) -> DataFrame:
     t = F.array_join(_texts(F.col("parts")), "\n")
-    return messages.select(F.col("id").alias("message_id"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("text"))
+    return messages.select(F.col("id").alias("message_id"), ustrip(t).alias("text"))
 
 
 def title_input(messages: DataFrame, max_len: int = 256) -> DataFrame:
@@ -243,14 +253,15 @@ def _is_cred(text: Column) -> Column:
 
 
 def part_routing(messages: DataFrame) -> DataFrame:
+    """A message's parts split for display: files, errors shown apart, the
+    rest (credential errors stay inline), and whether only errors remain."""
     p = F.col("parts")
     errors = F.filter(p, lambda x: (x["type"] == "data-error") & ~_is_cred(x["text"]))
-    non_error = F.filter(p, lambda x: x["type"] != "data-error")
+    others = F.filter(p, lambda x: x["type"] != "data-error")
     rest = F.filter(p, lambda x: (x["type"] != "data-error") | _is_cred(x["text"]))
     return messages.select(
-        F.col("id").alias("message_id"), F.size(F.filter(p, lambda x: x["type"] == "file")).alias("n_files"),
-        F.size(errors).alias("n_errors"), F.size(rest).alias("n_rest"),
-        ((F.size(errors) > 0) & (F.size(non_error) == 0)).alias("only_errors"))
+        F.col("id").alias("message_id"), F.filter(p, lambda x: x["type"] == "file").alias("files"),
+        errors.alias("errors"), rest.alias("rest"), ((F.size(errors) > 0) & (F.size(others) == 0)).alias("only_errors"))
 
 
 def feedback_supported(messages: DataFrame) -> DataFrame:
@@ -292,20 +303,20 @@ def part_segments(messages: DataFrame) -> DataFrame:
                     F.col("z.part.type").alias("type")))
 
 
-def citation_markdown(p: Column) -> Column:
+def citation_markdown(p: Column, suffix: str = CITATION_SUFFIX) -> Column:
     label = F.when(F.coalesce(p["title"], F.lit("")) != "", p["title"]).otherwise(p["url"])
-    return F.concat(F.lit("["), label, F.lit("]("), p["url"], F.lit(CITATION_SUFFIX + ")"))
+    return F.concat(F.lit("["), label, F.lit("]("), p["url"], F.lit(suffix + ")"))
 
 
-def _render(acc: Column, p: Column) -> Column:
-    md = citation_markdown(p)
+def _render(acc: Column, p: Column, suffix: str) -> Column:
+    md = citation_markdown(p, suffix)
     src = (F.when(acc.endswith("|"), F.concat(acc.substr(F.lit(1), F.length(acc) - 1), F.lit(" "), md, F.lit("|")))
            .otherwise(F.concat(acc, F.lit(" "), md)))
     return F.when(p["type"] == "text", F.concat(acc, F.coalesce(p["text"], F.lit("")))) \
         .when(p["type"] == "source-url", src).otherwise(acc)
 
 
-def join_citations(messages: DataFrame) -> DataFrame:
+def join_citations(messages: DataFrame, suffix: str = CITATION_SUFFIX) -> DataFrame:
     """Markdown of every segment: text appended, each citation appended after
     a space, or put inside a trailing table cell ``|``. One fold per message
     segments and renders at once."""
@@ -320,7 +331,7 @@ def join_citations(messages: DataFrame) -> DataFrame:
         base = F.when(joins, acc["cur"]).otherwise(F.lit(""))
         return F.struct(F.when(joins, acc["seg"]).otherwise(acc["seg"] + 1).alias("seg"), kind.alias("prev"),
                         F.when(joins, acc["first"]).otherwise(kind).alias("first"), outs.alias("outs"),
-                        _render(base, p).alias("cur"))
+                        _render(base, p, suffix).alias("cur"))
 
     done = F.aggregate("parts", init, step)
     segs = F.when(done["seg"] >= 0, F.concat(done["outs"], F.array(done["cur"]))).otherwise(F.array().cast("array<string>"))
@@ -328,8 +339,8 @@ def join_citations(messages: DataFrame) -> DataFrame:
             .withColumn("segment", F.col("segment").cast("long")))
 
 
-def decode_citation(c: Column) -> Column:
-    return F.replace(c, F.lit(CITATION_SUFFIX), F.lit(""))
+def decode_citation(c: Column, suffix: str = CITATION_SUFFIX) -> Column:
+    return F.replace(c, F.lit(suffix), F.lit(""))
 
 
 # ---------------------------------------------------------------- votes / feedback / acl
@@ -353,13 +364,14 @@ def acl(chats: DataFrame, requests: DataFrame) -> DataFrame:
               .when(F.col("visibility") == "private", "forbidden").otherwise("allowed"))
     return j.select("chat_id", "user_id", reason.alias("reason"),
                     reason.isin("public", "owner", "allowed").alias("can_read"),
-                    (F.col("owner_id") == F.col("user_id")).alias("can_write"))
+                    F.coalesce(F.col("owner_id") == F.col("user_id"), F.lit(False)).alias("can_write"))
 
 
 def feedback_map(votes: DataFrame, chats: DataFrame, requests: DataFrame) -> DataFrame:
-    """messageId -> thumbs_up/thumbs_down for each (chat, viewer) request the
-    ACL allows; nothing for denied requests."""
-    ok = acl(chats, requests).filter("can_read").select("chat_id", "user_id")
+    """messageId -> thumbs_up/thumbs_down for each (chat, viewer) request;
+    nothing where the ACL forbids reading. Votes of a chat that is not found
+    (any more) are served."""
+    ok = acl(chats, requests).filter(F.col("can_read") | (F.col("reason") == "not_found")).select("chat_id", "user_id")
     return ok.join(votes, "chat_id").select(
         "chat_id", "user_id", "message_id",
         F.when(F.col("is_up"), "thumbs_up").otherwise("thumbs_down").alias("feedback"))

@@ -8,6 +8,7 @@ not joined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,12 @@ MIN_RESPONSE_LEN = 10
 
 
 def _hits(text: Column, phrases: list[str]) -> Column:
-    arr = F.array(*[F.lit(p.lower()) for p in phrases])
-    return F.aggregate(arr, F.lit(0), lambda acc, p: acc + F.when(F.instr(text, p) > 0, 1).otherwise(0))
+    """How many phrases occur: a sum of compiled substring tests."""
+    return sum((text.contains(p.lower()).cast("int") for p in phrases), F.lit(0))
+
+
+def _any(text: Column, phrases: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (text.contains(p.lower()) for p in phrases))
 
 
 def policy_specificity(answer: Column) -> Column:
@@ -62,10 +67,10 @@ def tone(answer: Column) -> Column:
     t = F.lower(answer)
     e, a, w, b = TONE_WEIGHTS
     s = F.lit(0.0)
-    s = F.when(_hits(t, TONE_EMPATHY) > 0, s + e).otherwise(s)
-    s = F.when(_hits(t, TONE_ACTION) > 0, s + a).otherwise(s)
-    s = F.when(_hits(t, TONE_WARM) > 0, s + w).otherwise(s)
-    s = F.when(_hits(t, TONE_BLAME) > 0, F.greatest(s - b, F.lit(0.0))).otherwise(s)
+    s = F.when(_any(t, TONE_EMPATHY), s + e).otherwise(s)
+    s = F.when(_any(t, TONE_ACTION), s + a).otherwise(s)
+    s = F.when(_any(t, TONE_WARM), s + w).otherwise(s)
+    s = F.when(_any(t, TONE_BLAME), F.greatest(s - b, F.lit(0.0))).otherwise(s)
     return F.when(answer.isNull(), F.lit(0.0)).otherwise(money(s, 2))
 
 
@@ -84,19 +89,22 @@ def final_answer(messages: DataFrame) -> DataFrame:
     return g.select("chat_id", F.coalesce("final", "last").alias("answer"))
 
 
-def tool_routing(rows: DataFrame, spans: DataFrame) -> DataFrame:
+# kinds of tools by substrings of their lower-cased names
+TOOL_KINDS = {"data": ("genie",), "search": ("vector", "policy", "search"), "memory": ("memory",)}
+
+
+def tool_routing(rows: DataFrame, spans: DataFrame, kinds: dict[str, tuple[str, ...]] = TOOL_KINDS) -> DataFrame:
     """unknown (no trace) / no_tools / yes / no, by substrings of the
-    lower-cased TOOL span names (genie; vector, policy or search; memory)."""
-    tools = spans.filter(F.col("span_type") == "TOOL").select("trace_id", F.lower("name").alias("n"), "name")
-    per = tools.groupBy("trace_id").agg(
-        F.bool_or(F.col("n").contains("genie")).alias("genie"),
-        F.bool_or(F.col("n").contains("vector") | F.col("n").contains("policy") | F.col("n").contains("search")).alias("vector"),
-        F.bool_or(F.col("n").contains("memory")).alias("memory"),
-        F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("tools"))
-    has_trace = spans.select("trace_id").distinct().withColumn("traced", F.lit(True))
-    j = rows.join(has_trace, "trace_id", "left").join(per, "trace_id", "left")
+    lower-cased TOOL span names. One aggregation of the spans per trace."""
+    tool = F.col("span_type") == "TOOL"
+    known = _any(F.lower("name"), [p for ps in kinds.values() for p in ps])
+    per = spans.groupBy("trace_id").agg(
+        F.lit(True).alias("traced"), F.bool_or(F.when(tool, known)).alias("routed"),
+        F.array_sort(F.collect_set(F.when(tool, F.col("name")))).alias("names"))
+    tools = F.when(F.size("names") > 0, F.array_join("names", ", "))
+    j = rows.join(per, "trace_id", "left").withColumn("tools", tools)
     value = (F.when(F.col("traced").isNull(), "unknown").when(F.col("tools").isNull(), "no_tools")
-             .when(F.col("genie") | F.col("vector") | F.col("memory"), "yes").otherwise("no"))
+             .when(F.col("routed"), "yes").otherwise("no"))
     return j.select("row_id", "trace_id", value.alias("value"), F.col("tools").alias("rationale"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import cosine, money, norm
+from ..functions.vectors import top_matches
 from ..plans.numbering import rank_within, time_blocks
 from .upsert import last_write
 
@@ -73,62 +73,76 @@ def iso_ts(ts: Column) -> Column:
 
 
 def _with_fields(value: Column, thread: Column, stamp: Column) -> Column:
-    body = F.regexp_replace(value, r"\}\s*$", "")
-    return F.concat(body, F.lit(', "thread_id": "'), thread, F.lit('", "timestamp": "'), stamp, F.lit('"}'))
+    """The JSON object with thread_id and timestamp set: parsed, stored keys
+    of these names replaced, written again (values escaped)."""
+    kept = F.map_filter(F.from_json(value, "map<string,variant>"), lambda k, _v: ~k.isin("thread_id", "timestamp"))
+    own = F.create_map(F.lit("thread_id"), thread.cast("variant"), F.lit("timestamp"), stamp.cast("variant"))
+    return F.to_json(F.map_concat(kept, own))
 
 
 def put_task(events: DataFrame) -> DataFrame:
     """Task summaries are appended under key thread + '_' + timestamp, with
-    thread_id and timestamp added to the JSON object."""
+    thread_id and timestamp set in the JSON object; anything but an object is
+    rejected (see ``rejected_saves``)."""
     stamp = iso_ts(F.col("ts"))
-    return events.select(F.lit("task_summaries").alias("ns_kind"), "ns_user",
-                         F.concat(F.col("thread_id"), F.lit("_"), stamp).alias("mem_key"),
-                         _with_fields(F.col("value"), F.col("thread_id"), stamp).alias("value"))
+    return events.filter(put_status(F.col("value")).isNull()).select(
+        F.lit("task_summaries").alias("ns_kind"), "ns_user",
+        F.concat(F.col("thread_id"), F.lit("_"), stamp).alias("mem_key"),
+        _with_fields(F.col("value"), F.col("thread_id"), stamp).alias("value"))
 
 
 def put_conversation(events: DataFrame) -> DataFrame:
-    """Conversation summaries are keyed by thread: the latest save wins."""
+    """Conversation summaries are keyed by thread: the latest accepted save
+    wins; anything but a JSON object is rejected."""
     stamp = iso_ts(F.col("ts"))
-    rows = events.select("ns_user", "thread_id", "ts", _with_fields(F.col("value"), F.col("thread_id"), stamp).alias("value"))
+    rows = events.filter(put_status(F.col("value")).isNull()).select(
+        "ns_user", "thread_id", "ts", _with_fields(F.col("value"), F.col("thread_id"), stamp).alias("value"))
     return rows.groupBy("ns_user", "thread_id").agg(F.max_by("value", "ts").alias("value")).select(
         F.lit("conversation_summaries").alias("ns_kind"), "ns_user", F.col("thread_id").alias("mem_key"), "value")
 
 
+def rejected_saves(events: DataFrame) -> DataFrame:
+    """Task or conversation saves that were not stored, with the reason."""
+    reason = put_status(F.col("value"))
+    return events.filter(reason.isNotNull()).select("ns_user", "thread_id", "ts", reason.alias("reason"))
+
+
 def search(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top-k items by cosine similarity inside the query's namespace: an
-    equi-join on the namespace first (never a cross join), norms computed
-    once per side, then a rank filter (partial WindowGroupLimit)."""
-    s = store.select("ns_kind", "ns_user", "mem_key", "value", "embedding", norm(F.col("embedding")).alias("n_item"))
-    q = queries.select("query_id", "ns_kind", "ns_user", F.col("embedding").alias("q_emb"), norm(F.col("embedding")).alias("n_q"))
-    j = q.join(s, ["ns_kind", "ns_user"])
-    score = money(cosine(F.col("q_emb"), F.col("embedding"), F.col("n_q"), F.col("n_item")), 6)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "mem_key")
-    return (j.select("query_id", "ns_kind", "ns_user", "mem_key", "value", score.alias("score"))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("long")))
-
-
-def render(hits: DataFrame, kind: str) -> DataFrame:
-    """The text a search tool returns, per query (at most k lines each)."""
+    """Top-k items by cosine similarity inside the query's namespace. Queries
+    are scored in bounded blocks against Arrow batches of the store, a matrix
+    product per namespace (functions/vectors.py), so a hot namespace is
+    neither shuffled nor paired row by row."""
+    return top_matches(store, queries, k, id_col="mem_key", within=["ns_kind", "ns_user"], carry=["value"])
+
+
+# fixed texts of the search tools: (found, nothing found)
+RENDERED = {"user_memories": ("relevant memories", "No relevant memories found."),
+            "task_summaries": ("past tasks", "No past tasks found."),
+            "conversation_summaries": ("past conversations", "No past conversations found.")}
+
+
+def render(hits: DataFrame, queries: DataFrame, kind: str) -> DataFrame:
+    """The text a search tool returns for every query (at most k lines each),
+    also for queries without hits."""
     v = F.col("value")
+    head, none = RENDERED[kind]
+    when = F.coalesce(F.get_json_object(v, "$.timestamp"), F.lit("unknown"))
+    summary = F.coalesce(F.get_json_object(v, "$.summary"), F.lit(""))
     if kind == "user_memories":
         line = F.concat(F.lit("- ["), F.col("mem_key").cast("string"), F.lit("]: "), v)
-        head = "relevant memories"
     elif kind == "task_summaries":
-        line = F.concat(F.lit("- ["), F.coalesce(F.get_json_object(v, "$.timestamp"), F.lit("unknown")), F.lit("] **"),
-                        F.coalesce(F.get_json_object(v, "$.title"), F.lit("Untitled")), F.lit("**: "),
-                        F.coalesce(F.get_json_object(v, "$.summary"), F.lit("")))
-        head = "past tasks"
+        line = F.concat(F.lit("- ["), when, F.lit("] **"),
+                        F.coalesce(F.get_json_object(v, "$.title"), F.lit("Untitled")), F.lit("**: "), summary)
     else:
         topics = F.from_json(F.get_json_object(v, "$.topics"), "array<string>")
-        line = F.concat(F.lit("- ["), F.coalesce(F.get_json_object(v, "$.timestamp"), F.lit("unknown")), F.lit("] Topics: "),
+        line = F.concat(F.lit("- ["), when, F.lit("] Topics: "),
                         F.when(F.size(F.coalesce(topics, F.array())) > 0, F.array_join(topics, ", ")).otherwise(F.lit("N/A")),
-                        F.lit(" — "), F.coalesce(F.get_json_object(v, "$.summary"), F.lit("")))
-        head = "past conversations"
-    g = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"),
-                                     F.count(F.lit(1)).alias("n"))
-    return g.select("query_id", F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" {head}:\n"),
-                                         F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+                        F.lit(" — "), summary)
+    g = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    text = F.concat(F.lit("Found "), F.size("l").cast("string"), F.lit(f" {head}:\n"),
+                    F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return queries.select("query_id").join(g, "query_id", "left").select(
+        "query_id", F.when(F.col("l").isNull(), F.lit(none)).otherwise(text).alias("text"))
 
 
 def latest_checkpoint(ckpts: DataFrame) -> DataFrame:

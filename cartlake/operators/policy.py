@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import money
-from ..plans.numbering import offsets, time_blocks
 
 # ---------------------------------------------------------------------------
 # Fixed values from the policy documents.
@@ -71,7 +70,7 @@ def rules(spark: SparkSession, name: str) -> DataFrame:
 
 def points_earned(txns: DataFrame, customers: DataFrame, tier_rules: DataFrame) -> DataFrame:
     """floor(amount / 100) x the customer's tier rate."""
-    r = F.broadcast(tier_rules.select(F.col("tier").alias("membership_tier"), "rate"))
+    r = tier_rules.select(F.col("tier").alias("membership_tier"), "rate")
     return (txns.select("transaction_id", "customer_id", "transaction_date", "total_amount")
             .join(customers.select("customer_id", "membership_tier"), "customer_id").join(r, "membership_tier")
             .select("transaction_id", "customer_id", "transaction_date", "membership_tier",
@@ -89,15 +88,14 @@ def quarterly_tier(txns: DataFrame, tier_rules: DataFrame) -> DataFrame:
     span = spend.groupBy("customer_id").agg(F.min("quarter").alias("q0"), F.max("quarter").alias("q1"))
     spine = span.select("customer_id", F.explode(F.sequence("q0", "q1", F.expr("INTERVAL 3 MONTHS"))).alias("quarter"))
     s = spine.join(spend, ["customer_id", "quarter"], "left").fillna(0.0, ["spend"])
-    r = tier_rules.select("level", "min_quarter_spend")
-    lvl = F.broadcast(r)
-    reached = (s.join(lvl, s.spend >= lvl.min_quarter_spend)
-               .groupBy("customer_id", "quarter").agg(F.max("level").alias("reached"), F.first("spend").alias("spend")))
+    s = s.withColumn("rules", rule_rows(tier_rules, "level", "min_quarter_spend", "tier"))
+    top = F.array_max(F.filter("rules", lambda r: r["min_quarter_spend"] <= F.col("spend")))
+    reached = s.select("customer_id", "quarter", "spend", "rules", top["level"].alias("reached")).filter("reached IS NOT NULL")
     w = Window.partitionBy("customer_id").orderBy("quarter").rowsBetween(-1, 0)
     eff = reached.withColumn("effective", F.max("reached").over(w))
-    names = F.broadcast(tier_rules.select(F.col("level").alias("effective"), F.col("tier")))
-    return eff.join(names, "effective").select("customer_id", "quarter", money(F.col("spend")).alias("spend"),
-                                              "reached", "effective", "tier")
+    named = F.filter("rules", lambda r: r["level"] == F.col("effective"))[0]["tier"]
+    return eff.select("customer_id", "quarter", money(F.col("spend")).alias("spend"), "reached", "effective",
+                      named.alias("tier"))
 
 
 def points_expiry(points: DataFrame, customers: DataFrame, months: int = POINTS_VALIDITY_MONTHS) -> DataFrame:
@@ -105,45 +103,38 @@ def points_expiry(points: DataFrame, customers: DataFrame, months: int = POINTS_
     all points. A gap longer than that starts a new balance (island);
     Platinum members' points do not expire.
 
-    Skew-safe: purchases are cut into (day, hour) blocks per customer. A
-    row's previous purchase is a lag inside its block, or for the block's
-    first row the latest purchase of the previous block (a window over the
-    per-customer block table). Island ids are a blocked prefix sum of the
-    breaks, so no customer's purchases are sorted in one task."""
+    A balance is a session window whose gap ends at the expiry date of each
+    purchase (rows of one task are merged before the shuffle); balances, a
+    few rows per customer, are numbered afterwards."""
     p = points.join(customers.select("customer_id", "membership_tier"), "customer_id")
-    blocks = time_blocks(F.col("transaction_date"))
-    p = p.withColumn("_d", blocks[0]).withColumn("_h", blocks[1])
-    inner = Window.partitionBy("customer_id", "_d", "_h").orderBy("transaction_date", "transaction_id")
-    bt = p.groupBy("customer_id", "_d", "_h").agg(F.max("transaction_date").alias("_bmax"))
-    bt = bt.withColumn("_prev_bmax", F.lag("_bmax").over(Window.partitionBy("customer_id").orderBy("_d", "_h")))
-    p = p.withColumn("_in_prev", F.lag("transaction_date").over(inner)).join(
-        bt.select("customer_id", "_d", "_h", "_prev_bmax"), ["customer_id", "_d", "_h"])
-    prev = F.coalesce(F.col("_in_prev"), F.col("_prev_bmax"))
-    gap = prev.isNotNull() & (F.col("transaction_date") > F.add_months(prev, months).cast("timestamp_ntz")) \
-        & (F.col("membership_tier") != "Platinum")
-    p = p.withColumn("brk", F.when(gap, 1).otherwise(0)).drop("_d", "_h", "_in_prev", "_prev_bmax")
-    p = offsets(p, "", "brk", out="_before", partition=["customer_id"],
-                order=[F.col("transaction_date"), F.col("transaction_id")], block_cols=blocks)
-    p = p.withColumn("island", F.col("_before") + F.col("brk"))
-    g = p.groupBy("customer_id", "island").agg(
+    lasts = F.timestamp_diff("MICROSECOND", F.col("transaction_date"),
+                             F.add_months("transaction_date", months).cast("timestamp_ntz"))
+    gap = F.when(F.col("membership_tier") == "Platinum", "3650000 days").otherwise(
+        F.concat(lasts.cast("string"), F.lit(" microseconds")))
+    g = p.groupBy("customer_id", F.session_window("transaction_date", gap).alias("balance")).agg(
         F.min("transaction_date").alias("first_purchase"), F.max("transaction_date").alias("last_purchase"),
         F.sum("points").alias("points"), F.first("membership_tier").alias("tier"))
+    g = g.withColumn("island", F.row_number().over(Window.partitionBy("customer_id").orderBy("first_purchase")) - 1)
     return g.select("customer_id", F.col("island").cast("long").alias("island"), "first_purchase", "last_purchase",
                     "points", F.when(F.col("tier") == "Platinum", F.lit(None).cast("date"))
                     .otherwise(F.add_months(F.to_date("last_purchase"), months)).alias("expires_on"))
 
 
+def rule_rows(rules_df: DataFrame, *cols: str) -> Column:
+    """A rule table (a handful of rows) as one array column, so that a lookup
+    is an expression on each row: no join, no regrouping."""
+    return rules_df.agg(F.sort_array(F.collect_list(F.struct(*cols)))).scalar()
+
+
 def reward_lookup(balances: DataFrame, rewards: DataFrame) -> DataFrame:
-    """Best reward whose threshold is within the balance (as-of lookup on a
-    6-row rule table: broadcast range join + max_by)."""
-    r = F.broadcast(rewards)
-    j = balances.join(r, balances.points >= r.points_needed, "left")
-    return j.groupBy("customer_id", "points").agg(F.max("points_needed").alias("points_needed"),
-                                                   F.max_by("yen_off", "points_needed").alias("yen_off"))
+    """Best reward whose threshold is within the balance."""
+    best = F.array_max(F.filter("rules", lambda r: r["points_needed"] <= F.col("points")))
+    return balances.withColumn("rules", rule_rows(rewards, "points_needed", "yen_off")).select("customer_id", "points", best["points_needed"].alias("points_needed"),
+                           best["yen_off"].alias("yen_off"))
 
 
 def delivery_fee(txns: DataFrame, customers: DataFrame, fees: DataFrame, express: Column) -> DataFrame:
-    f = F.broadcast(fees.withColumnRenamed("tier", "membership_tier"))
+    f = fees.withColumnRenamed("tier", "membership_tier")
     j = (txns.select("transaction_id", "customer_id", "total_amount", express.alias("express"))
          .join(customers.select("customer_id", "membership_tier"), "customer_id").join(f, "membership_tier"))
     free = F.col("free_from").isNull() | (F.col("total_amount") >= F.col("free_from"))
@@ -156,7 +147,7 @@ def return_eligibility(returns: DataFrame, windows: DataFrame) -> DataFrame:
     """returns(return_id, product_class, purchased_at, returned_at, amount,
     has_receipt) -> within window (elapsed may be negative: not eligible)
     and receipt rule."""
-    j = returns.join(F.broadcast(windows), "product_class")
+    j = returns.join(windows, "product_class")
     hours = F.timestamp_diff("SECOND", F.col("purchased_at"), F.col("returned_at")) / 3600.0  # TIMESTAMP_NTZ, no zone
     in_window = (hours >= 0) & (hours <= F.col("window_hours"))
     receipt_ok = F.col("has_receipt") | (F.col("no_receipt_limit").isNotNull() & (F.col("amount") <= F.col("no_receipt_limit")))
@@ -184,13 +175,15 @@ def no_receipt_limit(returns: DataFrame, cap: float = NO_RECEIPT_CAP, n: int = N
 def price_protection(purchases: DataFrame, sales: DataFrame, days: int = PRICE_PROTECTION_DAYS) -> DataFrame:
     """Refund of the difference when the same product sold cheaper within
     ``days`` after the purchase. The sale side is pre-aggregated to the
-    lowest price per (product, day); each purchase is expanded to its
-    ``days`` + 1 day buckets and equi-joined, so no product-wide pairing."""
-    low = sales.groupBy("product_id", F.to_date("sold_at").alias("day")).agg(F.min("price").alias("low"))
-    p = purchases.select("purchase_id", "product_id", "quantity", "price", F.to_date("purchased_at").alias("d0"))
-    p = p.withColumn("day", F.explode(F.sequence("d0", F.date_add("d0", days))))
-    best = p.join(low, ["product_id", "day"]).groupBy("purchase_id", "product_id", "quantity", "price") \
-        .agg(F.min("low").alias("lowest"))
+    lowest price per (product, day) and that small side is carried back to
+    the ``days`` purchase days before it, so purchases meet it in one
+    equi-join and are neither multiplied nor regrouped."""
+    day = F.to_date("sold_at")
+    low = sales.groupBy("product_id", day.alias("sold")).agg(F.min("price").alias("low"))
+    low = (low.select("product_id", F.explode(F.sequence(F.date_sub("sold", days), F.col("sold"))).alias("day"), "low")
+           .groupBy("product_id", "day").agg(F.min("low").alias("lowest")))
+    best = purchases.select("purchase_id", "product_id", "quantity", "price", F.to_date("purchased_at").alias("day")) \
+        .join(low, ["product_id", "day"])
     diff = F.col("price") - F.col("lowest")
     return best.filter(diff > 0).select("purchase_id", "product_id", "price", "lowest",
                                         money(diff * F.col("quantity")).alias("refund"))
@@ -199,7 +192,7 @@ def price_protection(purchases: DataFrame, sales: DataFrame, days: int = PRICE_P
 def recall_matches(purchases: DataFrame, recalls: DataFrame) -> DataFrame:
     """Customers to contact: bought a recalled product inside the recall's
     purchase window; one contact per (customer, recall)."""
-    r = F.broadcast(recalls)
+    r = recalls
     j = purchases.join(r, (purchases.product_name == r.recalled_name)
                        & (purchases.purchased_at >= r.bought_from) & (purchases.purchased_at < r.bought_until))
     return j.select("recall_id", "customer_id").distinct()
@@ -207,14 +200,13 @@ def recall_matches(purchases: DataFrame, recalls: DataFrame) -> DataFrame:
 
 def refund_routing(refunds: DataFrame, levels: DataFrame) -> DataFrame:
     """Approval level: the lowest level whose bound covers the amount."""
-    lv = F.broadcast(levels)
-    j = refunds.join(lv, lv.max_amount.isNull() | (refunds.amount <= lv.max_amount))
-    return j.groupBy("refund_id", "amount").agg(F.min("level").alias("level"))
+    covering = F.filter("rules", lambda r: r["max_amount"].isNull() | (F.col("amount") <= r["max_amount"]))
+    return refunds.withColumn("rules", rule_rows(levels, "level", "max_amount")).select("refund_id", "amount", F.array_min(covering)["level"].alias("level")).filter("level IS NOT NULL")
 
 
 def sla_breach(tickets: DataFrame, sla: DataFrame) -> DataFrame:
     """Response and resolution deadlines by priority; breach rates."""
-    j = tickets.join(F.broadcast(sla), "priority")
+    j = tickets.join(sla, "priority")
     resp_due = F.col("opened_at") + F.make_dt_interval(F.lit(0), F.col("response_hours"))
     res_due = F.col("opened_at") + F.make_dt_interval(F.lit(0), F.col("resolution_hours"))
     t = j.select("priority", (F.col("responded_at") > resp_due).alias("resp_breach"),
@@ -230,9 +222,9 @@ def store_hours(calendar: DataFrame, regular: DataFrame, holidays: DataFrame) ->
     the day kind (Sunday or other day); null hours on a holiday = closed."""
     c = calendar.select("day", F.date_format("day", "MM-dd").alias("month_day"),
                         F.when(F.dayofweek("day") == 1, "sunday").otherwise("weekday").alias("day_kind"))
-    reg = F.broadcast(regular.select("day_kind", F.col("opens").alias("r_open"), F.col("closes").alias("r_close")))
-    hol = F.broadcast(holidays.select("month_day", F.col("opens").alias("h_open"), F.col("closes").alias("h_close"),
-                                      F.lit(True).alias("holiday")))
+    reg = regular.select("day_kind", F.col("opens").alias("r_open"), F.col("closes").alias("r_close"))
+    hol = holidays.select("month_day", F.col("opens").alias("h_open"), F.col("closes").alias("h_close"),
+                                      F.lit(True).alias("holiday"))
     j = c.join(reg, "day_kind").join(hol, "month_day", "left")
     is_h = F.coalesce(F.col("holiday"), F.lit(False))
     return j.select("day", F.when(is_h, F.col("h_open")).otherwise(F.col("r_open")).alias("opens"),
@@ -243,7 +235,7 @@ def store_hours(calendar: DataFrame, regular: DataFrame, holidays: DataFrame) ->
 def retention_expired(rows: DataFrame, retention: DataFrame, now: Column) -> DataFrame:
     """Rows past their retention per data type (types kept for the account
     lifetime never expire here)."""
-    j = rows.join(F.broadcast(retention), "data_type")
+    j = rows.join(retention, "data_type")
     limit = F.add_months(F.to_date(now), -F.col("months")).cast("timestamp_ntz")
     exp = F.col("months").isNotNull() & (F.col("created_at") < limit)
     return j.groupBy("data_type").agg(F.count(F.lit(1)).alias("n_rows"),
@@ -251,5 +243,5 @@ def retention_expired(rows: DataFrame, retention: DataFrame, now: Column) -> Dat
 
 
 def refund_schedule(refunds: DataFrame, schedule: DataFrame) -> DataFrame:
-    return refunds.join(F.broadcast(schedule), "payment_method", "left").select(
+    return refunds.join(schedule, "payment_method", "left").select(
         "refund_id", "payment_method", "refund_method", "min_days", "max_days")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import line_amount, money
-from ..plans.numbering import offsets
+from ..plans.numbering import number_blocks, offsets, rank_within
 
 
 def _money(c: Column) -> Column:
@@ -168,9 +168,11 @@ def purchase_history(customers: DataFrame, txns: DataFrame, items: DataFrame, pr
 def item_availability(products: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each requested name: number of products with that name and
     whether any is in stock. ``wanted`` has one column ``name``."""
-    inv = products.groupBy("name").agg(F.count(F.lit(1)).alias("n_products"),
+    # only the wanted names are counted
+    names = wanted.select("name").distinct()
+    inv = products.join(names, "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("n_products"),
                                       F.sum(F.when(F.col("stock_quantity") > 0, 1).otherwise(0)).cast("long").alias("n_in_stock"))
-    return (wanted.select("name").distinct().join(inv, "name", "left")
+    return (names.join(inv, "name", "left")
             .select("name", F.coalesce("n_products", F.lit(0)).alias("n_products"),
                     F.coalesce("n_in_stock", F.lit(0)).cast("long").alias("n_in_stock"),
                     (F.coalesce("n_in_stock", F.lit(0)) > 0).alias("available")))
@@ -191,7 +193,7 @@ def ref_integrity(customers: DataFrame, products: DataFrame, txns: DataFrame, it
                   payments: DataFrame) -> DataFrame:
     """Orphan rows across the star: each check is a left_anti join (no pairs)."""
     def orphans(child, key, parent, pkey, label, idcol):
-        return (child.join(parent.select(F.col(pkey).alias(key)).distinct(), key, "left_anti")
+        return (child.join(parent.select(F.col(pkey).alias(key)), key, "left_anti")
                 .select(F.lit(label).alias("check"), F.col(idcol).cast("string").alias("row_id")))
     parts = [
         orphans(items, "transaction_id", txns, "transaction_id", "item_without_transaction", "transaction_id"),
@@ -205,17 +207,6 @@ def ref_integrity(customers: DataFrame, products: DataFrame, txns: DataFrame, it
     return out
 
 
-ID_BLOCK = 1 << 14
-
-
-def _category_rank(df: DataFrame, order: list, blocks: list, count_col: str = "_one", out: str = "rank") -> DataFrame:
-    """1-based rank inside ``category`` by ascending ``order`` (unique),
-    computed with blocked prefix sums (no per-category task)."""
-    d = df if count_col in df.columns else df.withColumn(count_col, F.lit(1))
-    r = offsets(d, "", count_col, out=out, partition=["category"], order=order, block_cols=blocks)
-    return r.withColumn(out, (F.col(out) + 1).cast("long")) if count_col == "_one" else r
-
-
 def out_of_stock_alternatives(products: DataFrame, n: int = 3) -> DataFrame:
     """For every sold-out product, the n in-stock products of its category
     priced at or below it, nearest price first (ties: higher id first).
@@ -230,8 +221,9 @@ def out_of_stock_alternatives(products: DataFrame, n: int = 3) -> DataFrame:
                         F.when(F.col("stock_quantity") > 0, 0).otherwise(1).alias("kind"))
     p = p.withColumn("_in", F.when(F.col("kind") == 0, 1).otherwise(0))
     order = [F.col("cents"), F.col("kind"), F.col("product_id")]
-    blocks = [F.col("cents"), F.col("kind"), F.floor(F.col("product_id") / ID_BLOCK)]
-    ranked = offsets(p, "", "_in", out="before", partition=["category"], order=order, block_cols=blocks)
+    # price levels, prices, kinds, then blocks of ids: no window spans a category
+    blocks = [F.shiftright("cents", 10), F.col("cents"), F.col("kind"), *number_blocks(F.col("product_id"), 2)]
+    ranked = offsets(p, {"_in": "before"}, order, blocks, ["category"])
     instock = ranked.filter(F.col("kind") == 0).select(
         "category", (F.col("before") + 1).alias("r"), F.col("product_id").alias("alt_product_id"),
         F.col("price").alias("alt_price"))
@@ -249,19 +241,23 @@ def _popularity(items: DataFrame, products: DataFrame) -> DataFrame:
         .fillna(0.0, ["units"])
 
 
+def _popular_order() -> tuple[list, list]:
+    """(order, blocks) of most popular first: units are whole quantities, so
+    the block keys sort like (-units, product_id)."""
+    units = -F.col("units").cast("long")
+    return ([-F.col("units"), F.col("product_id")],
+            [F.shiftright(units, 10), units, *number_blocks(F.col("product_id"), 2)])
+
+
 def budget_basket(items: DataFrame, products: DataFrame, budget: float) -> DataFrame:
     """Per category, the most popular products taken in order while the
     running total stays within ``budget`` (prices summed in integer cents,
     so the running total is exact). Ranks and running totals are blocked
     prefix sums."""
-    pop = _popularity(items, products).withColumn("cents", F.round(F.col("price") * 100).cast("long"))
-    order = [F.desc("units"), F.col("product_id")]
-    blocks = [F.col("units").cast("long") * -1, F.floor(F.col("product_id") / ID_BLOCK)]
-    # units are whole quantities here; the block key sorts like (-units, id)
-    r = offsets(pop.withColumn("_one", F.lit(1)), "", "_one", out="rank0", partition=["category"],
-                order=[(-F.col("units")), F.col("product_id")], block_cols=blocks)
-    r = offsets(r, "", "cents", out="spent_before", partition=["category"],
-                order=[(-F.col("units")), F.col("product_id")], block_cols=blocks)
+    pop = _popularity(items, products).withColumn("cents", F.round(F.col("price") * 100).cast("long")) \
+        .withColumn("_one", F.lit(1))
+    # rank and running total in one pass over one set of block tables
+    r = offsets(pop, {"_one": "rank0", "cents": "spent_before"}, *_popular_order(), ["category"])
     total = F.col("spent_before") + F.col("cents")
     return r.filter(total <= round(budget * 100)).select(
         "category", (F.col("rank0") + 1).cast("long").alias("rank"), "product_id", "name", "price",
@@ -275,22 +271,18 @@ def recommend_preferences(customers: DataFrame, txns: DataFrame, items: DataFram
     + the category's share of the customer's spend; within a category the
     most popular products come first.
 
-    A customer needs at most n + (lines already bought in the category)
+    A customer needs at most n + (products already bought in the category)
     entries of a category's popularity list, so candidates are an equi-join
     on (category, rank <= that depth): linear in customers x categories x n
     plus purchases, never customers x products."""
     pop = _popularity(items, products)
-    blocks = [F.col("units").cast("long") * -1, F.floor(F.col("product_id") / ID_BLOCK)]
-    ranked = offsets(pop.withColumn("_one", F.lit(1)), "", "_one", out="prank", partition=["category"],
-                     order=[(-F.col("units")), F.col("product_id")], block_cols=blocks) \
-        .withColumn("prank", F.col("prank") + 1)
+    ranked = rank_within(pop, ["category"], *_popular_order(), out="prank")
     bought = (items.select("transaction_id", "product_id", line_amount().alias("amount"))
               .join(txns.select("transaction_id", "customer_id"), "transaction_id")
               .join(products.select("product_id", "category"), "product_id"))
-    # lines bought bound the distinct products bought: a deep enough list
-    # without a distinct-count (Expand) aggregate
-    per_cat = bought.groupBy("customer_id", "category").agg(F.sum("amount").alias("spend"),
-                                                          F.count(F.lit(1)).alias("n_bought"))
+    own = bought.groupBy("customer_id", "category", "product_id").agg(F.sum("amount").alias("amount"))
+    per_cat = own.groupBy("customer_id", "category").agg(F.sum("amount").alias("spend"),
+                                                       F.count(F.lit(1)).alias("n_bought"))
     tot = per_cat.groupBy("customer_id").agg(F.sum("spend").alias("total"))
     favs = customers.select("customer_id", F.explode(F.from_json("preferences", "favorite_categories array<string>",
                                                                   )["favorite_categories"]).alias("category")) \
@@ -302,7 +294,7 @@ def recommend_preferences(customers: DataFrame, txns: DataFrame, items: DataFram
                      (F.coalesce(F.col("n_bought"), F.lit(0)) + n).alias("depth"))
     cand = aff.select("customer_id", "category", "score", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("prank")) \
         .join(ranked.select("category", "prank", "product_id", "units"), ["category", "prank"])
-    cand = cand.join(bought.select("customer_id", "product_id").distinct(), ["customer_id", "product_id"], "left_anti")
+    cand = cand.join(own.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
     w = Window.partitionBy("customer_id").orderBy(F.desc("score"), F.desc("units"), "product_id")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
         "customer_id", F.col("rank").cast("long").alias("rank"), "product_id", "category", "score")

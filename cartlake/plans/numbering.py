@@ -1,13 +1,13 @@
 """Exact running counts / ranks without one task per (hot) group.
 
-``offsets`` gives every row the sum of ``count_col`` over the rows that come
-strictly before it in (``partition`` , ``order``) order - an exclusive
-prefix sum, i.e. a rank when count_col is 1. A plain window partitioned by
-the group would sort a hot group (say a third of all rows) in one task;
-here rows are cut into blocks of ``block_size`` consecutive order positions
-(block = a coarsening of the order key that sorts the same way): block
-totals are a small aggregate whose prefix sum runs over one row per block,
-and the within-block prefix is a window over at most one block.
+``offsets`` gives every row the sum of one or several columns over the rows
+that come strictly before it in (``partition``, ``order``) order - an
+exclusive prefix sum, i.e. a rank when the column is 1. A plain window
+partitioned by the group would sort a hot group (say a third of all rows) in
+one task; here rows are cut into nested blocks of consecutive order
+positions. Block totals are small aggregates, one level built from the one
+below; each level's prefix sum runs inside its parent block only, so no
+window holds more than one block's children, whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -16,44 +16,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+STEP = 12          # bits of a numeric key per level: 4096 children per block
+LEVELS = 4         # levels of a numeric key: one top block spans 2^48 keys
 
-def offsets(df: DataFrame, order_key: str, count_col: str, block: int = 1 << 12, out: str = "offset",
-            partition: list[str] | None = None, order: list[Column] | None = None,
-            block_cols: list[Column] | None = None) -> DataFrame:
-    """Exclusive prefix sum of ``count_col``.
 
-    Simple form: one numeric ``order_key``, blocks of ``block`` keys.
-    General form: ``partition`` columns, ascending ``order`` columns (unique
-    within a partition) and ``block_cols``, expressions that sort like a
-    prefix of ``order`` (e.g. [price_cents, kind, floor(id / B)])."""
+def number_blocks(c: Column, levels: int = LEVELS) -> list[Column]:
+    """Nested blocks of a non-negative integer key, coarsest first."""
+    return [F.shiftright(c.cast("long"), STEP * k) for k in range(levels, 0, -1)]
+
+
+def offsets(df: DataFrame, sums: dict[str, str], order: list[Column], blocks: list[Column],
+            partition: list[str] | None = None) -> DataFrame:
+    """``df`` with, for every ``sums`` entry (column -> new column), the sum
+    over the rows before. ``order`` is ascending and unique within a
+    partition; ``blocks`` are expressions, coarsest first, that sort like a
+    prefix of ``order``."""
     partition = partition or []
-    if order is None:
-        order = [F.col(order_key)]
-        block_cols = [F.floor(F.col(order_key) / block)]
-    names = [f"_b{i}" for i in range(len(block_cols))]
-    d = df.select("*", *[c.alias(n) for c, n in zip(block_cols, names)])
-    totals = d.groupBy(*partition, *names).agg(F.sum(count_col).alias("_blk_total"))
-    wb = Window.partitionBy(*partition).orderBy(*names) if partition else Window.orderBy(*names)
-    before = totals.select(*partition, *names, (F.sum("_blk_total").over(wb) - F.col("_blk_total")).alias("_blk_off"))
+    names = [f"_b{i}" for i in range(len(blocks))]
+    d = df.select("*", *[c.alias(n) for c, n in zip(blocks, names)])
     inner = Window.partitionBy(*partition, *names).orderBy(*order)
-    d = d.withColumn("_in_off", F.sum(count_col).over(inner) - F.col(count_col))
-    return (d.join(before, [*partition, *names]).withColumn(out, F.col("_blk_off") + F.col("_in_off"))
-            .drop(*names, "_blk_off", "_in_off"))
+    d = d.select("*", *[(F.sum(c).over(inner) - F.col(c)).alias(f"_in_{c}") for c in sums])
+    totals = [df.select(*partition, *sums, *[c.alias(n) for c, n in zip(blocks, names)])
+              .groupBy(*partition, *names).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])]
+    for depth in range(len(names) - 1, 0, -1):
+        totals.insert(0, totals[0].groupBy(*partition, *names[:depth])
+                      .agg(*[F.sum(f"_sum_{c}").alias(f"_sum_{c}") for c in sums]))
+    before = None
+    for depth, t in enumerate(totals):
+        # a constant key stands in for a missing parent: the top level has one row per top block
+        parent = [*partition, *names[:depth]] or [F.lit(0)]
+        w = Window.partitionBy(*parent).orderBy(names[depth])
+        t = t.select(*partition, *names[:depth + 1],
+                     *[(F.sum(f"_sum_{c}").over(w) - F.col(f"_sum_{c}")).alias(f"_off_{c}") for c in sums])
+        if before is None:
+            before = t
+            continue
+        up = before.select(*partition, *names[:depth], *[F.col(f"_off_{c}").alias(f"_up_{c}") for c in sums])
+        before = t.join(up, [*partition, *names[:depth]]).select(
+            *partition, *names[:depth + 1], *[(F.col(f"_off_{c}") + F.col(f"_up_{c}")).alias(f"_off_{c}") for c in sums])
+    d = d.join(before, [*partition, *names])
+    for c, out in sums.items():
+        d = d.withColumn(out, F.col(f"_off_{c}") + F.col(f"_in_{c}"))
+    return d.drop(*names, *[f"_in_{c}" for c in sums], *[f"_off_{c}" for c in sums])
 
 
-def rank_within(df: DataFrame, partition: list[str], order: list[Column], block_cols: list[Column],
+def rank_within(df: DataFrame, partition: list[str], order: list[Column], blocks: list[Column],
                 out: str = "rank") -> DataFrame:
-    """1-based row_number inside ``partition`` by ``order`` (unique), via
-    blocked prefix sums: a hot partition is ranked by many tasks."""
-    r = offsets(df.withColumn("_one", F.lit(1)), "", "_one", out=out, partition=partition, order=order,
-                block_cols=block_cols)
+    """1-based row_number inside ``partition`` by ``order`` (unique): a hot
+    partition is ranked by many tasks."""
+    r = offsets(df.withColumn("_one", F.lit(1)), {"_one": out}, order, blocks, partition)
     return r.withColumn(out, (F.col(out) + 1).cast("long")).drop("_one")
 
 
 def time_blocks(ts: Column, descending: bool = False) -> list[Column]:
-    """Block key (day, hour) of a TIMESTAMP_NTZ; sorts like the timestamp
-    (or its reverse), with no time-zone conversion. Hour blocks keep both
-    the per-key block table (one row per active hour) and every block small
-    for a key that is busy for years."""
+    """Block keys (day, hour, second of the hour) of a TIMESTAMP_NTZ; they
+    sort like the timestamp (or its reverse), with no time-zone conversion. A
+    window holds the active days of a key, the hours of a day, the seconds of
+    an hour or the rows of a second."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01"))
-    return [-day, -F.hour(ts)] if descending else [day, F.hour(ts)]
+    keys = [day, F.hour(ts), F.minute(ts) * 60 + F.second(ts)]
+    return [-k for k in keys] if descending else keys

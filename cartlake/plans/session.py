@@ -1,11 +1,11 @@
-"""Session construction and cluster-safe lineage cutting."""
+"""Session construction and the shared scratch folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC so timestamp_ntz arithmetic and the
 # DuckDB oracle agree, AQE so joins against tables of unknown size are
@@ -19,6 +19,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # session windows: merge a task's rows of a key before the shuffle
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.ui.enabled": "false",
 }
@@ -40,32 +42,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     for k in ("spark.sql.session.timeZone",):
         spark.conf.set(k, conf[k])
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names in spark.checkpoint.dir
-    (SparkContext applies it at start-up); only when none is configured
-    (tests, local runs) a folder of our own is created."""
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
+    Only a local session (tests, one machine) may do without: it gets a folder
+    of its own. On a cluster a driver-local folder would lose the executors'
+    files, so a missing setting is an error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cartlake-ckpt-", dir=os.environ.get("CARTLAKE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives lost
-    executors, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a
     machine-local temp dir on a cluster)."""

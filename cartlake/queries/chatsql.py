@@ -32,7 +32,7 @@ def _part_sql(role: str = "role", line: str = "line", i: str = "(i - 1)") -> str
 
 
 TRACE = "CASE WHEN turn % 3 = 2 THEN NULL ELSE concat('tr-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) END"
-TS = "TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id AS INT) * INTERVAL '1' DAY + CAST(turn AS INT) * INTERVAL '1' MINUTE"
+TS = "TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id % 3650 AS INT) * INTERVAL '1' DAY + CAST(turn AS INT) * INTERVAL '1' MINUTE"
 TRACE_PART = ("{'type': 'data-traceId', 'text': " + TRACE + ", 'url': NULL::VARCHAR, 'title': NULL::VARCHAR, "
               "'state': NULL::VARCHAR, 'approved': NULL::BOOLEAN, 'tool_name': NULL::VARCHAR, 'media_type': NULL::VARCHAR}")
 
@@ -46,7 +46,7 @@ def _truncate_sql(c: str, n: int) -> str:
 
 
 ADAPTERS.update({
-    "message_parts": f"""SELECT conv_id * 100 + turn AS id, conv_id AS chat_id, role, text,
+    "message_parts": f"""SELECT conv_id * 1048576 + turn AS id, conv_id AS chat_id, role, text,
   CASE WHEN role = 'assistant' AND turn % 3 <> 1
        THEN list_concat(list_transform(string_split(text, chr(10)), lambda line, i: {_part_sql()}), [{TRACE_PART}])
        ELSE list_transform(string_split(text, chr(10)), lambda line, i: {_part_sql()}) END AS parts,
@@ -59,14 +59,20 @@ UNION ALL SELECT 3, 'visibility', id, NULL, NULL, CASE WHEN id % 15 = 0 THEN 'se
 UNION ALL SELECT 4, 'context', id, NULL, NULL, NULL, concat('{{"inputTokens":', CAST((id * 7) % 1000 AS VARCHAR), ',"outputTokens":',
   CAST((id * 13) % 1000 AS VARCHAR), '}}'), NULL FROM chat WHERE id % 2 = 0
 UNION ALL SELECT 5, 'delete', id, NULL, NULL, NULL, NULL, NULL FROM chat WHERE visibility = 'public' AND id % 9 = 0""",
-    "message_log": f"""SELECT 1 AS seq, conv_id * 100 + turn AS id, conv_id AS chat_id, role, text, {TS} AS created_at, {TRACE} AS trace_id
-FROM conversations
-UNION ALL SELECT 2, conv_id * 100 + turn, conv_id, 'user', concat(text, ' (edited)'),
-  TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id + 1 AS INT) * INTERVAL '1' DAY + CAST(turn AS INT) * INTERVAL '1' MINUTE, NULL
-FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 0""",
+    "message_log": f"""SELECT 1 AS seq, id, chat_id, role, text, created_at, trace_id, parts,
+  list_transform(list_filter(parts, lambda p: p.type = 'file'), lambda p: p.url) AS attachments FROM message_parts
+UNION ALL SELECT 2, id, chat_id, 'user', concat(text, ' (edited)'), created_at + INTERVAL '1' DAY, NULL, parts[1:1], []::VARCHAR[]
+FROM message_parts WHERE role = 'assistant' AND chat_id % 5 = 0""",
     "votes": "SELECT chat_id, message_id, arg_max_null(is_up, seq) AS is_up FROM vote_log GROUP BY ALL",
-    "requests": """SELECT id AS chat_id, (id * 3) % 10 AS user_id FROM chat
-UNION ALL SELECT id + 1000000, id % 10 FROM chat WHERE id % 4 = 1""",
+    "requests": """SELECT id AS chat_id, id // 10 + CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS user_id FROM chat
+UNION ALL SELECT -1 - id, id // 10 FROM chat WHERE id % 4 = 1""",
 })
 
 TRUNCATE_SQL = _truncate_sql
+
+
+def parts_text(parts: str = "parts") -> str:
+    """All fields of all parts as one text (see queries/chat.py parts_text)."""
+    fields = " || '|' || ".join(f"coalesce(CAST(p.{f} AS VARCHAR), '')" for f in
+                                ("type", "text", "url", "title", "state", "approved", "tool_name", "media_type"))
+    return f"coalesce(array_to_string(list_transform({parts}, lambda p: {fields}), chr(30)), '')"

@@ -170,7 +170,7 @@ TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), la
 
 
 @reg("evl_fact_coverage", f"""WITH {FINAL_SQL},
-q AS (SELECT conv_id AS chat_id, string_split(text, '. ') AS facts FROM conversations WHERE turn = 0),
+q AS (SELECT conv_id AS chat_id, flatten(list(string_split(text, '. ') ORDER BY turn)) AS facts FROM conversations WHERE role = 'user' GROUP BY conv_id),
 r AS (SELECT fa.chat_id AS row_id, {TOK.format(x='fa.answer')} AS ans_tok, q.facts FROM fa JOIN q USING (chat_id)),
 f AS (SELECT row_id, len(facts) AS n_facts, list_transform(facts, lambda f:
     CASE WHEN len(list_distinct({TOK.format(x='f')})) = 0 THEN false
@@ -180,7 +180,9 @@ SELECT row_id, CAST(n_facts AS INTEGER) AS n_facts, CAST(len(list_filter(found,
      ("message_parts",))
 def q_fact_coverage(s, d):
     t = _t(s, d)
-    q = t.conversations.filter(F.col("turn") == 0).select(F.col("conv_id").alias("chat_id"), F.split("text", r"\. ").alias("facts"))
+    q = (t.conversations.filter(F.col("role") == "user").groupBy(F.col("conv_id").alias("chat_id"))
+         .agg(F.array_sort(F.collect_list(F.struct("turn", F.split("text", r"\. ").alias("f")))).alias("l"))
+         .select("chat_id", F.flatten(F.transform("l", lambda x: x["f"])).alias("facts")))
     rows = final_answers(t).join(q, "chat_id").withColumnRenamed("chat_id", "row_id")
     return E.fact_coverage(rows, "answer", "facts", 0.6)
 
@@ -217,7 +219,7 @@ def _sufficiency_rows(s, d):
         .withColumnRenamed("label", "doc_name")
     ctx = G.context(batch_queries(t), h, "doc_name", "content")
     own = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("doc_id")).join(t.documents, "doc_id") \
-        .select(F.col("label").cast("long").alias("query_id"), F.slice(F.split("text", r"\. "), 1, 3).alias("facts"))
+        .select(F.col("label").cast("long").alias("query_id"), F.split("text", r"\. ").alias("facts"))
     return ctx.join(own, "query_id").withColumnRenamed("query_id", "row_id")
 
 
@@ -235,7 +237,7 @@ h AS (SELECT h.query_id, h.rank, concat('【', CAST(h.label AS VARCHAR), '】',
   FROM hits h JOIN documents d ON d.doc_id = h.chunk_id),
 ctx AS (SELECT q.query_id, coalesce(string_agg(b, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank), '{G.EMPTY_CONTEXT}') AS context
   FROM qs q LEFT JOIN h USING (query_id) GROUP BY q.query_id),
-own AS (SELECT CAST(e.label AS BIGINT) AS query_id, string_split(d.text, '. ')[1:3] AS facts FROM
+own AS (SELECT CAST(e.label AS BIGINT) AS query_id, string_split(d.text, '. ') AS facts FROM
   (SELECT label, min(vec_id) AS doc_id FROM embeddings GROUP BY label) e JOIN documents d USING (doc_id)),
 r AS (SELECT c.query_id AS row_id, {tok.format(x='c.context')} AS ans_tok, o.facts FROM ctx c JOIN own o USING (query_id)),
 f AS (SELECT row_id, len(facts) AS n_facts, list_transform(facts, lambda f:

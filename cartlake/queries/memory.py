@@ -64,7 +64,7 @@ def q_namespace(s, d):
 
 def _put_log(t):
     v = F.col("value")
-    return T.memory_log(t).withColumn("value", F.when(F.col("seq") % 13 == 0, F.substring(v, 3, 1000000))
+    return T.memory_log(t).withColumn("value", F.when(F.col("seq") % 13 == 0, v.substr(F.lit(3), F.length(v)))
                                       .when(F.col("seq") % 17 == 0, F.concat(F.lit("["), v, F.lit("]"))).otherwise(v))
 
 
@@ -90,28 +90,38 @@ def q_delete(s, d):
 ISO = """CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"""
 
 
-def _summary_events(t, kind, thread):
-    e = t.events.filter(F.col("event_type") == kind)
-    return e.select(F.col("user_id").alias("ns_user"), thread.alias("thread_id"), "ts", F.col("props").alias("value"))
+def _summary_events(t, thread):
+    """Every event saves its props as a summary: some are no JSON, some no
+    object, some already hold a thread_id, some threads need escaping."""
+    e, k, v = t.events, F.col("event_id"), F.col("props")
+    value = (F.when(k % 13 == 0, v.substr(F.lit(3), F.length(v))).when(k % 17 == 0, F.concat(F.lit("["), v, F.lit("]")))
+             .when(k % 19 == 0, F.lit('{"thread_id": "stale", "note": "say \\"hi\\"", "n": [1, null]}'))
+             .when(k % 23 == 0, F.lit("{}")).otherwise(v))
+    thread = F.when(k % 29 == 0, F.concat(thread, F.lit('-"q"'))).otherwise(thread)
+    return e.select(F.col("user_id").alias("ns_user"), thread.alias("thread_id"), "ts", "event_id", value.alias("value"))
 
 
-@reg("mem_put_task", f"""SELECT 'task_summaries' AS ns_kind, user_id AS ns_user,
-  concat('thread-', CAST(user_id AS VARCHAR), '_', {ISO}) AS mem_key,
-  concat(regexp_replace(props, '\\}}\\s*$', ''), ', "thread_id": "', concat('thread-', CAST(user_id AS VARCHAR)),
-         '", "timestamp": "', {ISO}, '"}}') AS value
-FROM events WHERE event_type = 'click'""")
+SAVES_SQL = """saves AS (SELECT event_id, user_id AS ns_user, ts,
+    concat('thread-', CAST(user_id AS VARCHAR), {extra}, CASE WHEN event_id % 29 = 0 THEN '-"q"' ELSE '' END) AS thread_id,
+    CASE WHEN event_id % 13 = 0 THEN substr(props, 3) WHEN event_id % 17 = 0 THEN concat('[', props, ']')
+      WHEN event_id % 19 = 0 THEN '{{"thread_id": "stale", "note": "say \\"hi\\"", "n": [1, null]}}'
+      WHEN event_id % 23 = 0 THEN '{{}}' ELSE props END AS value FROM events),
+accepted AS (SELECT *, {iso} AS stamp FROM saves WHERE coalesce(json_valid(value), false) AND json_type(value) = 'OBJECT')"""
+MERGED_SQL = "CAST(json_merge_patch(value, json_object('thread_id', thread_id, 'timestamp', stamp)) AS VARCHAR)"
+
+
+@reg("mem_put_task", f"""WITH {SAVES_SQL.format(extra="''", iso=ISO)}
+SELECT 'task_summaries' AS ns_kind, ns_user, concat(thread_id, '_', stamp) AS mem_key, {MERGED_SQL} AS value FROM accepted""")
 def q_put_task(s, d):
-    return M.put_task(_summary_events(_t(s, d), "click", F.concat(F.lit("thread-"), F.col("user_id").cast("string"))))
+    return M.put_task(_summary_events(_t(s, d), F.concat(F.lit("thread-"), F.col("user_id").cast("string"))))
 
 
-@reg("mem_put_conversation", f"""WITH e AS (SELECT user_id AS ns_user,
-  concat('thread-', CAST(user_id AS VARCHAR), '-', strftime(ts, '%Y-%m-%d')) AS thread_id, ts, props FROM events WHERE event_type = 'purchase')
-SELECT 'conversation_summaries' AS ns_kind, ns_user, thread_id AS mem_key,
-  arg_max(concat(regexp_replace(props, '\\}}\\s*$', ''), ', "thread_id": "', thread_id, '", "timestamp": "', {ISO}, '"}}'), ts) AS value
-FROM e GROUP BY ns_user, thread_id""")
+@reg("mem_put_conversation", f"""WITH {SAVES_SQL.format(extra="'-', strftime(ts, '%Y-%m-%d')", iso=ISO)}
+SELECT 'conversation_summaries' AS ns_kind, ns_user, thread_id AS mem_key, arg_max({MERGED_SQL}, ts) AS value
+FROM accepted GROUP BY ns_user, thread_id""")
 def q_put_conversation(s, d):
     thread = F.concat(F.lit("thread-"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
-    return M.put_conversation(_summary_events(_t(s, d), "purchase", thread))
+    return M.put_conversation(_summary_events(_t(s, d), thread))
 
 
 def _store(t):
@@ -128,6 +138,13 @@ def _mem_queries(t):
         F.col("label").cast("string").alias("ns_user"), "embedding")
 
 
+def _render_queries(t):
+    """The queries of mem_search and, for every label, one in a namespace
+    without items."""
+    q = _mem_queries(t)
+    return q.unionByName(q.withColumn("query_id", -1 - F.col("query_id")).withColumn("ns_user", F.lit("nobody")))
+
+
 def cos_sql(a: str, b: str) -> str:
     dot = f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y, 0.0)"
     return f"({dot} / ({norm_sql(a)} * {norm_sql(b)}))"
@@ -156,10 +173,12 @@ def q_search(s, d):
 
 @reg("mem_render", f"""WITH {SEARCH_SQL}
 SELECT query_id, concat('Found ', CAST(count(*) AS VARCHAR), ' relevant memories:', chr(10),
-  string_agg(concat('- [', CAST(mem_key AS VARCHAR), ']: ', value), chr(10) ORDER BY rank)) AS text FROM hits GROUP BY query_id""")
+  string_agg(concat('- [', CAST(mem_key AS VARCHAR), ']: ', value), chr(10) ORDER BY rank)) AS text FROM hits GROUP BY query_id
+UNION ALL SELECT -1 - query_id, '{M.RENDERED["user_memories"][1]}' FROM qs""")
 def q_render(s, d):
     t = _t(s, d)
-    return M.render(M.search(_store(t), _mem_queries(t), 5), "user_memories")
+    qs = _render_queries(t)
+    return M.render(M.search(_store(t), qs, 5), qs, "user_memories")
 
 
 def _ckpts(t):

@@ -76,7 +76,7 @@ POINTS_SQL = f"""pts AS (SELECT t.transaction_id, t.customer_id, t.transaction_d
 
 
 def points(t):
-    return P.points_earned(T.transactions(t), T.customers(t), P.rules(t.spark, "TIER_RULES"))
+    return P.points_earned(T.transactions(t), T.customers(t, place=False), P.rules(t.spark, "TIER_RULES"))
 
 
 @reg("pol_points_earned", f"WITH {POINTS_SQL} SELECT * FROM pts", ("customers", "transactions"))
@@ -109,7 +109,7 @@ SELECT customer_id, CAST(island AS BIGINT) AS island, min(transaction_date) AS f
 FROM i GROUP BY customer_id, island""", ("customers", "transactions"))
 def q_expiry(s, d):
     t = _t(s, d)
-    return P.points_expiry(points(t).drop("membership_tier"), T.customers(t))
+    return P.points_expiry(points(t).drop("membership_tier"), T.customers(t, place=False))
 
 
 @reg("pol_reward_lookup", f"""WITH {POINTS_SQL}, b AS (SELECT customer_id, sum(points) AS points FROM pts GROUP BY customer_id)
@@ -128,7 +128,7 @@ FROM transactions t JOIN customers c USING (customer_id) JOIN {rule_sql('DELIVER
      ("customers", "transactions"))
 def q_delivery(s, d):
     t = _t(s, d)
-    return P.delivery_fee(T.transactions(t), T.customers(t), P.rules(s, "DELIVERY_FEES"), F.col("payment_method") == "credit_card")
+    return P.delivery_fee(T.transactions(t), T.customers(t, place=False), P.rules(s, "DELIVERY_FEES"), F.col("payment_method") == "credit_card")
 
 
 @reg("pol_return_eligibility", f"""WITH {RETURNS_SQL},

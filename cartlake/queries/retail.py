@@ -174,7 +174,8 @@ FROM customers""", "customers")
 
 def q_purchase_history(spark, d):
     t = _t(spark, d)
-    return R.purchase_history(T.customers(t), T.transactions(t), T.transaction_items(t), T.products(t), T.stores(t))
+    return R.purchase_history(T.customers(t, place=False), T.transactions(t), T.transaction_items(t), T.products(t),
+                              T.stores(t, place=False))
 
 
 SQL_PURCHASE_HISTORY = W("""
@@ -215,7 +216,7 @@ WHERE abs(total_amount - coalesce(items_total, 0.0)) > 0.01""", "transactions",
 
 def q_ref_integrity(spark, d):
     t = _t(spark, d)
-    return R.ref_integrity(T.customers(t), T.products(t), T.transactions(t), T.transaction_items(t),
+    return R.ref_integrity(T.customers(t, place=False), T.products(t), T.transactions(t), T.transaction_items(t),
                            T.payment_history(t))
 
 
@@ -285,7 +286,7 @@ WHERE spent <= {round(BUDGET * 100)}""", "transaction_items", "products")
 
 def q_recommend(spark, d):
     t = _t(spark, d)
-    return R.recommend_preferences(T.customers(t), T.transactions(t), T.transaction_items(t), T.products(t), 5)
+    return R.recommend_preferences(T.customers(t, place=False), T.transactions(t), T.transaction_items(t), T.products(t), 5)
 
 
 SQL_RECOMMEND = W("""

@@ -12,7 +12,7 @@ ADAPTERS = {
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "products": """SELECT p_partkey AS product_id, p_name AS name, p_type AS category, p_brand AS brand,
   p_retailprice AS price, (p_size * 7) % 50 AS stock_quantity FROM part""",
-    "transactions": """SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_orderkey % 10 AS store_id,
+    "transactions": """SELECT o_orderkey AS transaction_id, o_custkey AS customer_id, o_orderkey % (SELECT count(*) FROM supplier) AS store_id,
   o_orderdate AS transaction_date, o_totalprice AS total_amount,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'debit_card'
     WHEN '3-MEDIUM' THEN 'cash' WHEN '5-LOW' THEN 'gift_card' ELSE 'mobile_pay' END AS payment_method,
@@ -28,19 +28,19 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
   CASE o_orderpriority WHEN '1-URGENT' THEN 'credit_card' WHEN '2-HIGH' THEN 'debit_card'
     WHEN '3-MEDIUM' THEN 'cash' WHEN '5-LOW' THEN 'gift_card' ELSE 'mobile_pay' END AS payment_method
 FROM orders""",
-    "chat": """SELECT conv_id AS id, TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id AS INT) * INTERVAL '1' DAY AS created_at,
-  conv_id % 10 AS user_id, CASE WHEN conv_id % 4 = 0 THEN 'public' ELSE 'private' END AS visibility
+    "chat": """SELECT conv_id AS id, TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id % 3650 AS INT) * INTERVAL '1' DAY AS created_at,
+  conv_id // 10 AS user_id, CASE WHEN conv_id % 4 = 0 THEN 'public' ELSE 'private' END AS visibility
 FROM conversations GROUP BY conv_id""",
-    "message": """SELECT conv_id * 100 + turn AS id, conv_id AS chat_id, role, text,
-  TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id AS INT) * INTERVAL '1' DAY
+    "message": """SELECT conv_id * 1048576 + turn AS id, conv_id AS chat_id, role, text,
+  TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id % 3650 AS INT) * INTERVAL '1' DAY
     + CAST(turn AS INT) * INTERVAL '1' MINUTE AS created_at,
   CASE WHEN turn % 3 = 2 THEN NULL
        ELSE concat('tr-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) END AS trace_id
 FROM conversations""",
-    "vote_log": """SELECT conv_id * 100 + turn AS message_id, conv_id AS chat_id, 1 AS seq, (conv_id + turn) % 2 = 0 AS is_up
+    "vote_log": """SELECT conv_id * 1048576 + turn AS message_id, conv_id AS chat_id, 1 AS seq, (conv_id + turn) % 2 = 0 AS is_up
 FROM conversations WHERE role = 'assistant'
 UNION ALL
-SELECT conv_id * 100 + turn, conv_id, 2, (conv_id + turn) % 2 <> 0
+SELECT conv_id * 1048576 + turn, conv_id, 2, (conv_id + turn) % 2 <> 0
 FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0""",
     "memory_log": """SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'user_memories' WHEN 'click' THEN 'task_summaries'
   ELSE 'conversation_summaries' END AS ns_kind, user_id AS ns_user,

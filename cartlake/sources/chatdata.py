@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Tables, _day_offset, chat as chat_rows
+from .tables import Tables, _day_offset, chat as chat_rows, message_id_of
 
 PART_FIELDS = "type string, text string, url string, title string, state string, approved boolean, tool_name string, media_type string"
 
@@ -62,7 +62,7 @@ def message_parts(t: Tables) -> DataFrame:
                           null_s.alias("tool_name"), null_s.alias("media_type"))
     lines = F.transform(F.split("text", "\n"), lambda line, i: _part(role, line, i))
     parts = F.when((role == "assistant") & (turn % 3 != 1), F.concat(lines, F.array(trace_part))).otherwise(lines)
-    return cv.select((F.col("conv_id") * 100 + turn).alias("id"), F.col("conv_id").alias("chat_id"), "role", "text",
+    return cv.select(message_id_of(F.col("conv_id"), turn).alias("id"), F.col("conv_id").alias("chat_id"), "role", "text",
                      parts.alias("parts"), _day_offset(F.col("conv_id"), turn).alias("created_at"),
                      trace.alias("trace_id"))
 
@@ -108,17 +108,18 @@ def chat_log(t: Tables) -> DataFrame:
 
 
 def message_log(t: Tables) -> DataFrame:
-    """Every message written once (seq 1); assistant messages of every fifth
-    chat rewritten as a continuation (seq 2): new text, null trace id, and a
-    different role/created_at that the upsert must ignore."""
-    cv = t.conversations
-    mid = (F.col("conv_id") * 100 + F.col("turn")).alias("id")
-    trace = F.when(F.col("turn") % 3 == 2, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("tr-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")))
-    first = cv.select(F.lit(1).alias("seq"), mid, F.col("conv_id").alias("chat_id"), "role", "text",
-                      _day_offset(F.col("conv_id"), F.col("turn")).alias("created_at"), trace.alias("trace_id"))
-    again = cv.filter((F.col("role") == "assistant") & (F.col("conv_id") % 5 == 0)).select(
-        F.lit(2).alias("seq"), mid, F.col("conv_id").alias("chat_id"), F.lit("user").alias("role"),
-        F.concat(F.col("text"), F.lit(" (edited)")).alias("text"), _day_offset(F.col("conv_id") + 1, F.col("turn")).alias("created_at"),
-        F.lit(None).cast("string").alias("trace_id"))
+    """Every message written once (seq 1) with its parts and the links of its
+    files as attachments; assistant messages of every fifth chat rewritten as
+    a continuation (seq 2): new text, first part only, no attachments, null
+    trace id, and a different role/created_at that the upsert must ignore."""
+    m = message_parts(t)
+    files = F.transform(F.filter("parts", lambda p: p["type"] == "file"), lambda p: p["url"])
+    first = m.select(F.lit(1).alias("seq"), "id", "chat_id", "role", "text", "created_at", "trace_id", "parts",
+                     files.alias("attachments"))
+    again = m.filter((F.col("role") == "assistant") & (F.col("chat_id") % 5 == 0)).select(
+        F.lit(2).alias("seq"), "id", "chat_id", F.lit("user").alias("role"),
+        F.concat(F.col("text"), F.lit(" (edited)")).alias("text"),
+        (F.col("created_at") + F.make_dt_interval(F.lit(1))).alias("created_at"),
+        F.lit(None).cast("string").alias("trace_id"), F.slice("parts", 1, 1).alias("parts"),
+        F.array().cast("array<string>").alias("attachments"))
     return first.unionByName(again)

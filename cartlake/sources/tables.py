@@ -47,21 +47,30 @@ def _case(col: Column, mapping: dict, default) -> Column:
     return expr.otherwise(F.lit(default))
 
 
-def customers(t: Tables) -> DataFrame:
-    c, n, r = t.customer, t.nation, t.region
-    # nation (25 rows) and region (5 rows) are fixed-size TPC-H dimensions:
-    # broadcasting them is bounded by construction.
-    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    k = F.col("c_custkey")
+def geography(t: Tables) -> DataFrame:
+    """Nation and region names by nation key. Nation (25 rows) and region (5
+    rows) are fixed-size TPC-H dimensions: broadcasting them is bounded by
+    construction."""
+    n, r = t.nation, t.region
+    return F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name"))
+
+
+def customers(t: Tables, place: bool = True) -> DataFrame:
+    """``place=False`` leaves out city and state, and the joins they need."""
+    c, k = t.customer, F.col("c_custkey")
     tier = (F.when(F.col("c_acctbal") < 3500, "Bronze").when(F.col("c_acctbal") < 6500, "Silver")
             .when(F.col("c_acctbal") < 8500, "Gold").otherwise("Platinum"))
     prefs = F.concat(
         F.lit('{"dietary":["d'), (k % 3).cast("string"), F.lit('"],"favorite_categories":["'),
         _case(k % 3, {0: "ECONOMY", 1: "PROMO"}, "SMALL"), F.lit('"],"organic_preference":'),
         F.when(k % 2 == 0, "true").otherwise("false"), F.lit("}"))
-    return (c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey)
-            .select(k.alias("customer_id"), F.col("c_name").alias("name"), F.col("n_name").alias("city"),
-                    F.col("r_name").alias("state"), tier.alias("membership_tier"), prefs.alias("preferences")))
+    cols = [k.alias("customer_id"), F.col("c_name").alias("name"), tier.alias("membership_tier"),
+            prefs.alias("preferences")]
+    if not place:
+        return c.select(*cols)
+    geo = geography(t)
+    return (c.join(geo, c.c_nationkey == geo.n_nationkey)
+            .select(*cols[:2], F.col("n_name").alias("city"), F.col("r_name").alias("state"), *cols[2:]))
 
 
 def products(t: Tables) -> DataFrame:
@@ -79,7 +88,7 @@ STATUS_BY_CODE = {"F": "completed", "P": "refunded"}
 def transactions(t: Tables) -> DataFrame:
     return t.orders.select(
         F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("customer_id"),
-        (F.col("o_orderkey") % 10).alias("store_id"), F.col("o_orderdate").alias("transaction_date"),
+        (F.col("o_orderkey") % t.supplier.agg(F.count(F.lit(1))).scalar()).alias("store_id"), F.col("o_orderdate").alias("transaction_date"),
         F.col("o_totalprice").alias("total_amount"),
         _case(F.col("o_orderpriority"), PAYMENT_BY_PRIORITY, "mobile_pay").alias("payment_method"),
         _case(F.col("o_orderstatus"), STATUS_BY_CODE, "pending").alias("status"))
@@ -94,21 +103,30 @@ def transaction_items(t: Tables) -> DataFrame:
         (F.col("l_extendedprice") * F.col("l_discount")).alias("discount"))
 
 
-def stores(t: Tables) -> DataFrame:
-    s, n, r = t.supplier, t.nation, t.region
-    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    return (s.join(F.broadcast(geo), s.s_nationkey == geo.n_nationkey)
-            .select(F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("name"),
-                    F.col("n_name").alias("city"), F.col("r_name").alias("state"),
-                    F.when(F.col("s_suppkey") % 2 == 0, "07:00-22:00").otherwise("08:00-21:00").alias("hours")))
+def stores(t: Tables, place: bool = True) -> DataFrame:
+    """``place=False`` leaves out city and state, and the joins they need."""
+    s = t.supplier
+    ident = [F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("name")]
+    hours = F.when(F.col("s_suppkey") % 2 == 0, "07:00-22:00").otherwise("08:00-21:00").alias("hours")
+    if not place:
+        return s.select(*ident, hours)
+    geo = geography(t)
+    return (s.join(geo, s.s_nationkey == geo.n_nationkey)
+            .select(*ident, F.col("n_name").alias("city"), F.col("r_name").alias("state"), hours))
 
 
 def payment_history(t: Tables) -> DataFrame:
     return transactions(t).select("customer_id", "payment_method").distinct()
 
 
+def message_id_of(conv: Column, turn: Column) -> Column:
+    """One number per (conversation, turn): 20 bits for the turn."""
+    return conv * (1 << 20) + turn
+
+
 def _day_offset(days: Column, minutes: Column | None = None) -> Column:
-    ts = ts_ntz(EPOCH) + F.make_dt_interval(days.cast("int"))
+    """A time in the ten years from EPOCH on: any key maps to a valid day."""
+    ts = ts_ntz(EPOCH) + F.make_dt_interval(F.pmod(days, F.lit(3650)).cast("int"))
     if minutes is not None:
         ts = ts + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
     return ts
@@ -117,14 +135,14 @@ def _day_offset(days: Column, minutes: Column | None = None) -> Column:
 def chat(t: Tables) -> DataFrame:
     return (t.conversations.select("conv_id").distinct()
             .select(F.col("conv_id").alias("id"), _day_offset(F.col("conv_id")).alias("created_at"),
-                    (F.col("conv_id") % 10).alias("user_id"),
+                    F.expr("conv_id div 10").alias("user_id"),
                     F.when(F.col("conv_id") % 4 == 0, "public").otherwise("private").alias("visibility")))
 
 
 def message(t: Tables) -> DataFrame:
     cv = t.conversations
     return cv.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), "role", "text",
+        message_id_of(F.col("conv_id"), F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), "role", "text",
         _day_offset(F.col("conv_id"), F.col("turn")).alias("created_at"),
         F.when(F.col("turn") % 3 == 2, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("tr-"), F.col("conv_id").cast("string"), F.lit("-"),
@@ -133,7 +151,7 @@ def message(t: Tables) -> DataFrame:
 
 def vote_log(t: Tables) -> DataFrame:
     a = t.conversations.filter(F.col("role") == "assistant")
-    mid = (F.col("conv_id") * 100 + F.col("turn")).alias("message_id")
+    mid = message_id_of(F.col("conv_id"), F.col("turn")).alias("message_id")
     first = a.select(mid, F.col("conv_id").alias("chat_id"), F.lit(1).alias("seq"),
                      ((F.col("conv_id") + F.col("turn")) % 2 == 0).alias("is_up"))
     second = a.filter(F.col("conv_id") % 3 == 0).select(
