@@ -26,22 +26,25 @@ def _t(s, d):
     return Tables(s, d)
 
 
-@reg("src_markdown_docs")
+@reg("src_markdown_docs", """SELECT CAST(n_nationkey AS VARCHAR) AS doc_name,
+  concat('# ', n_name, chr(10), chr(10), 'Region ', CAST(n_regionkey AS VARCHAR)) AS text FROM nation""")
 def q_markdown(s, d):
-    """Documents exported as one markdown file each, read back whole."""
+    """One markdown file per nation, read back whole."""
     path = scratch_path(s, "docs")
-    IO.export_files(_t(s, d).documents, "doc_id", "text", path, ".md")
-    return IO.markdown_docs(s, path, ".md")
+    text = F.concat(F.lit("# "), "n_name", F.lit("\n\nRegion "), F.col("n_regionkey").cast("string"))
+    IO.export_files(_t(s, d).nation.withColumn("text", text), "n_nationkey", "text", path)
+    return IO.markdown_docs(s, path, ".txt", name_from="doc_name")
 
 
-@reg("src_write_overwrite")
+@reg("src_write_overwrite", "SELECT * FROM transactions", ("transactions",))
 def q_write(s, d):
     path = scratch_path(s, "transactions")
+    IO.write_overwrite(T.transactions(_t(s, d)).limit(1), path)
     IO.write_overwrite(T.transactions(_t(s, d)), path)
     return s.read.parquet(path)
 
 
-@reg("src_append_accounted")
+@reg("src_append_accounted", "SELECT * FROM transaction_items UNION ALL SELECT * FROM transaction_items", ("transaction_items",))
 def q_append(s, d):
     t, path = _t(s, d), scratch_path(s, "items")
     IO.append_accounted(T.transaction_items(t), path)
@@ -49,21 +52,27 @@ def q_append(s, d):
     return s.read.parquet(path)
 
 
-@reg("src_create_table")
+@reg("src_create_table", """SELECT concat('ITEM-', CAST(transaction_id AS VARCHAR), '-', CAST(line_number AS VARCHAR)) AS item_id,
+  CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(product_id AS VARCHAR) AS product_id, CAST(quantity AS INTEGER) AS quantity,
+  unit_price, discount FROM transaction_items""", ("transaction_items",))
 def q_create(s, d):
-    name = "cartlake_transaction_items"
-    IO.create_table(s, name, schemas.RETAIL["transaction_items"], scratch_path(s, "tbl"))
+    return s.table(_created(s, d))
+
+
+def _created(s, d):
+    path = scratch_path(s, "tbl")
+    name = "cartlake_items_" + path[-12:]           # a table of its own for every run
+    IO.create_table(s, name, schemas.RETAIL["transaction_items"], path)
     t = T.transaction_items(_t(s, d))
     t.select(F.concat(F.lit("ITEM-"), F.col("transaction_id").cast("string"), F.lit("-"), F.col("line_number").cast("string")).alias("item_id"),
              F.col("transaction_id").cast("string"), F.col("product_id").cast("string"), F.col("quantity").cast("int"),
              "unit_price", "discount").write.insertInto(name)
-    return s.table(name)
+    return name
 
 
 @reg("src_table_check")
 def q_check(s, d):
-    q_create(s, d)
-    return IO.table_check(s, ["cartlake_transaction_items", "cartlake_missing_table"])
+    return IO.table_check(s, [_created(s, d), "cartlake_missing_table"])
 
 
 @reg("src_table_columns")
@@ -84,7 +93,9 @@ def q_recent(s, d):
 
 @reg("src_sse_payloads", """SELECT event_id, line, substr(line, 7) AS payload FROM sse_line
 WHERE starts_with(line, 'data: ') AND line <> 'data: [DONE]' AND coalesce(json_valid(substr(line, 7)), false)
-  AND trim(substr(line, 7)) NOT IN ('null', '0', '0.0', '""', 'false')""", ("sse_line",))
+  AND CASE json_type(substr(line, 7)) WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN CAST(substr(line, 7) AS BOOLEAN)
+    WHEN 'VARCHAR' THEN json_extract_string(substr(line, 7), '$') <> '' WHEN 'ARRAY' THEN true WHEN 'OBJECT' THEN true
+    ELSE CAST(json_extract_string(substr(line, 7), '$') AS DOUBLE) <> 0 END""", ("sse_line",))
 def q_sse(s, d):
     return IO.sse_payloads(T.sse_line(_t(s, d)))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from ..sources.tables import ODD_PAYLOADS
+
+ODD = "[" + ", ".join(f"'{x}'" for x in ODD_PAYLOADS) + f"][event_id % {len(ODD_PAYLOADS)} + 1]"
+
 ADAPTERS = {
     "customers": """SELECT c_custkey AS customer_id, c_name AS name, n_name AS city, r_name AS state,
   CASE WHEN c_acctbal < 3500 THEN 'Bronze' WHEN c_acctbal < 6500 THEN 'Silver'
@@ -55,7 +59,8 @@ FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0""",
   CASE event_type WHEN 'signup' THEN 'text-start' WHEN 'purchase' THEN 'finish'
     WHEN 'error' THEN 'error' ELSE 'text-delta' END AS type, props AS delta FROM events""",
     "sse_line": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'data: [DONE]' WHEN event_id % 7 = 0 THEN 'data: {'
-  WHEN event_id % 11 = 0 THEN ': ping' ELSE concat('data: ', props) END AS line FROM events""",
+  WHEN event_id % 11 = 0 THEN ': ping'
+  WHEN event_id % 13 = 0 THEN concat('data: ', @ODD@) ELSE concat('data: ', props) END AS line FROM events""".replace("@ODD@", ODD),
 }
 
 

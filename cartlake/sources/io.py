@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,37 +17,16 @@ def markdown_docs(spark: SparkSession, path: str, suffix: str = ".md", name_from
         name = F.col(name_from).cast("string")
     else:
         name = F.regexp_replace(F.col("_metadata.file_name"), r"\Q" + suffix + r"\E$", "")
-    return df.select(name.alias("doc_name"), F.col("value").alias("text"))
-
-
-def _write_files(batches, root: str, suffix: str):
-    import pandas as pd
-    from pyarrow import fs
-
-    filesystem, base = fs.FileSystem.from_uri(root)
-    filesystem.create_dir(base, recursive=True)
-    for pdf in batches:
-        n = 0
-        for name, text in zip(pdf["name"], pdf["text"]):
-            with filesystem.open_output_stream(f"{base}/{name}{suffix}") as out:
-                out.write((text or "").encode("utf-8"))
-            n += 1
-        yield pd.DataFrame({"files": [n]})
-
-
-def export_files(df: DataFrame, name_col: str, text_col: str, path: str, suffix: str = ".md") -> int:
-    """One file ``<name><suffix>`` per row, written by the executors through
-    an Arrow filesystem (local, HDFS or object store URI); returns the
-    number of files written."""
-    if "://" in path:
-        root = path
-    elif path.startswith("file:"):          # Hadoop style file:/abs/path
-        root = "file://" + path[len("file:"):]
-    else:
-        root = "file://" + path
-    out = df.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).mapInPandas(
-        lambda it: _write_files(it, root, suffix), "files long")
-    return int(out.agg(F.sum("files")).first()[0] or 0)
+    # a writer of lines ends the last one with a line feed
+    return df.select(name.alias("doc_name"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+def export_files(df: DataFrame, name_col: str, text_col: str, path: str) -> None:
+    """One text file per row under ``path``/doc_name=<name>/, written by the
+    executors through Spark's own writer (any Hadoop file system). For small
+    sets of documents: every row becomes a file."""
+    rows = df.select(F.col(name_col).cast("string").alias("doc_name"), F.col(text_col).alias("value"))
+    rows.write.partitionBy("doc_name").text(path)
 
 
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> int:
@@ -68,7 +45,9 @@ def append_accounted(df: DataFrame, path: str, fmt: str = "parquet") -> int:
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType, location: str) -> DataFrame:
-    """Create-or-replace an external parquet table with an explicit schema."""
+    """Create-or-replace an external parquet table with an explicit schema.
+    The file catalog has no atomic replace: the new table is declared at a
+    location of its own, and only the catalog entry is exchanged."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return spark.catalog.createTable(name, path=location, source="parquet", schema=schema)
 
@@ -86,21 +65,18 @@ def table_columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "name string, type string")
 
 
-def catalog_inventory(spark: SparkSession, max_schemas: int = 25, skip=("information_schema",)) -> DataFrame:
-    """Tables with their columns and the functions of up to ``max_schemas``
-    databases; skipped databases still use up the budget."""
+def catalog_inventory(spark: SparkSession, max_schemas: int | None = None, skip=("information_schema",)) -> DataFrame:
+    """Tables with their columns, and the functions, of the databases (all of
+    them unless ``max_schemas`` is given; skipped ones count towards it)."""
     rows = []
     for db in spark.catalog.listDatabases()[:max_schemas]:
         if db.name in skip:
             continue
         for t in spark.catalog.listTables(db.name):
-            try:
-                cols = spark.catalog.listColumns(t.name, db.name)
-            except Exception:  # noqa: BLE001  inaccessible table: skipped
-                continue
-            rows.extend(("table", db.name, t.name, c.name, c.dataType) for c in cols)
-    rows.extend(("function", f.namespace[0] if f.namespace else "", f.name, None, f.className)
-                for f in spark.catalog.listFunctions() if not f.isTemporary and f.namespace)
+            name = t.name if t.isTemporary else f"{db.name}.{t.name}"
+            rows.extend(("table", db.name, t.name, c.name, c.dataType) for c in spark.catalog.listColumns(name))
+        rows.extend(("function", db.name, f.name, None, f.className)
+                    for f in spark.catalog.listFunctions(db.name) if not f.isTemporary and f.namespace)
     return spark.createDataFrame(rows, "kind string, schema string, name string, column string, detail string")
 
 
@@ -110,20 +86,14 @@ def spans_recent(spans: DataFrame, now: Column, interval: str = "1 HOUR") -> Dat
     return spans.filter(F.col("start_time") > now - F.expr(f"INTERVAL {interval}"))
 
 
-FALSY = ("null", "0", "0.0", '""', "false")
-
-
 def sse_payloads(lines: DataFrame, col: str = "line") -> DataFrame:
     """``data: `` lines except ``[DONE]``, parsed as JSON; unparsable and
-    falsy payloads (null, 0, "", false) are dropped."""
-    body = F.substring(F.col(col), 7, 1 << 30)
+    falsy payloads (null, any zero, "", false) are dropped."""
+    body = F.col(col).substr(F.lit(7), F.length(col))
     keep = F.col(col).startswith("data: ") & (F.col(col) != "data: [DONE]")
     parsed = lines.filter(keep).select("*", body.alias("payload"), F.try_parse_json(body).alias("v"))
-    return parsed.filter(F.col("v").isNotNull() & ~F.trim(F.col("payload")).isin(*FALSY)).drop("v")
-
-
-# Executors need not have this package installed: functions of this module
-# are shipped by value with the tasks that use them.
-from pyspark import cloudpickle as _cloudpickle  # noqa: E402
-
-_cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    kind = F.schema_of_variant("v")
+    falsy = (F.is_variant_null("v") | (F.try_variant_get("v", "$", "boolean") == F.lit(False)) & (kind == "BOOLEAN")
+             | (F.try_variant_get("v", "$", "string") == "") & (kind == "STRING")
+             | (F.try_variant_get("v", "$", "double") == 0) & ~kind.isin("STRING", "BOOLEAN"))
+    return parsed.filter(F.col("v").isNotNull() & ~F.coalesce(falsy, F.lit(False))).drop("v")

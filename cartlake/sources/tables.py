@@ -191,9 +191,15 @@ def stream_chunk(t: Tables) -> DataFrame:
                     typ.alias("type"), F.col("props").alias("delta"))
 
 
+# payloads that a JSON reader takes as false, and near misses
+ODD_PAYLOADS = ["null", "0", "-0", "0.0", "0.00", "0e0", "-0.0", '""', "false", "true", '"0"', '"false"', "[]", "{}", "1e-9", " 0 "]
+
+
 def sse_line(t: Tables) -> DataFrame:
     e, k = t.events, F.col("event_id")
     line = (F.when(k % 10 == 0, "data: [DONE]").when(k % 7 == 0, "data: {").when(k % 11 == 0, ": ping")
+            .when(k % 13 == 0, F.element_at(F.array(*[F.lit(f"data: {x}") for x in ODD_PAYLOADS]),
+                                            (k % len(ODD_PAYLOADS) + 1).cast("int")))
             .otherwise(F.concat(F.lit("data: "), F.col("props"))))
     return e.select("event_id", line.alias("line"))
 
