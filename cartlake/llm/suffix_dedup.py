@@ -109,14 +109,12 @@ def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 RUNS = "bucket int, grams binary, counts binary, rows binary, starts binary, windows binary"
 
 
-def send_runs(length: int, buckets: int):
+def send_runs(length: int, buckets: int, words: bytes):
     """(row_no, packed text) -> per bucket packed runs. A gram met twice in a chunk is
     sent as a count (its row is -1) beside its runs, which then need no answer
     but the count's: they travel marked by count 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
+        _, unpack = codec(words)
         held, size = [], 0
 
         def pack():
@@ -146,7 +144,7 @@ def send_runs(length: int, buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                doc, start, n, gram = runs([unpack.decompress(t) for t in part.column(1).to_pylist()], length)
+                doc, start, n, gram = runs([unpack(t) for t in part.column(1).to_pylist()], length)
                 if len(doc):
                     held.append((part.column(0).to_numpy()[doc], start, n, gram))
                     size += len(doc)
@@ -158,24 +156,62 @@ def send_runs(length: int, buckets: int):
     return run
 
 
-def by_row(row: np.ndarray, **columns) -> pa.RecordBatch:
-    """One output row per row number with its packed columns."""
-    order = np.argsort(row, kind="stable")
-    row = row[order]
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, int)
-    cut = [*first, len(row)]
-    packed = {k: [x[a:b].tobytes() for a, b in zip(cut, cut[1:])] for k, x in
-              ((k, x[order]) for k, x in columns.items())}
-    return pa.RecordBatch.from_pydict({"row_no": pa.array(row[first], pa.int64()),
-                                       **{k: pa.array(v, pa.binary()) for k, v in packed.items()}})
+SCATTERED = "part int, rows binary, starts binary, windows binary, grams binary"
+
+
+def scatter(row: np.ndarray, parts: int, **columns) -> pa.RecordBatch:
+    """One packed row per part of the row numbers (missing columns empty)."""
+    part = (row.astype(np.uint64) * np.uint64(MULT[0]) >> np.uint64(40)) % np.uint64(parts)
+    order, cut = dealt(part.astype(np.int64), parts)
+    used = np.flatnonzero(np.diff(cut))
+    packed = {k: [x[order[cut[p]:cut[p + 1]]].tobytes() for p in used] for k, x in ({"rows": row} | columns).items()}
+    return pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), **{
+        k: pa.array(packed.get(k, [b""] * len(used)), pa.binary()) for k in ("rows", "starts", "windows", "grams")}})
 
 
 REPEATED = "row_no long, starts binary, windows binary, grams binary"
 
 
-def repeated_runs(crowd: int):
-    """A partition's buckets -> the runs of grams met more than once, by row;
-    each crowded gram under row -1 with its number of runs as the start."""
+def gather(windows: str):
+    """A partition's scattered rows -> one row per row number, its starts,
+    windows (of the given type) and grams packed in order. Rows of part -1 are
+    passed on one by one under row -1."""
+    types = {"starts": "<u4", "windows": windows, "grams": "<u8"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, got = [], {k: [] for k in types}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] < 0:
+                    n = len(r["grams"]) // 8
+                    yield pa.RecordBatch.from_pydict({
+                        "row_no": pa.array([-1] * n, pa.int64()),
+                        "starts": pa.array([r["rows"][8 * i:8 * i + 8] for i in range(n)], pa.binary()),
+                        "windows": pa.array([b""] * n, pa.binary()),
+                        "grams": pa.array([r["grams"][8 * i:8 * i + 8] for i in range(n)], pa.binary())})
+                    continue
+                rows.append(np.frombuffer(r["rows"], "<i8"))
+                for k, t in types.items():
+                    got[k].append(np.frombuffer(r[k], t))
+        if not rows:
+            return
+        row = np.concatenate(rows)
+        got = {k: np.concatenate(v) for k, v in got.items()}
+        order = np.lexsort((got["starts"], row))
+        row = row[order]
+        cut = [*np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))), len(row)]
+        got = {k: v[order] if len(v) else None for k, v in got.items()}
+        for at in range(0, len(cut) - 1, 4096):
+            ends = cut[at:at + 4097]
+            yield pa.RecordBatch.from_pydict({"row_no": pa.array(row[ends[:-1]], pa.int64()), **{
+                k: pa.array([b"" if v is None else v[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())
+                for k, v in got.items()}})
+    return run
+
+
+def repeated_runs(crowd: int, parts: int):
+    """A partition's buckets -> the runs of grams met more than once, scattered
+    by row; the crowded grams as part -1 with their numbers of runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[], [], [], [], []]
         for batch in batches:
@@ -193,31 +229,30 @@ def repeated_runs(crowd: int):
         keep = order[(total[group] > 1) & (row[order] >= 0)]
         hot = gram[order][new][total > crowd]
         if len(hot):
+            many = total[total > crowd].astype(">u8").tobytes()
             yield pa.RecordBatch.from_pydict({
-                "row_no": pa.array(np.full(len(hot), -1)),
-                "starts": pa.array([int(n).to_bytes(8, "big") for n in total[total > crowd]], pa.binary()),
-                "windows": pa.array([b""] * len(hot), pa.binary()),
-                "grams": pa.array([g.tobytes() for g in hot], pa.binary())})
-        for at in range(0, len(keep), 1 << 18):
-            i = np.sort(keep[at:at + (1 << 18)])
-            yield by_row(row[i], starts=start[i], windows=n[i], grams=gram[i])
+                "part": pa.array([-1], pa.int32()), "rows": pa.array([many], pa.binary()),
+                "starts": pa.array([b""], pa.binary()), "windows": pa.array([b""], pa.binary()),
+                "grams": pa.array([hot.tobytes()], pa.binary())})
+        for at in range(0, len(keep), 1 << 20):
+            i = keep[at:at + (1 << 20)]
+            yield scatter(row[i], parts, starts=start[i], windows=n[i], grams=gram[i])
     return run
 
 
 PIECES = "bucket int, grams binary, ids binary, rows binary, starts binary, sizes binary, text binary"
-REMOVED = "row_no long, starts binary, windows binary"
 
 
-def send_pieces(length: int, buckets: int, crowded: np.ndarray):
-    """(row_no, id, packed text, lists of packed runs) -> per bucket the pieces,
+def send_pieces(length: int, buckets: int, crowded: np.ndarray, words: bytes):
+    """(row_no, id, packed text, packed runs) -> per bucket the pieces,
     one for equal pieces of a chunk; bucket -1 carries the runs of the later
     ones, which are repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
-        squeeze = zstandard.ZstdCompressor(level=1)
+        _, unpack = codec(words)
+        squeeze = zstandard.ZstdCompressor(level=3)
         schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in
                                                       ("grams", "ids", "rows", "starts", "sizes", "text"))])
         held: dict[bytes, tuple] = {}
@@ -248,11 +283,11 @@ def send_pieces(length: int, buckets: int, crowded: np.ndarray):
             cols = batch.to_pydict()
             for row, doc, packed, starts, windows, grams in zip(*(cols[c] for c in (
                     "row_no", "id", "packed", "starts", "windows", "grams"))):
-                text = unpack.decompress(packed)
+                text = unpack(packed)
                 doc = FIRST if doc is None else doc
-                start = np.frombuffer(b"".join(starts), "<u4").tolist()
-                n = np.frombuffer(b"".join(windows), "<u1").tolist()
-                gram = np.frombuffer(b"".join(grams), "<u8")
+                start = np.frombuffer(starts, "<u4").tolist()
+                n = np.frombuffer(windows, "<u1").tolist()
+                gram = np.frombuffer(grams, "<u8")
                 split = np.isin(gram, crowded)
                 todo = []
                 for s, k, g, alone in zip(start, n, gram.tolist(), split.tolist()):
@@ -356,8 +391,8 @@ def repeats(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return np.split(hit, np.cumsum(windows)[:-1])
 
 
-def find_repeats(length: int):
-    """A partition's pieces -> removed windows by row."""
+def find_repeats(length: int, parts: int):
+    """A partition's pieces -> removed windows, scattered by row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -367,7 +402,7 @@ def find_repeats(length: int):
 
         def flush():
             row, start, n = (np.concatenate(c) for c in zip(*out))
-            return by_row(row, starts=start.astype("<u4"), windows=n.astype("<u4"))
+            return scatter(row.astype("<i8"), parts, starts=start.astype("<u4"), windows=n.astype("<u4"))
 
         def late(row, start, n):
             out.append((np.array(row), np.array(start), np.array(n)))
@@ -394,7 +429,7 @@ def find_repeats(length: int):
                             again.append((mine[1], mine[2], b - a - length + 1))
                     if again:
                         n_out += late(*zip(*again))
-                if n_out > 1 << 18:
+                if n_out > 1 << 20:
                     yield flush()
                     out, n_out = [], 0
         by_gram = sorted(known.items(), key=lambda item: (item[1][3], item[1][:3]))
@@ -410,7 +445,7 @@ def find_repeats(length: int):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                 if len(edge):
                     n_out += late(np.full(len(edge) // 2, row), start + edge[::2], edge[1::2] - edge[::2])
-            if n_out > 1 << 18:
+            if n_out > 1 << 20:
                 yield flush()
                 out, n_out = [], 0
         if out:
@@ -418,35 +453,52 @@ def find_repeats(length: int):
     return run
 
 
-def squeeze_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_no, id, text) with the text compressed, as it is kept and shuffled."""
+def shared_words(df: DataFrame, text_col: str) -> bytes:
+    """A compression dictionary from some texts' beginnings, so that short
+    texts compress well one by one. Empty where there is too little text; it
+    has no bearing on results."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [squeeze.compress(t) for t in texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
-                                         ["row_no", "id", "packed"])
+    some = [r.t.encode() for r in df.select(F.substring(text_col, 1, 4000).alias("t")).limit(2000).collect() if r.t]
+    if sum(map(len, some)) < 1 << 20:
+        return b""
+    return zstandard.train_dictionary(1 << 16, some).as_bytes()
 
 
-def cut_out(length: int):
-    """(id, packed, lists of packed windows) -> id, spans and the kept text."""
+def codec(words: bytes):
+    """(compress, decompress) with the shared dictionary."""
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict(words) if words else None
+    return (zstandard.ZstdCompressor(level=3, dict_data=known).compress,
+            zstandard.ZstdDecompressor(dict_data=known).decompress)
+
+
+def squeeze_texts(words: bytes):
+    """(row_no, id, text) with the text compressed, as it is kept and shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        compress, _ = codec(words)
+        for batch in batches:
+            packed = [compress(t) for t in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
+                                             ["row_no", "id", "packed"])
+    return run
 
-        unpack = zstandard.ZstdDecompressor()
+
+def cut_out(length: int, words: bytes):
+    """(id, packed, packed windows) -> id, spans and the kept text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, unpack = codec(words)
         for batch in batches:
             cols = batch.to_pydict()
             n_bytes, spans, digest = [], [], []
             for packed, starts, windows in zip(cols["packed"], cols["starts"], cols["windows"]):
-                text = unpack.decompress(packed)
+                text = unpack(packed)
                 keep = text
                 merged = []
                 if starts:
-                    start = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
-                    stop = start + np.frombuffer(b"".join(windows), "<u4") + length - 1
-                    order = np.argsort(start)
-                    start, stop = start[order], np.maximum.accumulate(stop[order])
+                    start = np.frombuffer(starts, "<u4").astype(np.int64)
+                    stop = np.maximum.accumulate(start + np.frombuffer(windows, "<u4") + length - 1)
                     first = np.concatenate(([True], start[1:] > stop[:-1]))
                     last = np.concatenate((first[1:], [True]))
                     merged = list(zip(start[first].tolist(), stop[last].tolist()))
@@ -474,20 +526,21 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("id"),
                      F.col(text_col).alias("text"))
     # written once: the row numbers must be the same in all three uses
-    packed = saved(rows.mapInArrow(squeeze_texts, "row_no long, id long, packed binary"), "suffix-texts")
-    met = saved(packed.select("row_no", "packed").mapInArrow(send_runs(length, parts), RUNS)
-                .repartition(parts, "bucket").mapInArrow(repeated_runs(crowd), REPEATED), "suffix-runs")
+    words = shared_words(df, text_col)
+    packed = saved(rows.mapInArrow(squeeze_texts(words), "row_no long, id long, packed binary"), "suffix-texts")
+    met = saved(packed.select("row_no", "packed").mapInArrow(send_runs(length, parts, words), RUNS)
+                .repartition(parts, "bucket").mapInArrow(repeated_runs(crowd, parts), SCATTERED)
+                .repartition(parts, "part").mapInArrow(gather("<u1"), REPEATED), "suffix-runs")
     # the most crowded grams; one beyond the table's bound merely stays unsplit
     crowded = (met.filter("row_no < 0").orderBy(F.desc("starts"), "grams").limit(CROWDED).select("grams")
                .toPandas()["grams"])
     crowded = np.frombuffer(b"".join(crowded), "<u8")
-    wanted = (met.filter("row_no >= 0").groupBy("row_no")
-              .agg(*[F.collect_list(c).alias(c) for c in ("starts", "windows", "grams")]))
-    removed = saved(packed.join(wanted, "row_no").mapInArrow(send_pieces(length, parts, crowded), PIECES)
-                    .repartition(parts, "bucket").mapInArrow(find_repeats(length), REMOVED), "suffix-removed")
-    spans = removed.groupBy("row_no").agg(*[F.collect_list(c).alias(c) for c in ("starts", "windows")])
+    wanted = met.filter("row_no >= 0")
+    spans = saved(packed.join(wanted, "row_no").mapInArrow(send_pieces(length, parts, crowded, words), PIECES)
+                  .repartition(parts, "bucket").mapInArrow(find_repeats(length, parts), SCATTERED)
+                  .repartition(parts, "part").mapInArrow(gather("<u4"), REPEATED), "suffix-removed")
     out = (packed.join(spans, "row_no", "left").select("id", "packed", "starts", "windows")
-           .mapInArrow(cut_out(length), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, "
+           .mapInArrow(cut_out(length, words), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, "
                                         "kept_sha256 string"))
     return out.withColumnRenamed("id", id_col)
 
