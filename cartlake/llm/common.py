@@ -5,6 +5,7 @@ train/held-out split."""
 from __future__ import annotations
 
 import sys
+from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,15 @@ def texts(col) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast("binary").to_pylist()]
 
 
+def per_worker(name: str, make):
+    """``make()`` once per Python worker process; later tasks of the worker get
+    the same object (functions pickled by value have no lasting globals)."""
+    held = sys.modules.setdefault("_cartlake_worker", ModuleType("_cartlake_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def ship(module: str) -> None:
     """Pickle a module's functions by value, so that executors need no copy
     of this package."""

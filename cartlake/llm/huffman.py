@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,25 @@ from pyspark.sql import functions as F
 
 from cartlake.plans.session import scratch_path
 
-from .common import saved, ship, shuffle_parts, texts
+from .common import per_worker, saved, ship, shuffle_parts, texts
 
 STEP = 64            # ids between two checkpoints
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 # UTF-8 lead bytes of the combining marks that can compose with a Latin letter
 COMBINING = re.compile(rb"[\xcc\xcd]")
 
 
+# letters, then ASCII marks without the apostrophe (which can open a contraction)
+LETTERS_MARKS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+    others follow from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    return {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
 class WordIds(dict):
     """Word (UTF-8, no white space) -> its ids as packed bytes."""
 
@@ -49,11 +62,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.width = Tokenizer.from_file(path), width
-        self.model = self.tokenizer.model
-        self.dot = {p: self._whole([p])[0] for p in (b".", b",")}
-
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        self.tokenize, self.bytes_as = self.tokenizer.model.tokenize, byte_letters()
+        self.code = "H" if width == "<u2" else "I"
 
     def _whole(self, words: list[bytes]) -> list[bytes]:
         e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True,
@@ -63,37 +73,65 @@ class WordIds(dict):
         cut = np.searchsorted(owner, np.arange(len(words) + 1))
         return [ids[a:b].tobytes() for a, b in pairwise(cut)]
 
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters only, which normalising merely lower-cases
+        and the splitter keeps whole; None if that is not sure."""
+        if word.isascii():
+            text = word.lower().decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            low = text.lower()
+            # alphabets up to Cyrillic; a final sigma is lower-cased by its neighbours in Python only
+            if (max(low) > "\u052f" or not low.isalpha() or "\u03a3" in text or len(low) != len(text)
+                    or not (is_normalized("NFC", text) and is_normalized("NFC", low))):
+                return None
+            text = low.encode().decode("latin-1").translate(self.bytes_as)
+        return array(self.code, [t.id for t in self.tokenize(text)]).tobytes()
+
     def learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self]
         if len(self) + len(missing) > CACHE_WORDS:
             self.clear()
-            missing = list(words)
-        dotted = [w for w in missing if w[-1:] in self.dot and w[:-1].isalpha()]
-        plain = {w[:-1] for w in dotted} | {w for w in missing if w.isalpha()}
-        for w in plain:
-            if w not in self:
-                # lower-case ASCII letters pass the normaliser and the splitter unchanged
-                self[w] = (self._pack([t.id for t in self.model.tokenize(w.decode())]) if w.islower()
-                           else self._whole([w])[0])
-        for w in dotted:
-            self[w] = self[w[:-1]] + self.dot[w[-1:]]
-        rest = [w for w in missing if w not in self]
+            missing = words
+        rest, marks, pairs = [], set(), []
+        for w in missing:
+            m = LETTERS_MARKS.fullmatch(w)
+            if m is None:
+                rest.append(w)
+                continue
+            word, end = m.groups()
+            ids = self.get(word)
+            if ids is None:
+                ids = self._letters(word)
+                if ids is None:
+                    rest.append(w)
+                    continue
+                self[word] = ids
+            if end:
+                pairs.append((w, ids, end))
+                if end not in self:
+                    marks.add(end)
+        rest += marks
         for at in range(0, len(rest), 256):
             part = rest[at:at + 256]
             self.update(zip(part, self._whole(part)))
+        for w, ids, end in pairs:
+            self[w] = ids + self[end]
 
 
 def encode_texts(path: str, end_id: int, width: str):
     """(id, text) batches -> (id, ids packed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path, width)
+        known = per_worker(f"word ids {path} {width}", lambda: WordIds(path, width))
         end = np.array([end_id], width).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            # about 8 MB of text at a time, as batches may hold very long texts
+            step = max(1, min(1024, (batch.num_rows << 23) // (batch.nbytes + 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 # lower-casing A-Z first is the tokenizer's own rule and lets the cache hit more often
                 split = [(t if COMBINING.search(t) else t.lower()).split() for t in texts(part.column(1))]
-                known.learn({w for ws in split for w in ws})
+                known.learn(set().union(*split))
                 get = known.__getitem__
                 packed = [b"".join(map(get, ws)) + end for ws in split]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
