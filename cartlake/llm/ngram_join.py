@@ -2,8 +2,8 @@
 
 A document is the set of its distinct ``k``-word shingles (64-bit hashes);
 documents with equal sets are one node (its smallest id). Shingles are
-ordered by estimated frequency (heavy hitters found by Misra-Gries
-summaries, at most ``hot`` of them are broadcast; all others count as rare),
+ordered by estimated frequency (heavy hitters counted per partition, at most
+``hot`` of them are broadcast; all others count as rare),
 then by hash, and only a prefix of each set enters the inverted index. If two
 sets reach the threshold ``t``, their prefixes of
 ``size - ceil(t * size) + m`` shingles share at least m: each document takes
@@ -14,7 +14,7 @@ Links are wanted up to connectivity: ``stars`` (at least 1) star rounds first ve
 pair with the leading node of its index entries; after connecting what they
 link, only pairs of nodes in different components remain, all of which are
 enumerated (index join between components, minority side first), counted,
-filtered and verified exactly on the full sets. Equal sets and pairs inside a
+filtered by size and count and verified exactly on the full sets. Equal sets and pairs inside a
 component are never expanded, so a large group of copies costs its size, not
 its square.
 
@@ -28,19 +28,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, shuffle_parts, texts
+from .common import per_worker, saved, ship, shuffle_parts, texts
 from .components import components
 from .lm_score import run_lengths
 
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 800_000
+SOME = 1 << 22
 BITMAP = 1 << 24
 DEEPEST = 4                # largest number of prefix matches asked for
 
@@ -51,38 +53,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of shingle hashes of texts; word hashes are cached."""
+    """Sets of shingle hashes of texts; word hashes are kept per worker."""
 
     def __init__(self, k: int):
-        self.k, self.known = k, {}
-
-    def words(self, text: bytes) -> np.ndarray:
-        import xxhash
-
-        split = text.lower().split()
-        try:
-            return np.fromiter(map(self.known.__getitem__, split), np.uint64, len(split))
-        except KeyError:
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-            for w in set(split).difference(self.known):
-                self.known[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(self.known.__getitem__, split), np.uint64, len(split))
+        self.k, self.known = k, per_worker("word hashes", dict)
 
     def sets(self, docs: list[bytes]) -> list[np.ndarray]:
         """Ascending distinct shingle hashes of each text."""
+        import xxhash
+
+        split = [t.lower().split() for t in docs]
+        words = set().union(*split)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        for w in words.difference(self.known):
+            self.known[w] = xxhash.xxh64_intdigest(w)
+        size = np.array([len(s) for s in split], np.int64)
+        w = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.uint64, int(size.sum()))
+        k, end = self.k, np.cumsum(size)
+        # all shingles at once, also those across two texts, which no slice below takes
+        h = np.full(max(len(w) - k + 1, 0), k, np.uint64)
+        for i in range(k):
+            h = mixed(h + w[i:i + len(h)] * MULT[i % len(MULT)])
         out = []
-        for t in docs:
-            w = self.words(t)
-            n = min(self.k, len(w))
-            if not n:
-                out.append(w)
-                continue
-            h = np.full(len(w) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = mixed(h + w[i:len(w) - n + 1 + i] * MULT[i % len(MULT)])
-            h.sort()
-            out.append(h[np.concatenate(([True], h[1:] != h[:-1]))])
+        for a, b, n in zip((end - size).tolist(), end.tolist(), size.tolist()):
+            if n >= k:
+                one = np.sort(h[a:b - k + 1])
+                out.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
+            else:
+                one = np.full(min(n, 1), n, np.uint64)
+                for i in range(n):
+                    one = mixed(one + w[a + i] * MULT[i % len(MULT)])
+                out.append(one)
         return out
 
 
@@ -90,37 +92,50 @@ def digest(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
+class Common:
+    """Estimates of how often shingles occur, for those met at least twice in
+    one of the chunks of SOME shingles; the ``hot`` most frequent are kept. An
+    estimate only orders shingles, it decides nothing."""
+
+    def __init__(self, hot: int):
+        self.hot, self.keys, self.n = hot, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting, self.size = [], 0
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.waiting += sets
+        self.size += sum(map(len, sets))
+        if self.size > SOME:
+            self.fold()
+
+    def fold(self) -> None:
+        new = np.sort(np.concatenate([np.zeros(0, np.uint64), *self.waiting]))
+        first = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1]))) if len(new) else np.zeros(0, int)
+        n = np.diff(np.concatenate((first, [len(new)])))
+        keys, n = new[first][n > 1], n[n > 1]
+        keys, n = run_lengths(np.concatenate((self.keys, keys)), np.concatenate((self.n, n)))
+        if len(keys) > 2 * self.hot:
+            keep = n > np.partition(n, -self.hot)[-self.hot]
+            keys, n = keys[keep], n[keep]
+        self.keys, self.n, self.waiting, self.size = keys, n, [], 0
+
+
 def describe(k: int, hot: int):
     """(id, text) -> (id, size, digest) per row; at the end of a partition its
     frequent shingles (token, n) with null digests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, waiting, n_waiting, id_type = Shingler(k), [], 0, None
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def fold(keys, n):
-            new = np.concatenate([np.zeros(0, np.uint64), *waiting])
-            keys, n = run_lengths(np.concatenate([keys, new]), np.concatenate([n, np.ones(len(new), np.int64)]))
-            if len(keys) > 2 * hot:
-                cut = int(np.partition(n, -hot)[-hot])
-                keys, n = keys[n > cut], n[n > cut] - cut
-            return keys, n
-
+        shingler, common, id_type = Shingler(k), Common(hot), None
         for batch in batches:
             id_type = batch.column(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = shingler.sets(texts(part.column(1)))
-                waiting += sets
-                n_waiting += sum(map(len, sets))
-                if n_waiting > 1 << 20:
-                    keys, n = fold(keys, n)
-                    waiting, n_waiting = [], 0
+                common.add(sets)
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column(0), "size": pa.array(list(map(len, sets)), pa.int64()),
                     "digest": pa.array(list(map(digest, sets)), pa.binary()),
                     "token": pa.nulls(len(sets), pa.int64()), "n": pa.nulls(len(sets), pa.int64())})
-        keys, n = fold(keys, n)
-        keys, n = keys[n > 2], n[n > 2]
+        common.fold()
+        keys, n = common.keys, common.n
         if len(keys):
             yield pa.RecordBatch.from_pydict({
                 "id": pa.nulls(len(keys), id_type), "size": pa.nulls(len(keys), pa.int64()),
@@ -287,13 +302,25 @@ def candidate_sets(df: DataFrame, nodes: DataFrame, k: int, id_col: str, text_co
     return sets.join(nodes, ["node", "digest"]).groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> (a, b, linked), exact on the full sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    t = dict(both.dtypes)["a"]
-    return saved(both.mapInArrow(verified(percent), f"a {t}, b {t}, linked boolean"), "ngram-verified")
+class Verifier:
+    """Exact check of pairs on the full sets, which are computed for the nodes
+    of the pairs only."""
+
+    def __init__(self, df: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str):
+        self.df, self.nodes, self.k, self.percent = df, nodes, k, percent
+        self.id_col, self.text_col = id_col, text_col
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) -> (a, b, linked)."""
+        pairs = saved(pairs, "ngram-pairs")
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = saved(self.nodes.join(named, "node"), "ngram-wanted")
+        sets = saved(candidate_sets(self.df, wanted, self.k, self.id_col, self.text_col), "ngram-sets")
+        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        t = dict(both.dtypes)["a"]
+        return saved(both.mapInArrow(verified(self.percent), f"a {t}, b {t}, linked boolean"), "ngram-verified")
 
 
 def fits(percent: int):
@@ -301,13 +328,26 @@ def fits(percent: int):
     return 100 * F.least("size", "other") >= percent * F.greatest("size", "other")
 
 
+def enough(percent: int):
+    """The count filter for a pair that shares n index entries (columns size,
+    ask and other, ask2): at least the smaller number asked for, and, as all
+    shared shingles beyond the earlier ending prefix lie outside that prefix,
+    at least the overlap the threshold needs less what may lie outside."""
+    overlap = F.ceil(percent * (F.col("size") + F.col("other")) / (100 + percent))
+    outside = F.greatest(F.ceil(percent * F.col("size") / 100) - F.col("ask"),
+                         F.ceil(percent * F.col("other") / 100) - F.col("ask2"))
+    return F.col("n") >= F.greatest(F.least("ask", "ask2"), overlap - outside)
+
+
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """For every node the leader (first node of an index entry's first
-    component) it shares most entries with, if sizes allow."""
-    lead = entries.groupBy("token").agg(F.min(F.struct("component", "node", "size")).alias("lead"))
+    component) it shares most entries with, if sizes and count allow."""
+    lead = entries.groupBy("token").agg(F.min(F.struct("component", "node", "size", "ask")).alias("lead"))
     return (entries.join(lead, "token").filter("component != lead.component")
-            .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "size", F.col("lead.size").alias("other"))
-            .filter(fits(percent)).groupBy("a", "b").agg(F.count("*").alias("n"))
+            .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "size", "ask",
+                    F.col("lead.size").alias("other"), F.col("lead.ask").alias("ask2")).filter(fits(percent))
+            .groupBy("a", "b").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "ask", "other", "ask2")])
+            .filter(enough(percent))
             .groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
 
 
@@ -323,8 +363,8 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
     met = left.join(right, "token").filter("component != component2") \
         .filter((F.col("component2") == F.col("main")) | (F.col("node") < F.col("node2"))).filter(fits(percent))
     return (met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            .agg(F.count("*").alias("n"), F.min(F.least("ask", "ask2")).alias("ask")).filter("n >= ask")
-            .select("a", "b"))
+            .agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "ask", "other", "ask2")])
+            .filter(enough(percent)).select("a", "b"))
 
 
 def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -341,7 +381,7 @@ def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75,
-               hot: int = 1 << 17, stars: int = 2) -> DataFrame:
+               hot: int = 1 << 16, stars: int = 1) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = df.sparkSession
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -359,18 +399,17 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
               .mapInArrow(shared_entries, "token long, digest binary, size long, ask int"))
     nodes = saved(docs.filter("size > 0").groupBy("digest").agg(F.min("id").alias("node")), "ngram-nodes")
     nodes = nodes.filter("node IS NOT NULL")
-    entries = saved(shared.join(nodes, "digest").groupBy("token", "node", "digest")
+    entries = saved(shared.join(nodes, "digest").groupBy("token", "node")
                     .agg(F.max("size").alias("size"), F.max("ask").alias("ask")), "ngram-shared")
-    wanted = entries.select("node", "digest").distinct()
-    sets = saved(candidate_sets(df, wanted, k, id_col, text_col), "ngram-sets")
+    verifier = Verifier(df, nodes, k, percent, id_col, text_col)
     entries = with_components(entries, None)
-    checked = verify(star_pairs(entries, percent), sets, percent)
+    checked = verifier.check(star_pairs(entries, percent))
     for _ in range(stars - 1):
         entries = with_components(entries, checked.filter("linked"))
-        checked = checked.unionByName(verify(star_pairs(entries, percent), sets, percent))
+        checked = checked.unionByName(verifier.check(star_pairs(entries, percent)))
     entries = with_components(entries, checked.filter("linked"))
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = verify(cross_pairs(entries, percent).join(done, ["a", "b"], "left_anti"), sets, percent)
+    rest = verifier.check(cross_pairs(entries, percent).join(done, ["a", "b"], "left_anti"))
     found = components(checked.unionByName(rest).filter("linked"))
     named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = docs.join(named, "digest", "left")
