@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-FEATURES = 4096
+FEATURES = 2048
 CHUNK = 1 << 20           # letters scored at once
 UNKNOWN = "und"
 
@@ -129,7 +129,7 @@ class Model:
 
 
 def fit(df: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-        per_language: int = 1500, ridge: float = 2e-4) -> Model:
+        per_language: int = 1000, ridge: float = 2e-4) -> Model:
     """Fit on at most about ``per_language`` rows of every language."""
     known = df.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()) \
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
@@ -147,19 +147,22 @@ def fit(df: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "t
     x = np.zeros((len(rows), FEATURES), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.buckets, "<u2")] = np.frombuffer(r.shares, "<f4")
-    x = np.sqrt(x)
+    np.sqrt(x, out=x)
     code = codewords(len(langs))
     who = np.array([langs.index(r.lang) for r in rows], int)
     y = code[who]
     even = 1 / np.bincount(who, minlength=len(langs))[who] / len(langs)      # every language weighs the same
-    mean = even @ x
-    xc = (x - mean) * np.sqrt(even)[:, None].astype(np.float32)
-    base = even @ y
-    gram = xc.T @ xc
+    mean, base = even @ x, even @ y
+    x -= mean.astype(np.float32)
+    gram, side = np.zeros((FEATURES, FEATURES), np.float32), np.zeros((FEATURES, code.shape[1]), np.float32)
+    for at in range(0, len(x), 512):
+        part, weight = x[at:at + 512], even[at:at + 512, None].astype(np.float32)
+        gram += (part * weight).T @ part
+        side += (part * weight).T @ (y[at:at + 512] - base).astype(np.float32)
     gram[np.diag_indices(FEATURES)] += ridge
-    w = np.linalg.solve(gram, xc.T @ ((y - base) * np.sqrt(even)[:, None]).astype(np.float32))
+    w = np.linalg.solve(gram, side)
     bias = base - mean @ w
-    wrong = even @ (np.sign(x @ w + bias) != y)
+    wrong = even @ (np.sign(x @ w + base) != y)
     trust = np.log((1 - np.clip(wrong, 1e-3, 0.49)) / np.clip(wrong, 1e-3, 0.49))
     return Model(langs, code, w.astype(np.float32), bias, trust)
 
