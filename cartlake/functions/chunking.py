@@ -1,89 +1,108 @@
-"""Per-document greedy chunk packing, run inside Spark tasks (mapInPandas).
-
-Rules: paragraphs (split on ``sep``, stripped, empties dropped) are joined
-with a blank line while the chunk stays within ``size`` (the +2 counts even
-for the first paragraph). A chunk that cannot take the next paragraph is
-emitted; the next chunk starts with the last ``overlap`` characters of the
-emitted chunk. A paragraph longer than ``size`` is packed word by word from
-an empty chunk; on overflow the words' chunk is emitted and the next starts
-with its own last ``overlap`` characters.
+"""Chunk packing by running lengths, run inside Spark tasks (mapInPandas).
+
+Rules: paragraphs (split on ``sep``, stripped, empties dropped) share a chunk,
+joined by a blank line, while it stays within ``size``; every joined
+paragraph counts two more than its length, also a chunk's first one. The next
+chunk opens with the last ``overlap`` characters of the chunk before it. A
+paragraph longer than ``size`` is packed from an empty chunk word by word,
+joined by a space and counting one more, in the same way (a first word that
+is too long closes the empty chunk).
+
+Both kinds of packing are one step: how far the running costs of the pieces
+from here on stay within the room left, found by bisection, and one join of
+that slice.
 """
 
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 
-def _tail(s: str, n: int) -> str:
-    return s[-n:] if len(s) > n else s
+class Pieces:
+    """Paragraphs or words with their running costs."""
 
+    def __init__(self, pieces: list[str], glue: str, size: int):
+        self.pieces, self.glue, self.size = pieces, glue, size
+        self.cost = list(accumulate((len(p) + len(glue) for p in pieces), initial=0))
 
-def pack_words(para: str, size: int, overlap: int, done: list[str]) -> str:
-    """Word packing of one oversize paragraph from an empty chunk; full
-    chunks are appended to ``done``, the open chunk is returned."""
-    cur = ""
-    for word in para.split():
-        if len(cur) + len(word) + 1 <= size:
-            cur = f"{cur} {word}" if cur else word
+    def fill(self, at: int, start: str) -> tuple[int, str]:
+        """(index of the first piece that no longer fits, the filled chunk)."""
+        if start:
+            room = self.size - len(start)
+        elif self.cost[at + 1] - self.cost[at] <= self.size:
+            room = self.size + len(self.glue)        # nothing to glue the first piece to
         else:
-            done.append(cur.strip())
-            cur = f"{_tail(cur, overlap)} {word}"
-    return cur
+            return at, ""
+        end = max(bisect_right(self.cost, self.cost[at] + room) - 1, at)
+        return end, self.glue.join([start, *self.pieces[at:end]] if start else self.pieces[at:end])
+
+
+def ending(text: str, overlap: int) -> str:
+    return text[max(len(text) - overlap, 0):]
+
+
+def word_chunks(paragraph: str, size: int, overlap: int) -> list[str]:
+    """Chunks of a paragraph longer than ``size``; the last one is still open."""
+    words = Pieces(paragraph.split(), " ", size)
+    at, start, out = 0, "", []
+    while True:
+        at, chunk = words.fill(at, start) if at < len(words.pieces) else (at, start)
+        out.append(chunk)
+        if at == len(words.pieces):
+            return out
+        start = f"{ending(chunk, overlap)} {words.pieces[at]}"
+        at += 1
 
 
 def chunk_text(text: str, size: int, overlap: int, sep: str) -> list[str]:
+    paragraphs = Pieces([p for p in (raw.strip() for raw in (text or "").split(sep)) if p], "\n\n", size)
     done: list[str] = []
-    cur = ""
-    for raw in (text or "").split(sep):
-        para = raw.strip()
-        if not para:
-            continue
-        if len(cur) + len(para) + 2 <= size:
-            cur = f"{cur}\n\n{para}" if cur else para
-            continue
-        if cur:
-            done.append(cur.strip())
-        if len(para) <= size:
-            cur = f"{_tail(done[-1], overlap)}\n\n{para}" if done else para
-            continue
-        cur = pack_words(para, size, overlap, done)
-    if cur.strip():
-        done.append(cur.strip())
-    return done
-
-
-def split_batches(batches, size: int, overlap: int):
-    """mapInPandas body: oversize paragraphs -> their word-packed pieces."""
-    import pandas as pd
-
-    for pdf in batches:
-        names, pos, idx, pieces = [], [], [], []
-        for name, p, para in zip(pdf["doc_name"], pdf["pos"], pdf["paragraph"]):
-            done: list[str] = []
-            last = pack_words(para, size, overlap, done)
-            for i, piece in enumerate(done + [last.strip()]):
-                names.append(name)
-                pos.append(p)
-                idx.append(i)
-                pieces.append(piece)
-        yield pd.DataFrame({"doc_name": pd.Series(names, dtype=pdf["doc_name"].dtype), "pos": pd.Series(pos, dtype="int64"),
-                            "piece_index": pd.Series(idx, dtype="int64"), "piece": pd.Series(pieces, dtype=object)})
-
-
-def chunk_batches(batches, size: int, overlap: int, sep: str):
-    """mapInPandas body: (doc_name, text) batches -> (doc_name, chunk_index,
-    content) batches."""
-    import pandas as pd
-
-    for pdf in batches:
-        names, idx, content = [], [], []
-        for name, text in zip(pdf["doc_name"], pdf["text"]):
-            for i, c in enumerate(chunk_text(text, size, overlap, sep)):
-                names.append(name)
-                idx.append(i)
-                content.append(c)
-        yield pd.DataFrame({"doc_name": pd.Series(names, dtype=pdf["doc_name"].dtype),
-                            "chunk_index": pd.Series(idx, dtype="int64"), "content": pd.Series(content, dtype=object)})
+    at, chunk = 0, ""
+    while at < len(paragraphs.pieces):
+        at, chunk = paragraphs.fill(at, chunk)
+        if at == len(paragraphs.pieces):
+            break
+        if chunk:
+            done.append(chunk.strip())
+        head = paragraphs.pieces[at]
+        at += 1
+        if len(head) > size:
+            *full, chunk = word_chunks(head, size, overlap)
+            done += [c.strip() for c in full]
+        else:
+            chunk = f"{ending(done[-1], overlap)}\n\n{head}" if done else head
+    return done + [chunk.strip()] * bool(chunk.strip())
+
+
+def rows_of(make, keys: list[str], extra: tuple[str, str]):
+    """mapInPandas body: ``make(last input column)`` texts per row, numbered,
+    beside the key columns."""
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            lists = [make(t) for t in pdf[pdf.columns[-1]]]
+            sizes = [len(x) for x in lists]
+            out = pdf[keys].loc[pdf.index.repeat(sizes)].reset_index(drop=True)
+            out[extra[0]] = pd.Series([i for n in sizes for i in range(n)], dtype="int64")
+            out[extra[1]] = pd.Series([c for x in lists for c in x], dtype=object)
+            yield out
+    return run
+
+
+def split_batches(size: int, overlap: int):
+    """(doc_name, pos, paragraph) batches -> pieces of oversize paragraphs."""
+    def pieces(p: str) -> list[str]:
+        return [c.strip() for c in word_chunks(p, size, overlap)]
+    return rows_of(pieces, ["doc_name", "pos"], ("piece_index", "piece"))
+
+
+def chunk_batches(size: int, overlap: int, sep: str):
+    """(doc_name, text) batches -> (doc_name, chunk_index, content)."""
+    return rows_of(lambda t: chunk_text(t, size, overlap, sep), ["doc_name"], ("chunk_index", "content"))
 
 
 # Executors need not have this package installed: functions of this module

@@ -25,6 +25,29 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
+def token_vectors(dim: int):
+    """UDF: token lists -> unit vectors of their counts by md5 bucket."""
+    from hashlib import md5
+
+    import pandas as pd
+
+    def vectors(tokens: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for row in tokens:
+            spots = []
+            for t in row:
+                if t not in known:
+                    known[t] = int(md5(t.encode()).hexdigest()[:8], 16) % dim
+                spots.append(known[t])
+            n = np.bincount(np.array(spots, np.int64), minlength=dim).astype(np.float64)
+            out.append((n / max(np.sqrt((n * n).sum()), 1e-300)).astype(np.float32))
+        return pd.Series(out, dtype=object)
+
+    vectors.__annotations__ = {"tokens": pd.Series, "return": pd.Series}
+    return F.pandas_udf(vectors, "array<float>")
+
+
 def scored_batches(block: list[tuple], k: int, n_within: int):
     """block: (query_id, within values, vector). Batches of (id, embedding,
     within..., carried...) -> the batch's k best rows of every query."""

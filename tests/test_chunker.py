@@ -1,14 +1,28 @@
-"""Chunker: Arrow helper and native fold both equal the Python model."""
+"""Chunker: the running-length helper and the native fold against the rules
+as a left fold in DuckDB SQL."""
 
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cartlake.functions.chunking import chunk_text
 from cartlake.operators import rag
-from chunk_model import model_chunks
+from cartlake.queries.rag import chunks_sql
+
+
+def model_chunks(texts, size=1000, overlap=200, sep="chr(10) || chr(10)"):
+    """Chunks of every text, by SQL."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE docs (doc_name BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO docs VALUES (?, ?)", list(enumerate(texts)))
+    out = [[] for _ in texts]
+    for name, content in con.execute(f"WITH {chunks_sql('docs', size, overlap, sep)} "
+                                     "SELECT doc_name, content FROM chunks ORDER BY doc_name, chunk_index").fetchall():
+        out[name].append(content)
+    return out
 
 
 def _para(n, ch="a"):
@@ -35,9 +49,8 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("text", CASES)
-def test_helper_matches_model(text):
-    assert chunk_text(text, 1000, 200, "\n\n") == model_chunks(text)
+def test_helper_matches_sql():
+    assert [chunk_text(t, 1000, 200, "\n\n") for t in CASES] == model_chunks(CASES)
 
 
 def test_empty_chunk_quirk():
@@ -45,25 +58,34 @@ def test_empty_chunk_quirk():
     assert out[0] == "" and len(out) == 2
 
 
-@given(st.lists(st.text(alphabet="ab 　\n", min_size=0, max_size=400), max_size=8),
+@given(st.lists(st.lists(st.text(alphabet="ab \u3000\n", min_size=0, max_size=400), max_size=8), min_size=1, max_size=8),
        st.integers(min_value=20, max_value=120), st.integers(min_value=0, max_value=30))
-@settings(max_examples=200, deadline=None)
-def test_helper_property(paras, size, overlap):
-    text = "\n\n".join(paras)
-    assert chunk_text(text, size, overlap, "\n\n") == model_chunks(text, size, overlap)
+@settings(max_examples=60, deadline=None)
+def test_helper_property(docs, size, overlap):
+    texts = ["\n\n".join(paras) for paras in docs]
+    assert [chunk_text(t, size, overlap, "\n\n") for t in texts] == model_chunks(texts, size, overlap)
+
+
+@pytest.mark.parametrize("overlap", [0, 1, 7])
+def test_fold_equals_helper_at_small_overlaps(spark, overlap):
+    texts = [c * 3 for c in ("ab cd ef\n\n", "abcdefghijklm nop\n\nq r s t\n\n", "　x　\n\n" + "yy " * 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_name long, text string")
+    for r in rag.chunk_documents(docs, 12, overlap, engine="fold").collect():
+        assert r.content == chunk_text(texts[r.doc_name], 12, overlap, "\n\n")[r.chunk_index]
 
 
 def test_spark_engines_match_model(spark):
     rnd = random.Random(7)
     texts = CASES + ["\n\n".join(_para(rnd.randint(1, 2600)) for _ in range(rnd.randint(1, 9))) for _ in range(30)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_name long, text string")
+    want = model_chunks(texts)
     for engine in ("arrow", "fold"):
         got = {}
         for r in rag.chunk_documents(docs, engine=engine).collect():
             got.setdefault(r.doc_name, {})[r.chunk_index] = r.content
-        for i, t in enumerate(texts):
+        for i in range(len(texts)):
             g = got.get(i, {})
-            assert [g[k] for k in range(len(g))] == model_chunks(t), (engine, i)
+            assert [g[k] for k in range(len(g))] == want[i], (engine, i)
 
 
 def test_chunk_ids_are_md5_prefix(spark):
