@@ -18,10 +18,11 @@ def ustrip(c: Column) -> Column:
     return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
-def md5_pick(key: Column, salt: str, n) -> Column:
+def md5_pick(key: Column, salt: str, n, suffix: Column | None = None) -> Column:
     """Deterministic, partition-independent pick in [0, n): the first 32 bits
-    of md5(key ':' salt) modulo n. Reproducible in DuckDB."""
-    h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":" + salt))), 1, 8), 16, 10).cast("bigint")
+    of md5(key ':' salt [':' suffix]) modulo n. Reproducible in DuckDB."""
+    text = [key.cast("string"), F.lit(":" + salt)] + ([] if suffix is None else [F.lit(":"), suffix.cast("string")])
+    h = F.conv(F.substring(F.md5(F.concat(*text)), 1, 8), 16, 10).cast("bigint")
     return F.pmod(h, n if isinstance(n, Column) else F.lit(n))
 
 

@@ -43,8 +43,8 @@ def offsets(df: DataFrame, sums: dict[str, str], order: list[Column], blocks: li
                       .agg(*[F.sum(f"_sum_{c}").alias(f"_sum_{c}") for c in sums]))
     before = None
     for depth, t in enumerate(totals):
-        # a constant key stands in for a missing parent: the top level has one row per top block
-        parent = [*partition, *names[:depth]] or [F.lit(0)]
+        # without a partition the top blocks (2^48 keys each, so a row or two) hang under one common parent
+        parent = [*partition, *names[:depth]] or [F.shiftright(names[0], 62)]
         w = Window.partitionBy(*parent).orderBy(names[depth])
         t = t.select(*partition, *names[:depth + 1],
                      *[(F.sum(f"_sum_{c}").over(w) - F.col(f"_sum_{c}")).alias(f"_off_{c}") for c in sums])

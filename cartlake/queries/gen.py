@@ -83,7 +83,8 @@ def products_sql():
     CAST(b % {G.BASE_PER_CATEGORY} + 1 AS VARCHAR)) AS name,
   {lit_list(G.CATEGORIES)}[cat + 1] AS category, concat('brand_', CAST(b % 25 AS VARCHAR)) AS brand,
   CASE WHEN i > {n_base} THEN {money_sql(f"bp * (0.8 + {pick('i', 'factor', 70001)} / 100000.0::DOUBLE)")} ELSE bp END AS price,
-  CAST({uni('i', 'stock', 0, 500)} AS INTEGER) AS stock_quantity, CAST(cat + 1 AS INTEGER) AS aisle
+  CAST({uni('i', 'stock', 0, 500)} AS INTEGER) AS stock_quantity, CAST(cat + 1 AS INTEGER) AS aisle,
+  {choose('b', 'unit', G.UNITS)} AS unit
 FROM (SELECT i, b, CAST(floor(b / {G.BASE_PER_CATEGORY}) AS BIGINT) AS cat,
     {money_sql(f"{uni('b', 'price', 0, G.BASE_PRICE_SPAN)} + {G.BASE_PRICE_MIN} - 0.02::DOUBLE")} AS bp
   FROM (SELECT p_partkey + 1 AS i, {base.replace('i', 'p_partkey + 1')} AS b FROM part))"""
@@ -100,17 +101,25 @@ def transactions_sql():
 FROM (SELECT o_orderkey + 1 AS i FROM orders)"""
 
 
+PHONE_SQL = (f"concat({choose('i', 'area', G.AREA_CODES)}, '-', CAST({uni('i', 'ph1', 1000, 9999)} AS VARCHAR), '-', "
+             f"CAST({uni('i', 'ph2', 1000, 9999)} AS VARCHAR))")
+ZIP_SQL = f"concat(CAST({uni('i', 'zip1', 100, 999)} AS VARCHAR), '-', CAST({uni('i', 'zip2', 1000, 9999)} AS VARCHAR))"
+ADDRESS_SQL = (f"concat({choose('i', 'street', G.STREETS)}, CAST({uni('i', 'a1', 1, 30)} AS VARCHAR), '-', "
+               f"CAST({uni('i', 'a2', 1, 20)} AS VARCHAR), '-', CAST({uni('i', 'a3', 1, 15)} AS VARCHAR))")
+
+
 def items_sql():
-    n = "np"
     line = "concat(CAST(x.i AS VARCHAR), ':', CAST(x.j AS VARCHAR))"
+    pick_j = "(CAST(('0x' || substr(md5(concat(CAST(i AS VARCHAR), ':item:', CAST(e[1] AS VARCHAR))), 1, 8)) AS BIGINT) % (e[1] + 1))"
     return f"""WITH txns AS ({transactions_sql()}), products AS ({products_sql()}),
-tx AS (SELECT *, (SELECT count(*) FROM part) AS np FROM txns),
-t AS (SELECT i, transaction_id, n_items, np, sum(n_items) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - n_items AS item_base,
-  {pick('i', 'start', n)} AS st, {pick('i', 'step', f'CAST(greatest(floor({n} / {G.MAX_ITEMS}), 1) AS BIGINT)')} + 1 AS sp FROM tx),
-x AS (SELECT i, transaction_id, item_base, unnest(range(0, n_items)) AS j, np, st, sp FROM t)
-SELECT printf('ITEM-%06d', x.item_base + x.j + 1) AS item_id, x.transaction_id, printf('PROD-%04d', (x.st + x.j * x.sp) % x.np + 1) AS product_id,
+tx AS (SELECT i, transaction_id, (SELECT count(*) FROM part) AS np, least(n_items, (SELECT count(*) FROM part)) AS n FROM txns),
+t AS (SELECT *, sum(n) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - n AS item_base,
+  list_reduce(list_transform(range(np - n, np), lambda v: [v]),
+    lambda a, e: list_append(a, CASE WHEN list_contains(a, {pick_j}) THEN e[1] ELSE {pick_j} END), []::BIGINT[]) AS ps FROM tx WHERE n > 0),
+x AS (SELECT i, transaction_id, item_base, unnest(range(0, n)) AS j, unnest(ps) AS p FROM t)
+SELECT printf('ITEM-%06d', CAST(x.item_base + x.j + 1 AS BIGINT)) AS item_id, x.transaction_id, printf('PROD-%04d', x.p + 1) AS product_id,
   CAST({uni(line, 'qty', 1, 5)} AS DOUBLE) AS quantity, pr.price AS unit_price, {choose(line, 'disc', G.DISCOUNTS)} AS discount
-FROM x JOIN products pr ON pr.product_id = printf('PROD-%04d', (x.st + x.j * x.sp) % x.np + 1)"""
+FROM x JOIN products pr ON pr.product_id = printf('PROD-%04d', x.p + 1)"""
 
 
 # ------------------------------------------------------------------ Spark side
@@ -142,10 +151,7 @@ def q_customers(s, d):
 @reg("gen_contact_fields", f"""WITH c AS ({customers_sql()})
 SELECT *, concat('user', {choose('i', 'sep', G.EMAIL_SEPS)}, substr(md5(concat(first_name, last_name)), 1, 8),
     CASE WHEN {pick('i', 'numq', 2)} = 0 THEN '' ELSE CAST({uni('i', 'num', 1, 99)} AS VARCHAR) END, '@', {choose('i', 'domain', G.EMAIL_DOMAINS)}) AS email,
-  concat({choose('i', 'area', G.AREA_CODES)}, '-', CAST({uni('i', 'ph1', 1000, 9999)} AS VARCHAR), '-', CAST({uni('i', 'ph2', 1000, 9999)} AS VARCHAR)) AS phone,
-  concat(CAST({uni('i', 'zip1', 100, 999)} AS VARCHAR), '-', CAST({uni('i', 'zip2', 1000, 9999)} AS VARCHAR)) AS zip_code,
-  concat({choose('i', 'street', G.STREETS)}, CAST({uni('i', 'a1', 1, 30)} AS VARCHAR), '-', CAST({uni('i', 'a2', 1, 20)} AS VARCHAR), '-',
-    CAST({uni('i', 'a3', 1, 15)} AS VARCHAR)) AS address
+  {PHONE_SQL} AS phone, {ZIP_SQL} AS zip_code, {ADDRESS_SQL} AS address
 FROM c""")
 def q_contact(s, d):
     return G.gen_contact_fields(customers(_t(s, d)))
@@ -158,7 +164,7 @@ def q_products(s, d):
 
 @reg("gen_stores", f"""SELECT i, printf('STORE-%02d', i) AS store_id, concat('store ', CAST(i AS VARCHAR)) AS name,
   {lit_list(CITY_NAMES)}[i % {len(G.CITIES)} + 1] AS city, {lit_list(STATE_NAMES)}[i % {len(G.CITIES)} + 1] AS state,
-  '9:00～22:00' AS hours FROM (SELECT s_suppkey + 1 AS i FROM supplier)""")
+  {ADDRESS_SQL} AS address, {ZIP_SQL} AS zip_code, {PHONE_SQL} AS phone, '9:00～22:00' AS hours FROM (SELECT s_suppkey + 1 AS i FROM supplier)""")
 def q_stores(s, d):
     return G.gen_stores(_t(s, d).supplier.select((F.col("s_suppkey") + 1).alias("i")))
 

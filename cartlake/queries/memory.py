@@ -194,7 +194,7 @@ def q_latest_ckpt(s, d):
 
 @reg("mem_merge_messages", """WITH g AS (SELECT chat_id, id, min(seq) AS s0, arg_min(created_at, seq) AS c0,
   arg_max_null(text, seq) AS text FROM message_log GROUP BY chat_id, id)
-SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY s0, c0, id) AS position, text FROM g""", ("message_log",))
+SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY s0, c0, id) AS position, text FROM g""", ("message_parts", "message_log"))
 def q_merge_messages(s, d):
     return M.merge_messages(CD.message_log(_t(s, d)))
 

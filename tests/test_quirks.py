@@ -1,6 +1,7 @@
 """Hand-made fixtures for the behaviours the reference's code implies."""
 
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -27,11 +28,39 @@ def P(type_, text=None, url=None, title=None, state=None, approved=None, tool=No
 
 def test_upsert_keeps_first_role_and_clears_trace(spark):
     log = spark.createDataFrame([
-        (1, 10, 1, "assistant", "hello", T0, "tr-1"),
-        (2, 10, 1, "user", "hello again", T0 + dt.timedelta(days=1), None)],
-        "seq int, id long, chat_id long, role string, text string, created_at timestamp_ntz, trace_id string")
+        (1, 10, 1, "assistant", "hello", T0, "tr-1", [P("text", "a"), P("file", url="u")], ["u"]),
+        (2, 10, 1, "user", "hello again", T0 + dt.timedelta(days=1), None, [P("text", "b")], [])],
+        "seq int, id long, chat_id long, role string, text string, created_at timestamp_ntz, trace_id string, "
+        f"parts array<struct<{PART_FIELDS.replace(' string', ':string').replace(' boolean', ':boolean').replace(', ', ',')}>>, attachments array<string>")
     r = C.upsert_messages(log).first()
     assert (r.role, r.created_at, r.text, r.trace_id) == ("assistant", T0, "hello again", None)
+    assert [p.text for p in r.parts] == ["b"] and r.attachments == []
+
+
+def test_insert_after_delete_revives_the_chat(spark):
+    schema = "seq int, op string, id long, user_id long, title string, visibility string, last_context string, created_at timestamp_ntz"
+    log = spark.createDataFrame([(1, "insert", 1, 7, None, "private", None, T0), (5, "delete", 1, None, None, None, None, None)], schema)
+    again = spark.createDataFrame([(6, 1, 7, "public", None)], "seq int, id long, user_id long, visibility string, created_at timestamp_ntz")
+    assert C.compact_chats(log).count() == 0
+    r = C.compact_chats(C.insert_chat(log, again, F.lit(T0).cast("timestamp_ntz"))).first()
+    assert (r.id, r.visibility, r.created_at) == (1, "public", T0)
+
+
+def test_saves_are_merged_as_json(spark):
+    rows = [("u", "t1", T0, '{}'), ("u", 'q"t', T0, '{"thread_id": "old", "a": [1]}'), ("u", "t3", T0, "[1]"), ("u", "t4", T0, "{")]
+    saves = spark.createDataFrame(rows, "ns_user string, thread_id string, ts timestamp_ntz, value string")
+    got = {r.mem_key: json.loads(r.value) for r in M.put_task(saves).collect()}
+    stamp = T0.isoformat()
+    assert got == {f"t1_{stamp}": {"thread_id": "t1", "timestamp": stamp},
+                   f'q"t_{stamp}': {"a": [1], "thread_id": 'q"t', "timestamp": stamp}}
+    assert sorted((r.thread_id, r.reason) for r in M.rejected_saves(saves).collect()) == [("t3", "not an object"), ("t4", "invalid json")]
+
+
+def test_missing_chat_is_not_writable(spark):
+    chats = spark.createDataFrame([(1, 7, "private")], "id long, user_id long, visibility string")
+    asked = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "chat_id long, user_id long")
+    got = {(r.chat_id, r.user_id): (r.reason, r.can_write) for r in C.acl(chats, asked).collect()}
+    assert got == {(1, 7): ("owner", True), (1, 8): ("forbidden", False), (2, 7): ("not_found", False)}
 
 
 def test_cursor_strict_compare_skips_equal_timestamps(spark):
@@ -91,8 +120,8 @@ def test_segments_and_citations(spark):
     segs = [r.segment for r in C.part_segments(df).orderBy("pos").collect()]
     assert segs == [0, 0, 0, 0, 1, 2, 2]
     md = [r.markdown for r in C.join_citations(df).orderBy("segment").collect()]
-    assert md == ["ab [T1](u1::databricks_citation) [u2](u2::databricks_citation)", "<name>x</name>",
-                  "| cell  [u3](u3::databricks_citation)|"]
+    assert md == ["ab [T1](u1::citation) [u2](u2::citation)", "<name>x</name>",
+                  "| cell  [u3](u3::citation)|"]
 
 
 def test_feedback_supported_three_states(spark):
@@ -172,11 +201,11 @@ def test_blocked_offsets_equal_window(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice(["hot", "hot", "hot", "a", "b"]), rnd.randint(0, 20), i, rnd.randint(0, 3)) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, v long, id long, c long")
-    got = offsets(df, "", "c", out="off", partition=["g"], order=[F.col("v"), F.col("id")],
-                  block_cols=[F.col("v"), F.floor(F.col("id") / 7)])
+    got = offsets(df.withColumn("one", F.lit(1)), {"c": "off", "one": "rank0"}, [F.col("v"), F.col("id")],
+                  [F.shiftright("v", 2), F.col("v"), F.floor(F.col("id") / 7)], ["g"])
     w = Window.partitionBy("g").orderBy("v", "id")
-    exp = df.withColumn("off", F.sum("c").over(w) - F.col("c"))
-    assert sorted(got.select("id", "off").collect()) == sorted(exp.select("id", "off").collect())
+    exp = df.withColumn("off", F.sum("c").over(w) - F.col("c")).withColumn("rank0", F.row_number().over(w) - 1)
+    assert sorted(got.select("id", "off", "rank0").collect()) == sorted(exp.select("id", "off", "rank0").collect())
 
 
 def test_out_of_stock_alternatives_brute_force(spark):
