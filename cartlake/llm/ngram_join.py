@@ -10,10 +10,11 @@ sets reach the threshold ``t``, their prefixes of
 the m of the smallest estimated cost (index entries plus candidates to
 verify), and a pair is verified only if it shares the smaller of its two m.
 
-Links are wanted up to connectivity: ``stars`` (at least 1) star rounds first verify, per node, the
-pair with the leading node of its index entries; after connecting what they
-link, only pairs of nodes in different components remain, all of which are
-enumerated (index join between components, minority side first), counted,
+Links are wanted up to connectivity: star rounds first verify, per node, the
+pair with the leading node of its index entries, in another order each round,
+as long as they link something and the rest is large (at most ``stars``
+rounds); after connecting what they link, only pairs of nodes in different
+components remain, all of which are enumerated (index join between components, minority side first), counted,
 filtered by size and count and verified exactly on the full sets. Equal sets and pairs inside a
 component are never expanded, so a large group of copies costs its size, not
 its square.
@@ -304,20 +305,24 @@ def candidate_sets(df: DataFrame, nodes: DataFrame, k: int, id_col: str, text_co
 
 class Verifier:
     """Exact check of pairs on the full sets, which are computed for the nodes
-    of the pairs only."""
+    of the pairs only, once each."""
 
     def __init__(self, df: DataFrame, nodes: DataFrame, k: int, percent: int, id_col: str, text_col: str):
         self.df, self.nodes, self.k, self.percent = df, nodes, k, percent
-        self.id_col, self.text_col = id_col, text_col
+        self.id_col, self.text_col, self.sets = id_col, text_col, None
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> (a, b, linked)."""
         pairs = saved(pairs, "ngram-pairs")
-        named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = saved(self.nodes.join(named, "node"), "ngram-wanted")
-        sets = saved(candidate_sets(self.df, wanted, self.k, self.id_col, self.text_col), "ngram-sets")
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = saved(self.nodes.join(wanted, "node"), "ngram-wanted")
+        if self.sets is None or not wanted.isEmpty():
+            more = saved(candidate_sets(self.df, wanted, self.k, self.id_col, self.text_col), "ngram-sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        one = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        two = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
         t = dict(both.dtypes)["a"]
         return saved(both.mapInArrow(verified(self.percent), f"a {t}, b {t}, linked boolean"), "ngram-verified")
@@ -339,32 +344,136 @@ def enough(percent: int):
     return F.col("n") >= F.greatest(F.least("ask", "ask2"), overlap - outside)
 
 
-def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """For every node the leader (first node of an index entry's first
-    component) it shares most entries with, if sizes and count allow."""
-    lead = entries.groupBy("token").agg(F.min(F.struct("component", "node", "size", "ask")).alias("lead"))
-    return (entries.join(lead, "token").filter("component != lead.component")
-            .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "size", "ask",
+def star_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For every node the leader it shares most index entries with, if sizes
+    and count allow. An entry's leader is the first node of its first
+    component; in later turns, first in a hash order."""
+    first = ["component", "node"] if not turn else [F.xxhash64("component", F.lit(turn)), F.xxhash64("node", F.lit(turn))]
+    lead = entries.groupBy("token").agg(
+        F.min(F.struct(*[F.expr(c) if isinstance(c, str) else c for c in first], F.col("component").alias("of"),
+                       F.col("node").alias("node_"), "size", "ask")).alias("lead"))
+    return (entries.join(lead, "token").filter("component != lead.of")
+            .select(F.col("lead.node_").alias("a"), F.col("node").alias("b"), "size", "ask",
                     F.col("lead.size").alias("other"), F.col("lead.ask").alias("ask2")).filter(fits(percent))
             .groupBy("a", "b").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "ask", "other", "ask2")])
             .filter(enough(percent))
             .groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
 
 
-def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def cross_size(entries: DataFrame) -> tuple[int, int]:
+    """(rows that cross_pairs would meet, index entries)."""
+    per = (entries.groupBy("token", "component").agg(F.count("*").alias("n"))
+           .groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("main")))
+    r = per.agg(F.sum((F.col("n") - F.col("main")) * F.col("n")).alias("met"), F.sum("n").alias("rows")).first()
+    return r.met or 0, r.rows or 0
+
+
+MEETING = ("bucket int, nodes binary, sizes binary, asks binary, left binary, right binary, counts binary")
+
+
+def meet(percent: int, buckets: int):
+    """A partition's index entries (token, block, asks, node, size, ask,
+    component, main) -> per bucket of the asking node the packed pairs that
+    meet there, with counts: entries of one token and block, of different
+    components, whose sizes fit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        token, block, asks, node, size, ask, component, main = map(np.concatenate, zip(*got))
+        asks = asks.astype(bool)
+        order = np.lexsort((asks, block, token))
+        token, block, asks, node, size, ask, component, main = (
+            x[order] for x in (token, block, asks, node, size, ask, component, main))
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        listed = np.add.reduceat(~asks, first)              # a group's list comes before its askers
+        names, of = np.unique(node, return_inverse=True)
+        some = np.full(len(names), 0)
+        some[of] = np.arange(len(of))
+        size_of, ask_of = size[some], ask[some]
+        askers = np.flatnonzero(asks)
+        work = np.cumsum(listed[group[askers]])
+        schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in
+                                                      ("nodes", "sizes", "asks", "left", "right", "counts"))])
+        at = 0
+        while at < len(askers):
+            end = max(int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 21), "right")), at + 1)
+            who = askers[at:end]
+            at = end
+            n = listed[group[who]]
+            x = np.repeat(who, n)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + first[group[x]]
+            ok = (component[x] != component[y]) & (main[y].astype(bool) | (node[x] < node[y])) \
+                & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            pair, count = np.unique(of[x[ok]] * len(names) + of[y[ok]], return_counts=True)
+            x, y = pair // len(names), pair % len(names)
+            bucket = ((names[x].astype(np.uint64) * MULT[0] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cut)):
+                i = order[cut[b]:cut[b + 1]]
+                own, local = np.unique(np.concatenate((x[i], y[i])), return_inverse=True)
+                rows.append({"bucket": int(b), "nodes": names[own].astype("<i8").tobytes(),
+                             "sizes": size_of[own].astype("<i8").tobytes(), "asks": ask_of[own].astype("<u1").tobytes(),
+                             "left": local[:len(i)].astype("<u4").tobytes(),
+                             "right": local[len(i):].astype("<u4").tobytes(), "counts": count[i].astype("<u4").tobytes()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+    return run
+
+
+def enough_shared(percent: int):
+    """A partition of buckets -> (a, b) of the pairs that share enough entries
+    (see ``enough``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, count, names, sizes, asks, n = [], [], [], [], [], [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                left.append(np.frombuffer(r["left"], "<u4").astype(np.int64) + n)
+                right.append(np.frombuffer(r["right"], "<u4").astype(np.int64) + n)
+                count.append(np.frombuffer(r["counts"], "<u4"))
+                names.append(np.frombuffer(r["nodes"], "<i8"))
+                sizes.append(np.frombuffer(r["sizes"], "<i8"))
+                asks.append(np.frombuffer(r["asks"], "<u1"))
+                n += len(names[-1])
+        if not left:
+            return
+        left, right, count, names, sizes, asks = map(np.concatenate, (left, right, count, names, sizes, asks))
+        own, first, of = np.unique(names, return_index=True, return_inverse=True)
+        pair, back = np.unique(of[left] * len(own) + of[right], return_inverse=True)
+        shared = np.bincount(back, count)
+        x, y = first[pair // len(own)], first[pair % len(own)]
+        overlap = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
+        outside = np.maximum(-(-percent * sizes[x] // 100) - asks[x], -(-percent * sizes[y] // 100) - asks[y])
+        ok = shared >= np.maximum(np.minimum(asks[x], asks[y]), overlap - outside)
+        x, y = names[x[ok]], names[y[ok]]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+    return run
+
+
+def cross_pairs(entries: DataFrame, percent: int, list_size: int = 1 << 16) -> DataFrame:
     """All pairs of nodes in different components that share enough entries:
-    entries outside a token's main component meet all entries of the token."""
+    the entries outside a token's main component ask all entries of the token.
+    Pairs are counted in packed arrays, one row per task and bucket, so that
+    a common token makes no rows of its own; tokens of more than
+    ``list_size`` entries are dealt to several tasks in blocks, each of which
+    hears all askers."""
+    parts = shuffle_parts(entries.sparkSession)
     main = (entries.groupBy("token", "component").agg(F.count("*").alias("n"))
-            .groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
-    rows = entries.join(main, "token")
-    left = rows.filter("component != main").select("token", "node", "size", "ask", "component")
-    right = rows.select("token", F.col("node").alias("node2"), F.col("size").alias("other"),
-                        F.col("ask").alias("ask2"), F.col("component").alias("component2"), "main")
-    met = left.join(right, "token").filter("component != component2") \
-        .filter((F.col("component2") == F.col("main")) | (F.col("node") < F.col("node2"))).filter(fits(percent))
-    return (met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-            .agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "ask", "other", "ask2")])
-            .filter(enough(percent)).select("a", "b"))
+            .groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n")))
+    rows = entries.join(main, "token").withColumn("blocks", F.ceil(F.col("n") / list_size).cast("int"))
+    own = F.struct(F.lit(False).alias("asks"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                        lambda b: F.struct(F.lit(True).alias("asks"), b.alias("block")))
+    outside = F.col("component") != F.col("main")
+    roles = F.when(outside, F.concat(F.array(own), asked)).otherwise(F.array(own))
+    dealt = rows.select("token", F.explode(roles).alias("role"), "node", "size", "ask", "component", (~outside).alias("in_main"))
+    dealt = dealt.select("token", "role.block", "role.asks", "node", "size", "ask", "component", "in_main")
+    met = dealt.repartition(parts, "token", "block").mapInArrow(meet(percent, parts), MEETING)
+    return met.repartition(parts, "bucket").mapInArrow(enough_shared(percent), "a long, b long")
 
 
 def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -381,9 +490,11 @@ def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75,
-               hot: int = 1 << 16, stars: int = 1) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links)."""
+               hot: int = 1 << 16, stars: int = 8) -> DataFrame:
+    """Per row: id (an integer), n_shingles, component_id (smallest id
+    reachable by links)."""
     spark = df.sparkSession
+    df = df.select(F.col(id_col).cast("long").alias(id_col), text_col)
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = f"id {dict(inner.dtypes)['id']}, size long, digest binary, token long, n long"
     rows = saved(inner.mapInArrow(describe(k, hot), shape), "ngram-rows")
@@ -400,14 +511,20 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nodes = saved(docs.filter("size > 0").groupBy("digest").agg(F.min("id").alias("node")), "ngram-nodes")
     nodes = nodes.filter("node IS NOT NULL")
     entries = saved(shared.join(nodes, "digest").groupBy("token", "node")
-                    .agg(F.max("size").alias("size"), F.max("ask").alias("ask")), "ngram-shared")
+                    .agg(*[F.max(c).alias(c) for c in ("size", "ask")]), "ngram-shared")
     verifier = Verifier(df, nodes, k, percent, id_col, text_col)
     entries = with_components(entries, None)
-    checked = verifier.check(star_pairs(entries, percent))
-    for _ in range(stars - 1):
-        entries = with_components(entries, checked.filter("linked"))
-        checked = checked.unionByName(verifier.check(star_pairs(entries, percent)))
+    checked = verifier.check(star_pairs(entries, percent, 0))
     entries = with_components(entries, checked.filter("linked"))
+    for turn in range(1, stars):
+        met, rows = cross_size(entries)
+        if met <= 128 * rows:          # counted in packed arrays, so cheap up to here
+            break
+        found = verifier.check(star_pairs(entries, percent, turn))
+        checked = checked.unionByName(found)
+        if found.filter("linked").isEmpty():
+            break
+        entries = with_components(entries, checked.filter("linked"))
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = verifier.check(cross_pairs(entries, percent).join(done, ["a", "b"], "left_anti"))
     found = components(checked.unionByName(rest).filter("linked"))

@@ -39,7 +39,7 @@ def variants(first, n, size, edits, seed):
     return out
 
 
-@pytest.mark.parametrize("hot,stars", [(1 << 16, 1), (4, 1), (50, 3)])
+@pytest.mark.parametrize("hot,stars", [(1 << 16, 8), (4, 1), (50, 3)])
 def test_links(spark, hot, stars):
     rows = odd_rows() + variants(100, 25, 80, 6, 11) + variants(200, 25, 40, 3, 12)
     line = words(99, 14)
