@@ -30,6 +30,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .common import per_worker, saved, ship, shuffle_parts, texts
 
 STEP = 64            # ids between two checkpoints
 CACHE_WORDS = 1_000_000
-# UTF-8 lead bytes of the combining marks that can compose with a Latin letter
-COMBINING = re.compile(rb"[\xcc\xcd]")
+# the combining marks that can compose with a Latin letter
+COMBINING = "[\u0300-\u036f]"
 
 
 # letters, then ASCII marks without the apostrophe (which can open a contraction)
@@ -119,21 +120,41 @@ class WordIds(dict):
             self[w] = ids + self[end]
 
 
+def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(first word of each text and the end, each word's number, the distinct
+    words). A-Z are lower-cased first - the tokenizer's own rule - except
+    where a combining mark might follow."""
+    text = pc.fill_null(text, "")
+    plain = pc.if_else(pc.match_substring_regex(text, COMBINING), text, pc.ascii_lower(text))
+    lists = pc.ascii_split_whitespace(plain)
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+    return first, words.indices.to_numpy(zero_copy_only=False), words.dictionary.cast("binary").to_pylist()
+
+
 def encode_texts(path: str, end_id: int, width: str):
     """(id, text) batches -> (id, ids packed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker(f"word ids {path} {width}", lambda: WordIds(path, width))
-        end = np.array([end_id], width).tobytes()
+        end, unit = np.array([end_id], width).tobytes(), np.dtype(width).itemsize
         for batch in batches:
             # about 8 MB of text at a time, as batches may hold very long texts
-            step = max(1, min(1024, (batch.num_rows << 23) // (batch.nbytes + 1)))
+            step = max(1, (batch.num_rows << 23) // (batch.nbytes + 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                # lower-casing A-Z first is the tokenizer's own rule and lets the cache hit more often
-                split = [(t if COMBINING.search(t) else t.lower()).split() for t in texts(part.column(1))]
-                known.learn(set().union(*split))
-                get = known.__getitem__
-                packed = [b"".join(map(get, ws)) + end for ws in split]
+                first, word, distinct = split_words(part.column(1))
+                known.learn(set(distinct) - {b""})
+                pieces = [known[w] if w else b"" for w in distinct]
+                size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // unit
+                flat = np.frombuffer(b"".join(pieces), width)
+                n = size[word]
+                stop = np.concatenate(([0], np.cumsum(n)))
+                shift = (np.cumsum(size) - size)[word] - stop[:-1]
+                ids = flat[np.arange(stop[-1]) + np.repeat(shift, n)]
+                cut = stop[first].tolist()
+                packed = [ids[a:b].tobytes() + end for a, b in pairwise(cut)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
     return run
 
