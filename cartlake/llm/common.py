@@ -5,8 +5,10 @@ train/held-out split."""
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,13 @@ def texts(col) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast("binary").to_pylist()]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most 512 rows and about 8 MB."""
+    step = max(1, min(512, (batch.num_rows << 23) // (batch.nbytes + 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def per_worker(name: str, make):
     """``make()`` once per Python worker process; later tasks of the worker get
     the same object (functions pickled by value have no lasting globals)."""

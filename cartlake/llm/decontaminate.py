@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, texts
+from .common import saved, ship, slices, texts
 
 # bytes that belong to words, A-Z lower-cased; every other byte becomes a space
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -110,7 +110,7 @@ def scan(items: list[tuple[str, bytes]], window: int, names: list[str]):
     ``names`` with this block's findings added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = build(items, window)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b)):
             cols = dict(zip(batch.schema.names, batch.columns))
             found_items, masks, spans = (cols[c].to_pylist() for c in ("items", "hits", "spans"))
             n_words, n_hit = [], []
@@ -136,22 +136,24 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """Per row: n_words, n_hit, items (ids, sorted as strings), spans (byte
     offsets of hit runs, per block), contaminated (share * n_hit >= n_words)."""
     carry = carry or []
+    rest, keep_text = [c for c in carry if c != text_col], text_col in carry
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                     F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                     F.array().cast("array<string>").alias("items"), F.lit(b"").alias("hits"),
                     F.array().cast("array<struct<start:long,stop:long>>").alias("spans"),
-                    *([F.struct(*carry).alias("carried")] if carry else []))
+                    F.struct(F.lit(0).alias("_"), *rest).alias("carried"))
     blocks = item_blocks(benchmark, item_col, item_text, block_words)
     block = next(blocks, [])
     while block is not None:
         later = next(blocks, None)
-        shape = out.schema if later is not None else out.drop("text", "hits").schema
+        shape = out.schema if later is not None else out.drop("hits", *[] if keep_text else ["text"]).schema
         out = out.mapInArrow(scan(block, window, shape.names), shape)
         out = saved(out, "decontaminate-block") if later is not None else out
         block = later
     dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.array_sort("items").alias("items"), "spans",
-                      dirty.alias("contaminated"), *[f"carried.{c}" for c in carry])
+                      dirty.alias("contaminated"),
+                      *[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry])
 
 
 ship(__name__)

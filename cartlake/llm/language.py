@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, slices
 
 FEATURES = 2048
 CHUNK = 1 << 20           # letters scored at once
@@ -167,40 +167,35 @@ def fit(df: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "t
     return Model(langs, code, w.astype(np.float32), bias, trust)
 
 
-def predict_batches(model: Model, names: list[str], sharpness: float, close: float):
-    """Batches ending in a text column -> the other columns, lang_pred, score, ambiguous."""
+def predict_batches(model: Model, names: list[str], keep_text: bool, sharpness: float, close: float):
+    """Batches ending in a text column -> the columns, with or without the
+    text, then lang_pred, score, ambiguous."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
-        for batch in batches:
-            docs = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for part in (x for batch in batches for x in slices(batch)):
+            docs = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
             # shares under a square root need each row's whole histogram
-            lang, score, doubt = [], [], []
-            for at in range(0, len(docs), 512):
-                part = docs[at:at + 512]
-                total = np.zeros(len(part) * FEATURES)
-                for rows, texts in portions(part):
-                    bucket, row = grams(texts, letters)
-                    first, last = rows[0], rows[-1] + 1
-                    total[first * FEATURES:last * FEATURES] += np.bincount(
-                        (np.array(rows)[row] - first) * FEATURES + bucket, minlength=(last - first) * FEATURES)
-                total = total.reshape(len(part), FEATURES)
-                n = total.sum(1)
+            total = np.zeros(len(docs) * FEATURES)
+            for rows, texts in portions(docs):
+                bucket, row = grams(texts, letters)
+                first, last = rows[0], rows[-1] + 1
+                total[first * FEATURES:last * FEATURES] += np.bincount(
+                    (np.array(rows)[row] - first) * FEATURES + bucket, minlength=(last - first) * FEATURES)
+            total = total.reshape(len(docs), FEATURES)
+            n = total.sum(1)
+            if model.langs:
                 x = np.sqrt(total / np.maximum(n, 1)[:, None]).astype(np.float32)
-                if not model.langs:
-                    lang += [UNKNOWN] * len(part)
-                    score += [0.0] * len(part)
-                    doubt += [True] * len(part)
-                    continue
                 loss = model.losses(x @ model.weights + model.bias)
                 near = np.sort(loss, 1)
-                p = np.exp(-sharpness * (loss - near[:, :1]))
-                best = loss.argmin(1)
-                lang += [model.langs[b] if k else UNKNOWN for b, k in zip(best, n)]
-                score += [float(s) if k else 0.0 for s, k in zip(1 / p.sum(1), n)]
-                doubt += [not k or len(model.langs) > 1 and float(v[1] - v[0]) < close for v, k in zip(near, n)]
+                best, sure = loss.argmin(1), 1 / np.exp(-sharpness * (loss - near[:, :1])).sum(1)
+                lang = [model.langs[b] if k else UNKNOWN for b, k in zip(best, n)]
+                score = np.where(n > 0, sure, 0.0)
+                doubt = (n == 0) | (near[:, 1] - near[:, 0] < close if len(model.langs) > 1 else False)
+            else:
+                lang, score, doubt = [UNKNOWN] * len(docs), np.zeros(len(docs)), np.ones(len(docs), bool)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(doubt, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
+                [*part.columns[:None if keep_text else -1], pa.array(lang, pa.string()), pa.array(score),
+                 pa.array(doubt)], [*names, "lang_pred", "score", "ambiguous"])
     return run
 
 
@@ -208,10 +203,13 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[st
              sharpness: float = 6.0, close: float = 0.05) -> DataFrame:
     """Columns ``carry`` plus lang_pred, score (0 to 1) and ambiguous."""
     carry = carry or ["doc_id"]
-    inner = df.select(F.struct(*carry).alias("carried"), F.col(text_col).alias("text"))
-    shape = f"carried {dict(inner.dtypes)['carried']}, lang_pred string, score double, ambiguous boolean"
-    out = inner.mapInArrow(predict_batches(model, ["carried"], sharpness, close), shape)
-    return out.select(*[F.col("carried")[c].alias(c) for c in carry], "lang_pred", "score", "ambiguous")
+    rest, keep_text = [c for c in carry if c != text_col], text_col in carry
+    inner = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("carried"), F.col(text_col).alias("text"))
+    names = ["carried", "text"] if keep_text else ["carried"]
+    shape = ", ".join(f"{c} {dict(inner.dtypes)[c]}" for c in names) + ", lang_pred string, score double, ambiguous boolean"
+    out = inner.mapInArrow(predict_batches(model, names, keep_text, sharpness, close), shape)
+    return out.select(*[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry],
+                      "lang_pred", "score", "ambiguous")
 
 
 ship(__name__)
