@@ -39,7 +39,7 @@ from cartlake.plans.session import scratch_path
 from .common import per_worker, saved, ship, shuffle_parts, texts
 
 STEP = 64            # ids between two checkpoints
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 # the combining marks that can compose with a Latin letter
 COMBINING = "[\u0300-\u036f]"
 
