@@ -17,14 +17,27 @@ from cartlake.plans.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long: at most BATCH_ROWS of them in an Arrow batch keep the
+    buffers of JVM and Python small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back:
     cuts lineage (a lost executor re-reads files instead of recomputing) and
     lets several consumers share one computation."""
     spark = df.sparkSession
+    short_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,9 +66,11 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def per_worker(name: str, make):
     """``make()`` once per Python worker process; later tasks of the worker get
-    the same object (functions pickled by value have no lasting globals)."""
-    held = sys.modules.setdefault("_cartlake_worker", ModuleType("_cartlake_worker")).__dict__
+    the same object (functions pickled by value have no lasting globals). A
+    worker keeps one such object only."""
+    held = vars(sys.modules.setdefault("_cartlake_worker", ModuleType("_cartlake_worker"))).setdefault("held", {})
     if name not in held:
+        held.clear()
         held[name] = make()
     return held[name]
 

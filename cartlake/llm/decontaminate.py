@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, slices, texts
+from .common import saved, ship, short_batches, slices, texts
 
 # bytes that belong to words, A-Z lower-cased; every other byte becomes a space
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -135,6 +135,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                   block_words: int = 500_000, carry: list[str] | None = None) -> DataFrame:
     """Per row: n_words, n_hit, items (ids, sorted as strings), spans (byte
     offsets of hit runs, per block), contaminated (share * n_hit >= n_words)."""
+    short_batches(df.sparkSession)
     carry = carry or []
     rest, keep_text = [c for c in carry if c != text_col], text_col in carry
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),

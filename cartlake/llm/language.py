@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, short_batches, slices
 
 FEATURES = 2048
 CHUNK = 1 << 20           # letters scored at once
@@ -202,6 +202,7 @@ def predict_batches(model: Model, names: list[str], keep_text: bool, sharpness:
 def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None,
              sharpness: float = 6.0, close: float = 0.05) -> DataFrame:
     """Columns ``carry`` plus lang_pred, score (0 to 1) and ambiguous."""
+    short_batches(df.sparkSession)
     carry = carry or ["doc_id"]
     rest, keep_text = [c for c in carry if c != text_col], text_col in carry
     inner = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("carried"), F.col(text_col).alias("text"))

@@ -42,8 +42,8 @@ from .lm_score import run_lengths
 
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-KNOWN_WORDS = 800_000
-SOME = 1 << 22
+KNOWN_WORDS = 300_000
+SOME = 1 << 21
 BITMAP = 1 << 24
 DEEPEST = 4                # largest number of prefix matches asked for
 
@@ -210,7 +210,7 @@ def index_entries(k: int, percent: int, hot_tokens: np.ndarray, hot_n: np.ndarra
                     prefix, ask = choose_prefix(h, often[begin:end], percent)
                     held.append((prefix, d, len(h), ask))
                     size += len(prefix)
-                    if size > 1 << 20:
+                    if size > 1 << 19:
                         yield pack()
                         held, size = [], 0
         if held:
