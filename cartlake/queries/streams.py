@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rag as G
-from ..sources import chatdata as CD
+from ..sources import streamdata as SD
 from ..sources import tables as T
 from ..sources.tables import Tables
 from ..streaming import streams as S
 from . import chatsql  # noqa: F401
-from .rag import DOCS_SQL, NEW_DOCS_SQL, _para_chunks_sql, docs, new_docs, para_chunks
+from .chat import requests as chat_requests
+from .rag import DOCS_SQL, NEW_DOCS_SQL, _para_chunks_sql, docs, new_docs, para_chunks, vector_sql, vector_text
 from .views import with_views as W
 
 Q = {}
@@ -28,89 +29,126 @@ def _t(s, d):
     return Tables(s, d)
 
 
-@reg("str_assemble_text", """SELECT stream_id, coalesce(string_agg(delta, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text,
-  CAST(count(*) FILTER (WHERE type = 'text-delta') AS INTEGER) AS n_deltas FROM stream_chunk GROUP BY stream_id""",
+# sessions of a key: a new one starts when the gap reaches five minutes
+def sessions_sql(src: str, key: str) -> str:
+    return f"""lagged AS (SELECT *, lag(ts) OVER (PARTITION BY {key} ORDER BY ts) AS before FROM {src}),
+broken AS (SELECT *, CASE WHEN before IS NULL OR ts > before + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM lagged),
+ses AS (SELECT *, sum(brk) OVER (PARTITION BY {key} ORDER BY ts RANGE UNBOUNDED PRECEDING) AS sid FROM broken),
+timed AS (SELECT *, min(ts) OVER (PARTITION BY {key}, sid) AS session_start FROM ses)"""
+
+
+CHUNK_SESSIONS = sessions_sql("stream_chunk", "stream_id")
+
+
+@reg("str_assemble_text", f"""WITH {CHUNK_SESSIONS}
+SELECT stream_id, session_start, coalesce(string_agg(delta, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text,
+  CAST(count(*) FILTER (WHERE type = 'text-delta') AS INTEGER) AS n_deltas FROM timed GROUP BY stream_id, session_start""",
      ("stream_chunk",))
 def q_assemble(s, d):
     return S.assemble_text(T.stream_chunk(_t(s, d)))
 
 
-@reg("str_agent_items", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'function_call_output' ELSE 'message' END AS item_type,
-  CASE WHEN event_type = 'click' THEN props ELSE json_extract_string(props, '$.k') END AS content FROM events""")
+@reg("str_agent_items", """WITH m AS (SELECT event_id, event_type AS e, props, json_extract_string(props, '$.k') AS k FROM events),
+l AS (SELECT event_id, CASE WHEN e = 'click' THEN [['message', 'said ' || k], ['function_call_output', '{"k":"' || k || '","type":"click"}']]
+  WHEN e = 'error' THEN [['message', 'said ' || k], ['function_call_output', props]]
+  WHEN e = 'signup' THEN [] ELSE [['message', 'said ' || k]] END AS l FROM m),
+x AS (SELECT event_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS i FROM l)
+SELECT event_id, pos, i[1] AS item_type, i[2] AS content FROM x""")
 def q_agent_items(s, d):
-    return S.agent_items(_t(s, d).events)
+    return S.agent_items(SD.agent_updates(_t(s, d).events))
 
 
-RAW_SQL = """raw AS (SELECT user_id AS stream_id, event_id AS seq, CASE
-  WHEN event_type = 'purchase' THEN concat('{"type":"response.output_item.done","databricks_output":{"trace":{"info":{"trace_id":"tr-', CAST(event_id AS VARCHAR), '"}}}}')
+RAW_SQL = """raw AS (SELECT user_id AS stream_id, event_id AS seq, ts, CASE
+  WHEN event_type = 'purchase' THEN concat('{"type":"response.output_item.done","output":{"trace":{"info":{"trace_id":"tr-', CAST(event_id AS VARCHAR), '"}}}}')
   WHEN event_type = 'view' THEN concat('{"type":"response.output_text.delta","trace_id":"bare-', CAST(event_id AS VARCHAR), '"}')
   ELSE '{"type":"response.output_text.delta"}' END AS raw FROM events)"""
 
 
 @reg("str_done_items", f"WITH {RAW_SQL} SELECT * FROM raw WHERE json_extract_string(raw, '$.type') = 'response.output_item.done'")
 def q_done(s, d):
-    return S.done_items(S.raw_events(_t(s, d).events))
+    return S.done_items(SD.raw_events(_t(s, d).events))
 
 
-@reg("str_trace_id", f"""WITH {RAW_SQL},
-x AS (SELECT stream_id, seq, CASE WHEN json_extract_string(raw, '$.type') = 'response.output_item.done'
-  THEN json_extract_string(raw, '$.databricks_output.trace.info.trace_id') END AS n, json_extract_string(raw, '$.trace_id') AS b FROM raw)
-SELECT stream_id, coalesce(arg_max(n, seq) FILTER (WHERE n IS NOT NULL), arg_min(b, seq) FILTER (WHERE b IS NOT NULL)) AS trace_id
-FROM x GROUP BY stream_id""")
+@reg("str_trace_id", f"""WITH {RAW_SQL}, {sessions_sql("raw", "stream_id")},
+x AS (SELECT stream_id, session_start, seq, CASE WHEN json_extract_string(raw, '$.type') = 'response.output_item.done'
+  THEN json_extract_string(raw, '{SD.TRACE_PATH}') END AS n, json_extract_string(raw, '$.trace_id') AS b FROM timed)
+SELECT stream_id, session_start,
+  coalesce(arg_max(n, seq) FILTER (WHERE n IS NOT NULL), arg_min(b, seq) FILTER (WHERE b IS NOT NULL)) AS trace_id
+FROM x GROUP BY stream_id, session_start""")
 def q_trace(s, d):
-    return S.trace_id(S.raw_events(_t(s, d).events))
+    return S.trace_id(SD.raw_events(_t(s, d).events))
 
 
-@reg("str_outcome", """SELECT stream_id, CASE WHEN fe IS NULL THEN 'ok' WHEN ft IS NULL OR fe < ft THEN 'failed' ELSE 'partial' END AS outcome
-FROM (SELECT stream_id, min(seq) FILTER (WHERE starts_with(type, 'text-')) AS ft, min(seq) FILTER (WHERE type = 'error') AS fe
-  FROM stream_chunk GROUP BY stream_id)""", ("stream_chunk",))
+@reg("str_outcome", f"""WITH {CHUNK_SESSIONS}
+SELECT stream_id, session_start, CASE WHEN fe IS NULL THEN 'ok' WHEN ft IS NULL OR fe < ft THEN 'failed' ELSE 'partial' END AS outcome
+FROM (SELECT stream_id, session_start, min(seq) FILTER (WHERE starts_with(type, 'text-')) AS ft, min(seq) FILTER (WHERE type = 'error') AS fe
+  FROM timed GROUP BY stream_id, session_start)""", ("stream_chunk",))
 def q_outcome(s, d):
     return S.outcome(T.stream_chunk(_t(s, d)))
 
 
-@reg("str_expand_parts", """WITH r AS (SELECT id AS message_id, list_concat(flatten(list_transform(parts, lambda p:
-  CASE WHEN p.type = 'text' AND coalesce(length(p.text), 0) > 0 THEN [{'type': 'text-start', 'delta': NULL::VARCHAR},
-         {'type': 'text-delta', 'delta': p.text}, {'type': 'text-end', 'delta': NULL::VARCHAR}]
-       WHEN p.type = 'file' THEN [{'type': 'file', 'delta': p.url}]
-       WHEN p.type = 'source-url' THEN [{'type': 'source-url', 'delta': p.url}]
-       WHEN p.type = 'dynamic-tool' THEN [{'type': 'tool-input-available', 'delta': p.tool_name}]
-       ELSE [] END)), [{'type': 'finish', 'delta': NULL::VARCHAR}]) AS l FROM message_parts WHERE role = 'assistant')
+def _spoken(kind: str) -> str:
+    return (f"[{{'type': '{kind}-start', 'delta': NULL::VARCHAR}}, {{'type': '{kind}-delta', 'delta': p.text}}, "
+            f"{{'type': '{kind}-end', 'delta': NULL::VARCHAR}}]")
+
+
+@reg("str_expand_parts", f"""WITH k AS (SELECT id, list_transform(parts, lambda p, i: {{'text': p.text, 'url': p.url, 'tool_name': p.tool_name,
+    'type': CASE WHEN p.type = 'text' AND (i - 1) % 5 = 0 THEN 'reasoning' WHEN p.type = 'source-url' AND p.title IS NULL THEN 'source-document'
+      WHEN p.type = 'dynamic-tool' AND p.state = 'output-available' THEN 'tool-result' ELSE p.type END}}) AS parts,
+  CASE WHEN id % 7 = 0 THEN 'length' ELSE 'stop' END AS reason FROM message_parts WHERE role = 'assistant'),
+r AS (SELECT id AS message_id, list_concat(flatten(list_transform(parts, lambda p:
+  CASE WHEN p.type IN ('text', 'reasoning') AND coalesce(length(p.text), 0) = 0 THEN []
+       WHEN p.type = 'text' THEN {_spoken('text')} WHEN p.type = 'reasoning' THEN {_spoken('reasoning')}
+       WHEN p.type IN ('file', 'source-url', 'source-document') THEN [{{'type': p.type, 'delta': p.url}}]
+       WHEN p.type = 'dynamic-tool' THEN [{{'type': 'tool-input-available', 'delta': p.tool_name}}]
+       WHEN p.type = 'tool-result' THEN [{{'type': 'tool-output-available', 'delta': p.tool_name}}]
+       ELSE [] END)), [{{'type': 'finish', 'delta': reason}}]) AS l FROM k)
 SELECT message_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS seq, unnest(l).type AS type, unnest(l).delta AS delta FROM r""",
      ("message_parts",))
 def q_expand(s, d):
-    return S.expand_parts(CD.message_parts(_t(s, d)).filter(F.col("role") == "assistant"))
+    return S.expand_parts(SD.results(_t(s, d)))
 
 
-@reg("str_resume", """WITH c AS (SELECT stream_id, min(seq) AS cursor FROM stream_chunk WHERE type = 'error' GROUP BY stream_id)
-SELECT s.stream_id, s.seq, s.type, s.delta FROM stream_chunk s JOIN c USING (stream_id) WHERE s.seq >= coalesce(c.cursor, 0)""",
-     ("stream_chunk",))
-def q_resume(s, d):
-    ch = T.stream_chunk(_t(s, d))
-    cursors = ch.filter(F.col("type") == "error").groupBy("stream_id").agg(F.min("seq").alias("cursor"))
-    return S.resume(ch, cursors)
+# the stream of a chat is the one of the user with its number; every third has none that is active
+RESUME_SQL = """asked AS (SELECT r.chat_id, r.user_id, CASE WHEN r.chat_id % 2 = 0 THEN abs(r.chat_id) % 4 END AS cursor FROM requests r),
+act AS (SELECT DISTINCT chat_id, abs(chat_id) % 50 AS stream_id FROM requests WHERE chat_id % 3 <> 0)"""
 
 
-@reg("str_resume_decision", f"""WITH g AS (SELECT stream_id, arg_max(type, seq) AS last_type, count(*) FILTER (WHERE type = 'error') AS n_errors,
-  coalesce(bool_or(type = 'error' AND coalesce(regexp_matches(delta, '{S.CRED_ERROR}'), false)), false) AS cred FROM stream_chunk GROUP BY stream_id),
-h AS (SELECT *, greatest(n_errors - 1, 0) AS attempts,
-  last_type <> 'finish' AND (last_type = 'text-delta' OR last_type = 'error' OR last_type IS NULL) AS should FROM g)
-SELECT stream_id, last_type, attempts, CASE WHEN last_type = 'text-start' THEN 'no_abort' WHEN cred THEN 'no_credential'
-  WHEN should AND attempts < {S.MAX_RESUME_ATTEMPTS} THEN 'resume' WHEN should THEN 'give_up' ELSE 'done' END AS decision FROM h""",
-     ("stream_chunk",))
+@reg("str_resume", f"""WITH {RESUME_SQL},
+allowed AS (SELECT DISTINCT a.chat_id, a.user_id FROM asked a LEFT JOIN chat c ON c.id = a.chat_id
+  WHERE c.id IS NULL OR c.visibility = 'public' OR c.user_id = a.user_id)
+SELECT a.chat_id, a.user_id, s.stream_id, s.seq, s.type, s.delta FROM asked a JOIN allowed USING (chat_id, user_id)
+JOIN act USING (chat_id) JOIN stream_chunk s ON s.stream_id = act.stream_id WHERE s.seq >= coalesce(a.cursor, 0)""",
+     ("chat", "requests", "stream_chunk"))
+def q_resume(s, d):
+    t = _t(s, d)
+    chats = T.chat(t)
+    asked = chat_requests(chats).withColumn("cursor", F.when(F.col("chat_id") % 2 == 0, F.abs("chat_id") % 4))
+    active = asked.filter(F.col("chat_id") % 3 != 0).select("chat_id", (F.abs("chat_id") % 50).alias("stream_id")).distinct()
+    return S.resume(T.stream_chunk(t), asked, active, chats)
+
+
+@reg("str_resume_decision", f"""WITH g AS (SELECT event_id AS stream_id, event_id % 11 = 0 AS is_abort, event_type = 'view' AS dis, event_type = 'error' AS err,
+  CASE event_id % 4 WHEN 0 THEN 'finish' WHEN 1 THEN 'text-delta' WHEN 2 THEN 'error' END AS last_part, event_id % 5 AS attempts,
+  event_id % 9 = 0 AS cred FROM events),
+h AS (SELECT *, coalesce(last_part <> 'finish', true) AND (dis OR err OR last_part IS NULL) AS should FROM g)
+SELECT stream_id, CASE WHEN is_abort THEN 'no_abort' WHEN cred THEN 'no_credential'
+  WHEN should AND attempts < {S.MAX_RESUME_ATTEMPTS} THEN 'resume' WHEN should THEN 'give_up' ELSE 'done' END AS decision FROM h""")
 def q_resume_decision(s, d):
-    return S.resume_decision(T.stream_chunk(_t(s, d)))
+    return S.resume_decision(SD.endings(_t(s, d).events))
 
 
-@reg("str_active_stream", """SELECT chat_id, active_stream FROM (SELECT stream_id AS chat_id,
-  arg_max(concat(CAST(stream_id AS VARCHAR), ':', CAST(seq AS VARCHAR)), seq) FILTER (WHERE type = 'text-start') AS active_stream,
-  max(seq) FILTER (WHERE type = 'text-start') AS reg_seq, max(seq) FILTER (WHERE type = 'finish') AS fin_seq
-  FROM stream_chunk GROUP BY stream_id) WHERE reg_seq IS NOT NULL AND (fin_seq IS NULL OR fin_seq < reg_seq)""", ("stream_chunk",))
+@reg("str_active_stream", f"""WITH reg AS (SELECT user_id AS chat_id, event_id AS seq, ts, event_type IN ('signup', 'view') AS is_reg FROM events
+  WHERE event_type IN ('signup', 'view', 'purchase')), {sessions_sql("reg", "chat_id")}
+SELECT chat_id, session_start, concat('st-', CAST(reg_seq AS VARCHAR)) AS stream_id FROM (SELECT chat_id, session_start,
+  max(seq) FILTER (WHERE is_reg) AS reg_seq, max(seq) FILTER (WHERE NOT is_reg) AS clear_seq FROM timed GROUP BY chat_id, session_start)
+WHERE reg_seq IS NOT NULL AND (clear_seq IS NULL OR clear_seq < reg_seq)""")
 def q_active(s, d):
-    return S.active_stream(T.stream_chunk(_t(s, d)))
+    return S.active_stream(SD.registrations(_t(s, d).events))
 
 
 @reg("str_ttl_sessions", """WITH x AS (SELECT stream_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY stream_id ORDER BY ts) IS NULL
-    OR ts >= lag(ts) OVER (PARTITION BY stream_id ORDER BY ts) + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM stream_chunk),
+    OR ts > lag(ts) OVER (PARTITION BY stream_id ORDER BY ts) + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS brk FROM stream_chunk),
 y AS (SELECT *, sum(brk) OVER (PARTITION BY stream_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM x)
 SELECT stream_id, min(ts) AS session_start, max(ts) + INTERVAL 5 MINUTE AS session_end, count(*) AS n_chunks FROM y GROUP BY stream_id, sid""",
      ("stream_chunk",))
@@ -133,19 +171,20 @@ SELECT request_id, coalesce(decision, 'pending') AS state,
   CASE coalesce(decision, 'pending') WHEN 'approved' THEN 'continue' WHEN 'denied' THEN 'stop' ELSE 'wait' END AS action
 FROM lr LEFT JOIN dec USING (request_id) WHERE req_seq IS NOT NULL""")
 def q_approval(s, d):
-    return S.approval_state(S.approval_events(_t(s, d).events))
+    return S.approval_state(SD.approval_events(_t(s, d).events))
 
 
-@reg("str_index_sync", f"""WITH {DOCS_SQL}, {NEW_DOCS_SQL}, {_para_chunks_sql('old', 'docs')}, {_para_chunks_sql('new', 'new_docs')}
-SELECT * FROM (SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id,
+@reg("str_index_sync", f"""WITH {DOCS_SQL}, {NEW_DOCS_SQL}, {_para_chunks_sql('old', 'docs')}, {_para_chunks_sql('new', 'new_docs')},
+ch AS (SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, coalesce(n.doc_name, o.doc_name) AS doc_name,
   CASE WHEN o.chunk_id IS NULL THEN 'insert' WHEN n.chunk_id IS NULL THEN 'delete' WHEN md5(o.content) <> md5(n.content) THEN 'update' END AS action,
-  n.content IS NOT NULL AND (o.chunk_id IS NULL OR md5(o.content) <> md5(n.content)) AS embedded
-  FROM old o FULL OUTER JOIN new n USING (chunk_id)) WHERE action IS NOT NULL""")
+  n.content AS content FROM old o FULL OUTER JOIN new n USING (chunk_id))
+SELECT chunk_id, doc_name, action, CASE WHEN action <> 'delete' THEN {vector_sql('content')} END AS embedding FROM ch WHERE action IS NOT NULL""")
 def q_index_sync(s, d):
-    """Batch twin of the triggered sync: the change set with an embedding
-    computed for every inserted or updated chunk."""
+    """One step of the triggered sync: the change set with the vector of every
+    inserted or updated chunk."""
     t = _t(s, d)
-    return S.index_sync_batch(para_chunks(docs(t)), para_chunks(new_docs(t)), G.embed)
+    ch = S.index_sync_batch(para_chunks(docs(t)), para_chunks(new_docs(t)), G.embed)
+    return ch.select("chunk_id", "doc_name", "action", F.when(F.col("action") != "delete", vector_text("embedding")).alias("embedding"))
 
 
 QUERIES = Q

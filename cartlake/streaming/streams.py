@@ -1,156 +1,152 @@
 """Assistant event-stream operators.
 
 Each function takes a DataFrame that may be batch or streaming and returns
-the same kind. Stateless ones are projections/filters/explodes; stateful
-ones are single streaming aggregations (max_by / min / collect_list per
-key, run in complete or update mode), a session window with a watermark,
-or applyInPandasWithState for the approval state machine. Window functions
-(not allowed on streams) are never used here.
+the same kind. Stateless ones are projections, filters and explodes.
+Stateful ones aggregate per key and session: a stream's state lives until
+``ttl`` passes without an event (a session window), so pass ``watermark`` on
+a stream and its state expires; nothing is collected over all time. The
+approval state machine keeps its few pending decisions in group state with a
+timeout. Window functions (not allowed on streams) are never used here.
 """
 
 from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chat import CRED_ERROR
+from ..operators.chat import CRED_ERROR, acl
+from ..sources.streamdata import DONE, TRACE_PATH
 
-DONE = "response.output_item.done"
 MAX_RESUME_ATTEMPTS = 3
 TTL = "5 minutes"
 WATERMARK = "10 minutes"
 
 
-def assemble_text(chunks: DataFrame) -> DataFrame:
-    """Ordered text deltas -> text per stream. On a stream run it in
-    complete/update mode; the ordering happens after the aggregation."""
-    g = chunks.groupBy("stream_id").agg(
-        F.collect_list(F.when(F.col("type") == "text-delta", F.struct("seq", "delta"))).alias("d"))
-    return g.select("stream_id", F.array_join(F.transform(F.array_sort("d"), lambda x: x["delta"]), "").alias("text"),
+def sessions(df: DataFrame, key: str, ttl: str, watermark: str | None, *aggs: Column) -> DataFrame:
+    """groupBy(key, session of ``ttl``) with aggregates. On a stream pass
+    ``watermark``: times are cast to TIMESTAMP for it, and back."""
+    if watermark:
+        df = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    g = df.groupBy(key, F.session_window("ts", ttl).alias("s")).agg(*aggs)
+    return g.withColumns({"session_start": F.col("s.start").cast("timestamp_ntz"),
+                          "session_end": F.col("s.end").cast("timestamp_ntz")}).drop("s")
+
+
+def assemble_text(chunks: DataFrame, ttl: str = TTL, watermark: str | None = None) -> DataFrame:
+    """Ordered text deltas -> text per stream and session; the ordering
+    happens after the aggregation, the list is one session's."""
+    g = sessions(chunks, "stream_id", ttl, watermark,
+                 F.collect_list(F.when(F.col("type") == "text-delta", F.struct("seq", "delta"))).alias("d"))
+    return g.select("stream_id", "session_start",
+                    F.array_join(F.transform(F.array_sort("d"), lambda x: x["delta"]), "").alias("text"),
                     F.size("d").alias("n_deltas"))
 
 
-def agent_items(events: DataFrame) -> DataFrame:
-    """Updates -> output items; tool content that is not a string is
-    JSON-encoded (it arrives here already as JSON text)."""
-    is_tool = F.col("event_type") == "click"
-    content = F.when(is_tool, F.col("props")).otherwise(F.get_json_object("props", "$.k"))
-    return events.select("event_id", F.when(is_tool, "function_call_output").otherwise("message").alias("item_type"),
-                         content.alias("content"))
-
-
-def raw_events(events: DataFrame) -> DataFrame:
-    """Raw response events per stream (user) as JSON text."""
-    e = F.col("event_type")
-    raw = (F.when(e == "purchase", F.concat(F.lit('{"type":"' + DONE + '","databricks_output":{"trace":{"info":{"trace_id":"tr-'),
-                                            F.col("event_id").cast("string"), F.lit('"}}}}')))
-           .when(e == "view", F.concat(F.lit('{"type":"response.output_text.delta","trace_id":"bare-'),
-                                       F.col("event_id").cast("string"), F.lit('"}')))
-           .otherwise(F.lit('{"type":"response.output_text.delta"}')))
-    return events.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), raw.alias("raw"))
+def agent_items(updates: DataFrame) -> DataFrame:
+    """Updates (event_id, messages of kind, text, data) -> one item per
+    message; tool content that is not a string is JSON-encoded."""
+    m = updates.select("event_id", F.posexplode("messages").alias("pos", "m"))
+    return m.select("event_id", F.col("pos").cast("long").alias("pos"),
+                    F.when(F.col("m.kind") == "tool", "function_call_output").otherwise("message").alias("item_type"),
+                    F.coalesce("m.text", F.to_json("m.data")).alias("content"))
 
 
 def done_items(raw: DataFrame) -> DataFrame:
     return raw.filter(F.get_json_object("raw", "$.type") == DONE)
 
 
-def trace_id(raw: DataFrame) -> DataFrame:
-    """The trace id of the last done event carrying one wins; a bare
-    trace_id counts only while none is set (so the first bare one)."""
-    nested = F.when(F.get_json_object("raw", "$.type") == DONE,
-                    F.get_json_object("raw", "$.databricks_output.trace.info.trace_id"))
+def trace_id(raw: DataFrame, path: str = TRACE_PATH, ttl: str = TTL, watermark: str | None = None) -> DataFrame:
+    """Per stream and session: the trace id (at ``path``) of the last done
+    event carrying one wins; a bare trace_id counts only while none is set
+    (so the first bare one)."""
+    nested = F.when(F.get_json_object("raw", "$.type") == DONE, F.get_json_object("raw", path))
     bare = F.get_json_object("raw", "$.trace_id")
-    g = raw.groupBy("stream_id").agg(F.max_by(nested, F.when(nested.isNotNull(), F.col("seq"))).alias("n"),
-                                     F.min_by(bare, F.when(bare.isNotNull(), F.col("seq"))).alias("b"))
-    return g.select("stream_id", F.coalesce("n", "b").alias("trace_id"))
-
-
-def outcome(chunks: DataFrame) -> DataFrame:
-    """failed: an error before the first text-* chunk; partial: an error
-    after it (forwarded); ok: no error."""
-    g = chunks.groupBy("stream_id").agg(
-        F.min(F.when(F.col("type").startswith("text-"), F.col("seq"))).alias("first_text"),
-        F.min(F.when(F.col("type") == "error", F.col("seq"))).alias("first_error"))
+    g = sessions(raw, "stream_id", ttl, watermark,
+                 F.max_by(nested, F.when(nested.isNotNull(), F.col("seq"))).alias("n"),
+                 F.min_by(bare, F.when(bare.isNotNull(), F.col("seq"))).alias("b"))
+    return g.select("stream_id", "session_start", F.coalesce("n", "b").alias("trace_id"))
+
+
+def outcome(chunks: DataFrame, ttl: str = TTL, watermark: str | None = None) -> DataFrame:
+    """Per stream and session. failed: an error before the first text-* chunk;
+    partial: an error after it (forwarded); ok: no error."""
+    g = sessions(chunks, "stream_id", ttl, watermark,
+                 F.min(F.when(F.col("type").startswith("text-"), F.col("seq"))).alias("first_text"),
+                 F.min(F.when(F.col("type") == "error", F.col("seq"))).alias("first_error"))
     o = (F.when(F.col("first_error").isNull(), "ok")
          .when(F.col("first_text").isNull() | (F.col("first_error") < F.col("first_text")), "failed").otherwise("partial"))
-    return g.select("stream_id", o.alias("outcome"))
+    return g.select("stream_id", "session_start", o.alias("outcome"))
 
 
 def expand_parts(results: DataFrame) -> DataFrame:
-    """A non-streamed result's parts as stream chunks: text -> start, delta,
-    end (nothing for empty text); file, source-url, tool call -> one chunk;
-    tool errors and other parts -> nothing; a final finish chunk."""
+    """A whole result's parts as stream chunks: text and reasoning -> start,
+    delta, end (nothing when empty); file, source-url, source-document, tool
+    call and tool result -> one chunk; other parts -> nothing; a final finish
+    chunk with the finish reason."""
     null_s = F.lit(None).cast("string")
+    chunk = lambda typ, d=null_s: F.struct(F.lit(typ).alias("type"), d.alias("delta"))
 
     def rows(p):
-        t = p["type"]
-        one = lambda typ, d=null_s: F.array(F.struct(F.lit(typ).alias("type"), d.alias("delta")))
-        return (F.when((t == "text") & (F.coalesce(F.length(p["text"]), F.lit(0)) > 0),
-                       F.array(F.struct(F.lit("text-start").alias("type"), null_s.alias("delta")),
-                               F.struct(F.lit("text-delta").alias("type"), p["text"].alias("delta")),
-                               F.struct(F.lit("text-end").alias("type"), null_s.alias("delta"))))
-                .when(t == "file", one("file", p["url"]))
-                .when(t == "source-url", one("source-url", p["url"]))
-                .when(t == "dynamic-tool", one("tool-input-available", p["tool_name"]))
+        t, said = p["type"], F.coalesce(F.length(p["text"]), F.lit(0)) > 0
+        spoken = lambda kind: F.array(chunk(f"{kind}-start"), chunk(f"{kind}-delta", p["text"]), chunk(f"{kind}-end"))
+        return (F.when((t == "text") & said, spoken("text")).when((t == "reasoning") & said, spoken("reasoning"))
+                .when(t == "file", F.array(chunk("file", p["url"])))
+                .when(t == "source-url", F.array(chunk("source-url", p["url"])))
+                .when(t == "source-document", F.array(chunk("source-document", p["url"])))
+                .when(t == "dynamic-tool", F.array(chunk("tool-input-available", p["tool_name"])))
+                .when(t == "tool-result", F.array(chunk("tool-output-available", p["tool_name"])))
                 .otherwise(F.array().cast("array<struct<type:string,delta:string>>")))
 
-    flat = F.concat(F.flatten(F.transform("parts", rows)),
-                    F.array(F.struct(F.lit("finish").alias("type"), null_s.alias("delta"))))
+    flat = F.concat(F.flatten(F.transform("parts", rows)), F.array(chunk("finish", F.col("finish_reason"))))
     return results.select(F.col("id").alias("message_id"), F.posexplode(flat).alias("seq", "c")).select(
         "message_id", F.col("seq").cast("long").alias("seq"), F.col("c.type").alias("type"), F.col("c.delta").alias("delta"))
 
 
-def resume(chunks: DataFrame, cursors: DataFrame) -> DataFrame:
-    """Replay of each stream from its cursor (stream-static join)."""
-    return chunks.join(cursors, "stream_id").filter(F.col("seq") >= F.coalesce(F.col("cursor"), F.lit(0))) \
-        .select("stream_id", "seq", "type", "delta")
-
-
-def resume_decision(chunks: DataFrame, max_attempts: int = MAX_RESUME_ATTEMPTS) -> DataFrame:
-    """Client decision when a stream ends: never after a user abort or a
-    credential error; resume when the last part is not 'finish' and the end
-    was a disconnect, an error or nothing at all, while attempts remain.
-    Mapping of stream endings: last 'text-start' = user abort, last
-    'text-delta' = disconnect, last 'error' = error; attempts = earlier
-    errors."""
-    cred = F.coalesce(F.col("delta").rlike(CRED_ERROR), F.lit(False))
-    g = chunks.groupBy("stream_id").agg(
-        F.max_by("type", "seq").alias("last_type"),
-        F.count(F.when(F.col("type") == "error", 1)).alias("n_errors"),
-        F.bool_or((F.col("type") == "error") & cred).alias("credential_error"))
-    last = F.col("last_type")
-    attempts = F.greatest(F.col("n_errors") - 1, F.lit(0))
-    should = (last != "finish") & ((last == "text-delta") | (last == "error") | last.isNull())
-    decision = (F.when(last == "text-start", "no_abort").when(F.col("credential_error"), "no_credential")
-                .when(should & (attempts < max_attempts), "resume").when(should, "give_up").otherwise("done"))
-    return g.select("stream_id", "last_type", attempts.alias("attempts"), decision.alias("decision"))
-
-
-def active_stream(chunks: DataFrame) -> DataFrame:
-    """Latest registered stream per chat (a text-start registers
-    ``stream:seq``), cleared once a finish follows it."""
-    reg = F.col("type") == "text-start"
-    g = chunks.groupBy(F.col("stream_id").alias("chat_id")).agg(
-        F.max_by(F.concat(F.col("stream_id").cast("string"), F.lit(":"), F.col("seq").cast("string")),
-                 F.when(reg, F.col("seq"))).alias("active_stream"),
-        F.max(F.when(reg, F.col("seq"))).alias("reg_seq"),
-        F.max(F.when(F.col("type") == "finish", F.col("seq"))).alias("fin_seq"))
-    return g.filter(F.col("reg_seq").isNotNull() & (F.col("fin_seq").isNull() | (F.col("fin_seq") < F.col("reg_seq")))) \
-        .select("chat_id", "active_stream")
+def resume(chunks: DataFrame, requests: DataFrame, active: DataFrame, chats: DataFrame) -> DataFrame:
+    """Replay for resume requests (chat_id, user_id, cursor): the chat's
+    active stream from the cursor on (from the start without one). Nothing
+    for a chat without an active stream or one the user may not read; a chat
+    that is not stored yet may be resumed by anyone. chunks may be a stream."""
+    allowed = acl(chats, requests).filter(F.col("can_read") | (F.col("reason") == "not_found")) \
+        .select("chat_id", "user_id").distinct()
+    asked = requests.join(allowed, ["chat_id", "user_id"]).join(active.select("chat_id", "stream_id"), "chat_id")
+    return chunks.join(asked, "stream_id").filter(F.col("seq") >= F.coalesce(F.col("cursor"), F.lit(0))) \
+        .select("chat_id", "user_id", "stream_id", "seq", "type", "delta")
+
+
+def resume_decision(endings: DataFrame, max_attempts: int = MAX_RESUME_ATTEMPTS) -> DataFrame:
+    """Client decision when a stream ends (is_abort, is_disconnect, is_error,
+    last_part, attempts, error_text of the last message): never after a user
+    abort or a credential error; resume when the last part is not 'finish'
+    and the end was a disconnect, an error or nothing at all, while attempts
+    remain."""
+    last = F.col("last_part")
+    cred = F.coalesce(F.col("error_text").rlike(CRED_ERROR), F.lit(False))
+    should = F.coalesce(last != "finish", F.lit(True)) & (F.col("is_disconnect") | F.col("is_error") | last.isNull())
+    decision = (F.when(F.col("is_abort"), "no_abort").when(cred, "no_credential")
+                .when(should & (F.col("attempts") < max_attempts), "resume").when(should, "give_up").otherwise("done"))
+    return endings.select("stream_id", decision.alias("decision"))
+
+
+def active_stream(registrations: DataFrame, ttl: str = TTL, watermark: str | None = None) -> DataFrame:
+    """Latest registered stream per chat and session (registrations: chat_id,
+    seq, ts, op register/clear, stream_id), none once a clear follows it."""
+    reg = F.col("op") == "register"
+    g = sessions(registrations, "chat_id", ttl, watermark,
+                 F.max_by("stream_id", F.when(reg, F.col("seq"))).alias("stream_id"),
+                 F.max(F.when(reg, F.col("seq"))).alias("reg_seq"),
+                 F.max(F.when(~reg, F.col("seq"))).alias("clear_seq"))
+    return g.filter(F.col("reg_seq").isNotNull() & (F.col("clear_seq").isNull() | (F.col("clear_seq") < F.col("reg_seq")))) \
+        .select("chat_id", "session_start", "stream_id")
 
 
 def ttl_sessions(chunks: DataFrame, ttl: str = TTL, watermark: str | None = None) -> DataFrame:
     """A stream's cache entry lives until ``ttl`` passes without a push:
-    session windows per stream. On a stream pass ``watermark``; timestamps
-    are cast to TIMESTAMP for the watermark and back to TIMESTAMP_NTZ."""
-    c = chunks
-    if watermark:
-        c = c.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    g = c.groupBy("stream_id", F.session_window("ts", ttl).alias("s")).agg(F.count(F.lit(1)).alias("n_chunks"))
-    return g.select("stream_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                    F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_chunks")
+    session windows per stream."""
+    g = sessions(chunks, "stream_id", ttl, watermark, F.count(F.lit(1)).alias("n_chunks"))
+    return g.select("stream_id", "session_start", "session_end", "n_chunks")
 
 
 def upsert_store(log: DataFrame) -> DataFrame:
@@ -160,6 +156,12 @@ def upsert_store(log: DataFrame) -> DataFrame:
     return g.filter(~F.col("v.is_delete")).select("ns_kind", "ns_user", "mem_key", F.col("v.value").alias("value"), "seq")
 
 
+def compact_log(spark: SparkSession, log_path: str, store_path: str) -> None:
+    """Fold the micro-batches of an upsert log into a new store: one row per
+    live key (run between triggers; the log's folders may then be retired)."""
+    upsert_store(spark.read.parquet(log_path)).withColumn("is_delete", F.lit(False)).write.mode("overwrite").parquet(store_path)
+
+
 def upsert_stream(stream: DataFrame, log_path: str, checkpoint: str, trigger_once: bool = True):
     """Continuous upsert: each micro-batch is written to its own
     batch_id=N folder of the log (overwrite of that folder, so a replayed
@@ -172,16 +174,6 @@ def upsert_stream(stream: DataFrame, log_path: str, checkpoint: str, trigger_onc
     return w.start()
 
 
-APPROVAL_KIND = {"signup": "requested", "purchase": "approved", "error": "denied"}
-
-
-def approval_events(events: DataFrame) -> DataFrame:
-    kind = F.when(F.col("event_type") == "signup", "requested").when(F.col("event_type") == "purchase", "approved") \
-        .when(F.col("event_type") == "error", "denied")
-    return events.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), kind.alias("kind")) \
-        .filter(F.col("kind").isNotNull())
-
-
 def approval_state(ev: DataFrame) -> DataFrame:
     """Batch twin of the approval state machine: a request becomes pending;
     the first decision after the latest request settles it (approved ->
@@ -197,56 +189,90 @@ def approval_state(ev: DataFrame) -> DataFrame:
 
 
 def _approval_fn(key, pdfs, state):
+    """State: the latest request's seq and the decisions after it, so rows may
+    come in any order and any number of batches."""
     import pandas as pd
-    status = state.get[0] if state.exists else "none"
-    for pdf in pdfs:
-        for kind in pdf.sort_values("seq")["kind"]:
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    request, seqs, kinds = state.get if state.exists else (-1, [], [])
+    decisions = dict(zip(seqs, kinds))
+    seen = list(pdfs)
+    for pdf in seen:
+        for seq, kind in zip(pdf["seq"], pdf["kind"]):
             if kind == "requested":
-                status = "pending"
-            elif status == "pending":
-                status = kind
-    state.update((status,))
-    if status == "none":
+                request = max(request, int(seq))
+            else:
+                decisions[int(seq)] = kind
+    decisions = {s: k for s, k in sorted(decisions.items()) if s > request}
+    state.update((request, list(decisions), list(decisions.values())))
+    latest = max([state.getCurrentWatermarkMs(), *(int(p["ts"].max().timestamp() * 1000) for p in seen)])
+    state.setTimeoutTimestamp(latest + APPROVAL_TIMEOUT_MS)
+    if request < 0:
         return
+    status = next(iter(decisions.values()), "pending")
     action = {"approved": "continue", "denied": "stop"}.get(status, "wait")
     yield pd.DataFrame({"request_id": [key[0]], "state": [status], "action": [action]})
 
 
-def approval_state_stream(ev: DataFrame) -> DataFrame:
-    """Streaming twin: per-request state machine kept in state
+APPROVAL_TIMEOUT_MS = 24 * 3600 * 1000
+
+
+def approval_state_stream(ev: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Streaming twin (events with their time ``ts``): per-request state
+    machine kept in state until the watermark is a day past its last event
     (applyInPandasWithState, update mode)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return ev.groupBy("request_id").applyInPandasWithState(
-        _approval_fn, "request_id long, state string, action string", "status string", "update",
-        GroupStateTimeout.NoTimeout)
+        _approval_fn, "request_id long, state string, action string",
+        "request long, seqs array<long>, kinds array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def index_sync_batch(old: DataFrame, new: DataFrame, embedder) -> DataFrame:
-    """One micro-batch of the triggered index sync: the change set (one
-    full outer join on chunk_id comparing md5 digests) with a vector
-    computed for every inserted or updated chunk."""
-    o = old.select("chunk_id", F.md5("content").alias("old_md5"))
-    n = new.select("chunk_id", F.md5("content").alias("new_md5"), "content")
+    """One step of the triggered index sync (chunk_id, doc_name, content): the
+    change set - one full outer join on chunk_id comparing md5 digests - with
+    a vector for every inserted or updated chunk; only these are embedded."""
+    o = old.select("chunk_id", F.col("doc_name").alias("old_doc"), F.md5("content").alias("old_md5"))
+    n = new.select("chunk_id", F.col("doc_name").alias("new_doc"), F.md5("content").alias("new_md5"), "content")
     j = o.join(n, "chunk_id", "full_outer")
     action = (F.when(F.col("old_md5").isNull(), "insert").when(F.col("new_md5").isNull(), "delete")
               .when(F.col("old_md5") != F.col("new_md5"), "update"))
-    j = j.select("chunk_id", action.alias("action"), "content").filter(F.col("action").isNotNull())
-    j = embedder(j.withColumn("_t", F.when(F.col("action") != "delete", F.col("content")).otherwise(F.lit(""))),
-                 col="_t", out="_e")
-    return j.select("chunk_id", "action", ((F.col("action") != "delete") & F.col("_e").isNotNull()).alias("embedded"))
-
-
-def index_sync_stream(new_chunks: DataFrame, index_path: str, log_path: str, checkpoint: str, embedder):
-    """Triggered sync: each micro-batch of changed chunks is diffed against
-    the stored index and the change rows (with vectors) are appended to the
-    sync log under batch_id=N (idempotent on replay)."""
+    j = j.select("chunk_id", F.coalesce("new_doc", "old_doc").alias("doc_name"), action.alias("action"), "content") \
+        .filter(F.col("action").isNotNull())
+    changed = embedder(j.filter(F.col("action") != "delete"), col="content", out="embedding")
+    gone = j.filter(F.col("action") == "delete").withColumn("embedding", F.lit(None).cast(changed.schema["embedding"].dataType))
+    return changed.unionByName(gone)
+
+
+def index_now(index: DataFrame, log: DataFrame | None) -> DataFrame:
+    """The index with its sync log applied: the last logged change per chunk."""
+    cols = ["chunk_id", "doc_name", "content", "embedding"]
+    base = index.select(*cols, F.lit("insert").alias("action"), F.lit(-1).cast("long").alias("batch_id"))
+    rows = base if log is None else base.unionByName(log.select(*cols, "action", F.col("batch_id").cast("long").alias("batch_id")))
+    last = rows.groupBy("chunk_id").agg(F.max_by(F.struct("doc_name", "content", "embedding", "action"), "batch_id").alias("r"))
+    return last.filter("r.action <> 'delete'").select("chunk_id", "r.doc_name", "r.content", "r.embedding")
+
+
+def index_sync_stream(snapshots: DataFrame, index_path: str, log_path: str, checkpoint: str, embedder):
+    """Triggered sync of document snapshots (doc_name, chunk_id, content; a
+    document's micro-batch holds all its chunks, a removed document one row
+    with a null chunk): each micro-batch is compared with the touched
+    documents' rows of the index, log applied, and the changes - inserts,
+    updates, deletes - go to the log under batch_id=N (idempotent on
+    replay)."""
     def write(df, batch_id):
-        old = df.sparkSession.read.parquet(index_path)
-        o = old.select("chunk_id", F.md5("content").alias("old_md5"))
-        j = df.join(o, "chunk_id", "left").filter(F.col("old_md5").isNull() | (F.col("old_md5") != F.md5("content")))
-        embedder(j.select("chunk_id", "content"), col="content", out="embedding") \
+        spark = df.sparkSession
+        log = None
+        if batch_id:
+            log = spark.read.parquet(*[f"{log_path.rstrip('/')}/batch_id={i}" for i in range(batch_id)])
+        touched = df.select("doc_name").distinct()
+        old = index_now(spark.read.parquet(index_path), log).join(touched, "doc_name", "left_semi")
+        changes = index_sync_batch(old, df.filter(F.col("chunk_id").isNotNull()), embedder)
+        changes.withColumn("batch_id", F.lit(batch_id).cast("long")) \
             .write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
-    return (new_chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

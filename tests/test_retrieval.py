@@ -61,15 +61,26 @@ def test_sync_plan_embeds_changed_rows_only(spark):
     assert got == {"a": ([1.0], False), "b": ([2.0], True), "d": ([2.0], True)} and sorted(seen) == ["added", "new"]
 
 
-def test_index_sync_stream_equals_batch(spark):
+def test_index_sync_stream_reaches_the_snapshot(spark):
+    """Micro-batches of whole documents, removed ones as a row without chunk:
+    the index with the log applied is the new snapshot, and only changed
+    chunks were embedded."""
     t = Tables(spark, SF_SMALL)
     old, new = QR.para_chunks(QR.docs(t)), QR.para_chunks(QR.new_docs(t))
     d = tempfile.mkdtemp(prefix="cartlake-sync-")
-    old.write.parquet(d + "/index")
-    new.repartition(3).write.parquet(d + "/new")
-    q = S.index_sync_stream(spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(d + "/new"),
-                            d + "/index", d + "/log", d + "/ckpt", G.embed)
+    G.embed(old, dim=16).write.parquet(d + "/index")
+    gone = old.select("doc_name").distinct().join(new.select("doc_name").distinct(), "doc_name", "left_anti")
+    snap = new.select("doc_name", "chunk_id", "content").unionByName(gone, allowMissingColumns=True)
+    for k in range(3):
+        snap.filter(F.col("doc_name") % 3 == k).coalesce(1).write.mode("append").parquet(d + "/new")
+    q = S.index_sync_stream(spark.readStream.schema(snap.schema).option("maxFilesPerTrigger", 1).parquet(d + "/new"),
+                            d + "/index", d + "/log", d + "/ckpt", lambda df, col, out: G.embed(df, 16, col, out))
     q.awaitTermination()
-    logged = {r.chunk_id for r in spark.read.parquet(d + "/log").collect()}
-    exp = {r.chunk_id for r in S.index_sync_batch(old, new, G.embed).filter(F.col("action") != "delete").collect()}
-    assert logged == exp
+    log = spark.read.parquet(d + "/log")
+    assert log.select("batch_id").distinct().count() == 3
+    want = {r.chunk_id: r.action for r in S.index_sync_batch(old, new, G.embed).collect()}
+    assert {r.chunk_id: r.action for r in log.collect()} == want
+    assert {"insert", "update", "delete"} <= set(want.values())
+    now = S.index_now(spark.read.parquet(d + "/index"), log)
+    assert {(r.chunk_id, r.content) for r in now.collect()} == {(r.chunk_id, r.content) for r in new.collect()}
+    assert log.filter("(action = 'delete') <> (embedding IS NULL)").count() == 0
