@@ -49,13 +49,13 @@ def latency_errors(spans: DataFrame, every: str = "1 day", exact: bool = False)
         .select(F.col("w.start").alias("window_start"), "n_spans", "p50_ms", "p95_ms", "error_rate"))
 
 
-def token_usage(messages: DataFrame) -> DataFrame:
-    """Tokens (chars / 4) by user and chat with ROLLUP subtotals."""
-    toks = F.floor(F.length("text") / 4)
-    return (messages.rollup("user_id", "chat_id")
-            .agg(F.sum(F.when(F.col("role") == "user", toks).otherwise(0)).alias("input_tokens"),
-                 F.sum(F.when(F.col("role") != "user", toks).otherwise(0)).alias("output_tokens"),
-                 F.grouping_id().cast("int").alias("level")))
+def token_usage(usage: DataFrame) -> DataFrame:
+    """Stored usage (user_id, chat_id, input_tokens, output_tokens; chats
+    without one count as 0) by user and chat with ROLLUP subtotals."""
+    return usage.rollup("user_id", "chat_id").agg(
+        F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
+        F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
+        F.grouping_id().cast("int").alias("level"))
 
 
 def tool_usage(spans: DataFrame) -> DataFrame:

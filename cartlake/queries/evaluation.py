@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chat as C
 from ..operators import evaluate as E
 from ..operators import traces as TR
 from ..sources import chatdata as CD
 from ..sources import tables as T
 from ..sources.tables import Tables
 from . import chatsql  # noqa: F401
+from .chat import COMPACT_SQL
 from .views import with_views as W
 
 Q = {}
@@ -63,16 +65,17 @@ def q_latency(s, d):
     return TR.latency_errors(T.spans(_t(s, d)), "1 day", exact=True)
 
 
-@reg("trc_token_usage", """SELECT c.user_id, m.chat_id,
-  sum(CASE WHEN m.role = 'user' THEN floor(length(m.text) / 4) ELSE 0 END) AS input_tokens,
-  sum(CASE WHEN m.role <> 'user' THEN floor(length(m.text) / 4) ELSE 0 END) AS output_tokens,
-  CAST(GROUPING(c.user_id, m.chat_id) AS INTEGER) AS level
-FROM message m JOIN chat c ON c.id = m.chat_id GROUP BY ROLLUP (c.user_id, m.chat_id)""", ("chat", "message"))
+@reg("trc_token_usage", f"""WITH {COMPACT_SQL},
+u AS (SELECT user_id, id AS chat_id, CAST(json_extract(last_context, '$.inputTokens') AS BIGINT) AS i,
+  CAST(json_extract(last_context, '$.outputTokens') AS BIGINT) AS o FROM compacted)
+SELECT user_id, chat_id, CAST(sum(coalesce(i, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(o, 0)) AS BIGINT) AS output_tokens,
+  CAST(GROUPING(user_id, chat_id) AS INTEGER) AS level FROM u GROUP BY ROLLUP (user_id, chat_id)""", ("chat", "chat_log"))
 def q_token_usage(s, d):
-    t = _t(s, d)
-    m = T.message(t).join(T.chat(t).select(F.col("id").alias("chat_id"), "user_id"), "chat_id")
-    return TR.token_usage(m).withColumn("input_tokens", F.col("input_tokens").cast("double")) \
-        .withColumn("output_tokens", F.col("output_tokens").cast("double"))
+    """The usage stored with each live chat."""
+    c = C.compact_chats(CD.chat_log(_t(s, d)))
+    ctx = F.from_json("last_context", "inputTokens long, outputTokens long")
+    return TR.token_usage(c.select("user_id", F.col("id").alias("chat_id"), ctx["inputTokens"].alias("input_tokens"),
+                                   ctx["outputTokens"].alias("output_tokens")))
 
 
 @reg("trc_tool_usage", """SELECT trace_id, count(*) AS n_calls, count(DISTINCT name) AS n_tools,
