@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -75,6 +75,23 @@ def per_worker(name: str, make):
     return held[name]
 
 
+def tidy(run):
+    """A batch function that gives freed memory back to the system when its
+    task ends: workers live on, and several share an executor's memory."""
+    def tidied(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):       # another C library: nothing to trim
+            pass
+    return tidied
+
+
 def ship(module: str) -> None:
     """Pickle a module's functions by value, so that executors need no copy
     of this package."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, short_batches, slices, texts
+from .common import saved, ship, short_batches, slices, texts, tidy
 
 # bytes that belong to words, A-Z lower-cased; every other byte becomes a space
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -148,7 +148,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     while block is not None:
         later = next(blocks, None)
         shape = out.schema if later is not None else out.drop("hits", *[] if keep_text else ["text"]).schema
-        out = out.mapInArrow(scan(block, window, shape.names), shape)
+        out = out.mapInArrow(tidy(scan(block, window, shape.names)), shape)
         out = saved(out, "decontaminate-block") if later is not None else out
         block = later
     dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))

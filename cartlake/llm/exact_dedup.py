@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import saved, ship, tidy
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -67,7 +67,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """Every row with its digest, the id of the row that stays, the size of
     its group and whether it stays itself."""
     rows = saved(digests(df, id_col, text_col), "exact-digests")
-    frequent = (rows.select("digest").mapInArrow(misra_gries(counters), "digest string, at_least long")
+    frequent = (rows.select("digest").mapInArrow(tidy(misra_gries(counters)), "digest string, at_least long")
                 .groupBy("digest").agg(F.sum("at_least").alias("at_least")).filter("at_least > 1")
                 .orderBy(F.desc("at_least"), "digest").limit(counters).select("digest"))
     # at most ``counters`` rows: bounded, so a broadcast is safe

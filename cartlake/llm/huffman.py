@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 
 from cartlake.plans.session import scratch_path
 
-from .common import per_worker, saved, ship, shuffle_parts, texts
+from .common import per_worker, saved, ship, shuffle_parts, texts, tidy
 
 STEP = 64            # ids between two checkpoints
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 # the combining marks that can compose with a Latin letter
 COMBINING = "[\u0300-\u036f]"
 
@@ -140,8 +140,8 @@ def encode_texts(path: str, end_id: int, width: str):
         known = per_worker(f"word ids {path} {width}", lambda: WordIds(path, width))
         end, unit = np.array([end_id], width).tobytes(), np.dtype(width).itemsize
         for batch in batches:
-            # about 8 MB of text at a time, as batches may hold very long texts
-            step = max(1, (batch.num_rows << 23) // (batch.nbytes + 1))
+            # about 4 MB of text at a time, as batches may hold very long texts
+            step = max(1, (batch.num_rows << 22) // (batch.nbytes + 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 first, word, distinct = split_words(part.column(1))
@@ -311,9 +311,9 @@ def encode(df: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabula
     spark = df.sparkSession
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     ids = saved(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                .mapInArrow(encode_texts(tokenizer, end_id, width), "id long, ids binary"), "token-ids")
+                .mapInArrow(tidy(encode_texts(tokenizer, end_id, width)), "id long, ids binary"), "token-ids")
     # one row per used vocabulary entry: bounded by the vocabulary
-    counts = (ids.select("ids").mapInArrow(count_ids(width), "token long, n long")
+    counts = (ids.select("ids").mapInArrow(tidy(count_ids(width)), "token long, n long")
               .groupBy("token").agg(F.sum("n").alias("n")).orderBy("token").toPandas())
     tokens, n = counts["token"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     limit = max(16, len(tokens).bit_length() + 1)
@@ -321,7 +321,7 @@ def encode(df: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabula
     (spark.createDataFrame([(int(t), int(x)) for t, x in zip(tokens, lengths)], "token long, length int")
      .coalesce(1).write.parquet(f"{folder}/codes"))
     (ids.repartitionByRange(shuffle_parts(spark), "id").sortWithinPartitions("id")
-     .mapInArrow(write_blocks(tokens, lengths, width, block_ids), BLOCKS)
+     .mapInArrow(tidy(write_blocks(tokens, lengths, width, block_ids)), BLOCKS)
      .write.option("compression", "none").parquet(f"{folder}/blocks"))
 
 
@@ -335,7 +335,7 @@ def decode(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFram
     for part, n in totals:
         before[part], run = run, run + n
     read = read_blocks(codes["token"].to_numpy(np.int64), codes["length"].to_numpy(np.int64), before)
-    out = blocks.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    out = blocks.mapInArrow(tidy(read), "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 

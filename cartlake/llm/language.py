@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, short_batches, slices
+from .common import ship, short_batches, slices, tidy
 
 FEATURES = 2048
-CHUNK = 1 << 20           # letters scored at once
+CHUNK = 1 << 18           # letters scored at once
 UNKNOWN = "und"
 
 
@@ -141,7 +141,7 @@ def fit(df: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "t
     share = F.create_map(*[F.lit(x) for lang in sorted(n)
                            for x in (lang, int((1 << 30) * min(1.0, per_language / n[lang])))])
     rows = known.filter(F.col("draw") < share[F.col("lang")]).select("lang", "text") \
-        .mapInArrow(sample_features, "lang string, buckets binary, shares binary").collect()
+        .mapInArrow(tidy(sample_features), "lang string, buckets binary, shares binary").collect()
     rows.sort(key=lambda r: (r.lang, r.buckets, r.shares))
     langs = sorted(n)
     x = np.zeros((len(rows), FEATURES), np.float32)
@@ -208,7 +208,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", carry: list[st
     inner = df.select(F.struct(F.lit(0).alias("_"), *rest).alias("carried"), F.col(text_col).alias("text"))
     names = ["carried", "text"] if keep_text else ["carried"]
     shape = ", ".join(f"{c} {dict(inner.dtypes)[c]}" for c in names) + ", lang_pred string, score double, ambiguous boolean"
-    out = inner.mapInArrow(predict_batches(model, names, keep_text, sharpness, close), shape)
+    out = inner.mapInArrow(tidy(predict_batches(model, names, keep_text, sharpness, close)), shape)
     return out.select(*[(F.col("text") if c == text_col else F.col("carried")[c]).alias(c) for c in carry],
                       "lang_pred", "score", "ambiguous")
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, texts
+from .common import saved, ship, texts, tidy
 
 END, START, RARE = 0, 1, 2         # symbols; words follow from 3
 HELD = 300_000                     # distinct words counted in a task before they are passed on
@@ -255,7 +255,7 @@ class Model:
 
 def fit(train: DataFrame, text_col: str = "text", states: int = 1 << 16, discount: float = 0.7) -> Model:
     text = train.select(F.col(text_col).alias("text"))
-    counted = saved(text.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
+    counted = saved(text.mapInArrow(tidy(count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
                     "lm-words")
     words = counted.filter("word IS NOT NULL")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
@@ -268,14 +268,14 @@ def fit(train: DataFrame, text_col: str = "text", states: int = 1 << 16, discoun
     counts = np.array([docs, 0, sums[0] - sum(r.n for r in top), *(r.n for r in top)], np.int64)
     # rare words: count + 1 each, and one for everything unknown
     rare_mass = int(counts[RARE]) + (sums[1] - len(top)) + 1
-    bounds = saved(text.mapInArrow(frequent_grams(number, states), "order int, gram long, most double")
+    bounds = saved(text.mapInArrow(tidy(frequent_grams(number, states)), "order int, gram long, most double")
                    .groupBy("order", "gram").agg(F.sum("most").alias("most")), "lm-bounds")
     rest = {r.order: r.most for r in bounds.filter("gram = -1").collect()}
     found = (bounds.filter("gram >= 0").filter(F.col("most") >= least - F.when(F.col("order") == 2, rest.get(2, 0.0))
                                                .otherwise(rest.get(3, 0.0)))
              .orderBy("order", "gram").toPandas())
     candidates = {k: found.loc[found["order"] == k, "gram"].to_numpy(np.int64) for k in (2, 3)}
-    exact = (text.mapInArrow(count_grams(number, candidates), "order int, gram long, n long")
+    exact = (text.mapInArrow(tidy(count_grams(number, candidates)), "order int, gram long, n long")
              .groupBy("order", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
              .orderBy("order", "gram").toPandas())
     kept = {k: dict(zip(exact.loc[exact["order"] == k, "gram"].tolist(), exact.loc[exact["order"] == k, "n"].tolist()))
@@ -332,7 +332,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                       F.col(text_col).alias("text"))
     z, rare = math.log10(model.n_tokens + model.n_types + 1), math.log10(model.rare_mass)
     run = score_batches((model.automaton, model.number, model.counts, z), to_arrow_type(inner.schema["id"].dataType))
-    rows = inner.mapInArrow(run, "row_no long, word binary, tf int, stats "
+    rows = inner.mapInArrow(tidy(run), "row_no long, word binary, tf int, stats "
                             + STATS.format(dict(inner.dtypes)["id"]))
     n = F.coalesce("n", F.lit(0))
     one = (rows.join(model.rare_words, "word", "left")

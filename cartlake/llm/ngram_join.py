@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, saved, ship, shuffle_parts, texts
+from .common import per_worker, saved, ship, shuffle_parts, texts, tidy
 from .components import components
 from .lm_score import run_lengths
 
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 SOME = 1 << 21
 BITMAP = 1 << 24
 DEEPEST = 4                # largest number of prefix matches asked for
@@ -299,7 +299,7 @@ def candidate_sets(df: DataFrame, nodes: DataFrame, k: int, id_col: str, text_co
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), spot(id_col).alias("spot"),
                                                        F.col(text_col).alias("text"))
     shape = f"id {dict(rows.dtypes)['id']}, digest binary, shingles binary"
-    sets = rows.mapInArrow(set_rows(k, bitmap.view(np.uint8)), shape).withColumnRenamed("id", "node")
+    sets = rows.mapInArrow(tidy(set_rows(k, bitmap.view(np.uint8))), shape).withColumnRenamed("id", "node")
     return sets.join(nodes, ["node", "digest"]).groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
@@ -325,7 +325,7 @@ class Verifier:
         two = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
         t = dict(both.dtypes)["a"]
-        return saved(both.mapInArrow(verified(self.percent), f"a {t}, b {t}, linked boolean"), "ngram-verified")
+        return saved(both.mapInArrow(tidy(verified(self.percent)), f"a {t}, b {t}, linked boolean"), "ngram-verified")
 
 
 def fits(percent: int):
@@ -472,8 +472,8 @@ def cross_pairs(entries: DataFrame, percent: int, list_size: int = 1 << 16) -> D
     roles = F.when(outside, F.concat(F.array(own), asked)).otherwise(F.array(own))
     dealt = rows.select("token", F.explode(roles).alias("role"), "node", "size", "ask", "component", (~outside).alias("in_main"))
     dealt = dealt.select("token", "role.block", "role.asks", "node", "size", "ask", "component", "in_main")
-    met = dealt.repartition(parts, "token", "block").mapInArrow(meet(percent, parts), MEETING)
-    return met.repartition(parts, "bucket").mapInArrow(enough_shared(percent), "a long, b long")
+    met = dealt.repartition(parts, "token", "block").mapInArrow(tidy(meet(percent, parts)), MEETING)
+    return met.repartition(parts, "bucket").mapInArrow(tidy(enough_shared(percent)), "a long, b long")
 
 
 def with_components(entries: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -497,7 +497,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     df = df.select(F.col(id_col).cast("long").alias(id_col), text_col)
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = f"id {dict(inner.dtypes)['id']}, size long, digest binary, token long, n long"
-    rows = saved(inner.mapInArrow(describe(k, hot), shape), "ngram-rows")
+    rows = saved(inner.mapInArrow(tidy(describe(k, hot)), shape), "ngram-rows")
     docs = rows.filter("digest IS NOT NULL").select("id", "size", "digest")
     # at most ``hot`` rows
     top = (rows.filter("digest IS NULL").groupBy("token").agg(F.sum("n").alias("n"))
@@ -505,9 +505,9 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     parts = shuffle_parts(spark)
-    shared = (inner.select("text").mapInArrow(index_entries(k, percent, tokens[order], n[order], parts), ENTRIES)
+    shared = (inner.select("text").mapInArrow(tidy(index_entries(k, percent, tokens[order], n[order], parts)), ENTRIES)
               .repartition(parts, "bucket")
-              .mapInArrow(shared_entries, "token long, digest binary, size long, ask int"))
+              .mapInArrow(tidy(shared_entries), "token long, digest binary, size long, ask int"))
     nodes = saved(docs.filter("size > 0").groupBy("digest").agg(F.min("id").alias("node")), "ngram-nodes")
     nodes = nodes.filter("node IS NOT NULL")
     entries = saved(shared.join(nodes, "digest").groupBy("token", "node")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, texts
+from .common import saved, ship, texts, tidy
 
 STATS = ["length", "upper", "digit", "space", "line", "stop", "loud", "pipe", "symbol", "other", "word_length",
          "distinct", "repeat", "entropy", "dup_lines", "long_words"]
@@ -81,7 +81,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, statistics...) per row, written once."""
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = f"id {dict(inner.dtypes)['id']}, " + ", ".join(f"{s} double" for s in STATS)
-    return saved(inner.mapInArrow(stat_batches, shape), "quality-statistics")
+    return saved(inner.mapInArrow(tidy(stat_batches), shape), "quality-statistics")
 
 
 def agreed_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
@@ -147,7 +147,7 @@ def score_batches(model: Model):
 
 
 def score(feats: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    out = feats.mapInArrow(score_batches(model), f"id {dict(feats.dtypes)['id']}, score double")
+    out = feats.mapInArrow(tidy(score_batches(model)), f"id {dict(feats.dtypes)['id']}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

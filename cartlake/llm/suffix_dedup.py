@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, shuffle_parts, texts
+from .common import saved, ship, shuffle_parts, texts, tidy
 
 GRAM = 32
 CHUNK = 1 << 21            # bytes hashed at once
@@ -527,20 +527,20 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.col(text_col).alias("text"))
     # written once: the row numbers must be the same in all three uses
     words = shared_words(df, text_col)
-    packed = saved(rows.mapInArrow(squeeze_texts(words), "row_no long, id long, packed binary"), "suffix-texts")
-    met = saved(packed.select("row_no", "packed").mapInArrow(send_runs(length, parts, words), RUNS)
-                .repartition(parts, "bucket").mapInArrow(repeated_runs(crowd, parts), SCATTERED)
-                .repartition(parts, "part").mapInArrow(gather("<u1"), REPEATED), "suffix-runs")
+    packed = saved(rows.mapInArrow(tidy(squeeze_texts(words)), "row_no long, id long, packed binary"), "suffix-texts")
+    met = saved(packed.select("row_no", "packed").mapInArrow(tidy(send_runs(length, parts, words)), RUNS)
+                .repartition(parts, "bucket").mapInArrow(tidy(repeated_runs(crowd, parts)), SCATTERED)
+                .repartition(parts, "part").mapInArrow(tidy(gather("<u1")), REPEATED), "suffix-runs")
     # the most crowded grams; one beyond the table's bound merely stays unsplit
     crowded = (met.filter("row_no < 0").orderBy(F.desc("starts"), "grams").limit(CROWDED).select("grams")
                .toPandas()["grams"])
     crowded = np.frombuffer(b"".join(crowded), "<u8")
     wanted = met.filter("row_no >= 0")
-    spans = saved(packed.join(wanted, "row_no").mapInArrow(send_pieces(length, parts, crowded, words), PIECES)
-                  .repartition(parts, "bucket").mapInArrow(find_repeats(length, parts), SCATTERED)
-                  .repartition(parts, "part").mapInArrow(gather("<u4"), REPEATED), "suffix-removed")
+    spans = saved(packed.join(wanted, "row_no").mapInArrow(tidy(send_pieces(length, parts, crowded, words)), PIECES)
+                  .repartition(parts, "bucket").mapInArrow(tidy(find_repeats(length, parts)), SCATTERED)
+                  .repartition(parts, "part").mapInArrow(tidy(gather("<u4")), REPEATED), "suffix-removed")
     out = (packed.join(spans, "row_no", "left").select("id", "packed", "starts", "windows")
-           .mapInArrow(cut_out(length, words), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, "
+           .mapInArrow(tidy(cut_out(length, words)), "id long, n_bytes long, spans array<struct<start:long,stop:long>>, "
                                         "kept_sha256 string"))
     return out.withColumnRenamed("id", id_col)
 

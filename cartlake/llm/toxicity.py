@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import saved, ship, tidy
 from .quality import agreed_labels
 
 # Look-alikes, observed character -> letters it may stand for
@@ -101,10 +101,10 @@ class Letters:
 def fit_letters(df: DataFrame, text_col: str = "text") -> Letters:
     """Count all texts of ``df``: two passes, at most 64^3 rows to the driver."""
     text = df.select(F.col(text_col).alias("text"))
-    top = (text.mapInArrow(letter_counts, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
+    top = (text.mapInArrow(tidy(letter_counts), "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "letter").limit(ALPHABET - 2).collect())
     letters = "".join(sorted(r.letter for r in top))
-    grams = (text.mapInArrow(trigram_counts(letters), "gram long, n long").groupBy("gram")
+    grams = (text.mapInArrow(tidy(trigram_counts(letters)), "gram long, n long").groupBy("gram")
              .agg(F.sum("n").alias("n")).toPandas())
     counts = np.zeros(ALPHABET ** 3)
     counts[grams["gram"].to_numpy(np.int64)] = grams["n"].to_numpy()
@@ -334,7 +334,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic
                    .join(F.broadcast(drawn), "id").select("label", "draw", "text"), "toxic-sample")
     words, rest = sample.filter("draw % 3 > 0"), sample.filter("draw % 3 = 0")
     counts = {r.label: r.n for r in words.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    seen = (words.select("label", "text").mapInArrow(count_features(letters), "feature string, toxic long, clean long")
+    seen = (words.select("label", "text").mapInArrow(tidy(count_features(letters)), "feature string, toxic long, clean long")
             .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .filter(F.col("toxic") + F.col("clean") >= support).toPandas())
     toxic, clean = seen["toxic"].to_numpy(float), seen["clean"].to_numpy(float)
@@ -344,7 +344,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic
     # a telling feature, or a more specific one that speaks against it
     odds = {f: e for f, e in all_odds.items()
             if f in telling or any(f[:k] in telling for k in (4, 5, 6) if len(f) > k)}
-    got = rest.select("label", "text").mapInArrow(summarise((letters, odds), ["label"]),
+    got = rest.select("label", "text").mapInArrow(tidy(summarise((letters, odds), ["label"])),
                                                   "label int, x array<double>").collect()
     y = np.array([r.label for r in got], float)
     x = np.array([r.x for r in got]).reshape(-1, SUMMARY)
@@ -367,7 +367,7 @@ def score_batches(model: Model):
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score, predicted of every row."""
     inner = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = inner.mapInArrow(score_batches(model), f"id {dict(inner.dtypes)['id']}, score double")
+    out = inner.mapInArrow(tidy(score_batches(model)), f"id {dict(inner.dtypes)['id']}, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
