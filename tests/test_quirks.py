@@ -175,7 +175,8 @@ def test_tone_and_specificity_arithmetic(spark):
 
 def test_stream_outcomes(spark):
     ch = spark.createDataFrame([(1, 0, "error"), (1, 1, "text-start"), (2, 0, "text-start"), (2, 1, "error"),
-                                (3, 0, "text-start"), (3, 1, "text-delta")], "stream_id long, seq long, type string")
+                                (3, 0, "text-start"), (3, 1, "text-delta")], "stream_id long, seq long, type string") \
+        .withColumn("ts", F.lit(T0).cast("timestamp_ntz"))
     assert {r.stream_id: r.outcome for r in S.outcome(ch).collect()} == {1: "failed", 2: "partial", 3: "ok"}
 
 
@@ -256,3 +257,21 @@ def test_points_expiry_blocked_equals_model(spark):
             prev = ts
         exp += [(c, k, v) for k, v in acc.items()]
     assert got == sorted(exp)
+
+
+def test_nothing_found_is_said(spark):
+    hits = spark.createDataFrame([(1, 1, 7, '{"a": 1}')], "query_id long, rank long, mem_key long, value string")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    got = {r.query_id: r.text for r in M.render(hits, asked, "user_memories").collect()}
+    assert got == {1: 'Found 1 relevant memories:\n- [7]: {"a": 1}', 2: "No relevant memories found."}
+
+
+def test_resume_decisions(spark):
+    rows = [(1, True, True, False, None, 0, None), (2, False, True, False, "text-delta", 0, None),
+            (3, False, True, False, "text-delta", 3, None), (4, False, False, False, "finish", 0, None),
+            (5, False, False, False, None, 0, None), (6, False, True, False, "error", 0,
+             "Credential for user identity(u) is not found for the connection 'x'")]
+    ends = spark.createDataFrame(rows, "stream_id long, is_abort boolean, is_disconnect boolean, is_error boolean, "
+                                       "last_part string, attempts int, error_text string")
+    assert {r.stream_id: r.decision for r in S.resume_decision(ends).collect()} == {
+        1: "no_abort", 2: "resume", 3: "give_up", 4: "done", 5: "resume", 6: "no_credential"}
