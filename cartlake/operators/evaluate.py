@@ -90,7 +90,7 @@ def final_answer(messages: DataFrame) -> DataFrame:
 
 
 # kinds of tools by substrings of their lower-cased names
-TOOL_KINDS = {"data": ("genie",), "search": ("vector", "policy", "search"), "memory": ("memory",)}
+TOOL_KINDS = {"data": ("sql",), "search": ("vector", "policy", "search"), "memory": ("memory",)}
 
 
 def tool_routing(rows: DataFrame, spans: DataFrame, kinds: dict[str, tuple[str, ...]] = TOOL_KINDS) -> DataFrame:

@@ -155,13 +155,13 @@ def _routing_rows(t):
 
 @reg("evl_tool_routing", """WITH rows AS (SELECT DISTINCT trace_id FROM (SELECT trace_id FROM spans UNION ALL
     SELECT coalesce(trace_id, concat('m-', CAST(id AS VARCHAR))) FROM message)),
-per AS (SELECT trace_id, bool_or(contains(lower(name), 'genie')) AS genie,
+per AS (SELECT trace_id, bool_or(contains(lower(name), 'sql')) AS sql_tool,
   bool_or(contains(lower(name), 'vector') OR contains(lower(name), 'policy') OR contains(lower(name), 'search')) AS vector,
   bool_or(contains(lower(name), 'memory')) AS memory, array_to_string(list_sort(list(DISTINCT name)), ', ') AS tools
   FROM spans WHERE span_type = 'TOOL' GROUP BY trace_id),
 traced AS (SELECT DISTINCT trace_id FROM spans)
 SELECT r.trace_id AS row_id, r.trace_id,
-  CASE WHEN t.trace_id IS NULL THEN 'unknown' WHEN p.tools IS NULL THEN 'no_tools' WHEN p.genie OR p.vector OR p.memory THEN 'yes' ELSE 'no' END AS value,
+  CASE WHEN t.trace_id IS NULL THEN 'unknown' WHEN p.tools IS NULL THEN 'no_tools' WHEN p.sql_tool OR p.vector OR p.memory THEN 'yes' ELSE 'no' END AS value,
   p.tools AS rationale
 FROM rows r LEFT JOIN traced t USING (trace_id) LEFT JOIN per p USING (trace_id)""", ("spans", "message"))
 def q_routing(s, d):

@@ -50,7 +50,7 @@ FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0""",
   ELSE 'conversation_summaries' END AS ns_kind, user_id AS ns_user,
   substr(md5(props), 1, 2) AS mem_key, props AS value, event_type = 'error' AS is_delete FROM events""",
     "spans": """SELECT concat(CAST(user_id AS VARCHAR), '-', CAST(CAST(ts AS DATE) AS VARCHAR)) AS trace_id, event_id AS span_id,
-  CASE event_type WHEN 'view' THEN 'genie_query' WHEN 'purchase' THEN 'get_user_memory'
+  CASE event_type WHEN 'view' THEN 'sql_query' WHEN 'purchase' THEN 'get_user_memory'
     WHEN 'signup' THEN 'get_current_time' ELSE 'policy_search' END AS name,
   CASE event_type WHEN 'signup' THEN 'LLM' WHEN 'click' THEN 'RETRIEVER' ELSE 'TOOL' END AS span_type,
   ts AS start_time, value AS duration_ms,

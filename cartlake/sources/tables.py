@@ -170,7 +170,7 @@ def memory_log(t: Tables) -> DataFrame:
 
 def spans(t: Tables) -> DataFrame:
     e = t.events
-    name = _case(F.col("event_type"), {"view": "genie_query", "purchase": "get_user_memory",
+    name = _case(F.col("event_type"), {"view": "sql_query", "purchase": "get_user_memory",
                                        "signup": "get_current_time"}, "policy_search")
     stype = _case(F.col("event_type"), {"signup": "LLM", "click": "RETRIEVER"}, "TOOL")
     return e.select(

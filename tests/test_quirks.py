@@ -155,7 +155,7 @@ def test_title_fallback_and_sanitize(spark):
 
 
 def test_tool_routing_outcomes(spark):
-    spans = spark.createDataFrame([("t1", "search_task_history", "TOOL"), ("t2", "genie_query", "TOOL"),
+    spans = spark.createDataFrame([("t1", "search_task_history", "TOOL"), ("t2", "sql_query", "TOOL"),
                                    ("t3", "chat_model", "LLM"), ("t4", "calculator", "TOOL")],
                                   "trace_id string, name string, span_type string")
     rows = spark.createDataFrame([("r1", "t1"), ("r2", "t2"), ("r3", "t3"), ("r4", "t4"), ("r5", "nope")], "row_id string, trace_id string")
