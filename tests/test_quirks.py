@@ -1,4 +1,4 @@
-"""Hand-made fixtures for the behaviours the reference's code implies."""
+"""Hand-made fixtures for rules that are easy to get wrong."""
 
 import datetime as dt
 import json
