@@ -373,9 +373,10 @@ MEETING = ("bucket int, nodes binary, sizes binary, asks binary, left binary, ri
 
 def meet(percent: int, buckets: int):
     """A partition's index entries (token, block, asks, node, size, ask,
-    component, main) -> per bucket of the asking node the packed pairs that
+    component, main) -> per bucket of the smaller node the packed pairs that
     meet there, with counts: entries of one token and block, of different
-    components, whose sizes fit."""
+    components, whose sizes fit. Which node of a pair asks differs from token
+    to token, so pairs are (smaller, larger) node before they are counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not got:
@@ -407,7 +408,8 @@ def meet(percent: int, buckets: int):
             y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + first[group[x]]
             ok = (component[x] != component[y]) & (main[y].astype(bool) | (node[x] < node[y])) \
                 & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
-            pair, count = np.unique(of[x[ok]] * len(names) + of[y[ok]], return_counts=True)
+            x, y = of[x[ok]], of[y[ok]]                     # numbered in the order of the nodes
+            pair, count = np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y), return_counts=True)
             x, y = pair // len(names), pair % len(names)
             bucket = ((names[x].astype(np.uint64) * MULT[0] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -449,8 +451,7 @@ def enough_shared(percent: int):
         overlap = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
         outside = np.maximum(-(-percent * sizes[x] // 100) - asks[x], -(-percent * sizes[y] // 100) - asks[y])
         ok = shared >= np.maximum(np.minimum(asks[x], asks[y]), overlap - outside)
-        x, y = names[x[ok]], names[y[ok]]
-        yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(names[x[ok]]), "b": pa.array(names[y[ok]])})
     return run
 
 

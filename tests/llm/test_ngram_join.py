@@ -87,6 +87,16 @@ def test_prefixes_share_enough():
         assert len(np.intersect1d(px, py)) >= min(mx, my)
 
 
+@pytest.mark.parametrize("list_size", [1 << 16, 1])
+def test_counts_of_a_pair_meet(spark, list_size):
+    """The asking node of the pair 1, 4 is 4 for one token and 1 for the other."""
+    held = [(7, 1), (7, 2), (7, 3), (7, 4), (8, 1), (8, 4), (8, 5), (8, 6)]
+    rows = [(t, n, 10, 1, 1 if n < 4 else 4) for t, n in held]          # a pair needs 2
+    entries = spark.createDataFrame(rows, "token long, node long, size long, ask int, component long").repartition(3)
+    got = nj.cross_pairs(entries, 75, list_size).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 4)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 5 + k) for k in range(1, 80)]
