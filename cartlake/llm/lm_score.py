@@ -1,27 +1,23 @@
-"""Language-model scores from a weighted backoff automaton (operator 6).
+"""Language-model scores from a trigram backoff model (operator 6).
 
 Tokens are words (runs without ASCII white space, A-Z lower-cased) and one
 end per text. All token counts of the training texts are gathered (exact,
-one row per distinct word, kept distributed). Words with a share of at least
-``1 / states`` of the training tokens - at most ``states`` of them, whatever
-the corpus - are the automaton's symbols; every other word is the symbol
-RARE times its own add-one share among rare words, so the model gives every
-text a proper probability over the known words and one unknown.
-
-The n-gram states follow the same relative bound: an n-gram (2 and 3
-symbols) is kept when its count is at least ``max(2, tokens / states)``.
-They are found exactly in two scans: every
-partition lists its frequent n-grams with upper bounds (a Misra-Gries
-summary) and one bound for all others; an n-gram whose bounds add up to less
-than the threshold cannot reach it, which leaves at most 4/3 * states
-candidates per order, and the second scan counts these exactly. Probabilities are absolute discounting in backoff
-form; the states have failure arcs that carry the backoff weight, and one
-left-to-right traversal per text moves from state to state and adds up
-log-probabilities.
-
-The rare words of the texts meet their counts in one join on the word;
-frequent words are looked up in the task (the table is bounded), so no hot
-word is shuffled.
+one row per distinct word, kept distributed), and so are all 2- and 3-grams
+seen at least LEAST times, whatever the size of the corpus. N-grams are named
+by 64-bit hashes, summed within tasks and shuffled as packed arrays.
+
+Probabilities are absolute discounting in backoff form over the add-one
+shares of the words and one unknown; ``build`` gives the same model as one
+automaton in memory. The score of a text is a sum over its n-grams: a 1-gram
+adds its log10 share (together the base score) and its backoff weight, a
+longer n-gram its log10 probability less the backoff path it replaces, and
+its own backoff weight. So no text has to come back to the model in order:
+its n-grams and words meet the sharded tables by hash, each once a text, and
+the parts are added up by row.
+
+The words with a share of at least ``1 / states`` and the ``states`` most
+frequent n-grams are also sent to all tasks; they only save their lookups in
+the shards and change no score.
 
 Defined cases: null text = empty text = its end token alone; null ids are
 scored, not learned; repeated rows are counted and scored once each; without
@@ -30,6 +26,7 @@ ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -39,9 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, texts, tidy
+from .common import per_worker, saved, ship, shuffle_parts, texts, tidy
 
 END, START, RARE = 0, 1, 2         # symbols; words follow from 3
+LEAST = 2                          # occurrences of an n-gram that is learned
+SEED = 42                          # of Spark's xxhash64
+KNOWN_WORDS = 200_000
+CHUNK = 1 << 20                    # tokens whose n-grams are summed at once
 HELD = 300_000                     # distinct words counted in a task before they are passed on
 
 
@@ -103,65 +104,124 @@ class Frequent:
         self.keys, self.n = keys, n
 
 
-def frequent_grams(number: dict[bytes, int], states: int):
-    """Texts -> per order 2 and 3 the partition's n-grams that may make up
-    1 / (8 * states) of its tokens, with upper bounds of their counts; the
-    gram -1 carries the bound for every n-gram not listed."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """Key of the n-gram with the context ``a`` and the ending ``b``."""
+    return mixed(mixed(a + np.uint64(order)) + b * np.uint64(0x9E3779B97F4A7C15))
+
+
+def key_of(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+def edge_keys() -> tuple[int, int]:
+    """Keys of END and START; no word has a space."""
+    return key_of(b" end"), key_of(b" start")
+
+
+class Reader:
+    """Keys of the n-grams of texts; word keys are kept per worker."""
+
+    def __init__(self):
+        self.known, (self.end, self.start) = per_worker("lm word keys", dict), edge_keys()
+
+    def keys(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of START, words, END of all texts; number of the text)."""
+        words = set().union(*split)
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        for w in words.difference(self.known):
+            self.known[w] = key_of(w)
+        get = self.known.__getitem__
+        flat = [k for s in split for k in (self.start, *map(get, s), self.end)]
+        return np.array(flat, np.uint64), np.repeat(np.arange(len(split)), [len(s) + 2 for s in split])
+
+    @staticmethod
+    def grams(x: np.ndarray, doc: np.ndarray):
+        """Per order 2 and 3: (context, ending, key, text) of every n-gram."""
+        two = joined(x[:-1], x[1:], 2)
+        ok = doc[:-1] == doc[1:]
+        yield x[:-1][ok], x[1:][ok], two[ok], doc[1:][ok]
+        ok = doc[:-2] == doc[2:]
+        a, b = two[:-1][ok], two[1:][ok]
+        yield a, b, joined(a, b, 3), doc[2:][ok]
+
+
+def dealt(key: np.ndarray, buckets: int):
+    """(bucket, places) of the keys, in order of the buckets."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cut)):
+        yield int(b), order[cut[b]:cut[b + 1]]
+
+
+PACKED = pa.schema([("bucket", pa.int32()), ("gram_order", pa.int32()), ("contexts", pa.binary()),
+                    ("endings", pa.binary()), ("counts", pa.binary())])
+
+
+def count_grams(buckets: int):
+    """Texts -> packed counts of all n-grams, summed per CHUNK tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = len(number) + 3
-        held, waiting, n_waiting, tokens = (Frequent(states), Frequent(states)), ([], []), 0, 0
+        reader, waiting, size = Reader(), ([], []), 0
+
+        def pack():
+            rows = []
+            for order, some in zip((2, 3), waiting):
+                a, b, key = map(np.concatenate, zip(*some))
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                a, b = a[first], b[first]
+                rows += [{"bucket": k, "gram_order": order, "contexts": a[i].tobytes(), "endings": b[i].tobytes(),
+                          "counts": n[i].astype("<u4").tobytes()} for k, i in dealt(key, buckets)]
+                some.clear()
+            return pa.RecordBatch.from_pylist(rows, PACKED)
+
         for batch in batches:
-            for t in texts(batch.column(0)):
-                for some, grams in zip(waiting, grams_of(symbols(t, number), base)):
-                    some.append(grams)
-                tokens += len(waiting[0][-1])
-                n_waiting += len(waiting[0][-1])
-                if n_waiting > 1 << 21:
-                    for h, some in zip(held, waiting):
-                        h.add(some)
-                        some.clear()
-                    n_waiting = 0
-        for order, h, some in zip((2, 3), held, waiting):
-            if some:
-                h.add(some)
-            least = tokens / (8 * states)
-            keep = h.n + h.lost >= least
-            rest = 0.0 if least <= 1 and not h.lost else least
-            yield pa.RecordBatch.from_pydict({
-                "order": pa.array(np.full(int(keep.sum()) + 1, order, np.int32)),
-                "gram": pa.array(np.concatenate([h.keys[keep], [-1]])),
-                "most": pa.array(np.concatenate([h.n[keep] + h.lost, [rest]]).astype(np.float64))})
+            for at in range(0, batch.num_rows, 512):
+                x, doc = reader.keys([t.lower().split() for t in texts(batch.column(0).slice(at, 512))])
+                for some, (a, b, key, _) in zip(waiting, reader.grams(x, doc)):
+                    some.append((a, b, key))
+                size += len(x)
+                if size > CHUNK:
+                    yield pack()
+                    size = 0
+        if size:
+            yield pack()
     return run
 
 
-def count_grams(number: dict[bytes, int], candidates: dict[int, np.ndarray]):
-    """Texts -> exact counts of the candidate n-grams."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = len(number) + 3
-        total = {k: np.zeros(len(c) + 1, np.int64) for k, c in candidates.items()}
-        waiting, size = [], 0
+GRAMS = "gram_order int, context long, ending long, gram long, n long"
 
-        def add():
-            for k, grams in zip((2, 3), map(np.concatenate, zip(*waiting))):
-                c = candidates[k]
-                if len(c):
-                    at = np.minimum(np.searchsorted(c, grams), len(c) - 1)
-                    total[k][:-1] += np.bincount(at[c[at] == grams], minlength=len(c))
 
-        for batch in batches:
-            for t in texts(batch.column(0)):
-                waiting.append(grams_of(symbols(t, number), base))
-                size += len(waiting[-1][0])
-                if size > 1 << 18:
-                    add()
-                    waiting, size = [], 0
-        if waiting:
-            add()
-        for k, c in candidates.items():
-            used = np.flatnonzero(total[k][:-1])
-            yield pa.RecordBatch.from_pydict({"order": pa.array(np.full(len(used), k, np.int32)),
-                                              "gram": pa.array(c[used]), "n": pa.array(total[k][used])})
-    return run
+def sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of buckets -> the n-grams seen at least LEAST times."""
+    got = {2: [], 3: []}
+    for batch in batches:
+        for r in batch.to_pylist():
+            got[r["gram_order"]].append([np.frombuffer(r[c], t) for c, t in
+                                         (("contexts", "<u8"), ("endings", "<u8"), ("counts", "<u4"))])
+    for order in (2, 3):
+        if not got[order]:
+            continue
+        a, b, n = map(np.concatenate, zip(*got.pop(order)))
+        key = joined(a, b, order)
+        place = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], key[place][1:] != key[place][:-1])))
+        n = np.add.reduceat(n[place].astype(np.int64), first)
+        first, n = place[first[n >= LEAST]], n[n >= LEAST]
+        for at in range(0, len(n), 1 << 16):
+            i = first[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({
+                "gram_order": pa.array(np.full(len(i), order, np.int32)), "context": pa.array(a[i].view(np.int64)),
+                "ending": pa.array(b[i].view(np.int64)), "gram": pa.array(key[i].view(np.int64)),
+                "n": pa.array(n[at:at + (1 << 16)])})
 
 
 class Automaton:
@@ -244,83 +304,233 @@ def build(single: np.ndarray, two: dict[int, int], three: dict[int, int], docs:
     return Automaton(base, arc, fail, back, where(START))
 
 
-class Model:
-    """Automaton, symbol numbers and counts, and the distributed counts of the
-    rare words (count below ``least``)."""
+def done(df: DataFrame, name: str) -> DataFrame:
+    """``saved``, then lets Spark's cleaner drop the shuffles it was made from."""
+    out = saved(df, name)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
-    def __init__(self, automaton, number, counts, rare_words, n_tokens, n_types, rare_mass):
-        self.automaton, self.number, self.counts, self.rare_words = automaton, number, counts, rare_words
-        self.n_tokens, self.n_types, self.rare_mass = n_tokens, n_types, rare_mass
+
+class Cache:
+    """The most frequent n-grams: ``arc`` maps their keys to (value, count)."""
+
+    def __init__(self, arc: dict[int, tuple[float, int]]):
+        self.arc = arc
+
+
+class Model:
+    """Distributed tables ``words`` (word, n, back) and ``grams`` (gram, n,
+    value), and what of them is sent to all tasks: ``automaton`` of the
+    n-grams, ``number``, ``counts`` and ``back`` of the words."""
+
+    def __init__(self, words, grams, automaton, number, counts, back, n_tokens, n_types):
+        self.words, self.grams, self.automaton, self.number = words, grams, automaton, number
+        self.counts, self.back, self.n_tokens, self.n_types = counts, back, n_tokens, n_types
+
+
+def gram_values(grams: DataFrame, symbols_: DataFrame, discount: float, total: int) -> tuple[DataFrame, DataFrame]:
+    """n-grams (see GRAMS) and symbols (symbol, c) -> (context, back) of the
+    symbols that are contexts, (gram, n, value) of the n-grams."""
+    least, d = F.lit(1e-12), F.lit(discount)
+
+    def taken(of):
+        """Share of a context that its n-grams take, discounted."""
+        return (F.col("seen") - d * F.col("kinds")) / of
+
+    seen = grams.groupBy("gram_order", "context").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"))
+    two, three = (grams.filter(F.col("gram_order") == k).drop("gram_order") for k in (2, 3))
+    one = (seen.filter("gram_order = 2").join(symbols_.withColumnRenamed("symbol", "context"), "context")
+           .select("context", F.col("c").alias("c_context"), (1 - taken(F.col("c"))).alias("rest")))
+    one = done(one.withColumn("back", F.log10(F.greatest("rest", least))), "lm-contexts")
+    p1 = (F.col("c") + 1.0) / total
+    two = (two.join(one, "context").join(symbols_.withColumnRenamed("symbol", "ending"), "ending")
+           .withColumn("p", (F.col("n") - d) / F.col("c_context") + F.col("rest") * p1)
+           .join(seen.filter("gram_order = 3").select(F.col("context").alias("gram"), "seen", "kinds"), "gram", "left")
+           .withColumn("weight", F.when(F.col("seen").isNull(), 1.0).otherwise(F.greatest(1 - taken(F.col("n")), least)))
+           .select("gram", "n", "p", "weight",
+                   (F.log10("p") - F.col("back") - F.log10(p1) + F.log10("weight")).alias("value")))
+    two = done(two, "lm-two")
+    three = (three.join(two.select(F.col("gram").alias("context"), F.col("n").alias("n_context"), "weight"), "context")
+             .join(two.select(F.col("gram").alias("ending"), F.col("p").alias("lower")), "ending")
+             .withColumn("p", (F.col("n") - d) / F.col("n_context") + F.col("weight") * F.col("lower"))
+             .select("gram", "n", (F.log10("p") - F.log10("weight") - F.log10("lower")).alias("value")))
+    return one.select("context", "back"), done(two.select("gram", "n", "value").unionByName(three), "lm-values")
 
 
 def fit(train: DataFrame, text_col: str = "text", states: int = 1 << 16, discount: float = 0.7) -> Model:
+    spark, parts = train.sparkSession, shuffle_parts(train.sparkSession)
     text = train.select(F.col(text_col).alias("text"))
-    counted = saved(text.mapInArrow(tidy(count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
+    counted = done(text.mapInArrow(tidy(count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
                     "lm-words")
     words = counted.filter("word IS NOT NULL")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
     docs = counted.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_tokens, n_types = sums[0] + docs, sums[1] + (1 if docs else 0)
-    least = max(2.0, n_tokens / states)
-    # at most n_tokens / least <= states words
-    top = words.filter(F.col("n") >= least).orderBy("word").collect()
+    packed = "bucket int, gram_order int, contexts binary, endings binary, counts binary"
+    grams = done(text.mapInArrow(tidy(count_grams(parts)), packed).repartition(parts, "bucket")
+                  .mapInArrow(tidy(sum_grams), GRAMS), "lm-grams")
+    signed = [k - (1 << 64) if k >> 63 else k for k in edge_keys()]
+    ends = spark.createDataFrame([(k, docs) for k in signed], "symbol long, c long")
+    symbols_ = (words.select(F.xxhash64("word").alias("symbol"), F.col("n").alias("c")).unionByName(ends)
+                .groupBy("symbol").agg(F.sum("c").alias("c")))
+    contexts, values = gram_values(grams, symbols_, discount, n_tokens + n_types + 1)
+    words = done(words.withColumn("context", F.xxhash64("word")).join(contexts, "context", "left")
+                  .select("word", "n", F.coalesce("back", F.lit(0.0)).alias("back")), "lm-backs")
+    start = contexts.filter(F.col("context") == signed[1]).first()
+    # at most ``states`` words and n-grams, to save lookups only
+    top = words.filter(F.col("n") >= max(2.0, n_tokens / states)).orderBy("word").collect()
     number = {bytes(r.word): k + 3 for k, r in enumerate(top)}
-    counts = np.array([docs, 0, sums[0] - sum(r.n for r in top), *(r.n for r in top)], np.int64)
-    # rare words: count + 1 each, and one for everything unknown
-    rare_mass = int(counts[RARE]) + (sums[1] - len(top)) + 1
-    bounds = saved(text.mapInArrow(tidy(frequent_grams(number, states)), "order int, gram long, most double")
-                   .groupBy("order", "gram").agg(F.sum("most").alias("most")), "lm-bounds")
-    rest = {r.order: r.most for r in bounds.filter("gram = -1").collect()}
-    found = (bounds.filter("gram >= 0").filter(F.col("most") >= least - F.when(F.col("order") == 2, rest.get(2, 0.0))
-                                               .otherwise(rest.get(3, 0.0)))
-             .orderBy("order", "gram").toPandas())
-    candidates = {k: found.loc[found["order"] == k, "gram"].to_numpy(np.int64) for k in (2, 3)}
-    exact = (text.mapInArrow(tidy(count_grams(number, candidates)), "order int, gram long, n long")
-             .groupBy("order", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-             .orderBy("order", "gram").toPandas())
-    kept = {k: dict(zip(exact.loc[exact["order"] == k, "gram"].tolist(), exact.loc[exact["order"] == k, "n"].tolist()))
-            for k in (2, 3)}
-    automaton = build(counts, kept[2], kept[3], docs, discount)
-    return Model(automaton, number, counts, words.filter(F.col("n") < least), n_tokens, n_types, rare_mass)
+    counts = np.array([docs, 0, 0, *(r.n for r in top)], np.int64)
+    back = np.array([0.0, start.back if start else 0.0, 0.0, *(r.back for r in top)])
+    often = values.orderBy(F.desc("n"), "gram").limit(states).collect()
+    return Model(words, values, Cache({r.gram: (r.value, r.n) for r in often}), number, counts, back, n_tokens, n_types)
 
 
 STATS = "struct<id:{0},n_tokens:long,n_known:long,n_rare:long,base:double,model:double>"
+ASKED = "bucket int, kind int, names binary, rows binary, numbers binary, row_no long, stats "
+GRAM_TABLE, WORD_TABLE, GRAMS_ASKED, WORDS_ASKED, TEXT = range(5)
+
+
+def packed_schema(stats: pa.DataType) -> pa.Schema:
+    return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("names", "rows", "numbers")),
+                      ("row_no", pa.int64()), ("stats", stats)])
+
+
+def table_rows(kind: int, buckets: int, schema: pa.Schema):
+    """(gram, value) or (word, back, n) -> the packed shards of a table."""
+    def pack(held):
+        table = pa.Table.from_batches(held)
+        if kind == GRAM_TABLE:
+            name = key = table.column(0).to_numpy().view(np.uint64)
+        else:
+            name = table.column(0).to_pylist()
+            key, n = np.array([key_of(w) for w in name], np.uint64), table.column(2).to_numpy()
+        value = table.column(1).to_numpy()
+        return pa.RecordBatch.from_pylist([
+            {"bucket": b, "kind": kind, "numbers": value[i].astype("<f8").tobytes()}
+            | ({"names": name[i].tobytes()} if kind == GRAM_TABLE else
+               {"names": b" ".join(map(name.__getitem__, i.tolist())), "rows": n[i].astype("<i8").tobytes()})
+            for b, i in dealt(key, buckets)], schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > 1 << 18:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
+    return run
 
-def score_batches(model_parts, id_type: pa.DataType):
-    """Each text once from left to right: a row with the text's sums (its word
-    only spreads these rows) and one row for each distinct rare word."""
-    automaton, number, counts, z = model_parts
+
+def score_batches(model_parts, buckets: int, schema: pa.Schema):
+    """Texts -> one TEXT row each with the sums over the n-grams and words
+    known in the task, and per bucket the others, once a text, to look up."""
+    (keys, values), number, counts, backs, z = model_parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.log10(counts + 1.0) - z
-        learned = counts > 0
-        get = number.get
-        shape = pa.struct([("id", id_type), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_rare", pa.int64()),
-                           ("base", pa.float64()), ("model", pa.float64())])
+        own, learned, get, reader = np.log10(counts + 1.0) - z, counts > 0, number.get, Reader()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, words, tf, stats = [], [], [], []
-                for key, doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2))):
-                    split = t.lower().split()
-                    ids = [get(w, RARE) for w in split]
-                    seq = [START, *ids, END]
-                    s = np.array(seq[1:])
-                    common = s != RARE
-                    rare = Counter([w for w, i in zip(split, ids) if i == RARE])
-                    stats.append({"id": doc, "n_tokens": len(s), "n_known": int(learned[s[common]].sum()),
-                                  "n_rare": len(s) - int(common.sum()), "base": float(own[s[common]].sum()),
-                                  "model": automaton.walk(seq)})
-                    stats += [None] * len(rare)
-                    keys += [key] * (len(rare) + 1)
-                    words.append(b" %d" % key)
-                    words += rare
-                    tf.append(0)
-                    tf += rare.values()
-                yield pa.RecordBatch.from_pydict({"row_no": pa.array(keys, pa.int64()),
-                                                  "word": pa.array(words, pa.binary()),
-                                                  "tf": pa.array(tf, pa.int32()), "stats": pa.array(stats, shape)})
+                row = part.column(0).to_numpy(zero_copy_only=False)
+                split = [t.lower().split() for t in texts(part.column(2))]
+                x, doc = reader.keys(split)
+                model, asked = np.zeros(len(row)), []
+                for _, _, key, of in reader.grams(x, doc):
+                    if len(keys):
+                        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        hit = keys[spot] == key
+                        model += np.bincount(of[hit], values[spot[hit]], len(row))
+                        key, of = key[~hit], of[~hit]
+                    asked.append((key, of))
+                key, of = map(np.concatenate, zip(*asked))
+                order = np.lexsort((key, of))           # rows in runs, which compress
+                key, of = key[order], of[order]
+                first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))[:len(key)])
+                tf = np.diff(np.concatenate((first, [len(key)]))).astype("<u4")
+                key, of = key[first], row[of[first]].astype("<i8")
+                rows = [{"bucket": b, "kind": GRAMS_ASKED, "names": key[i].tobytes(), "rows": of[i].tobytes(),
+                         "numbers": tf[i].tobytes()} for b, i in dealt(key, buckets)]
+                rare = []
+                for k, (r, doc_id, words) in enumerate(zip(row.tolist(), part.column(1).to_pylist(), split)):
+                    ids = [get(w, RARE) for w in words]
+                    s = np.array([*ids, END])
+                    common = s[s != RARE]
+                    rare += [(w, r, n) for w, n in Counter([w for w, i in zip(words, ids) if i == RARE]).items()]
+                    rows.append({"bucket": r % buckets, "kind": TEXT, "row_no": r, "stats": {
+                        "id": doc_id, "n_tokens": len(s), "n_known": int(learned[common].sum()),
+                        "n_rare": len(s) - len(common), "base": float(own[common].sum()),
+                        "model": float(model[k] + backs[START] + backs[common].sum())}})
+                if rare:
+                    word, of, tf = zip(*rare)
+                    of, tf = np.array(of, "<i8"), np.array(tf, "<u4")
+                    rows += [{"bucket": b, "kind": WORDS_ASKED, "names": b" ".join(map(word.__getitem__, i.tolist())),
+                              "rows": of[i].tobytes(), "numbers": tf[i].tobytes()}
+                             for b, i in dealt(np.array([reader.known[w] for w in word], np.uint64), buckets)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+    return run
+
+
+def answer(schema: pa.Schema):
+    """A partition of buckets -> (row_no, stats, known, logs, extra): the TEXT
+    rows, and per row the sums of what was looked up."""
+    out = pa.schema([("row_no", pa.int64()), ("stats", schema.field("stats").type), ("known", pa.int64()),
+                     ("logs", pa.float64()), ("extra", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, table, asked = [], [], {}, []
+        for batch in batches:
+            said = []
+            for r in batch.to_pylist():
+                if r["kind"] == GRAM_TABLE:
+                    keys.append(np.frombuffer(r["names"], "<u8"))
+                    values.append(np.frombuffer(r["numbers"], "<f8"))
+                elif r["kind"] == WORD_TABLE:
+                    n, back = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["numbers"], "<f8")
+                    table.update(zip(r["names"].split(), zip(n.tolist(), back.tolist())))
+                elif r["kind"] == TEXT:
+                    said.append({"row_no": r["row_no"], "stats": r["stats"], "known": 0, "logs": 0.0, "extra": 0.0})
+                else:
+                    asked.append((r["kind"], r["names"], r["rows"], r["numbers"]))
+            if said:
+                yield pa.RecordBatch.from_pylist(said, out)
+        keys, values = (np.concatenate([np.zeros(0, t), *v]) for v, t in ((keys, np.uint64), (values, float)))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        none, held, size = (0, 0.0), [], 0
+
+        def sums():
+            row, known, logs, extra = map(np.concatenate, zip(*held))
+            row, of = np.unique(row, return_inverse=True)
+            return pa.RecordBatch.from_arrays([
+                pa.array(row), pa.nulls(len(row), out.field("stats").type),
+                pa.array(np.bincount(of, known, len(row)).astype(np.int64)),
+                pa.array(np.bincount(of, logs, len(row))), pa.array(np.bincount(of, extra, len(row)))], schema=out)
+
+        for kind, names, rows, tf in asked:
+            row, tf = np.frombuffer(rows, "<i8"), np.frombuffer(tf, "<u4").astype(np.int64)
+            if kind == GRAMS_ASKED:
+                if not len(keys):
+                    continue
+                name = np.frombuffer(names, "<u8")
+                spot = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
+                hit = keys[spot] == name
+                row, gone = row[hit], np.zeros(int(hit.sum()))
+                held.append((row, gone, gone, values[spot[hit]] * tf[hit]))
+            else:
+                n, back = map(np.array, zip(*(table.get(w, none) for w in names.split())))
+                held.append((row, np.where(n > 0, tf, 0), tf * np.log10(n + 1.0), tf * back))
+            size += len(row)
+            if size > 1 << 19:
+                yield sums()
+                held, size = [], 0
+        if held:
+            yield sums()
     return run
 
 
@@ -330,19 +540,26 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     inner = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"),
                       F.col(text_col).alias("text"))
-    z, rare = math.log10(model.n_tokens + model.n_types + 1), math.log10(model.rare_mass)
-    run = score_batches((model.automaton, model.number, model.counts, z), to_arrow_type(inner.schema["id"].dataType))
-    rows = inner.mapInArrow(tidy(run), "row_no long, word binary, tf int, stats "
-                            + STATS.format(dict(inner.dtypes)["id"]))
-    n = F.coalesce("n", F.lit(0))
-    one = (rows.join(model.rare_words, "word", "left")
-           .select("row_no", "stats", F.when(n > 0, F.col("tf")).otherwise(0).cast("long").alias("known"),
-                   (F.col("tf") * F.log10(n + 1)).alias("logs"))
-           .groupBy("row_no").agg(F.max("stats").alias("s"), F.sum("known").alias("known"), F.sum("logs").alias("logs")))
+    parts, z = shuffle_parts(df.sparkSession), math.log10(model.n_tokens + model.n_types + 1)
+    stats = STATS.format(dict(inner.dtypes)["id"])
+    schema = packed_schema(pa.struct([("id", to_arrow_type(inner.schema["id"].dataType)), ("n_tokens", pa.int64()),
+                                      ("n_known", pa.int64()), ("n_rare", pa.int64()), ("base", pa.float64()),
+                                      ("model", pa.float64())]))
+    often = sorted((k % (1 << 64), v) for k, (v, _) in model.automaton.arc.items())
+    cache = np.array([k for k, _ in often], np.uint64), np.array([v for _, v in often], float)
+    run = score_batches((cache, model.number, model.counts, model.back, z), parts, schema)
+    rows = (inner.mapInArrow(tidy(run), ASKED + stats)
+            .unionByName(model.grams.select("gram", "value")
+                         .mapInArrow(tidy(table_rows(GRAM_TABLE, parts, schema)), ASKED + stats))
+            .unionByName(model.words.select("word", "back", "n")
+                         .mapInArrow(tidy(table_rows(WORD_TABLE, parts, schema)), ASKED + stats)))
+    one = (rows.repartition(parts, "bucket")
+           .mapInArrow(tidy(answer(schema)), f"row_no long, stats {stats}, known long, logs double, extra double")
+           .groupBy("row_no").agg(F.max("stats").alias("s"), *[F.sum(c).alias(c) for c in ("known", "logs", "extra")])
+           .withColumn("base_score", F.col("s.base") + F.col("logs") - F.col("s.n_rare") * F.lit(z)))
     return one.select(F.col("s.id").alias(id_col), "s.n_tokens", (F.col("s.n_known") + F.col("known")).alias("n_known"),
-                      F.lit(model.n_tokens).cast("long").alias("train_tokens"),
-                      (F.col("s.base") + F.col("logs") - F.col("s.n_rare") * F.lit(z)).alias("base_score"),
-                      (F.col("s.model") + F.col("logs") - F.col("s.n_rare") * F.lit(rare)).alias("score"))
+                      F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score",
+                      (F.col("base_score") + F.col("s.model") + F.col("extra")).alias("score"))
 
 
 ship(__name__)

@@ -81,6 +81,29 @@ def test_every_state_is_a_distribution():
         assert abs(total - 1) < 1e-9, state
 
 
+def test_all_repeated_grams_are_learned(spark):
+    """Scores are those of one automaton of all n-grams seen twice, however small the part sent to all tasks."""
+    rng = np.random.default_rng(5)
+    docs = [" ".join(f"w{k}" for k in rng.geometric(0.08, 40)) for _ in range(60)] + ["odd pair here"] * 2 + ["", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    train = F.col("doc_id") % 4 != 1
+    learned = [tokens(t)[:-1] for i, t in enumerate(docs) if i % 4 != 1]
+    number = {w: k + 3 for k, w in enumerate(sorted(set().union(*learned)))}
+    base = len(number) + 3
+    single, two, three = np.zeros(base, np.int64), Counter(), Counter()
+    sequence = lambda words: [lm.START, *[number.get(w, lm.RARE) for w in words], lm.END]
+    for d in map(sequence, learned):
+        np.add.at(single, d[1:], 1)
+        two.update(a * base + b for a, b in zip(d, d[1:]))
+        three.update((a * base + b) * base + c for a, b, c in zip(d, d[1:], d[2:]))
+    two, three = ({k: n for k, n in c.items() if n >= 2} for c in (two, three))
+    auto = lm.build(single, two, three, len(learned), 0.7)
+    want = [auto.walk(sequence(tokens(t)[:-1])) for t in docs]
+    for states in (4, 1 << 16):
+        for r in lm.score(df, lm.fit(df.filter(train), states=states)).collect():
+            assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9), (states, docs[r.doc_id])
+
+
 def test_misra_gries_bound():
     rng = np.random.default_rng(1)
     f = lm.Frequent(2)
