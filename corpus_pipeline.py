@@ -12,16 +12,14 @@ from cartlake.llm.common import in_fold, saved, table
 from cartlake.llm.queries import token_blocks
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# an ambiguous row goes only when its best language is hardly likelier than the others
-LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a letter, and rows torn between languages, go."""
+    """Rows without a letter, and rows torn between languages (the margin of
+    the operator, whatever the number of languages), go."""
     model = language.fit(docs, ~in_fold(3, 1))
     found = language.identify(docs, model, carry=COLUMNS)
-    torn = F.col("ambiguous") & (F.col("score") < LEAST_SCORE)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & ~torn).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

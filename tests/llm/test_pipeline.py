@@ -24,6 +24,21 @@ def test_contract():
     assert names == {f"op{n}_" for n in range(1, 11)} | {"pipeline"}
 
 
+def test_rows_between_two_languages_go(spark, tmp_path):
+    """With two languages a torn row has a score near 0.5."""
+    rng = np.random.default_rng(3)
+    text = lambda n, letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, text(40, ("abcde", "vwxyz")[i % 2]), ("aa", "zz")[i % 2]) for i in range(60)]
+    rows += [(100 + i, f"{text(i, 'abcde')} {text(80 - i, 'vwxyz')}".strip(), None) for i in range(81)]
+    docs = spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t, lang in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    model = cp.language.fit(docs, ~cp.in_fold(3, 1))
+    torn = {r.doc_id for r in cp.language.identify(docs, model).filter("ambiguous").collect()}
+    kept = {r.doc_id for r in cp.language_id(spark, docs, str(tmp_path)).collect()}
+    assert torn and min(torn) >= 100
+    assert kept == {r[0] for r in rows} - torn
+
+
 def test_stages(spark, tmp_path):
     rows = [r for r in odd_rows() if r[0] != 7]
     rows += [(7, "one more of its own", "en", "b")] * 2 + [(80 + i, words(700 + i, 60), "en", f"s{i % 5}") for i in range(20)]
