@@ -45,7 +45,6 @@ LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "
 COST = {"lookalike": 1.0, "plain_lookalike": 4.0, "noise": 6.0, "repeat": 0.7, "separator": 1.5, "space": 0.2,
         "break": 2.5}
 ALPHABET = 64             # 0: word edge, 1: any other letter, 2..: the most frequent letters
-BEAM = 16
 CACHE_TOKENS = 300_000
 OUTER = re.compile(r"^(?:[^\w@$€£|(<+!]|_|([@$!|(<+])\1+)+|(?:[^\w@$€£+]|_|([@$+])\2+)+$")
 TRIPLE = re.compile(r"(.)\1\1")
@@ -132,7 +131,8 @@ def arcs(seen: str, i: int):
 
 
 def decode(seen: str, model: Letters) -> str:
-    """Viterbi over the lattice of ``seen``; states are the last two written letters."""
+    """Viterbi over the lattice of ``seen``; states are the last two written letters,
+    all of which are kept."""
     log, code = model.log, model.code
     best = {(0, 0): (0.0, "")}
     for i in range(len(seen)):
@@ -147,7 +147,7 @@ def decode(seen: str, model: Letters) -> str:
                     key, out = ((0, 0) if x == " " else (b, k)), text + x
                 if key not in step or total < step[key][0]:
                     step[key] = (total, out)
-        best = dict(sorted(step.items(), key=lambda s: (s[1][0], s[0]))[:BEAM])
+        best = step
     ends = [(cost - (float(log[a, b, 0]) if b else 0.0), text) for (a, b), (cost, text) in best.items()]
     return min(ends)[1].strip()
 

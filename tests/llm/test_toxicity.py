@@ -1,6 +1,8 @@
 """Toxicity: lattice decoding against all readings, restored texts, held-out
 accuracy, odd rows."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 from edge import no_docs, odd_docs, odd_rows, words
@@ -50,6 +52,24 @@ def test_viterbi_finds_the_cheapest_reading(letters):
         assert min(total(t, c) for t, c in readings(seen) if t.strip() == got) <= best + 1e-5
 
 
+def test_no_reading_of_a_symbol_run_is_dropped():
+    """A run with more than 16 states at a time, against all of its readings."""
+    rng, counts = np.random.default_rng(0), np.zeros(tx.ALPHABET ** 3)
+    counts[rng.integers(0, tx.ALPHABET ** 3, 3000)] = rng.integers(1, 10 ** 5, 3000)
+    model, seen = tx.Letters("abcegilosty", counts), "0+7|10930!"
+    log, best = model.log, (np.inf, "")
+    for reading in product(*[tx.arcs(seen, i) for i in range(len(seen))]):
+        cost, a, b, text = sum(c for _, c in reading), 0, 0, ""
+        for x, _ in reading:
+            if not x or (x == " " and b == 0):
+                continue
+            k = model.code(x) if x != " " else 0
+            cost -= float(log[a, b, k])
+            (a, b), text = ((0, 0) if x == " " else (b, k)), text + x
+        best = min(best, (cost - (float(log[a, b, 0]) if b else 0.0), text))
+    assert tx.decode(seen, model) == best[1].strip()
+
+
 def test_restore_column(spark, letters):
     got = [r.restored for r in tx.restore(spark.createDataFrame([("an 1d10t",), (None,), ("",)], "text string"),
                                           letters).collect()]
