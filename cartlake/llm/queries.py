@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import exact_dedup as xd
+from . import fim
 from . import huffman as hf
 from . import language as lg
 from . import lm_score as lm
 from . import mixing as mx
 from . import ngram_join as nj
+from . import periodic_runs as pr
 from . import quality as ql
 from . import suffix_dedup as sd
 from . import toxicity as tx
+from . import url_filter as uf
 from .common import in_fold, table
 
 
@@ -124,6 +127,103 @@ r AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r"""
 
 
+# ---------------------------------------------------------------------- runs
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Of every document with crc32(id) % 10 = 0, the words from a on become
+    the p words after a, repeated."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(h / 10)
+    docs = docs.select("doc_id", "text", F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("words"),
+                       g.alias("g")).withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int")))
+    p = F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)).cast("int")
+    planted = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
+    return docs.withColumn("p", p).select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " "))
+                                          .otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pr.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = pr.strongest(F.col("runs"))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "runs", "kept", best.alias("best")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+# ---------------------------------------------------------------------- urls
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+URL_RULE_ROWS = ", ".join(str(r) for r in URL_RULES)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {URL_RULE_ROWS} AS r(action, host, path)")
+    return uf.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP12_SQL = r"""
+WITH rules(action, rule_host, rule_path) AS (VALUES {rules}),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
+targets AS (
+  SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''>\s]+)', 1) AS target FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
+  UNION
+  SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1) FROM tags
+  WHERE regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?\s*refresh\b')),
+edges AS (SELECT url, CASE WHEN contains(target, '://') THEN target
+                           WHEN starts_with(target, '//') THEN 'http:' || target
+                           WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target
+                      END AS target FROM targets WHERE target <> ''),
+urls AS (SELECT url FROM pages UNION SELECT url FROM edges UNION SELECT target FROM edges),
+parts AS (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                 regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS rest FROM urls WHERE contains(url, '://')),
+nodes AS (SELECT *, host || CASE WHEN starts_with(rest, '/') THEN '' ELSE '/' END || rest AS node FROM parts),
+own AS (SELECT url, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+               arg_max(action, length(rule_host || rule_path)) AS action
+        FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY url),
+links AS (SELECT a.node AS a, b.node AS b FROM edges e JOIN nodes a ON e.url = a.url JOIN nodes b ON e.target = b.url),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM both_ways
+                                     UNION SELECT r.a, l.b FROM r JOIN both_ways l ON r.b = l.a) SELECT a, b FROM r),
+told AS (SELECT r.a AS node, min(o.action) AS action FROM reach r JOIN nodes n ON r.b = n.node JOIN own o USING (url)
+         GROUP BY r.a)
+SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, o.rule,
+       coalesce(o.action, t.action, 'allow') AS verdict
+FROM pages p LEFT JOIN nodes n USING (url) LEFT JOIN own o USING (url) LEFT JOIN told t ON n.node = t.node""".replace(
+    "{rules}", URL_RULE_ROWS)
+
+
+# ----------------------------------------------------------- fill in the middle
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(fim.store(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units FROM d),
+h AS (SELECT *, len(units) AS n, ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(hex, 17, 8))::BIGINT AS h3, ('0x' || substr(hex, 25, 8))::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+             array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p"""
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
@@ -135,4 +235,7 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_ngram_join": (op10_ngram_join, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_url_filter": (op12_url_filter, OP12_SQL),
+    "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
