@@ -1,23 +1,69 @@
-"""Exact top-k by cosine similarity: bounded blocks of queries against Arrow
-batches of stored vectors, one matrix product each."""
+"""Vectors: token counts as sparse vectors, and exact top-k by cosine
+similarity as a block schedule of matrix products.
+
+Top-k: index rows and queries are both dealt into blocks of bounded size by
+counts taken first (per ``within`` group, so a hot group gets more blocks), a
+cell of the schedule is one index block with one query block, and every cell
+gives the k best rows of its queries. Nothing goes through the driver but the
+two counts of an ungrouped search, and the plan is the same for any number of
+queries."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK = 1024          # queries that go to the executors at once
+INDEX_BLOCK, QUERY_BLOCK = 8192, 4096        # rows of a cell at about this size
+SCORES = 1 << 22                             # scores a cell holds at once
+
+SPARSE = "struct<spots: array<int>, weights: array<float>>"
+
+
+def token_vector(tokens: Column, dim: int) -> Column:
+    """Unit vector of the tokens' counts by md5 bucket, as the buckets that
+    occur (ascending) and their weights: native, no Python worker."""
+    bucket = F.sort_array(F.transform(
+        tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int")))
+    # a bucket's count is the distance between the starts of its rows in sorted order
+    def counted(b):
+        places = F.sequence(F.lit(1), F.size(b))
+        starts = F.filter(places, lambda i: (i == 1) | (F.get(b, i - 1) != F.get(b, i - 2)))
+        return _let(F.when(F.size(b) > 0, starts).otherwise(F.array().cast("array<int>")), lambda at: F.struct(
+            F.transform(at, lambda i: F.get(b, i - 1)).alias("spots"),
+            F.transform(at, lambda i, k: (F.coalesce(F.get(at, k + 1), F.size(b) + 1) - i).cast("double")).alias("n")))
+
+    def weighed(c):
+        norm = F.sqrt(F.aggregate(c["n"], F.lit(0.0), lambda a, x: a + x * x))
+        return _let(norm, lambda m: F.struct(c["spots"].alias("spots"),
+                                             F.transform(c["n"], lambda x: (x / m).cast("float")).alias("weights")))
+
+    return _let(_let(bucket, counted), weighed)
 
 
-def matrix(rows: list) -> np.ndarray:
-    return np.array([np.asarray(r, np.float64) for r in rows])
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def dense(vector: Column, dim: int) -> Column:
+    """The sparse vector as ARRAY<FLOAT> of ``dim`` values, for a product."""
+    def filled(v):
+        weight = F.map_from_arrays(v["spots"], v["weights"])
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(weight[i], F.lit(0.0).cast("float")))
+    return F.when(vector.isNotNull(), _let(vector, filled))
+
+
+def matrix(rows: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix of doubles, one row each."""
+    flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), -1 if len(flat) else 0)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -25,95 +71,71 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def token_vectors(dim: int):
-    """UDF: token lists -> unit vectors of their counts by md5 bucket."""
-    from hashlib import md5
-
-    import pandas as pd
-
-    def vectors(tokens: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for row in tokens:
-            spots = []
-            for t in row:
-                if t not in known:
-                    known[t] = int(md5(t.encode()).hexdigest()[:8], 16) % dim
-                spots.append(known[t])
-            n = np.bincount(np.array(spots, np.int64), minlength=dim).astype(np.float64)
-            out.append((n / max(np.sqrt((n * n).sum()), 1e-300)).astype(np.float32))
-        return pd.Series(out, dtype=object)
-
-    vectors.__annotations__ = {"tokens": pd.Series, "return": pd.Series}
-    return F.pandas_udf(vectors, "array<float>")
-
-
-def scored_batches(block: list[tuple], k: int, n_within: int):
-    """block: (query_id, within values, vector). Batches of (id, embedding,
-    within..., carried...) -> the batch's k best rows of every query."""
-    vectors = unit(matrix([v for *_, v in block]))
-    groups: dict[tuple, np.ndarray] = {}
-    for i, (_q, key, _v) in enumerate(block):
-        groups.setdefault(key, []).append(i)
-    groups = {key: np.array(v) for key, v in groups.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = list(zip(*(batch.column(2 + i).to_pylist() for i in range(n_within)))) or [()] * batch.num_rows
-            rows_of: dict[tuple, list[int]] = {}
-            for row, key in enumerate(keys):
-                if key in groups:
-                    rows_of.setdefault(key, []).append(row)
-            ids = batch.column(0).to_pylist()
-            take, query, score = [], [], []
-            for key, rows in rows_of.items():
-                asked = groups[key]
-                m = unit(matrix(batch.column(1).take(pa.array(rows)).to_pylist()))
-                s = np.floor(m @ vectors[asked].T * 1e6 + 0.5) / 1e6
-                for j, q in enumerate(asked):
-                    col = s[:, j]
-                    if len(rows) > k:
-                        edge = np.partition(col, len(rows) - k)[len(rows) - k]
-                        near = np.flatnonzero(col >= edge)
-                    else:
-                        near = np.arange(len(rows))
-                    for r in sorted(near, key=lambda r: (-col[r], ids[rows[r]]))[:k]:  # noqa: B023
-                        take.append(rows[r])
-                        query.append(block[q][0])
-                        score.append(float(col[r]))
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query), pa.array(score, pa.float64()), *(batch.column(i).take(at) for i in range(batch.num_columns) if i != 1)],
-                ["query_id", "score", *(n for i, n in enumerate(batch.schema.names) if i != 1)])
+def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k best rows of every query (a column of scores);
+    of equal scores the first."""
+    if len(scores) <= k:
+        return np.tile(np.arange(len(scores)), scores.shape[1]), np.repeat(np.arange(scores.shape[1]), len(scores))
+    edge = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    row, query = np.nonzero(scores >= edge)
+    order = np.lexsort((row, -scores[row, query], query))
+    row, query = row[order], query[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return row[place < k], query[place < k]
+
+
+def cell(k: int, names: list[str]):
+    """One index block against one query block."""
+    def table(query_id, score, rows):
+        return pa.Table.from_arrays([query_id, pa.array(score, pa.float64()), *rows.columns], ["query_id", "score", *names])
+
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        if not index.num_rows or not queries.num_rows:
+            return table(queries.column("query_id").slice(0, 0), [], index.select(names).slice(0, 0))
+        index = index.sort_by(names[0])
+        rows, asked = unit(matrix(index.column("embedding"))), unit(matrix(queries.column("embedding")))
+        step, parts = max(1, SCORES // len(rows)), []
+        for at in range(0, len(asked), step):
+            score = np.floor(rows @ asked[at:at + step].T * 1e6 + 0.5) / 1e6
+            row, query = best_rows(score, k)
+            parts.append(table(queries.column("query_id").take(pa.array(query + at)), score[row, query],
+                               index.select(names).take(pa.array(row))))
+        return pa.concat_tables(parts)
     return run
 
 
+def block_counts(rows: DataFrame, asked: DataFrame, within: list[str]) -> DataFrame:
+    """Per group that both sides have: how many blocks its rows and its
+    queries need. One aggregation over keys only."""
+    sides = rows.select(*within, F.lit(1).alias("r"), F.lit(0).alias("a")).unionByName(
+        asked.select(*within, F.lit(0).alias("r"), F.lit(1).alias("a")))
+    n = lambda c, size: F.ceil(F.coalesce(F.sum(c), F.lit(0)) / size).cast("int")      # noqa: E731
+    return sides.groupBy(*within).agg(n("r", INDEX_BLOCK).alias("_rows"), n("a", QUERY_BLOCK).alias("_asked"))
+
+
 def top_matches(index: DataFrame, queries: DataFrame, k: int, id_col: str, within: list[str] = (),
                 carry: list[str] = ()) -> DataFrame:
     """The k nearest index rows of every query (score to 6 decimals, ties by
-    id), among rows equal in the ``within`` columns. The queries are a batch:
-    they are read in blocks of BLOCK, each scored in one scan of the index;
-    only k rows per query and batch leave a task."""
-    within, carry = list(within), list(carry)
-    rows = index.select(id_col, "embedding", *within, *carry)
-    types = dict(queries.dtypes) | dict(rows.dtypes)
-    shape = ", ".join(f"{c} {types[c]}" for c in ["query_id"]) + ", score double, " + ", ".join(
-        f"{c} {types[c]}" for c in [id_col, *within, *carry])
-    parts, block = [], []
-
-    def score(block):
-        return rows.mapInArrow(scored_batches(block, k, len(within)), shape)
-
-    for r in queries.select("query_id", "embedding", *within).toLocalIterator():
-        block.append((r.query_id, tuple(r[c] for c in within), list(r.embedding)))
-        if len(block) == BLOCK:
-            parts.append(score(block))
-            block = []
-    if block or not parts:
-        parts.append(score(block))
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    id), among rows equal in the ``within`` columns; null vectors take no part."""
+    within, names = list(within), [id_col, *within, *carry]
+    rows = index.select("embedding", *names).filter("embedding IS NOT NULL")
+    asked = queries.select("query_id", "embedding", *within).filter("embedding IS NOT NULL")
+    counts = block_counts(rows, asked, within)
+    if within:
+        rows, asked = rows.join(counts, within), asked.join(counts, within)
+    else:
+        n = counts.first()
+        rows, asked = (x.withColumns({"_rows": F.lit(n["_rows"]), "_asked": F.lit(n["_asked"])}) for x in (rows, asked))
+    # a cell holds one block of either side: rows go to all query blocks, queries to all index blocks
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))                    # noqa: E731
+    deal = lambda key, c: F.pmod(F.xxhash64(key), F.greatest(F.col(c), F.lit(1))).cast("int")
+    rows = rows.filter("_rows > 0 AND _asked > 0").withColumn("_i", deal(id_col, "_rows")).withColumn("_j", spread("_asked"))
+    asked = asked.filter("_rows > 0 AND _asked > 0").withColumn("_j", deal("query_id", "_asked")).withColumn("_i", spread("_rows"))
+    keys = [*within, "_i", "_j"]
+    types = dict(asked.dtypes) | dict(rows.dtypes) | {"score": "double"}
+    shape = ", ".join(f"`{c}` {types[c]}" for c in ["query_id", "score", *names])
+    best = (rows.groupBy(*keys).cogroup(asked.select("query_id", "embedding", *keys).groupBy(*keys))
+            .applyInArrow(cell(k, names), shape))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("long")))

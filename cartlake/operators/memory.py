@@ -108,10 +108,9 @@ def rejected_saves(events: DataFrame) -> DataFrame:
 
 
 def search(store: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top-k items by cosine similarity inside the query's namespace. Queries
-    are scored in bounded blocks against Arrow batches of the store, a matrix
-    product per namespace (functions/vectors.py), so a hot namespace is
-    neither shuffled nor paired row by row."""
+    """Top-k items by cosine similarity inside the query's namespace: blocks
+    of its items against blocks of its queries, a matrix product each
+    (functions/vectors.py), so a hot namespace is many blocks."""
     return top_matches(store, queries, k, id_col="mem_key", within=["ns_kind", "ns_user"], carry=["value"])
 
 

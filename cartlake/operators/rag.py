@@ -1,10 +1,9 @@
 """Documents -> paragraphs -> overlapping chunks -> vectors -> top-k.
 
-The chunker is a native fold: ``aggregate`` over a document's paragraphs
-with a struct accumulator (emitted chunks, current chunk), and an inner
-``aggregate`` over words for paragraphs longer than the chunk size. Each
-document is processed inside one row, so chunking is a narrow map with no
-shuffle; documents are spread over tasks by the scan.
+Each document is chunked inside one row (by default a search over running
+costs in Arrow batches, functions/chunking.py; the same rules are kept as a
+native fold), so chunking is a narrow map with no shuffle; documents are
+spread over tasks by the scan. Embedding is native and sparse.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import PY_WHITESPACE_CLASS, cosine, money, ustrip
-from ..functions.vectors import token_vectors, top_matches
+from ..functions.vectors import token_vector, top_matches
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -137,9 +136,10 @@ def _tokens(text: Column) -> Column:
 
 def embed(df: DataFrame, dim: int = 1024, col: str = "content", out: str = "embedding") -> DataFrame:
     """Offline embedding: L2-normalised counts of the lower-cased word tokens
-    in ``dim`` md5 buckets, one vectorised UDF over Arrow batches, no shuffle.
-    Callers with a real model supply their own ARRAY<FLOAT> column instead."""
-    return df.withColumn(out, token_vectors(dim)(_tokens(F.coalesce(F.col(col), F.lit("")))))
+    in ``dim`` md5 buckets, as a sparse vector (spots, weights); native, no
+    shuffle. ``functions.vectors.dense`` fills it for a product; callers with a
+    real model supply their own ARRAY<FLOAT> column instead."""
+    return df.withColumn(out, token_vector(_tokens(F.coalesce(F.col(col), F.lit(""))), dim))
 
 
 def topk(index: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "chunk_id") -> DataFrame:
@@ -153,9 +153,9 @@ def topk(index: DataFrame, query: DataFrame, k: int = TOP_K, id_col: str = "chun
 
 
 def topk_batch(index: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id") -> DataFrame:
-    """Exact top-k for a batch of queries, scored in bounded blocks: one
-    matrix product per Arrow batch of the index (functions/vectors.py); only k
-    rows per query and batch leave a task."""
+    """Exact top-k for any number of queries: blocks of the index against
+    blocks of the queries, one matrix product each (functions/vectors.py); only
+    k rows per query and index block leave a task."""
     carry = [c for c in index.columns if c not in ("embedding", id_col)]
     return top_matches(index, queries, k, id_col, carry=carry)
 
@@ -246,11 +246,17 @@ def changes(old: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "c
 def sync_plan(index: DataFrame, new: DataFrame, key: str = "chunk_id", col: str = "content", embedder=embed) -> DataFrame:
     """Apply a new snapshot to a vector index: unchanged rows keep their
     stored vector, only inserted or changed rows go through the embedder,
-    deleted rows drop out. ``reembedded`` marks the rows embedded now."""
+    deleted rows drop out. ``reembedded`` marks the rows embedded now. With the
+    native embedding this is one join; another embedder sees the fresh rows as
+    a DataFrame of their own."""
     others = [c for c in new.columns if c != key]
     o = index.select(key, F.md5(F.col(col)).alias("_old"), F.col("embedding"))
     j = new.withColumn("_new", F.md5(F.col(col))).join(o, key, "left")
     fresh = F.col("_old").isNull() | (F.col("_old") != F.col("_new"))
+    if embedder is embed:
+        own = embed(j, col=col, out="_own")
+        return own.select(key, *others, F.when(fresh, F.col("_own")).otherwise(F.col("embedding")).alias("embedding"),
+                          fresh.alias("reembedded"))
     kept = j.filter(~fresh).select(key, *others, "embedding", F.lit(False).alias("reembedded"))
     changed = embedder(j.filter(fresh).select(key, *others), col=col, out="embedding")
     return kept.unionByName(changed.select(key, *others, "embedding", F.lit(True).alias("reembedded")))

@@ -30,10 +30,12 @@ def docs(t):
 
 def new_docs(t):
     """The next snapshot of the corpus: every 11th document removed, every
-    7th loses its last line, every 13th gains an appendix line."""
+    7th loses its last line, every 13th gains an appendix line, every 5th of
+    the others a changed first line."""
     d = t.documents.filter(F.col("doc_id") % 11 != 0)
     txt = (F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("text", r"\n[^\n]*\z", ""))
            .when(F.col("doc_id") % 13 == 0, F.concat(F.col("text"), F.lit("\nappendix "), F.col("doc_id").cast("string")))
+           .when(F.col("doc_id") % 5 == 0, F.concat(F.lit("revised "), F.col("text")))
            .otherwise(F.col("text")))
     return d.select(F.col("doc_id").alias("doc_name"), txt.alias("text"))
 
@@ -49,7 +51,8 @@ PARA_SQL = """para AS (SELECT doc_name, CAST(row_number() OVER (PARTITION BY doc
   WHERE p <> '')"""
 DOCS_SQL = "docs AS (SELECT doc_id AS doc_name, text FROM documents)"
 NEW_DOCS_SQL = """new_docs AS (SELECT doc_id AS doc_name, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(text, '\\n[^\\n]*\\z', '')
-  WHEN doc_id % 13 = 0 THEN concat(text, chr(10), 'appendix ', CAST(doc_id AS VARCHAR)) ELSE text END AS text
+  WHEN doc_id % 13 = 0 THEN concat(text, chr(10), 'appendix ', CAST(doc_id AS VARCHAR))
+  WHEN doc_id % 5 = 0 THEN concat('revised ', text) ELSE text END AS text
   FROM documents WHERE doc_id % 11 <> 0)"""
 
 
@@ -114,10 +117,10 @@ FROM packed"""
 
 
 def vector_text(c):
-    """A vector's non-zero places and values (6 decimals) as text, for comparison."""
-    shown = F.transform(c, lambda v, i: F.when(v != 0, F.concat(
-        i.cast("string"), F.lit(":"), F.floor(v.cast("double") * 1000000 + 0.5).cast("string"))))
-    return F.array_join(F.array_compact(shown), " ")
+    """A sparse vector's places and values (6 decimals) as text, for comparison."""
+    shown = F.zip_with(F.col(c)["spots"], F.col(c)["weights"], lambda i, v: F.concat(
+        i.cast("string"), F.lit(":"), F.floor(v.cast("double") * 1000000 + 0.5).cast("string")))
+    return F.array_join(shown, " ")
 
 
 def vector_sql(text: str, dim: int = 1024) -> str:
@@ -159,8 +162,8 @@ def index(t):
 
 
 def batch_queries(t):
-    return t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(
-        F.col("label").cast("long").alias("query_id"), "embedding")
+    """The stated query set: every vector whose id is divisible by 50."""
+    return t.embeddings.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @reg("rag_topk", f"""WITH q AS (SELECT arg_min(embedding, vec_id) AS q_emb FROM embeddings WHERE label = 0)
@@ -172,7 +175,7 @@ def q_topk(s, d):
     return G.topk(index(t), q, 5, "chunk_id")
 
 
-BATCH_SQL = f"""qs AS (SELECT CAST(label AS BIGINT) AS query_id, arg_min(embedding, vec_id) AS q_emb FROM embeddings GROUP BY label),
+BATCH_SQL = f"""qs AS (SELECT vec_id AS query_id, embedding AS q_emb FROM embeddings WHERE vec_id % 50 = 0),
 sc AS (SELECT q.query_id, e.vec_id AS chunk_id, e.label, floor({cos_sql('e.embedding', 'q.q_emb')} * 1000000 + 0.5) / 1000000 AS score
   FROM embeddings e, qs q),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc) WHERE rank <= 5)"""
@@ -212,7 +215,8 @@ UNION ALL SELECT chunk_id, doc_name, content, true FROM new WHERE chunk_id IN (S
 SELECT chunk_id, doc_name, content, reembedded, {vector_sql('content')} AS embedding FROM r""")
 def q_sync(s, d):
     t = _t(s, d)
-    idx = G.embed(para_chunks(docs(t)))
+    # the index stands by chunk, as a stored one is bucketed: the join needs no other exchange of it
+    idx = G.embed(para_chunks(docs(t)).repartition("chunk_id"))
     return G.sync_plan(idx, para_chunks(new_docs(t))).select("chunk_id", "doc_name", "content", "reembedded",
                                                           vector_text("embedding").alias("embedding"))
 

@@ -62,11 +62,11 @@ def q_create(s, d):
 def _created(s, d):
     path = scratch_path(s, "tbl")
     name = "cartlake_items_" + path[-12:]           # a table of its own for every run
-    IO.create_table(s, name, schemas.RETAIL["transaction_items"], path)
     t = T.transaction_items(_t(s, d))
-    t.select(F.concat(F.lit("ITEM-"), F.col("transaction_id").cast("string"), F.lit("-"), F.col("line_number").cast("string")).alias("item_id"),
-             F.col("transaction_id").cast("string"), F.col("product_id").cast("string"), F.col("quantity").cast("int"),
-             "unit_price", "discount").write.insertInto(name)
+    rows = t.select(F.concat(F.lit("ITEM-"), F.col("transaction_id").cast("string"), F.lit("-"), F.col("line_number").cast("string")),
+                    "transaction_id", "product_id", "quantity", "unit_price", "discount")
+    IO.create_table(s, name, schemas.RETAIL["transaction_items"], path)             # empty at first
+    IO.create_table(s, name, schemas.RETAIL["transaction_items"], path, rows)       # and replaced
     return name
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .snapshots import create_or_replace
 
 def markdown_docs(spark: SparkSession, path: str, suffix: str = ".md", name_from: str | None = None) -> DataFrame:
     """Whole files under ``path`` whose name ends with ``suffix``; doc_name
@@ -44,12 +45,12 @@ def append_accounted(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     return int(obs.get["rows"])
 
 
-def create_table(spark: SparkSession, name: str, schema: T.StructType, location: str) -> DataFrame:
-    """Create-or-replace an external parquet table with an explicit schema.
-    The file catalog has no atomic replace: the new table is declared at a
-    location of its own, and only the catalog entry is exchanged."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return spark.catalog.createTable(name, path=location, source="parquet", schema=schema)
+def create_table(spark: SparkSession, name: str, schema: T.StructType, root: str, rows: DataFrame | None = None) -> DataFrame:
+    """Create-or-replace a table with an explicit schema, holding ``rows``
+    (by position, cast to it); readers see the old or the new one, never none
+    (sources/snapshots.py)."""
+    create_or_replace(spark, name, schema, root, rows)
+    return spark.table(name)
 
 
 def table_check(spark: SparkSession, names: list[str]) -> DataFrame:

@@ -5,19 +5,23 @@ the same kind. Stateless ones are projections, filters and explodes.
 Stateful ones aggregate per key and session: a stream's state lives until
 ``ttl`` passes without an event (a session window), so pass ``watermark`` on
 a stream and its state expires; nothing is collected over all time. The
-approval state machine keeps its few pending decisions in group state with a
-timeout. Window functions (not allowed on streams) are never used here.
+approval state machine and a twin of the text assembly run on state variables
+with timers (stateful.py); stores that streams feed are in stores.py. Window
+functions (not allowed on streams) are never used here.
 """
 
 from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chat import CRED_ERROR, acl
 from ..sources.streamdata import DONE, TRACE_PATH
+from . import stateful
+from .stores import index_changes, last_entries
 
 MAX_RESUME_ATTEMPTS = 3
 TTL = "5 minutes"
@@ -150,23 +154,15 @@ def ttl_sessions(chunks: DataFrame, ttl: str = TTL, watermark: str | None = None
 
 
 def upsert_store(log: DataFrame) -> DataFrame:
-    """Compaction of an upsert/delete log: latest op per key wins."""
-    g = log.groupBy("ns_kind", "ns_user", "mem_key").agg(
-        F.max_by(F.struct("value", "is_delete"), "seq").alias("v"), F.max("seq").alias("seq"))
-    return g.filter(~F.col("v.is_delete")).select("ns_kind", "ns_user", "mem_key", F.col("v.value").alias("value"), "seq")
-
-
-def compact_log(spark: SparkSession, log_path: str, store_path: str) -> None:
-    """Fold the micro-batches of an upsert log into a new store: one row per
-    live key (run between triggers; the log's folders may then be retired)."""
-    upsert_store(spark.read.parquet(log_path)).withColumn("is_delete", F.lit(False)).write.mode("overwrite").parquet(store_path)
+    """Compaction of an upsert/delete log: latest op per key wins. (A store
+    that is kept between compactions: stores.compact_log and store_now.)"""
+    return last_entries(log).filter(~F.col("is_delete")).drop("is_delete")
 
 
 def upsert_stream(stream: DataFrame, log_path: str, checkpoint: str, trigger_once: bool = True):
     """Continuous upsert: each micro-batch is written to its own
     batch_id=N folder of the log (overwrite of that folder, so a replayed
-    batch is idempotent); ``upsert_store`` over the log is the current
-    state."""
+    batch is idempotent); ``stores.store_now`` is the current state."""
     def write(df, batch_id):
         df.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -188,92 +184,19 @@ def approval_state(ev: DataFrame) -> DataFrame:
                      F.when(state == "approved", "continue").when(state == "denied", "stop").otherwise("wait").alias("action"))
 
 
-def _approval_fn(key, pdfs, state):
-    """State: the latest request's seq and the decisions after it, so rows may
-    come in any order and any number of batches."""
-    import pandas as pd
-
-    if state.hasTimedOut:
-        state.remove()
-        return
-    request, seqs, kinds = state.get if state.exists else (-1, [], [])
-    decisions = dict(zip(seqs, kinds))
-    seen = list(pdfs)
-    for pdf in seen:
-        for seq, kind in zip(pdf["seq"], pdf["kind"]):
-            if kind == "requested":
-                request = max(request, int(seq))
-            else:
-                decisions[int(seq)] = kind
-    decisions = {s: k for s, k in sorted(decisions.items()) if s > request}
-    state.update((request, list(decisions), list(decisions.values())))
-    latest = max([state.getCurrentWatermarkMs(), *(int(p["ts"].max().timestamp() * 1000) for p in seen)])
-    state.setTimeoutTimestamp(latest + APPROVAL_TIMEOUT_MS)
-    if request < 0:
-        return
-    status = next(iter(decisions.values()), "pending")
-    action = {"approved": "continue", "denied": "stop"}.get(status, "wait")
-    yield pd.DataFrame({"request_id": [key[0]], "state": [status], "action": [action]})
-
-
-APPROVAL_TIMEOUT_MS = 24 * 3600 * 1000
+def approval_state_stream(ev: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Streaming twin: a state machine per request (stateful.Approvals)."""
+    return stateful.approval_state_stream(ev, watermark)
 
 
-def approval_state_stream(ev: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Streaming twin (events with their time ``ts``): per-request state
-    machine kept in state until the watermark is a day past its last event
-    (applyInPandasWithState, update mode)."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return ev.groupBy("request_id").applyInPandasWithState(
-        _approval_fn, "request_id long, state string, action string",
-        "request long, seqs array<long>, kinds array<string>", "update", GroupStateTimeout.EventTimeTimeout)
+def assemble_text_stream(chunks: DataFrame, ttl: str = TTL, watermark: str = WATERMARK) -> DataFrame:
+    """Streaming twin of ``assemble_text`` on list state and timers."""
+    return stateful.assemble_text_stream(chunks, int(pd.Timedelta(ttl).total_seconds() * 1000), watermark)
 
 
 def index_sync_batch(old: DataFrame, new: DataFrame, embedder) -> DataFrame:
-    """One step of the triggered index sync (chunk_id, doc_name, content): the
-    change set - one full outer join on chunk_id comparing md5 digests - with
-    a vector for every inserted or updated chunk; only these are embedded."""
-    o = old.select("chunk_id", F.col("doc_name").alias("old_doc"), F.md5("content").alias("old_md5"))
-    n = new.select("chunk_id", F.col("doc_name").alias("new_doc"), F.md5("content").alias("new_md5"), "content")
-    j = o.join(n, "chunk_id", "full_outer")
-    action = (F.when(F.col("old_md5").isNull(), "insert").when(F.col("new_md5").isNull(), "delete")
-              .when(F.col("old_md5") != F.col("new_md5"), "update"))
-    j = j.select("chunk_id", F.coalesce("new_doc", "old_doc").alias("doc_name"), action.alias("action"), "content") \
-        .filter(F.col("action").isNotNull())
-    changed = embedder(j.filter(F.col("action") != "delete"), col="content", out="embedding")
-    gone = j.filter(F.col("action") == "delete").withColumn("embedding", F.lit(None).cast(changed.schema["embedding"].dataType))
-    return changed.unionByName(gone)
-
-
-def index_now(index: DataFrame, log: DataFrame | None) -> DataFrame:
-    """The index with its sync log applied: the last logged change per chunk."""
-    cols = ["chunk_id", "doc_name", "content", "embedding"]
-    base = index.select(*cols, F.lit("insert").alias("action"), F.lit(-1).cast("long").alias("batch_id"))
-    rows = base if log is None else base.unionByName(log.select(*cols, "action", F.col("batch_id").cast("long").alias("batch_id")))
-    last = rows.groupBy("chunk_id").agg(F.max_by(F.struct("doc_name", "content", "embedding", "action"), "batch_id").alias("r"))
-    return last.filter("r.action <> 'delete'").select("chunk_id", "r.doc_name", "r.content", "r.embedding")
-
-
-def index_sync_stream(snapshots: DataFrame, index_path: str, log_path: str, checkpoint: str, embedder):
-    """Triggered sync of document snapshots (doc_name, chunk_id, content; a
-    document's micro-batch holds all its chunks, a removed document one row
-    with a null chunk): each micro-batch is compared with the touched
-    documents' rows of the index, log applied, and the changes - inserts,
-    updates, deletes - go to the log under batch_id=N (idempotent on
-    replay)."""
-    def write(df, batch_id):
-        spark = df.sparkSession
-        log = None
-        if batch_id:
-            log = spark.read.parquet(*[f"{log_path.rstrip('/')}/batch_id={i}" for i in range(batch_id)])
-        touched = df.select("doc_name").distinct()
-        old = index_now(spark.read.parquet(index_path), log).join(touched, "doc_name", "left_semi")
-        changes = index_sync_batch(old, df.filter(F.col("chunk_id").isNotNull()), embedder)
-        changes.withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/batch_id={batch_id}")
-    return (snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """One step of the triggered index sync over whole snapshots."""
+    return index_changes(old, new, embedder)
 
 
 # Executors need not have this package installed: functions of this module

@@ -1,14 +1,12 @@
-"""Retrieval: exact top-k against brute force, LSH recall, triggered index sync."""
+"""Retrieval: exact top-k against brute force, recall of the index, sync plan."""
 
 import math
-import tempfile
 
 from pyspark.sql import functions as F
 
 from cartlake.operators import rag as G
 from cartlake.queries import rag as QR
 from cartlake.sources.tables import Tables
-from cartlake.streaming import streams as S
 from conftest import SF_CHECK, SF_SMALL
 
 
@@ -37,17 +35,50 @@ def test_lsh_recall_and_exact_scores(spark):
 
 
 def test_topk_in_several_blocks(spark, monkeypatch):
+    """Many small cells give what one cell gives, in a plan of the same size."""
     from cartlake.functions import vectors
 
     t = Tables(spark, SF_SMALL)
     idx, qs = QR.index(t), QR.batch_queries(t)
-    one = sorted(map(tuple, G.topk_batch(idx, qs, 3, "chunk_id").collect()))
-    monkeypatch.setattr(vectors, "BLOCK", 3)
+    one = G.topk_batch(idx, qs, 3, "chunk_id")
+    want, size = sorted(map(tuple, one.collect())), len(one._jdf.queryExecution().analyzed().toString().splitlines())
+    monkeypatch.setattr(vectors, "INDEX_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(vectors, "SCORES", 16)
     many = G.topk_batch(idx.repartition(5), qs, 3, "chunk_id")
-    assert sorted(map(tuple, many.collect())) == one
+    assert sorted(map(tuple, many.collect())) == want
+    assert len(many._jdf.queryExecution().analyzed().toString().splitlines()) <= size + 2
     assert "NestedLoop" not in many._jdf.queryExecution().executedPlan().toString()
 
 
+def test_topk_ties_nulls_and_empty(spark):
+    shape = "chunk_id long, embedding array<float>, note string"
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], f"n{i}") for i in range(20)] + [(99, None, "none"), (98, [0.0, 0.0], "zero")]
+    idx = spark.createDataFrame(rows, shape)
+    qs = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [0.0, 3.0])], "query_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.score, r.note) for r in G.topk_batch(idx, qs, 2, "chunk_id").collect())
+    assert got == [(1, 1, 1, 1.0, "n1"), (1, 2, 3, 1.0, "n3"), (3, 1, 0, 1.0, "n0"), (3, 2, 2, 1.0, "n2")]
+    assert G.topk_batch(idx.limit(0), qs, 2, "chunk_id").count() == 0
+    assert G.topk_batch(idx, qs.limit(0), 2, "chunk_id").count() == 0
+
+
+def test_embedding_equals_a_plain_count(spark):
+    import hashlib
+    import re
+
+    from cartlake.functions.vectors import dense
+
+    texts = ["the cat, the Cat! THE dog", "", None, "   ", "été Ünder été x1 x1 x1", "a " * 300 + "b"]
+    df = G.embed(spark.createDataFrame(list(enumerate(texts)), "i long, content string"), 32)
+    for r in df.select("i", "embedding", dense(F.col("embedding"), 32).alias("d")).collect():
+        n = [0] * 32
+        for w in re.findall(r"[^\W_]+", (texts[r.i] or "").lower()):
+            n[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32] += 1
+        norm = math.sqrt(sum(x * x for x in n)) or 1
+        assert r.embedding.spots == [k for k in range(32) if n[k]]
+        assert all(abs(a - b / norm) < 1e-6 for a, b in zip(r.d, n)) and len(r.d) == 32
+
+
 def test_sync_plan_embeds_changed_rows_only(spark):
     old = spark.createDataFrame([("a", "same"), ("b", "old"), ("c", "gone")], "chunk_id string, content string")
     new = spark.createDataFrame([("a", "same"), ("b", "new"), ("d", "added")], "chunk_id string, content string")
@@ -59,28 +90,3 @@ def test_sync_plan_embeds_changed_rows_only(spark):
     index = old.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
     got = {r.chunk_id: (r.embedding, r.reembedded) for r in G.sync_plan(index, new, embedder=embedder).collect()}
     assert got == {"a": ([1.0], False), "b": ([2.0], True), "d": ([2.0], True)} and sorted(seen) == ["added", "new"]
-
-
-def test_index_sync_stream_reaches_the_snapshot(spark):
-    """Micro-batches of whole documents, removed ones as a row without chunk:
-    the index with the log applied is the new snapshot, and only changed
-    chunks were embedded."""
-    t = Tables(spark, SF_SMALL)
-    old, new = QR.para_chunks(QR.docs(t)), QR.para_chunks(QR.new_docs(t))
-    d = tempfile.mkdtemp(prefix="cartlake-sync-")
-    G.embed(old, dim=16).write.parquet(d + "/index")
-    gone = old.select("doc_name").distinct().join(new.select("doc_name").distinct(), "doc_name", "left_anti")
-    snap = new.select("doc_name", "chunk_id", "content").unionByName(gone, allowMissingColumns=True)
-    for k in range(3):
-        snap.filter(F.col("doc_name") % 3 == k).coalesce(1).write.mode("append").parquet(d + "/new")
-    q = S.index_sync_stream(spark.readStream.schema(snap.schema).option("maxFilesPerTrigger", 1).parquet(d + "/new"),
-                            d + "/index", d + "/log", d + "/ckpt", lambda df, col, out: G.embed(df, 16, col, out))
-    q.awaitTermination()
-    log = spark.read.parquet(d + "/log")
-    assert log.select("batch_id").distinct().count() == 3
-    want = {r.chunk_id: r.action for r in S.index_sync_batch(old, new, G.embed).collect()}
-    assert {r.chunk_id: r.action for r in log.collect()} == want
-    assert {"insert", "update", "delete"} <= set(want.values())
-    now = S.index_now(spark.read.parquet(d + "/index"), log)
-    assert {(r.chunk_id, r.content) for r in now.collect()} == {(r.chunk_id, r.content) for r in new.collect()}
-    assert log.filter("(action = 'delete') <> (embedding IS NULL)").count() == 0

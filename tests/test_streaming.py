@@ -1,6 +1,9 @@
 """Each streaming operator, run over a parquet file source in several
 micro-batches, equals its batch twin."""
 
+import glob
+import os
+import shutil
 import tempfile
 import time
 
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from cartlake.sources import streamdata as SD
 from cartlake.sources import tables as T
 from cartlake.sources.tables import Tables
+from cartlake.streaming import stateful as SF
+from cartlake.streaming import stores as ST
 from cartlake.streaming import streams as S
 from conftest import SF_SMALL
 
@@ -142,6 +147,57 @@ def test_upsert_stream_log_compacts_to_batch(spark):
     q.awaitTermination()
     written = spark.read.parquet(d + "/log").drop("batch_id")
     assert _rows(S.upsert_store(written)) == _rows(S.upsert_store(log))
-    S.compact_log(spark, d + "/log", d + "/store")
-    again = spark.read.parquet(d + "/store")
-    assert _rows(S.upsert_store(again)) == _rows(S.upsert_store(log))
+    entry = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
+    assert _rows(ST.store_now(spark, d + "/log", d + "/store", entry)) == _rows(S.upsert_store(log))
+    ST.compact_log(spark, d + "/log", d + "/store", entry)
+    assert _rows(ST.store_now(spark, d + "/log", d + "/store", entry)) == _rows(S.upsert_store(log))
+
+
+def test_assembly_on_list_state_equals_batch(spark, chunk_dir):
+    batch = spark.read.parquet(chunk_dir + "/chunks")
+    _closed_sessions_equal_batch(spark, "s_assembly", lambda df, **kw: S.assemble_text_stream(df, **kw) if kw else S.assemble_text(df),
+                                 _stream(spark, chunk_dir + "/chunks", batch), batch)
+
+
+def test_assembly_survives_a_restart(spark, chunk_dir):
+    """Stopped after every file and begun again from its checkpoint."""
+    batch, d = spark.read.parquet(chunk_dir + "/chunks"), tempfile.mkdtemp(prefix="cartlake-restart-")
+    out = []
+    for k in range(5):
+        files = sorted(glob.glob(chunk_dir + "/chunks/part-*.parquet"), key=os.path.getmtime)
+        os.makedirs(d + "/in", exist_ok=True)
+        shutil.copy(files[k], d + "/in/")
+        q = S.assemble_text_stream(spark.readStream.schema(batch.schema).parquet(d + "/in")).writeStream \
+            .foreachBatch(lambda df, _: out.extend(map(tuple, df.select(*COLS).collect()))) \
+            .option("checkpointLocation", d + "/ckpt").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    exp = set(_rows(S.assemble_text(batch), COLS))
+    assert len(out) == len(set(out)) and set(out) <= exp and len(out) > len(exp) / 2
+
+
+COLS = ["n_deltas", "session_start", "stream_id", "text"]
+
+
+def test_late_rows_are_counted(spark):
+    """One row behind the watermark is dropped, and counted as dropped."""
+    d = tempfile.mkdtemp(prefix="cartlake-late-") + "/in"
+    shape = "stream_id long, seq long, ts timestamp_ntz, type string, delta string"
+    for hour, minute in (("10", "00"), ("12", "00"), ("09", "00"), ("13", "00")):
+        spark.createDataFrame([(1, 1, f"2024-01-01 {hour}:{minute}:00", "text-delta", "x")], shape.replace("timestamp_ntz", "string")) \
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(d)
+        time.sleep(1.1)
+    batch = spark.read.parquet(d)
+    told = []
+    counter = SF.LateRows(lambda name, batch_id, n: told.append((name, n)))
+    spark.streams.addListener(counter)
+    try:
+        for name, op in (("late_ttl", S.ttl_sessions), ("late_text", S.assemble_text_stream)):
+            _run(op(_stream(spark, d, batch), watermark="10 minutes"), "append", name)
+            for _ in range(100):
+                if counter.dropped.get(name):
+                    break
+                time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counter)
+    assert counter.dropped == {"late_ttl": 1, "late_text": 1} and sorted(told) == [("late_text", 1), ("late_ttl", 1)]
+    assert sorted(str(r.session_start) for r in spark.table("late_text").collect()) == ["2024-01-01 10:00:00", "2024-01-01 12:00:00"]
