@@ -12,8 +12,9 @@ Files (Parquet, under one folder): ``codes`` (id, length) and ``blocks``.
 
 Only the id counts (one row per vocabulary entry) and one total per written
 partition reach the driver. Words are encoded once per worker and kept in a
-cache that is emptied when full: white space separates pre-tokens, so a text's ids are
-its words' ids in a row (tested against whole-text encoding).
+cache that is emptied when full: white space separates pre-tokens, so a text's
+ids are its words' ids in a row, whatever the cache holds (tested against
+whole-text encoding, with cold and warm caches).
 
 Defined cases: null text = empty text = just the end id; null ids come
 first; repeated ids get their own ranges, in any order among themselves; an
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 from unicodedata import is_normalized
@@ -39,93 +39,99 @@ from cartlake.plans.session import scratch_path
 from .common import per_worker, saved, ship, shuffle_parts, texts, tidy
 
 STEP = 64            # ids between two checkpoints
-CACHE_WORDS = 400_000
-# the combining marks that can compose with a Latin letter
-COMBINING = "[\u0300-\u036f]"
+CACHE_WORDS = 1_000_000
+LINE = 256           # words the tokenizer gets in one line
+# where lower-casing first could matter: combining marks that can compose with
+# a Latin letter, and special tokens, which are matched as they are written
+AS_WRITTEN = "[\u0300-\u036f]|<[|]"
 
 
-# letters, then ASCII marks without the apostrophe (which can open a contraction)
-LETTERS_MARKS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-def byte_letters() -> dict[int, str]:
-    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the
-    others follow from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-    return {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+# what may be letters, then ASCII marks without the apostrophe (which can open a contraction)
+LETTERS_MARKS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class WordIds(dict):
-    """Word (UTF-8, no white space) -> its ids as packed bytes."""
+    """Word (UTF-8, no white space) -> its ids as packed bytes.
+
+    The tokenizer itself encodes every distinct word, whole. Only a word of
+    letters with marks behind is put together from the two: the splitter cuts
+    there whatever surrounds it, so the parts are encoded once each. Which
+    words are letters is decided by the word alone, never by what is cached."""
 
     def __init__(self, path: str, width: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.width = Tokenizer.from_file(path), width
-        self.tokenize, self.bytes_as = self.tokenizer.model.tokenize, byte_letters()
-        self.code = "H" if width == "<u2" else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
+
+    @staticmethod
+    def letters(word: bytes) -> bool:
+        """Surely one pre-token: letters of the alphabets up to Cyrillic, which
+        every version of Unicode knows, and nothing that normalising joins."""
+        if word.isalpha() and word.isascii():
+            return True
+        text = word.decode("utf-8", "replace")
+        return (max(text) <= "\u052f" and text.isalpha() and is_normalized("NFC", text)
+                and is_normalized("NFC", text.lower()) and len(text.lower()) == len(text))
+
+    def _single(self, words: list[bytes]) -> list[bytes]:
+        """Words of one pre-token each, many a line: an id with a word end ends
+        a word."""
+        lines = [b" ".join(words[at:at + LINE]).decode() for at in range(0, len(words), LINE)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.width) for e in found])
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words):
+            return self._whole(words)
+        packed, unit = ids.tobytes(), ids.itemsize
+        cut = [0, *(cut * unit).tolist()]
+        return [packed[a:b] for a, b in pairwise(cut)]
 
     def _whole(self, words: list[bytes]) -> list[bytes]:
-        e = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True,
-                                  add_special_tokens=False)
-        owner = np.array(e.word_ids, np.int64)
-        ids = np.array(e.ids, self.width)
-        cut = np.searchsorted(owner, np.arange(len(words) + 1))
-        return [ids[a:b].tobytes() for a, b in pairwise(cut)]
-
-    def _letters(self, word: bytes) -> bytes | None:
-        """Ids of a word of letters only, which normalising merely lower-cases
-        and the splitter keeps whole; None if that is not sure."""
-        if word.isascii():
-            text = word.lower().decode()
-        else:
-            text = word.decode("utf-8", "replace")
-            low = text.lower()
-            # alphabets up to Cyrillic; a final sigma is lower-cased by its neighbours in Python only
-            if (max(low) > "\u052f" or not low.isalpha() or "\u03a3" in text or len(low) != len(text)
-                    or not (is_normalized("NFC", text) and is_normalized("NFC", low))):
-                return None
-            text = low.encode().decode("latin-1").translate(self.bytes_as)
-        return array(self.code, [t.id for t in self.tokenize(text)]).tobytes()
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.width).tobytes() for e in found]
 
     def learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self]
         if len(self) + len(missing) > CACHE_WORDS:
             self.clear()
             missing = words
-        rest, marks, pairs = [], set(), []
+        single, rest, joined = set(), set(), []
         for w in missing:
             m = LETTERS_MARKS.fullmatch(w)
             if m is None:
-                rest.append(w)
+                (single if self.letters(w) else rest).add(w)
                 continue
             word, end = m.groups()
-            ids = self.get(word)
-            if ids is None:
-                ids = self._letters(word)
-                if ids is None:
-                    rest.append(w)
-                    continue
-                self[word] = ids
-            if end:
-                pairs.append((w, ids, end))
-                if end not in self:
-                    marks.add(end)
-        rest += marks
-        for at in range(0, len(rest), 256):
-            part = rest[at:at + 256]
-            self.update(zip(part, self._whole(part)))
-        for w, ids, end in pairs:
-            self[w] = ids + self[end]
+            if not self.letters(word):
+                rest.add(w)
+                continue
+            joined.append((w, word, end))
+            if word not in self:
+                single.add(word)
+            if end not in self:
+                rest.add(end)
+        for encode, new in ((self._single, list(single)), (self._whole, list(rest))):
+            for at in range(0, len(new), 1 << 15):
+                part = new[at:at + (1 << 15)]
+                self.update(zip(part, encode(part)))
+        for w, word, end in joined:
+            self[w] = self[word] + self[end]
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(first word of each text and the end, each word's number, the distinct
     words). A-Z are lower-cased first - the tokenizer's own rule - except
-    where a combining mark might follow."""
+    where that could matter."""
     text = pc.fill_null(text, "")
-    plain = pc.if_else(pc.match_substring_regex(text, COMBINING), text, pc.ascii_lower(text))
+    plain = pc.if_else(pc.match_substring_regex(text, AS_WRITTEN), text, pc.ascii_lower(text))
     lists = pc.ascii_split_whitespace(plain)
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()

@@ -38,6 +38,43 @@ def test_words_equal_whole_text_property(text):
     assert ids_of(text) == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+MARKS = "👍 … — ” 。 • € “ 😂 😂😂 ñ Ω ß ǆ ﬁ 中 ª ½ ٣ é e\u0301 \u0301 ＡＢ ı İ ſ".split()
+ENDS = ["", "!", '"', ")", "/", "(", "!!", "'s", "<", "|>", "-", "_", "a", "1", "é", "👍"]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_ids_do_not_depend_on_the_cache(seed):
+    """Marks and letters alone, then joined to others, in several orders: one
+    worker's cache, every text against the tokenizer's whole-text ids."""
+    rng = random.Random(seed)
+    known = hf.WordIds(PATH, "<u2")
+    words = [a + b + c for a in MARKS for b in ENDS for c in ("", rng.choice(ENDS))] + MARKS
+    words += ["".join(rng.choice(MARKS + ENDS) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    words = [w.encode() for w in words if w.split() == [w]]
+    if seed:
+        rng.shuffle(words)
+    else:
+        words.sort(key=len)
+    want = {w: np.array(WHOLE.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in words}
+    for at in range(0, len(words), 150):
+        known.learn(set(words[at:at + 150]))
+    assert {w: known[w] for w in words} == want
+
+
+def test_batches_with_a_warm_cache(monkeypatch):
+    """One worker over several batches, also when its cache is emptied."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(MARKS) + rng.choice(ENDS) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts += [" ".join(rng.choice(MARKS) for _ in range(5)) for _ in range(100)] + ["<|ENDOFTEXT|> <|endoftext|>! x<|endoftext|>"]
+    rng.shuffle(texts)
+    for cache in (hf.CACHE_WORDS, 60):
+        monkeypatch.setattr(hf, "CACHE_WORDS", cache)
+        batches = [pa.RecordBatch.from_pydict({"id": list(range(20)), "text": texts[at:at + 20]}) for at in range(0, 500, 20)]
+        got = [x for b in hf.encode_texts(PATH, 2, "<u2")(iter(batches)) for x in b.column(1).to_pylist()]
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u2").tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_lengths_are_optimal_and_limited():
     rng = random.Random(3)
     for n, limit in ((2, 1), (5, 3), (40, 6), (300, 16), (300, 9)):
