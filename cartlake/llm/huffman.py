@@ -22,7 +22,6 @@ empty table writes no blocks; extra columns are ignored."""
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -46,8 +45,11 @@ LINE = 256           # words the tokenizer gets in one line
 AS_WRITTEN = "[\u0300-\u036f]|<[|]"
 
 
-# what may be letters, then ASCII marks without the apostrophe (which can open a contraction)
-LETTERS_MARKS = re.compile(rb"([a-zA-Z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
+# ASCII marks, without the apostrophe (which can open a contraction)
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+# letters up to Cyrillic, which every version of Unicode knows, that stay one letter when normalised
+LETTERS = frozenset(c for c in map(chr, range(0x41, 0x530)) if c.isalpha() and len(c.lower()) == 1
+                    and is_normalized("NFC", c) and is_normalized("NFC", c.lower()))
 
 
 class WordIds(dict):
@@ -73,13 +75,8 @@ class WordIds(dict):
 
     @staticmethod
     def letters(word: bytes) -> bool:
-        """Surely one pre-token: letters of the alphabets up to Cyrillic, which
-        every version of Unicode knows, and nothing that normalising joins."""
-        if word.isalpha() and word.isascii():
-            return True
-        text = word.decode("utf-8", "replace")
-        return (max(text) <= "\u052f" and text.isalpha() and is_normalized("NFC", text)
-                and is_normalized("NFC", text.lower()) and len(text.lower()) == len(text))
+        """Surely one pre-token."""
+        return word.isalpha() or not word.isascii() and LETTERS.issuperset(word.decode("utf-8", "replace"))
 
     def _single(self, words: list[bytes]) -> list[bytes]:
         """Words of one pre-token each, many a line: an id with a word end ends
@@ -98,26 +95,25 @@ class WordIds(dict):
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in found]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         missing = [w for w in words if w not in self]
         if len(self) + len(missing) > CACHE_WORDS:
             self.clear()
             missing = words
         single, rest, joined = set(), set(), []
         for w in missing:
-            m = LETTERS_MARKS.fullmatch(w)
-            if m is None:
-                (single if self.letters(w) else rest).add(w)
-                continue
-            word, end = m.groups()
-            if not self.letters(word):
+            word = w.rstrip(MARKS)
+            if not word or not self.letters(word):
                 rest.add(w)
-                continue
-            joined.append((w, word, end))
-            if word not in self:
-                single.add(word)
-            if end not in self:
-                rest.add(end)
+            elif len(word) == len(w):
+                single.add(w)
+            else:
+                end = w[len(word):]
+                joined.append((w, word, end))
+                if word not in self:
+                    single.add(word)
+                if end not in self:
+                    rest.add(end)
         for encode, new in ((self._single, list(single)), (self._whole, list(rest))):
             for at in range(0, len(new), 1 << 15):
                 part = new[at:at + (1 << 15)]
@@ -140,28 +136,43 @@ def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return first, words.indices.to_numpy(zero_copy_only=False), words.dictionary.cast("binary").to_pylist()
 
 
+TEXT_BYTES = 12 << 20        # of text that share one pass over their distinct words
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * size // (batch.nbytes + 1))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            held.append(part)
+            n += part.nbytes
+            if n >= size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode_texts(path: str, end_id: int, width: str):
     """(id, text) batches -> (id, ids packed)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = per_worker(f"word ids {path} {width}", lambda: WordIds(path, width))
         end, unit = np.array([end_id], width).tobytes(), np.dtype(width).itemsize
-        for batch in batches:
-            # about 4 MB of text at a time, as batches may hold very long texts
-            step = max(1, (batch.num_rows << 22) // (batch.nbytes + 1))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                first, word, distinct = split_words(part.column(1))
-                known.learn(set(distinct) - {b""})
-                pieces = [known[w] if w else b"" for w in distinct]
-                size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // unit
-                flat = np.frombuffer(b"".join(pieces), width)
-                n = size[word]
-                stop = np.concatenate(([0], np.cumsum(n)))
-                shift = (np.cumsum(size) - size)[word] - stop[:-1]
-                ids = flat[np.arange(stop[-1]) + np.repeat(shift, n)]
-                cut = stop[first].tolist()
-                packed = [ids[a:b].tobytes() + end for a, b in pairwise(cut)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
+        for part in pieces_of(batches, TEXT_BYTES):
+            first, word, distinct = split_words(part.column(1))
+            known.learn([w for w in distinct if w])
+            pieces = [known[w] if w else b"" for w in distinct]
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // unit
+            flat = np.frombuffer(b"".join(pieces), width)
+            n = size[word]
+            stop = np.concatenate(([0], np.cumsum(n)))
+            shift = (np.cumsum(size) - size)[word] - stop[:-1]
+            ids = flat[np.arange(stop[-1]) + np.repeat(shift, n)]
+            cut = stop[first].tolist()
+            packed = [ids[a:b].tobytes() + end for a, b in pairwise(cut)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
     return run
 
 

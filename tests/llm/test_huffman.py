@@ -22,7 +22,7 @@ ODD = ["", "  ", "İstanbul ΣΑΣ ΟΔΟΣ. naïve", "J̌ é É. Äb", "don'
 
 def ids_of(text):
     batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": pa.array([None, text], pa.string())})
-    out = next(hf.encode_texts(PATH, 2, "<u2")(iter([batch]))).column(1).to_pylist()
+    out = next(iter(hf.encode_texts(PATH, 2, "<u2")(iter([batch])))).column(1).to_pylist()
     assert out[0] == b"\x02\x00" and out[1][-2:] == b"\x02\x00"
     return np.frombuffer(out[1][:-2], "<u2").tolist()
 
@@ -57,7 +57,7 @@ def test_ids_do_not_depend_on_the_cache(seed):
         words.sort(key=len)
     want = {w: np.array(WHOLE.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes() for w in words}
     for at in range(0, len(words), 150):
-        known.learn(set(words[at:at + 150]))
+        known.learn(list(dict.fromkeys(words[at:at + 150])))
     assert {w: known[w] for w in words} == want
 
 
@@ -70,6 +70,7 @@ def test_batches_with_a_warm_cache(monkeypatch):
     for cache in (hf.CACHE_WORDS, 60):
         monkeypatch.setattr(hf, "CACHE_WORDS", cache)
         batches = [pa.RecordBatch.from_pydict({"id": list(range(20)), "text": texts[at:at + 20]}) for at in range(0, 500, 20)]
+        monkeypatch.setattr(hf, "TEXT_BYTES", 500)
         got = [x for b in hf.encode_texts(PATH, 2, "<u2")(iter(batches)) for x in b.column(1).to_pylist()]
         for text, ids in zip(texts, got):
             assert np.frombuffer(ids, "<u2").tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 2], text
