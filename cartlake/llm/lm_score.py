@@ -1,81 +1,55 @@
-"""Language-model scores from a trigram backoff model (operator 6).
+"""Language-model scores by a weighted backoff automaton (operator 6).
 
 Tokens are words (runs without ASCII white space, A-Z lower-cased) and one
-end per text. All token counts of the training texts are gathered (exact,
-one row per distinct word, kept distributed), and so are all 2- and 3-grams
-seen at least LEAST times, whatever the size of the corpus. N-grams are named
-by 64-bit hashes, summed within tasks and shuffled as packed arrays.
-
-Probabilities are absolute discounting in backoff form over the add-one
-shares of the words and one unknown; ``build`` gives the same model as one
-automaton in memory. The score of a text is a sum over its n-grams: a 1-gram
-adds its log10 share (together the base score) and its backoff weight, a
-longer n-gram its log10 probability less the backoff path it replaces, and
-its own backoff weight. So no text has to come back to the model in order:
-its n-grams and words meet the sharded tables by hash, each once a text, and
-the parts are added up by row.
-
-The words with a share of at least ``1 / states`` and the ``states`` most
-frequent n-grams are also sent to all tasks; they only save their lookups in
-the shards and change no score.
+end per text. Every 1-, 2- and 3-gram of the training texts is learned, at
+every size of the corpus: counts are exact sums, kept distributed.
+
+Probabilities are Dirichlet-smoothed, P(w | h) = (n(h w) + K P(w | h')) /
+(n(h) + K), down to the add-one share of the word among all types and one
+unknown. Written as an automaton: a state is a context that was seen (two
+words, one, or none); a seen n-gram is an arc that carries its log10
+probability and leads to the longest context it ends with; any other symbol
+takes the failure arc to the next shorter context, of weight K / (n(h) + K).
+
+The automaton of a whole corpus fits nowhere, so texts are dealt into chunks
+of about CHUNK tokens, and every chunk gets the part of the automaton that
+its own texts can reach:
+
+1. texts are tokenised once and written as chunks (word numbers, packed);
+2. each chunk sends its distinct n-grams, with its own training counts, to
+   shards; a shard adds the counts up and answers every chunk in the order it
+   was asked, so a chunk's n-grams travel once and come back as numbers;
+3. a chunk builds its states, arcs and failure arcs from the answers and walks
+   all its texts at once, from left to right, each with its state.
+
+Words travel as they are, longer n-grams as 64-bit hashes (two of which could
+share a count by chance). Shards are as many as the tokens need, so a shard's
+memory does not grow with the corpus; an n-gram, however frequent, reaches its
+shard once a chunk.
 
 Defined cases: null text = empty text = its end token alone; null ids are
-scored, not learned; repeated rows are counted and scored once each; without
-training texts every token has base score log10(1/1) = 0; extra columns are
-ignored; an empty table gives an empty result."""
+scored, and learned from only where ``learn`` says so; repeated rows are
+counted and scored once each; without training texts every token has base
+score log10(1/1) = 0; extra columns are ignored; an empty table gives an empty
+result."""
 
 from __future__ import annotations
 
-import gc
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, saved, ship, shuffle_parts, texts, tidy
+from .common import saved, ship, shuffle_parts, tidy
 
-END, START, RARE = 0, 1, 2         # symbols; words follow from 3
-LEAST = 2                          # occurrences of an n-gram that is learned
-SEED = 42                          # of Spark's xxhash64
-KNOWN_WORDS = 200_000
-CHUNK = 1 << 20                    # tokens whose n-grams are summed at once
-HELD = 300_000                     # distinct words counted in a task before they are passed on
-
-
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (word, count), summed within the task as far as memory allows;
-    the null word counts texts."""
-    held, docs = Counter(), 0
-
-    def out(counts):
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()),
-                                           "n": pa.array(list(counts.values()), pa.int64())})
-
-    for batch in batches:
-        for t in texts(batch.column(0)):
-            held.update(t.lower().split())
-            docs += 1
-            if len(held) > HELD:
-                yield out(held)
-                held.clear()
-    yield out(held)
-    yield out({None: docs})
-
-
-def symbols(text: bytes, number: dict[bytes, int]) -> list[int]:
-    get = number.get
-    return [START, *[get(w, RARE) for w in text.lower().split()], END]
-
-
-def grams_of(seq: list[int], base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the 2-grams and 3-grams of a symbol sequence."""
-    s = np.array(seq, np.int64)
-    two = s[:-1] * base + s[1:]
-    return two, two[:-1] * base + s[2:]
+CHUNK = 3 << 19                    # tokens of a chunk, at about
+SHARD = 1 << 21                    # tokens of the corpus to a shard
+SMOOTHING = 2.0                    # K
+SEED = 42
 
 
 def run_lengths(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,480 +60,332 @@ def run_lengths(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
-class Frequent:
-    """Misra-Gries summary with room for 16 * states n-grams: a true count is
-    at most the held count plus ``lost``, and lost <= tokens / (8 * states)."""
-
-    def __init__(self, states: int):
-        self.room, self.keys, self.n, self.lost = 16 * states, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+# ------------------------------------------------------------------- packing
 
-    def add(self, grams: list[np.ndarray]) -> None:
-        new = np.concatenate(grams)
-        keys, n = run_lengths(np.concatenate([self.keys, new]),
-                              np.concatenate([self.n, np.ones(len(new), np.int64)]))
-        if len(keys) > self.room:
-            cut = int(np.partition(n, -self.room // 2)[-self.room // 2])
-            self.lost += cut
-            keys, n = keys[n > cut], n[n > cut] - cut
-        self.keys, self.n = keys, n
+def pack(values: np.ndarray, width: int) -> bytes:
+    """Numbers as zstandard-compressed byte planes."""
+    import zstandard
 
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
-    """Key of the n-gram with the context ``a`` and the ending ``b``."""
-    return mixed(mixed(a + np.uint64(order)) + b * np.uint64(0x9E3779B97F4A7C15))
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def key_of(word: bytes) -> int:
-    import xxhash
+def unpack(data: bytes, width: int) -> np.ndarray:
+    import zstandard
 
-    return xxhash.xxh64_intdigest(word, SEED)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}")
 
 
-def edge_keys() -> tuple[int, int]:
-    """Keys of END and START; no word has a space."""
-    return key_of(b" end"), key_of(b" start")
+def pack_words(words: list[bytes]) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
 
-class Reader:
-    """Keys of the n-grams of texts; word keys are kept per worker."""
 
-    def __init__(self):
-        self.known, (self.end, self.start) = per_worker("lm word keys", dict), edge_keys()
+def unpack_words(data: bytes) -> list[bytes]:
+    import zstandard
 
-    def keys(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of START, words, END of all texts; number of the text)."""
-        words = set().union(*split)
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        for w in words.difference(self.known):
-            self.known[w] = key_of(w)
-        get = self.known.__getitem__
-        flat = [k for s in split for k in (self.start, *map(get, s), self.end)]
-        return np.array(flat, np.uint64), np.repeat(np.arange(len(split)), [len(s) + 2 for s in split])
+    return zstandard.ZstdDecompressor().decompress(data).split()
 
-    @staticmethod
-    def grams(x: np.ndarray, doc: np.ndarray):
-        """Per order 2 and 3: (context, ending, key, text) of every n-gram."""
-        two = joined(x[:-1], x[1:], 2)
-        ok = doc[:-1] == doc[1:]
-        yield x[:-1][ok], x[1:][ok], two[ok], doc[1:][ok]
-        ok = doc[:-2] == doc[2:]
-        a, b = two[:-1][ok], two[1:][ok]
-        yield a, b, joined(a, b, 3), doc[2:][ok]
 
+# ------------------------------------------------------------------ 1: chunks
 
-def dealt(key: np.ndarray, buckets: int):
-    """(bucket, places) of the keys, in order of the buckets."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
-        yield int(b), order[cut[b]:cut[b + 1]]
+CHUNKS = "chunk long, ids array<{0}>, train array<boolean>, sizes binary, words binary, numbers binary, n_tokens long"
 
 
-PACKED = pa.schema([("bucket", pa.int32()), ("gram_order", pa.int32()), ("contexts", pa.binary()),
-                    ("endings", pa.binary()), ("counts", pa.binary())])
+def chunk_rows(id_type: pa.DataType, limit: int):
+    """(id, train, text) -> chunks of whole texts."""
+    def row(part: int, held: list[tuple]) -> dict:
+        ids, train, lists = zip(*held)
+        words = pa.concat_arrays([x.flatten() for x in lists])
+        size = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists])
+        coded = words.dictionary_encode()
+        return {"chunk": part, "ids": sum(ids, []), "train": sum(train, []), "sizes": pack(size, 4),
+                "words": pack_words(coded.dictionary.cast("binary").to_pylist()),
+                "numbers": pack(coded.indices.to_numpy(zero_copy_only=False), 4), "n_tokens": len(words) + len(size)}
 
-
-def count_grams(buckets: int):
-    """Texts -> packed counts of all n-grams, summed per CHUNK tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, waiting, size = Reader(), ([], []), 0
-
-        def pack():
-            rows = []
-            for order, some in zip((2, 3), waiting):
-                a, b, key = map(np.concatenate, zip(*some))
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                a, b = a[first], b[first]
-                rows += [{"bucket": k, "gram_order": order, "contexts": a[i].tobytes(), "endings": b[i].tobytes(),
-                          "counts": n[i].astype("<u4").tobytes()} for k, i in dealt(key, buckets)]
-                some.clear()
-            return pa.RecordBatch.from_pylist(rows, PACKED)
+        from pyspark import TaskContext
 
+        schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(id_type)), ("train", pa.list_(pa.bool_())),
+                            *((c, pa.binary()) for c in ("sizes", "words", "numbers")), ("n_tokens", pa.int64())])
+        part, held, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                x, doc = reader.keys([t.lower().split() for t in texts(batch.column(0).slice(at, 512))])
-                for some, (a, b, key, _) in zip(waiting, reader.grams(x, doc)):
-                    some.append((a, b, key))
-                size += len(x)
-                if size > CHUNK:
-                    yield pack()
-                    size = 0
-        if size:
-            yield pack()
+            step = max(1, min(512, (batch.num_rows << 23) // (batch.nbytes + 1)))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(some.column(2), "")))
+                words = lists.flatten()
+                real = pc.greater(pc.binary_length(words), 0)
+                if not pc.all(real).as_py():       # the empty ones at either end
+                    keep = real.to_numpy(zero_copy_only=False)
+                    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                    stop = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(size)))]
+                    lists = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), words.filter(real))
+                held.append((some.column(0).to_pylist(), some.column(1).to_pylist(), lists))
+                n += len(lists.flatten())
+                if n >= limit:
+                    yield pa.RecordBatch.from_pylist([row(part, held)], schema)
+                    part, held, n = part + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist([row(part, held)], schema)
     return run
 
 
-GRAMS = "gram_order int, context long, ending long, gram long, n long"
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of buckets -> the n-grams seen at least LEAST times."""
-    got = {2: [], 3: []}
-    for batch in batches:
-        for r in batch.to_pylist():
-            got[r["gram_order"]].append([np.frombuffer(r[c], t) for c, t in
-                                         (("contexts", "<u8"), ("endings", "<u8"), ("counts", "<u4"))])
-    for order in (2, 3):
-        if not got[order]:
-            continue
-        a, b, n = map(np.concatenate, zip(*got.pop(order)))
-        key = joined(a, b, order)
-        place = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], key[place][1:] != key[place][:-1])))
-        n = np.add.reduceat(n[place].astype(np.int64), first)
-        first, n = place[first[n >= LEAST]], n[n >= LEAST]
-        for at in range(0, len(n), 1 << 16):
-            i = first[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({
-                "gram_order": pa.array(np.full(len(i), order, np.int32)), "context": pa.array(a[i].view(np.int64)),
-                "ending": pa.array(b[i].view(np.int64)), "gram": pa.array(key[i].view(np.int64)),
-                "n": pa.array(n[at:at + (1 << 16)])})
+def joined(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """Key of the n-gram with the context ``a`` and the ending ``b``."""
+    return mixed(mixed(a + np.uint64(order)) + b * np.uint64(0x9E3779B97F4A7C15))
 
 
-class Automaton:
-    """States are symbol contexts (0: none, one or two symbols); ``arc`` maps
-    (state * base + symbol) to (log10 probability, next state); a state
-    without the arc fails over to ``fail[state]`` at cost ``back[state]``."""
-
-    def __init__(self, base: int, arc: dict[int, tuple[float, int]], fail: list[int], back: list[float], start: int):
-        self.base, self.arc, self.fail, self.back, self.start = base, arc, fail, back, start
-
-    def walk(self, seq: list[int]) -> float:
-        """log10 probability of the symbols after the first (START)."""
-        arc, fail, back, base = self.arc, self.fail, self.back, self.base
-        state, total = self.start, 0.0
-        for s in seq[1:]:
-            hit = arc.get(state * base + s)
-            while hit is None:
-                total += back[state]
-                state = fail[state]
-                hit = arc.get(state * base + s)
-            total += hit[0]
-            state = hit[1]
-        return total
-
-
-def build(single: np.ndarray, two: dict[int, int], three: dict[int, int], docs: int, discount: float) -> Automaton:
-    """``single``: counts of the symbols (START has none); two, three: kept
-    n-gram codes -> counts; docs: how often START is a context."""
-    base = len(single)
-    context = single.astype(float).copy()
-    context[START] = docs
-    context[END] = 0
-    states = {(): 0}
-    for code in two:
-        states.setdefault((code // base,), len(states))
-    for code in three:
-        states.setdefault((code // base // base,), len(states))
-        states.setdefault((code // base // base, code // base % base), len(states))
-    for (h, *_rest) in [s for s in states if len(s) == 2]:
-        states.setdefault((h,), len(states))
-
-    def where(*symbols):
-        while symbols not in states:
-            symbols = symbols[1:]
-        return states[symbols]
-
-    # order 1: add-one over all symbols but START
-    p1 = (single + 1.0) / (single.sum() + base - 1)
-    p1[START] = 0.0
-    fail, back = [0] * len(states), [0.0] * len(states)
-    taken = dict.fromkeys(states, 0.0)
-    p2, p3 = {}, {}
-    for code, n in two.items():
-        h = code // base
-        taken[(h,)] += (n - discount) / context[h]
-    for code, n in two.items():
-        h, s = divmod(code, base)
-        p2[h, s] = (n - discount) / context[h] + (1 - taken[(h,)]) * p1[s]
-    for code, n in three.items():
-        g, h = code // base // base, code // base % base
-        taken[g, h] += (n - discount) / two[code // base]
-    weight = {k: max(1 - v, 1e-12) for k, v in taken.items()}
-
-    def lower(h, s):
-        return p2.get((h, s)) or weight.get((h,), 1.0) * p1[s]
-
-    for code, n in three.items():
-        gh, s = divmod(code, base)
-        g, h = divmod(gh, base)
-        p3[g, h, s] = (n - discount) / two[gh] + weight[g, h] * lower(h, s)
-    arc = {s: (math.log10(p), where(s)) for s, p in enumerate(p1) if p > 0}
-    for (h, s), p in p2.items():
-        arc[states[(h,)] * base + s] = (math.log10(p), where(h, s))
-    for (g, h, s), p in p3.items():
-        arc[states[g, h] * base + s] = (math.log10(p), where(h, s))
-    for symbols_, k in states.items():
-        if symbols_:
-            fail[k] = where(*symbols_[1:])
-            back[k] = math.log10(weight[symbols_])
-    return Automaton(base, arc, fail, back, where(START))
-
-
-def done(df: DataFrame, name: str) -> DataFrame:
-    """``saved``, then lets Spark's cleaner drop the shuffles it was made from."""
-    out = saved(df, name)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-class Cache:
-    """The most frequent n-grams: ``arc`` maps their keys to (value, count)."""
-
-    def __init__(self, arc: dict[int, tuple[float, int]]):
-        self.arc = arc
-
-
-class Model:
-    """Distributed tables ``words`` (word, n, back) and ``grams`` (gram, n,
-    value), and what of them is sent to all tasks: ``automaton`` of the
-    n-grams, ``number``, ``counts`` and ``back`` of the words."""
-
-    def __init__(self, words, grams, automaton, number, counts, back, n_tokens, n_types):
-        self.words, self.grams, self.automaton, self.number = words, grams, automaton, number
-        self.counts, self.back, self.n_tokens, self.n_types = counts, back, n_tokens, n_types
-
-
-def gram_values(grams: DataFrame, symbols_: DataFrame, discount: float, total: int) -> tuple[DataFrame, DataFrame]:
-    """n-grams (see GRAMS) and symbols (symbol, c) -> (context, back) of the
-    symbols that are contexts, (gram, n, value) of the n-grams."""
-    least, d = F.lit(1e-12), F.lit(discount)
-
-    def taken(of):
-        """Share of a context that its n-grams take, discounted."""
-        return (F.col("seen") - d * F.col("kinds")) / of
-
-    seen = grams.groupBy("gram_order", "context").agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"))
-    two, three = (grams.filter(F.col("gram_order") == k).drop("gram_order") for k in (2, 3))
-    one = (seen.filter("gram_order = 2").join(symbols_.withColumnRenamed("symbol", "context"), "context")
-           .select("context", F.col("c").alias("c_context"), (1 - taken(F.col("c"))).alias("rest")))
-    one = done(one.withColumn("back", F.log10(F.greatest("rest", least))), "lm-contexts")
-    p1 = (F.col("c") + 1.0) / total
-    two = (two.join(one, "context").join(symbols_.withColumnRenamed("symbol", "ending"), "ending")
-           .withColumn("p", (F.col("n") - d) / F.col("c_context") + F.col("rest") * p1)
-           .join(seen.filter("gram_order = 3").select(F.col("context").alias("gram"), "seen", "kinds"), "gram", "left")
-           .withColumn("weight", F.when(F.col("seen").isNull(), 1.0).otherwise(F.greatest(1 - taken(F.col("n")), least)))
-           .select("gram", "n", "p", "weight",
-                   (F.log10("p") - F.col("back") - F.log10(p1) + F.log10("weight")).alias("value")))
-    two = done(two, "lm-two")
-    three = (three.join(two.select(F.col("gram").alias("context"), F.col("n").alias("n_context"), "weight"), "context")
-             .join(two.select(F.col("gram").alias("ending"), F.col("p").alias("lower")), "ending")
-             .withColumn("p", (F.col("n") - d) / F.col("n_context") + F.col("weight") * F.col("lower"))
-             .select("gram", "n", (F.log10("p") - F.log10("weight") - F.log10("lower")).alias("value")))
-    return one.select("context", "back"), done(two.select("gram", "n", "value").unionByName(three), "lm-values")
-
-
-def fit(train: DataFrame, text_col: str = "text", states: int = 1 << 16, discount: float = 0.7) -> Model:
-    spark, parts = train.sparkSession, shuffle_parts(train.sparkSession)
-    text = train.select(F.col(text_col).alias("text"))
-    counted = done(text.mapInArrow(tidy(count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")),
-                    "lm-words")
-    words = counted.filter("word IS NOT NULL")
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
-    docs = counted.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_tokens, n_types = sums[0] + docs, sums[1] + (1 if docs else 0)
-    packed = "bucket int, gram_order int, contexts binary, endings binary, counts binary"
-    grams = done(text.mapInArrow(tidy(count_grams(parts)), packed).repartition(parts, "bucket")
-                  .mapInArrow(tidy(sum_grams), GRAMS), "lm-grams")
-    signed = [k - (1 << 64) if k >> 63 else k for k in edge_keys()]
-    ends = spark.createDataFrame([(k, docs) for k in signed], "symbol long, c long")
-    symbols_ = (words.select(F.xxhash64("word").alias("symbol"), F.col("n").alias("c")).unionByName(ends)
-                .groupBy("symbol").agg(F.sum("c").alias("c")))
-    contexts, values = gram_values(grams, symbols_, discount, n_tokens + n_types + 1)
-    words = done(words.withColumn("context", F.xxhash64("word")).join(contexts, "context", "left")
-                  .select("word", "n", F.coalesce("back", F.lit(0.0)).alias("back")), "lm-backs")
-    start = contexts.filter(F.col("context") == signed[1]).first()
-    # at most ``states`` words and n-grams, to save lookups only
-    top = words.filter(F.col("n") >= max(2.0, n_tokens / states)).orderBy("word").collect()
-    number = {bytes(r.word): k + 3 for k, r in enumerate(top)}
-    counts = np.array([docs, 0, 0, *(r.n for r in top)], np.int64)
-    back = np.array([0.0, start.back if start else 0.0, 0.0, *(r.back for r in top)])
-    often = values.orderBy(F.desc("n"), "gram").limit(states).collect()
-    return Model(words, values, Cache({r.gram: (r.value, r.n) for r in often}), number, counts, back, n_tokens, n_types)
-
-
-STATS = "struct<id:{0},n_tokens:long,n_known:long,n_rare:long,base:double,model:double>"
-ASKED = "bucket int, kind int, names binary, rows binary, numbers binary, row_no long, stats "
-GRAM_TABLE, WORD_TABLE, GRAMS_ASKED, WORDS_ASKED, TEXT = range(5)
-
-
-def packed_schema(stats: pa.DataType) -> pa.Schema:
-    return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("names", "rows", "numbers")),
-                      ("row_no", pa.int64()), ("stats", stats)])
-
-
-def table_rows(kind: int, buckets: int, schema: pa.Schema):
-    """(gram, value) or (word, back, n) -> the packed shards of a table."""
-    def pack(held):
-        table = pa.Table.from_batches(held)
-        if kind == GRAM_TABLE:
-            name = key = table.column(0).to_numpy().view(np.uint64)
-        else:
-            name = table.column(0).to_pylist()
-            key, n = np.array([key_of(w) for w in name], np.uint64), table.column(2).to_numpy()
-        value = table.column(1).to_numpy()
-        return pa.RecordBatch.from_pylist([
-            {"bucket": b, "kind": kind, "numbers": value[i].astype("<f8").tobytes()}
-            | ({"names": name[i].tobytes()} if kind == GRAM_TABLE else
-               {"names": b" ".join(map(name.__getitem__, i.tolist())), "rows": n[i].astype("<i8").tobytes()})
-            for b, i in dealt(key, buckets)], schema)
+class Grams:
+    """The n-grams of a chunk by numbers of its own: words 0.., then END and
+    START. ``two`` and ``three`` are the distinct n-grams (context * base +
+    ending, ascending; a 3-gram's context is the place of its 2-gram); ``at2``
+    and ``at3`` say which of them ends at each position (-1: none)."""
+
+    def __init__(self, sizes: np.ndarray, words: list[bytes], numbers: np.ndarray):
+        import xxhash
+
+        self.end, self.start = len(words), len(words) + 1
+        base = self.base = len(words) + 2
+        n, docs = len(numbers) + 2 * len(sizes), len(sizes)
+        self.first = np.cumsum(sizes + 2) - sizes - 2           # where the texts begin, with START
+        self.sizes = sizes
+        x = np.full(n, -1, np.int64)
+        x[self.first], x[self.first + sizes + 1] = self.start, self.end
+        x[x < 0] = numbers
+        self.x, self.doc = x, np.repeat(np.arange(docs), sizes + 2)
+        same = self.doc[1:] == self.doc[:-1]
+        self.two, place = np.unique(x[:-1][same] * base + x[1:][same], return_inverse=True)
+        self.at2 = np.full(n, -1, np.int64)
+        self.at2[1:][same] = place
+        both = same[1:] & same[:-1]
+        self.three, place = np.unique(self.at2[1:-1][both] * base + x[2:][both], return_inverse=True)
+        self.at3 = np.full(n, -1, np.int64)
+        self.at3[2:][both] = place
+        key = np.array([*(xxhash.xxh64_intdigest(w, SEED) for w in words),
+                        xxhash.xxh64_intdigest(b" end", SEED), xxhash.xxh64_intdigest(b" start", SEED)], np.uint64)
+        self.word_key = key[:-2]
+        two = joined(key[self.two // base], key[self.two % base], 2)
+        three = joined(two[self.three // base], key[self.three % base], 3)
+        self.key = np.concatenate((two, three))
+        self.order = np.argsort(self.key, kind="stable")        # the order in which they are asked for
+
+
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Ascending with the key."""
+    return (((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(key: np.ndarray, shards: int):
+    """(shard, slice) of ascending keys."""
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cut)):
+        yield int(s), slice(int(cut[s]), int(cut[s + 1]))
+
+
+# ------------------------------------------------------------------ 2: shards
+
+ASKED = "shard int, chunk long, words boolean, names binary, counts binary"
+ANSWERED = "shard int, chunk long, words boolean, counts binary, types long, tokens long"
+
+
+def grams_of(row: dict) -> tuple[Grams, np.ndarray]:
+    """(n-grams, which texts are learned from) of a chunk's row."""
+    grams = Grams(unpack(row["sizes"], 4).astype(np.int64), unpack_words(row["words"]),
+                  unpack(row["numbers"], 4).astype(np.int64))
+    return grams, np.array(row["train"], bool)
+
+
+def ask(shards: int):
+    """Chunks -> their distinct words and n-grams with training counts, a row
+    a shard."""
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.bool_()), ("names", pa.binary()),
+                        ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size > 1 << 18:
-                yield pack(held)
-                held, size = [], 0
-        if size:
-            yield pack(held)
+            for row in batch.to_pylist():
+                words = unpack_words(row["words"])
+                g, train = grams_of(row)
+                learned = train[g.doc]
+                n2 = np.bincount(g.at2[learned & (g.at2 >= 0)], minlength=len(g.two))
+                n3 = np.bincount(g.at3[learned & (g.at3 >= 0)], minlength=len(g.three))
+                key, n = g.key[g.order], np.concatenate((n2, n3))[g.order]
+                yield pa.RecordBatch.from_pylist([
+                    {"shard": s, "chunk": row["chunk"], "words": False, "counts": pack(n[i], 4),
+                     "names": pack(np.diff(key[i], prepend=np.uint64(0)), 8)} for s, i in dealt(key, shards)], schema)
+                order = np.argsort(g.word_key, kind="stable")
+                n = np.bincount(g.x[learned], minlength=g.base)[order]
+                yield pa.RecordBatch.from_pylist([
+                    {"shard": s, "chunk": row["chunk"], "words": True, "counts": pack(n[i], 4),
+                     "names": pack_words([words[k] for k in order[i].tolist()])}
+                    for s, i in dealt(g.word_key[order], shards)], schema)
     return run
 
 
-def score_batches(model_parts, buckets: int, schema: pa.Schema):
-    """Texts -> one TEXT row each with the sums over the n-grams and words
-    known in the task, and per bucket the others, once a text, to look up."""
-    (keys, values), number, counts, backs, z = model_parts
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard -> to every row its counts over all chunks; to every
+    shard a row of its own with its types and tokens."""
+    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.bool_()), ("counts", pa.binary()),
+                        ("types", pa.int64()), ("tokens", pa.int64())])
+    held, size = [], 0
+
+    def shard(rows):
+        spoken, hashed = [r for r in rows if r["words"]], [r for r in rows if not r["words"]]
+        total: dict[bytes, int] = {}
+        for r in spoken:
+            for w, n in zip(unpack_words(r["names"]), unpack(r["counts"], 4).tolist()):
+                if n:
+                    total[w] = total.get(w, 0) + n
+        yield {"shard": rows[0]["shard"], "chunk": None, "types": len(total), "tokens": sum(total.values())}
+        for r in spoken:
+            n = np.array([total.get(w, 0) for w in unpack_words(r["names"])], np.int64)
+            yield {"shard": r["shard"], "chunk": r["chunk"], "words": True, "counts": pack(n, 8)}
+        asked = [np.cumsum(unpack(r["names"], 8)) for r in hashed]
+        own = [unpack(r["counts"], 4).astype(np.int64) for r in hashed]
+        key, n = run_lengths(np.concatenate([np.zeros(0, np.uint64), *(k[c > 0] for k, c in zip(asked, own))]),
+                             np.concatenate([np.zeros(0, np.int64), *(c[c > 0] for c in own)]))
+        for r, k in zip(hashed, asked):
+            spot = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
+            found = np.where(key[spot] == k, n[spot], 0) if len(key) else np.zeros(len(k), np.int64)
+            yield {"shard": r["shard"], "chunk": r["chunk"], "words": False, "counts": pack(found, 8)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, learned, get, reader = np.log10(counts + 1.0) - z, counts > 0, number.get, Reader()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                row = part.column(0).to_numpy(zero_copy_only=False)
-                split = [t.lower().split() for t in texts(part.column(2))]
-                x, doc = reader.keys(split)
-                model, asked = np.zeros(len(row)), []
-                for _, _, key, of in reader.grams(x, doc):
-                    if len(keys):
-                        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        hit = keys[spot] == key
-                        model += np.bincount(of[hit], values[spot[hit]], len(row))
-                        key, of = key[~hit], of[~hit]
-                    asked.append((key, of))
-                key, of = map(np.concatenate, zip(*asked))
-                order = np.lexsort((key, of))           # rows in runs, which compress
-                key, of = key[order], of[order]
-                first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))[:len(key)])
-                tf = np.diff(np.concatenate((first, [len(key)]))).astype("<u4")
-                key, of = key[first], row[of[first]].astype("<i8")
-                rows = [{"bucket": b, "kind": GRAMS_ASKED, "names": key[i].tobytes(), "rows": of[i].tobytes(),
-                         "numbers": tf[i].tobytes()} for b, i in dealt(key, buckets)]
-                rare = []
-                for k, (r, doc_id, words) in enumerate(zip(row.tolist(), part.column(1).to_pylist(), split)):
-                    ids = [get(w, RARE) for w in words]
-                    s = np.array([*ids, END])
-                    common = s[s != RARE]
-                    rare += [(w, r, n) for w, n in Counter([w for w, i in zip(words, ids) if i == RARE]).items()]
-                    rows.append({"bucket": r % buckets, "kind": TEXT, "row_no": r, "stats": {
-                        "id": doc_id, "n_tokens": len(s), "n_known": int(learned[common].sum()),
-                        "n_rare": len(s) - len(common), "base": float(own[common].sum()),
-                        "model": float(model[k] + backs[START] + backs[common].sum())}})
-                if rare:
-                    word, of, tf = zip(*rare)
-                    of, tf = np.array(of, "<i8"), np.array(tf, "<u4")
-                    rows += [{"bucket": b, "kind": WORDS_ASKED, "names": b" ".join(map(word.__getitem__, i.tolist())),
-                              "rows": of[i].tobytes(), "numbers": tf[i].tobytes()}
-                             for b, i in dealt(np.array([reader.known[w] for w in word], np.uint64), buckets)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
-    return run
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["shard"] != row["shard"]:
+                yield pa.RecordBatch.from_pylist(list(shard(held)), schema)
+                held = []
+            held.append(row)
+    if held:
+        yield pa.RecordBatch.from_pylist(list(shard(held)), schema)
 
 
-def answer(schema: pa.Schema):
-    """A partition of buckets -> (row_no, stats, known, logs, extra): the TEXT
-    rows, and per row the sums of what was looked up."""
-    out = pa.schema([("row_no", pa.int64()), ("stats", schema.field("stats").type), ("known", pa.int64()),
-                     ("logs", pa.float64()), ("extra", pa.float64())])
+# -------------------------------------------------------------------- 3: walk
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, table, asked = [], [], {}, []
-        for batch in batches:
-            said = []
-            for r in batch.to_pylist():
-                if r["kind"] == GRAM_TABLE:
-                    keys.append(np.frombuffer(r["names"], "<u8"))
-                    values.append(np.frombuffer(r["numbers"], "<f8"))
-                elif r["kind"] == WORD_TABLE:
-                    n, back = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["numbers"], "<f8")
-                    table.update(zip(r["names"].split(), zip(n.tolist(), back.tolist())))
-                elif r["kind"] == TEXT:
-                    said.append({"row_no": r["row_no"], "stats": r["stats"], "known": 0, "logs": 0.0, "extra": 0.0})
-                else:
-                    asked.append((r["kind"], r["names"], r["rows"], r["numbers"]))
-            if said:
-                yield pa.RecordBatch.from_pylist(said, out)
-        keys, values = (np.concatenate([np.zeros(0, t), *v]) for v, t in ((keys, np.uint64), (values, float)))
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        none, held, size = (0, 0.0), [], 0
-
-        def sums():
-            row, known, logs, extra = map(np.concatenate, zip(*held))
-            row, of = np.unique(row, return_inverse=True)
-            return pa.RecordBatch.from_arrays([
-                pa.array(row), pa.nulls(len(row), out.field("stats").type),
-                pa.array(np.bincount(of, known, len(row)).astype(np.int64)),
-                pa.array(np.bincount(of, logs, len(row))), pa.array(np.bincount(of, extra, len(row)))], schema=out)
-
-        for kind, names, rows, tf in asked:
-            row, tf = np.frombuffer(rows, "<i8"), np.frombuffer(tf, "<u4").astype(np.int64)
-            if kind == GRAMS_ASKED:
-                if not len(keys):
-                    continue
-                name = np.frombuffer(names, "<u8")
-                spot = np.minimum(np.searchsorted(keys, name), len(keys) - 1)
-                hit = keys[spot] == name
-                row, gone = row[hit], np.zeros(int(hit.sum()))
-                held.append((row, gone, gone, values[spot[hit]] * tf[hit]))
-            else:
-                n, back = map(np.array, zip(*(table.get(w, none) for w in names.split())))
-                held.append((row, np.where(n > 0, tf, 0), tf * np.log10(n + 1.0), tf * back))
-            size += len(row)
-            if size > 1 << 19:
-                yield sums()
-                held, size = [], 0
-        if held:
-            yield sums()
+class Automaton:
+    """States: 0 no context, 1 + w the word w, then the seen 2-grams. Every
+    state but 0 has a failure arc (``fail``, of weight ``back``); the arcs of a
+    chunk are its seen n-grams: ``log1``, ``log2``, ``log3`` are their weights,
+    ``to1`` and ``to2`` where they lead (a 3-gram to its last two words)."""
+
+    def __init__(self, g: Grams, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, total: int, smoothing: float):
+        """Counts over all training texts: of the words, END and START (how
+        often START is a context), of g.two and g.three; ``total``: tokens,
+        types and one."""
+        k, base = smoothing, g.base
+        p1 = (n1 + 1.0) / total
+        h, w = g.two // base, g.two % base
+        p2 = (n2 + k * p1[w]) / (n1[h] + k)
+        context, last = g.three // base, np.zeros(len(g.three), np.int64)
+        inside = g.at3 >= 0
+        last[g.at3[inside]] = g.at2[inside]
+        p3 = (n3 + k * p2[last]) / (n2[context] + k)
+        self.grams, self.log1 = g, np.log10(p1)
+        # with an unseen one behind, for positions where no n-gram ends (-1)
+        self.seen2, self.seen3 = np.append(n2 > 0, False), np.append(n3 > 0, False)
+        self.log2, self.log3 = np.append(np.log10(p2), 0.0), np.append(np.log10(p3), 0.0)
+        seen = n1 > 0
+        seen[g.end] = False                                     # no context
+        self.to1 = np.where(seen, 1 + np.arange(base), 0)
+        self.to2 = 1 + base + np.arange(len(g.two) + 1)
+        self.fail = np.concatenate((np.zeros(1 + base, np.int64), self.to1[w]))
+        self.back = np.log10(k / (np.concatenate(([0], n1, n2)) + k))
+        self.begin = int(self.to1[g.start])
+
+    def walk(self) -> np.ndarray:
+        """log10 probabilities of all texts of the chunk. They are read in
+        step, longest first, each with its state; a text's last symbol is END."""
+        g, base = self.grams, self.grams.base
+        order = np.argsort(-g.sizes, kind="stable")
+        length, at = g.sizes[order] + 1, g.first[order]
+        state, score = np.full(len(order), self.begin, np.int64), np.zeros(len(order))
+        # how many texts are that long
+        active = np.searchsorted(-length, -np.arange(int(length[0]) + 1 if len(length) else 0), "right")
+        for step in range(1, len(active)):
+            m = active[step]
+            p, s, total = at[:m] + step, state[:m], score[:m]
+            two, three, symbol = g.at2[p], g.at3[p], g.x[p]
+            # arcs of two-word states, else their failure arcs
+            deep = s > base
+            hit = deep & self.seen3[three]
+            fall = deep & ~hit
+            total += np.where(hit, self.log3[three], 0.0) + np.where(fall, self.back[s], 0.0)
+            s = np.where(fall, self.fail[s], s)
+            # arcs of one-word states
+            single = (s > 0) & ~hit
+            arc = single & self.seen2[two]
+            fall = single & ~arc
+            total += np.where(arc, self.log2[two], 0.0) + np.where(fall, self.back[s], 0.0)
+            # arcs of the state without context; an unknown word leads back to it
+            root = ~(hit | arc)
+            total += np.where(root, self.log1[symbol], 0.0)
+            state[:m] = np.where(root, self.to1[symbol], self.to2[two])
+        out = np.empty(len(order))
+        out[order] = score
+        return out
+
+
+def score_chunk(n_tokens: int, n_types: int, docs: int, smoothing: float, id_type: pa.DataType):
+    """A chunk's row and its answers -> its texts' rows."""
+    names = ["id", "n_tokens", "n_known", "base_score", "score"]
+    kinds = [id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        row = chunk.to_pylist()[0]
+        g, _ = grams_of(row)
+        said = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        counts = {kind: np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"], 8) for r in said if r["words"] is kind)])
+                  for kind in (True, False)}
+        n1 = np.zeros(g.base, np.int64)
+        n1[np.argsort(g.word_key, kind="stable")] = counts[True]
+        n1[g.end] = n1[g.start] = docs
+        n = np.zeros(len(g.key), np.int64)
+        n[g.order] = counts[False]
+        total = n_tokens + n_types + 1
+        scores = Automaton(g, n1, n[:len(g.two)], n[len(g.two):], total, smoothing).walk()
+        # the base score and the known tokens need no context
+        inside = g.x != g.start
+        x, doc = g.x[inside], g.doc[inside]
+        base = np.bincount(doc, np.log10((n1 + 1.0) / total)[x], len(g.sizes))
+        known = np.bincount(doc, n1[x] > 0, len(g.sizes)).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(row["ids"], id_type), pa.array(g.sizes + 1), pa.array(known), pa.array(base),
+                                     pa.array(scores)], names)
     return run
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
+             smoothing: float = SMOOTHING) -> DataFrame:
+    """Learn from the rows where ``learn`` is true and score every row:
+    n_tokens, n_known, train_tokens, base_score, score (log10)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    inner = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("id"),
-                      F.col(text_col).alias("text"))
-    parts, z = shuffle_parts(df.sparkSession), math.log10(model.n_tokens + model.n_types + 1)
-    stats = STATS.format(dict(inner.dtypes)["id"])
-    schema = packed_schema(pa.struct([("id", to_arrow_type(inner.schema["id"].dataType)), ("n_tokens", pa.int64()),
-                                      ("n_known", pa.int64()), ("n_rare", pa.int64()), ("base", pa.float64()),
-                                      ("model", pa.float64())]))
-    often = sorted((k % (1 << 64), v) for k, (v, _) in model.automaton.arc.items())
-    cache = np.array([k for k, _ in often], np.uint64), np.array([v for _, v in often], float)
-    run = score_batches((cache, model.number, model.counts, model.back, z), parts, schema)
-    rows = (inner.mapInArrow(tidy(run), ASKED + stats)
-            .unionByName(model.grams.select("gram", "value")
-                         .mapInArrow(tidy(table_rows(GRAM_TABLE, parts, schema)), ASKED + stats))
-            .unionByName(model.words.select("word", "back", "n")
-                         .mapInArrow(tidy(table_rows(WORD_TABLE, parts, schema)), ASKED + stats)))
-    one = (rows.repartition(parts, "bucket")
-           .mapInArrow(tidy(answer(schema)), f"row_no long, stats {stats}, known long, logs double, extra double")
-           .groupBy("row_no").agg(F.max("stats").alias("s"), *[F.sum(c).alias(c) for c in ("known", "logs", "extra")])
-           .withColumn("base_score", F.col("s.base") + F.col("logs") - F.col("s.n_rare") * F.lit(z)))
-    return one.select(F.col("s.id").alias(id_col), "s.n_tokens", (F.col("s.n_known") + F.col("known")).alias("n_known"),
-                      F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score",
-                      (F.col("base_score") + F.col("s.model") + F.col("extra")).alias("score"))
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
+    id_name, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
+    chunks = saved(rows.mapInArrow(tidy(chunk_rows(id_type, CHUNK)), CHUNKS.format(id_name)), "lm-chunks")
+    sums = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(
+        F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0)).alias("docs")).first()
+    shards = max(shuffle_parts(spark), -(-sums.n // SHARD))
+    asked = chunks.mapInArrow(tidy(ask(shards)), ASKED).repartition(shards, "shard").sortWithinPartitions("shard")
+    answers = saved(asked.mapInArrow(tidy(answer), ANSWERED), "lm-answers")
+    known = answers.filter("chunk IS NULL").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"),
+                                                F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    n_tokens, n_types = known.tokens + sums.docs, known.types + (1 if sums.docs else 0)
+    run = score_chunk(n_tokens, n_types, sums.docs, smoothing, id_type)
+    out = (chunks.groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").select("chunk", "shard", "words", "counts").groupBy("chunk"))
+           .applyInArrow(run, f"id {id_name}, n_tokens long, n_known long, base_score double, score double"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"),
+                      "base_score", "score")
 
 
 ship(__name__)

@@ -95,9 +95,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = lm.fit(docs.filter(F.col("doc_id").isNotNull() & ~in_fold(7, 2)))
-    return lm.score(docs, model).withColumn("held_out", in_fold(7, 2))
+    learn = F.col("doc_id").isNotNull() & ~in_fold(7, 2)
+    return lm.lm_score(table(spark, sf_dir, "documents"), learn).withColumn("held_out", in_fold(7, 2))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
