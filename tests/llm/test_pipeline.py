@@ -21,7 +21,7 @@ def test_contract():
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "decontamination", "source_mix", "tokens"]
     import __spark_entry__ as e
     names = {re.match(r"op\d+_|pipeline", n)[0] for n in e.queries() if n.startswith(("op", "pipeline"))}
-    assert names == {f"op{n}_" for n in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{n}_" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_rows_between_two_languages_go(spark, tmp_path):
@@ -39,6 +39,38 @@ def test_rows_between_two_languages_go(spark, tmp_path):
     assert kept == {r[0] for r in rows} - torn
 
 
+COLS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_with_repeated_ids(spark, tmp_path):
+    """Different texts of one id are judged apart, equal rows leave one."""
+    a, b, c, d, e = (words(900 + k, 60) for k in range(5))
+    near = c.split()
+    near[30] = "changed"
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (6, a, "en", "s"), (2, " ".join(near), "en", "s"), (5, c, "en", "s"),
+            (5, d, "en", "s"), (8, e, "en", "z"), (8, e, "en", "y"), (9, "", "en", "s"), (9, None, "en", "s"),
+            (10, "", "en", "s"), (None, a, "en", "s"), (None, a, "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], COLS)
+    got = Counter((r.doc_id, r.text, r.source) for r in cp.near_duplicates(spark, docs, str(tmp_path)).collect())
+    # a: row 6, as an id on several rows names none of them
+    want = Counter([(6, a, "s"), (1, b, "s"), (2, " ".join(near), "s"), (5, d, "s"), (8, e, "y"), (9, "", "s"), (9, None, "s"),
+                    (10, "", "s"), (None, a, "s"), (None, a, "s")])
+    assert got == want
+
+
+def test_no_labels_keep_every_row(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, None, "en", "a", None)], COLS)
+    assert sorted(r.doc_id for r in cp.language_id(spark, docs, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_empty_table_through_all_stages(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], COLS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "some benchmark item")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    out = cp.run(spark, d)
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
+
+
 def test_stages(spark, tmp_path):
     rows = [r for r in odd_rows() if r[0] != 7]
     rows += [(7, "one more of its own", "en", "b")] * 2 + [(80 + i, words(700 + i, 60), "en", f"s{i % 5}") for i in range(20)]
