@@ -113,29 +113,33 @@ def block_counts(rows: DataFrame, asked: DataFrame, within: list[str]) -> DataFr
     return sides.groupBy(*within).agg(n("r", INDEX_BLOCK).alias("_rows"), n("a", QUERY_BLOCK).alias("_asked"))
 
 
-def top_matches(index: DataFrame, queries: DataFrame, k: int, id_col: str, within: list[str] = (),
-                carry: list[str] = ()) -> DataFrame:
-    """The k nearest index rows of every query (score to 6 decimals, ties by
-    id), among rows equal in the ``within`` columns; null vectors take no part."""
-    within, names = list(within), [id_col, *within, *carry]
-    rows = index.select("embedding", *names).filter("embedding IS NOT NULL")
-    asked = queries.select("query_id", "embedding", *within).filter("embedding IS NOT NULL")
+def cells(rows: DataFrame, asked: DataFrame, within: list[str], id_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt into blocks, and the keys of a cell: one block of
+    either side of one group. Rows go to all query blocks of their group,
+    queries to all its index blocks."""
     counts = block_counts(rows, asked, within)
     if within:
         rows, asked = rows.join(counts, within), asked.join(counts, within)
     else:
         n = counts.first()
         rows, asked = (x.withColumns({"_rows": F.lit(n["_rows"]), "_asked": F.lit(n["_asked"])}) for x in (rows, asked))
-    # a cell holds one block of either side: rows go to all query blocks, queries to all index blocks
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))                    # noqa: E731
-    deal = lambda key, c: F.pmod(F.xxhash64(key), F.greatest(F.col(c), F.lit(1))).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))                                   # noqa: E731
+    deal = lambda key, c: F.pmod(F.xxhash64(key), F.greatest(F.col(c), F.lit(1))).cast("int")          # noqa: E731
     rows = rows.filter("_rows > 0 AND _asked > 0").withColumn("_i", deal(id_col, "_rows")).withColumn("_j", spread("_asked"))
     asked = asked.filter("_rows > 0 AND _asked > 0").withColumn("_j", deal("query_id", "_asked")).withColumn("_i", spread("_rows"))
-    keys = [*within, "_i", "_j"]
+    return rows.drop("_rows", "_asked"), asked.drop("_rows", "_asked"), [*within, "_i", "_j"]
+
+
+def top_matches(index: DataFrame, queries: DataFrame, k: int, id_col: str, within: list[str] = (),
+                carry: list[str] = ()) -> DataFrame:
+    """The k nearest index rows of every query (score to 6 decimals, ties by
+    id), among rows equal in the ``within`` columns; null vectors take no part."""
+    within, names = list(within), [id_col, *within, *carry]
+    rows, asked, keys = cells(index.select("embedding", *names).filter("embedding IS NOT NULL"),
+                              queries.select("query_id", "embedding", *within).filter("embedding IS NOT NULL"), within, id_col)
     types = dict(asked.dtypes) | dict(rows.dtypes) | {"score": "double"}
     shape = ", ".join(f"`{c}` {types[c]}" for c in ["query_id", "score", *names])
-    best = (rows.groupBy(*keys).cogroup(asked.select("query_id", "embedding", *keys).groupBy(*keys))
-            .applyInArrow(cell(k, names), shape))
+    best = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(cell(k, names), shape)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("long")))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.exprs import ustrip
 from ..plans.numbering import rank_within, time_blocks
 from ..sources.chatdata import truncate_words
-from .upsert import alive, first_write, last_by_op, last_write
+from .upsert import alive, last_by_op, last_write
 
 VISIBILITIES = ("public", "private")
 CITATION_SUFFIX = "::citation"      # marks a link as a citation; callers may pass their own
@@ -153,10 +153,10 @@ def date_buckets(chats: DataFrame, now: Column) -> DataFrame:
 def upsert_messages(log: DataFrame) -> DataFrame:
     """Insert; on id conflict only text/parts/attachments and traceId are
     replaced (a later null trace id clears it); role, chatId and createdAt
-    keep the first write."""
-    return log.groupBy("id").agg(first_write("chat_id"), first_write("role"), first_write("created_at"),
-                                 last_write("text"), last_write("parts"), last_write("attachments"),
-                                 last_write("trace_id"))
+    keep the first write. One aggregate each, over the fields as a whole."""
+    g = log.groupBy("id").agg(F.min_by(F.struct("chat_id", "role", "created_at"), "seq").alias("first"),
+                              F.max_by(F.struct("text", "parts", "attachments", "trace_id"), "seq").alias("last"))
+    return g.select("id", "first.*", "last.*")
 
 
 def messages_by_chat(messages: DataFrame, chat_id) -> DataFrame:

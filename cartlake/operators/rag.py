@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.exprs import PY_WHITESPACE_CLASS, cosine, money, ustrip
 from ..functions.vectors import token_vector, top_matches
+from . import ivf
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -160,59 +160,12 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str
     return top_matches(index, queries, k, id_col, carry=carry)
 
 
-def hyperplanes(dim: int, bits: int, tables: int, seed: str = "lsh") -> list[list[float]]:
-    """Deterministic random hyperplanes (a small constant, bits*tables*dim)."""
-    import hashlib
-    out = []
-    for t in range(tables):
-        for b in range(bits):
-            row = []
-            for d in range(dim):
-                h = hashlib.md5(f"{seed}:{t}:{b}:{d}".encode()).hexdigest()
-                row.append(int(h[:8], 16) / 0xFFFFFFFF - 0.5)
-            out.append(row)
-    return out
-
-
-def _signatures(df: DataFrame, planes: list[list[float]], bits: int, tables: int) -> DataFrame:
-    """(table, bucket) rows per vector: signs of the dot products with the
-    hyperplanes, one numpy matrix product per Arrow batch."""
-    import numpy as np
-    import pandas as pd
-
-    plane_matrix = np.asarray(planes, dtype=np.float64)          # (tables*bits) x dim, a small constant
-    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
-
-    def signature_codes(emb):
-        if len(emb) == 0:
-            return pd.Series([], dtype=object)
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in emb])
-        signs = (m @ plane_matrix.T >= 0).reshape(len(emb), tables, bits).astype(np.int64)
-        return pd.Series(list(signs @ weights))
-
-    signature_codes.__annotations__ = {"emb": pd.Series, "return": pd.Series}
-    codes = F.pandas_udf(signature_codes, "array<bigint>")
-
-    return df.select("*", F.posexplode(codes(F.col("embedding"))).alias("table", "bucket"))
-
-
-def topk_lsh(index: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", dim: int = 64,
-             bits: int = 6, tables: int = 48) -> DataFrame:
-    """Approximate top-k for large query batches: random-hyperplane
-    signatures, an equi-join of queries and index rows on (table, bucket)
-    that moves ids only, then exact cosines of the distinct candidates. The
-    defaults find over 0.9 of the exact neighbours of the driver's vectors
-    (tested); vectors that lie further apart need more tables."""
-    planes = hyperplanes(dim, bits, tables)
-    qi = _signatures(queries.select("query_id", "embedding"), planes, bits, tables).drop("embedding")
-    ii = _signatures(index.select(id_col, "embedding"), planes, bits, tables).drop("embedding")
-    cand = qi.join(ii, ["table", "bucket"]).select("query_id", id_col).distinct()
-    scored = (cand.join(index, id_col).join(queries.select("query_id", F.col("embedding").alias("q_emb")), "query_id")
-              .select("query_id", *[c for c in index.columns if c != "embedding"],
-                      money(cosine(F.col("embedding"), F.col("q_emb")), 6).alias("score")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-        .withColumn("rank", F.col("rank").cast("long"))
+def topk_lsh(index: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "chunk_id", target: float = 0.95) -> DataFrame:
+    """Approximate top-k for large query sets, by an inverted-file index that
+    is fitted, built and searched here (operators/ivf.py keeps the steps apart
+    for an index that is searched often)."""
+    model = ivf.fit(index, id_col, k, target=target)
+    return ivf.search(index, ivf.assigned(index, model, id_col), queries, model, k, id_col)
 
 
 def recall(approx: DataFrame, exact: DataFrame, id_col: str) -> DataFrame:

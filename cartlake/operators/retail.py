@@ -17,6 +17,9 @@ from ..functions.exprs import line_amount, money
 from ..plans.numbering import number_blocks, offsets, rank_within
 
 
+ASKING = 1 << 16          # customers that ask one copy of a popularity list's first places
+
+
 def _money(c: Column) -> Column:
     return money(c)
 
@@ -41,21 +44,23 @@ def stock_by_category(products: DataFrame, category: str, prefix: str) -> DataFr
             .select("product_id", "name", "category", "stock_quantity", "price"))
 
 
-def variant_price_compare(products: DataFrame) -> DataFrame:
-    """Prices of each name variant (first word) against the cheapest variant
-    of the same base name (second word) and category. Aggregates per
-    (base, category, variant) instead of pairing products, so the work is
-    linear in the product count."""
-    p = products.select("category", F.element_at(F.split("name", " "), 1).alias("variant"),
-                        F.element_at(F.split("name", " "), -1).alias("base_name"), "price")
-    per_variant = p.groupBy("base_name", "category", "variant").agg(
-        F.min("price").alias("min_price"), _money(F.avg("price")).alias("avg_price"),
-        F.count(F.lit(1)).alias("n_products"))
-    w = Window.partitionBy("base_name", "category")
-    return per_variant.select(
-        "base_name", "category", "variant", "min_price", "avg_price", "n_products",
-        F.min("min_price").over(w).alias("base_min_price"),
-        _money(F.col("min_price") - F.min("min_price").over(w)).alias("premium"))
+def variant_price_compare(products: DataFrame, regular: tuple[str, ...] = ()) -> DataFrame:
+    """Prices of every prefixed variant against the regular product of the same
+    base name (last word) and category: the one without a prefix, or with one
+    of ``regular``. Aggregates per (base, category, variant) instead of
+    pairing products, so the work is linear in the product count; a variant
+    without a regular product has no premium."""
+    words = F.split("name", " ")
+    plain = (F.size(words) == 1) | F.element_at(words, 1).isin(*regular)
+    p = products.select("category", F.when(plain, "regular").otherwise(F.element_at(words, 1)).alias("variant"),
+                        F.element_at(words, -1).alias("base_name"), "price")
+    per = p.groupBy("base_name", "category", "variant").agg(
+        F.min("price").alias("min_price"), _money(F.avg("price")).alias("avg_price"), F.count(F.lit(1)).alias("n_products"))
+    w = Window.partitionBy("base_name", "category")     # a row a variant
+    base = F.max(F.when(F.col("variant") == "regular", F.col("min_price"))).over(w)
+    return per.withColumn("regular_price", base).filter("variant <> 'regular'").select(
+        "base_name", "category", "variant", "min_price", "avg_price", "n_products", "regular_price",
+        _money(F.col("min_price") - F.col("regular_price")).alias("premium"))
 
 
 def customer_spend_month(txns: DataFrame, now: Column, customer_id=None) -> DataFrame:
@@ -271,18 +276,20 @@ def recommend_preferences(customers: DataFrame, txns: DataFrame, items: DataFram
     + the category's share of the customer's spend; within a category the
     most popular products come first.
 
-    A customer needs at most n + (products already bought in the category)
-    entries of a category's popularity list, so candidates are an equi-join
-    on (category, rank <= that depth): linear in customers x categories x n
-    plus purchases, never customers x products."""
+    A customer's categories are read in the order of their scores and only as
+    long as the better ones have not yet given n products (early stopping). In
+    a category, the places that bought products leave free in the popularity
+    list follow from the ranks of the bought ones alone, so exactly the first n
+    free places are asked for, by (category, rank); the places that many
+    customers ask for are dealt in salted copies."""
     pop = _popularity(items, products)
     ranked = rank_within(pop, ["category"], *_popular_order(), out="prank")
-    bought = (items.select("transaction_id", "product_id", line_amount().alias("amount"))
-              .join(txns.select("transaction_id", "customer_id"), "transaction_id")
-              .join(products.select("product_id", "category"), "product_id"))
-    own = bought.groupBy("customer_id", "category", "product_id").agg(F.sum("amount").alias("amount"))
-    per_cat = own.groupBy("customer_id", "category").agg(F.sum("amount").alias("spend"),
-                                                       F.count(F.lit(1)).alias("n_bought"))
+    sizes = products.groupBy("category").agg(F.count(F.lit(1)).alias("listed"))
+    own = (items.select("transaction_id", "product_id", line_amount().alias("amount"))
+           .join(txns.select("transaction_id", "customer_id"), "transaction_id")
+           .groupBy("customer_id", "product_id").agg(F.sum("amount").alias("amount"))
+           .join(ranked.select("product_id", "category", "prank"), "product_id"))
+    per_cat = own.groupBy("customer_id", "category").agg(F.sum("amount").alias("spend"), F.count(F.lit(1)).alias("n_bought"))
     tot = per_cat.groupBy("customer_id").agg(F.sum("spend").alias("total"))
     favs = customers.select("customer_id", F.explode(F.from_json("preferences", "favorite_categories array<string>",
                                                                   )["favorite_categories"]).alias("category")) \
@@ -290,11 +297,34 @@ def recommend_preferences(customers: DataFrame, txns: DataFrame, items: DataFram
     aff = favs.join(per_cat, ["customer_id", "category"], "full_outer").join(tot, "customer_id", "left")
     score = money(F.when(F.col("fav"), F.lit(favorite_weight)).otherwise(F.lit(0.0))
                   + F.coalesce(F.col("spend") / F.col("total"), F.lit(0.0)), 6)
-    aff = aff.select("customer_id", "category", score.alias("score"),
-                     (F.coalesce(F.col("n_bought"), F.lit(0)) + n).alias("depth"))
-    cand = aff.select("customer_id", "category", "score", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("prank")) \
-        .join(ranked.select("category", "prank", "product_id", "units"), ["category", "prank"])
-    cand = cand.join(own.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti")
+    aff = aff.join(sizes, "category").select(
+        "customer_id", "category", score.alias("score"), "listed", F.coalesce("n_bought", F.lit(0)).alias("n_bought"))
+    # early stopping: products that strictly better categories still have (a window holds a customer's categories)
+    better = Window.partitionBy("customer_id").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("customer_id", "score")
+    free = F.col("listed") - F.col("n_bought")
+    aff = aff.withColumn("_free", free).withColumn("_before", F.sum("_free").over(better) - F.sum("_free").over(same)) \
+        .filter((F.col("_before") < n) & (F.col("_free") > 0))
+    # free places: gaps between the ranks of bought products, and the rest of the list behind the last one
+    by_rank = Window.partitionBy("customer_id", "category").orderBy("prank")
+    gaps = (own.select("customer_id", "category", "prank")
+            .select("customer_id", "category", (F.lag("prank", 1, 0).over(by_rank) + 1).alias("start"), (F.col("prank") - 1).alias("stop"),
+                    (F.lag("prank", 1, 0).over(by_rank) - F.row_number().over(by_rank) + 1).alias("given")))
+    last = own.groupBy("customer_id", "category").agg(F.max("prank").alias("last"))
+    inner = gaps.filter((F.col("start") <= F.col("stop")) & (F.col("given") < n)).join(
+        aff.select("customer_id", "category", "score"), ["customer_id", "category"])
+    tail = aff.join(last, ["customer_id", "category"], "left").withColumn("last", F.coalesce("last", F.lit(0))).select(
+        "customer_id", "category", (F.col("last") + 1).alias("start"), F.col("listed").alias("stop"),
+        (F.col("last") - F.col("n_bought")).alias("given"), "score").filter((F.col("start") <= F.col("stop")) & (F.col("given") < n))
+    places = inner.unionByName(tail).select("customer_id", "category", "score", F.explode(F.sequence(
+        F.col("start"), F.least(F.col("stop"), F.col("start") + n - 1 - F.col("given")))).alias("prank"))
+    # nearly all customers ask for the first places of a list
+    salts = F.ceil(customers.agg(F.count(F.lit(1))).scalar() / ASKING).cast("int")
+    hot = F.col("prank") <= 2 * n
+    asked = places.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("customer_id"), F.greatest(salts, F.lit(1)))).otherwise(F.lit(0)).cast("int"))
+    lists = ranked.select("category", "prank", "product_id", "units", F.explode(F.when(
+        hot, F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).otherwise(F.array(F.lit(0)))).alias("salt"))
+    cand = asked.join(lists, ["category", "prank", "salt"])
     w = Window.partitionBy("customer_id").orderBy(F.desc("score"), F.desc("units"), "product_id")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
         "customer_id", F.col("rank").cast("long").alias("rank"), "product_id", "category", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import money
+from ..functions.quantiles import exact_percentiles
 
 
 def trace_status(spans: DataFrame) -> DataFrame:
@@ -38,15 +39,18 @@ def sessions(trace_meta: DataFrame) -> DataFrame:
 def latency_errors(spans: DataFrame, every: str = "1 day", exact: bool = False) -> DataFrame:
     """Latency percentiles and error rate per time window, by the bounded
     percentile_approx sketch (rank error 1/10000). ``exact`` asks for the
-    exact interpolated percentile, whose memory grows with the distinct
-    durations of a window."""
-    pct = (lambda c, p: F.percentile(c, p)) if exact else (lambda c, p: F.percentile_approx(c, p, 10000))
-    w = F.window("start_time", every)
-    return (spans.groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("n_spans"), money(pct(F.col("duration_ms"), F.lit(0.5)), 6).alias("p50_ms"),
-        money(pct(F.col("duration_ms"), F.lit(0.95)), 6).alias("p95_ms"),
-        money(F.avg(F.when(F.col("status") == "ERROR", 1.0).otherwise(0.0)), 6).alias("error_rate"))
-        .select(F.col("w.start").alias("window_start"), "n_spans", "p50_ms", "p95_ms", "error_rate"))
+    exact interpolated percentiles, found by a second scan between brackets
+    of the sketch (functions/quantiles.py)."""
+    rows = spans.select(F.window("start_time", every)["start"].alias("window_start"), "duration_ms", "status")
+    rate = money(F.avg(F.when(F.col("status") == "ERROR", 1.0).otherwise(0.0)), 6).alias("error_rate")
+    count = F.count(F.lit(1)).alias("n_spans")
+    if exact:
+        found = exact_percentiles(rows, ["window_start"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+        out = rows.groupBy("window_start").agg(count, rate).join(found.drop("n"), "window_start", "left")
+        return out.select("window_start", "n_spans", money(F.col("p50_ms"), 6).alias("p50_ms"),
+                          money(F.col("p95_ms"), 6).alias("p95_ms"), "error_rate")
+    pct = lambda p: money(F.percentile_approx("duration_ms", F.lit(p), 10000), 6)      # noqa: E731
+    return rows.groupBy("window_start").agg(count, pct(0.5).alias("p50_ms"), pct(0.95).alias("p95_ms"), rate)
 
 
 def token_usage(usage: DataFrame) -> DataFrame:

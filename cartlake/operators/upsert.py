@@ -20,10 +20,6 @@ def last_by_op(field: str, seq: str, ops: Column) -> Column:
     return F.max_by(F.col(field), F.when(ops, F.col(seq))).alias(field)
 
 
-def first_write(field: str, seq: str = "seq") -> Column:
-    return F.min_by(F.col(field), F.col(seq)).alias(field)
-
-
 def last_write(field: str, seq: str = "seq") -> Column:
     return F.max_by(F.col(field), F.col(seq)).alias(field)
 

@@ -190,7 +190,7 @@ def q_topk_batch(s, d):
 @reg("rag_topk_lsh")
 def q_topk_lsh(s, d):
     t = _t(s, d)
-    return G.topk_lsh(index(t), batch_queries(t), 5, "chunk_id", dim=64)
+    return G.topk_lsh(index(t), batch_queries(t), 5, "chunk_id")
 
 
 @reg("rag_context", f"""WITH {BATCH_SQL},

@@ -46,16 +46,19 @@ WHERE category = 'ECONOMY' AND starts_with(name, 'small')""", "products")
 
 
 def q_variant_price(spark, d):
-    return R.variant_price_compare(T.products(_t(spark, d)))
+    # the driver's products all have a prefix; "old" stands for the regular line
+    return R.variant_price_compare(T.products(_t(spark, d)), ("old",))
 
 
 SQL_VARIANT_PRICE = W("""
-WITH v AS (SELECT split_part(name, ' ', 1) AS variant, (string_split(name, ' '))[-1] AS base_name, category, price FROM products),
+WITH v AS (SELECT CASE WHEN NOT contains(name, ' ') OR starts_with(name, 'old ') THEN 'regular' ELSE split_part(name, ' ', 1) END AS variant,
+  (string_split(name, ' '))[-1] AS base_name, category, price FROM products),
 pv AS (SELECT base_name, category, variant, min(price) AS min_price, (floor((avg(price)) * 100 + 0.5) / 100) AS avg_price,
-  count(*) AS n_products FROM v GROUP BY ALL)
-SELECT base_name, category, variant, min_price, avg_price, n_products,
-  min(min_price) OVER (PARTITION BY base_name, category) AS base_min_price,
-  (floor((min_price - min(min_price) OVER (PARTITION BY base_name, category)) * 100 + 0.5) / 100) AS premium FROM pv""", "products")
+  count(*) AS n_products FROM v GROUP BY ALL),
+r AS (SELECT base_name, category, min_price AS regular_price FROM pv WHERE variant = 'regular')
+SELECT base_name, category, variant, min_price, avg_price, n_products, regular_price,
+  (floor((min_price - regular_price) * 100 + 0.5) / 100) AS premium
+FROM pv LEFT JOIN r USING (base_name, category) WHERE variant <> 'regular'""", "products")
 
 
 def q_spend_month(spark, d):

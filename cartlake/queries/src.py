@@ -8,6 +8,7 @@ from .. import schemas
 from ..plans.session import scratch_path
 from ..sources import io as IO
 from ..sources import tables as T
+from ..sources.packed import pack_documents, packed_docs
 from ..sources.tables import Tables, ts_ntz
 from .views import with_views as W
 
@@ -26,14 +27,12 @@ def _t(s, d):
     return Tables(s, d)
 
 
-@reg("src_markdown_docs", """SELECT CAST(n_nationkey AS VARCHAR) AS doc_name,
-  concat('# ', n_name, chr(10), chr(10), 'Region ', CAST(n_regionkey AS VARCHAR)) AS text FROM nation""")
+@reg("src_markdown_docs", "SELECT CAST(doc_id AS VARCHAR) AS doc_name, text FROM documents")
 def q_markdown(s, d):
-    """One markdown file per nation, read back whole."""
+    """All documents, packed into files and read back."""
     path = scratch_path(s, "docs")
-    text = F.concat(F.lit("# "), "n_name", F.lit("\n\nRegion "), F.col("n_regionkey").cast("string"))
-    IO.export_files(_t(s, d).nation.withColumn("text", text), "n_nationkey", "text", path)
-    return IO.markdown_docs(s, path, ".txt", name_from="doc_name")
+    pack_documents(_t(s, d).documents, path, "doc_id")
+    return packed_docs(s, path)
 
 
 @reg("src_write_overwrite", "SELECT * FROM transactions", ("transactions",))

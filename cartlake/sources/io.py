@@ -8,26 +8,14 @@ from pyspark.sql import types as T
 
 from .snapshots import create_or_replace
 
-def markdown_docs(spark: SparkSession, path: str, suffix: str = ".md", name_from: str | None = None) -> DataFrame:
+def markdown_docs(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
     """Whole files under ``path`` whose name ends with ``suffix``; doc_name
-    is the file name without the suffix (or a discovered partition column
-    when ``name_from`` is given). Order is irrelevant downstream (chunk ids
-    depend on the document name and position only), so nothing is sorted."""
+    is the file name without the suffix (an empty file is no document). Order is irrelevant downstream (chunk
+    ids depend on the document name and position only), so nothing is sorted.
+    A corpus that is not a file a document: packed.packed_docs."""
     df = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}")
-    if name_from:
-        name = F.col(name_from).cast("string")
-    else:
-        name = F.regexp_replace(F.col("_metadata.file_name"), r"\Q" + suffix + r"\E$", "")
-    # a writer of lines ends the last one with a line feed
-    return df.select(name.alias("doc_name"), F.regexp_replace("value", r"\n\z", "").alias("text"))
-
-
-def export_files(df: DataFrame, name_col: str, text_col: str, path: str) -> None:
-    """One text file per row under ``path``/doc_name=<name>/, written by the
-    executors through Spark's own writer (any Hadoop file system). For small
-    sets of documents: every row becomes a file."""
-    rows = df.select(F.col(name_col).cast("string").alias("doc_name"), F.col(text_col).alias("value"))
-    rows.write.partitionBy("doc_name").text(path)
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\Q" + suffix + r"\E$", "")
+    return df.select(name.alias("doc_name"), F.col("value").alias("text"))
 
 
 def write_overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> int:

@@ -30,8 +30,11 @@ WATERMARK = "10 minutes"
 
 def sessions(df: DataFrame, key: str, ttl: str, watermark: str | None, *aggs: Column) -> DataFrame:
     """groupBy(key, session of ``ttl``) with aggregates. On a stream pass
-    ``watermark``: times are cast to TIMESTAMP for it, and back."""
+    ``watermark``: times are cast to TIMESTAMP for it, and back; state is kept
+    in RocksDB, and rows behind the watermark are dropped (counted by
+    stateful.LateRows)."""
     if watermark:
+        stateful.use_rocksdb(df.sparkSession)
         df = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     g = df.groupBy(key, F.session_window("ts", ttl).alias("s")).agg(*aggs)
     return g.withColumns({"session_start": F.col("s.start").cast("timestamp_ntz"),

@@ -2,8 +2,11 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from cartlake.operators import ivf
 from cartlake.operators import rag as G
 from cartlake.queries import rag as QR
 from cartlake.sources.tables import Tables
@@ -23,17 +26,45 @@ def test_topk_batch_equals_brute_force(spark):
         assert [got[(q.query_id, k + 1)] for k in range(5)] == [v[0] for v in best]
 
 
-def test_lsh_recall_and_exact_scores(spark):
-    t = Tables(spark, SF_CHECK)
+@pytest.mark.parametrize("sf", [SF_CHECK, "/root/testdata/sf0.1"])
+def test_index_recall_and_exact_scores(spark, sf):
+    """All rows of the query set: at least 0.9 of the exact neighbours, under a
+    tenth of all pairs scored exactly, and these scores exact."""
+    t = Tables(spark, sf)
     idx, qs = QR.index(t), QR.batch_queries(t)
     exact = G.topk_batch(idx, qs, 5, "chunk_id")
-    approx = G.topk_lsh(idx, qs, 5, "chunk_id", dim=64)
+    model = ivf.fit(idx, "chunk_id", 5)
+    lists = ivf.assigned(idx, model, "chunk_id")
+    assert lists.count() == idx.count() and lists.select("list").distinct().count() <= len(model.centroids)
+    approx = ivf.search(idx, lists, qs, model, 5, "chunk_id")
     rec = [r.recall for r in G.recall(approx, exact, "chunk_id").collect()]
     assert len(rec) == qs.count() and sum(rec) / len(rec) >= 0.9
+    assert ivf.candidates(lists, qs, model, "chunk_id").count() < 0.1 * qs.count() * idx.count()
     scored = approx.join(exact.select("query_id", "chunk_id", F.col("score").alias("s2")), ["query_id", "chunk_id"])
     assert scored.filter(F.col("score") != F.col("s2")).count() == 0
 
 
+def test_clustered_vectors_need_few_lists(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(20, 16))
+    rows = [(i, (centers[i % 20] + 0.1 * rng.normal(size=16)).tolist()) for i in range(1500)] + [(9999, None)]
+    idx = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    qs = idx.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    model = ivf.fit(idx, "chunk_id", 5, parts=4)
+    assert model.probes <= len(model.centroids) / 3
+    approx = ivf.search(idx, ivf.assigned(idx, model, "chunk_id"), qs, model, 5, "chunk_id")
+    rec = [r.recall for r in G.recall(approx, G.topk_batch(idx, qs, 5, "chunk_id"), "chunk_id").collect()]
+    assert sum(rec) / len(rec) >= 0.9
+
+
+def test_tiny_and_empty_index(spark):
+    idx = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, embedding array<float>")
+    qs = idx.select(F.col("chunk_id").alias("query_id"), "embedding")
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in G.topk_lsh(idx, qs, 2, "chunk_id").collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
+    assert G.topk_lsh(idx.limit(0), qs, 2, "chunk_id").count() == 0
+
+
 def test_topk_in_several_blocks(spark, monkeypatch):
     """Many small cells give what one cell gives, in a plan of the same size."""
     from cartlake.functions import vectors
