@@ -8,7 +8,8 @@ stays. Texts are UTF-8 bytes; matches never cross texts.
    ``GRAM``-byte gram (leftmost on ties), which depends on the window's
    content only; neighbouring windows with one owner form a run, about one
    run per 32 bytes. Runs meet by their gram's hash; grams met once own no
-   repeated window. Within a task's chunk a gram is sent once, with its count.
+   repeated window. Within a task's chunk a gram is sent once, with its count;
+   the runs of a gram met twice there are known to repeat and go on by row.
 2. The text pieces of the remaining runs (windows plus their tail) are sent
    to their gram. Pieces equal byte by byte are collapsed to the earliest
    before and after the shuffle, so a passage copied a million times costs one
@@ -106,13 +107,18 @@ def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+def part_of(row: np.ndarray, parts: int) -> np.ndarray:
+    return ((row.astype(np.uint64) * np.uint64(MULT[0]) >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+
+
 RUNS = "bucket int, grams binary, counts binary, rows binary, starts binary, windows binary"
 
 
 def send_runs(length: int, buckets: int, words: bytes):
-    """(row_no, packed text) -> per bucket packed runs. A gram met twice in a chunk is
-    sent as a count (its row is -1) beside its runs, which then need no answer
-    but the count's: they travel marked by count 0."""
+    """(row_no, packed text) -> per bucket packed runs. A gram met twice in a
+    chunk is sent once, as a count (its row is -1). Its runs are known to be
+    repeated and need no answer: they go by row, as buckets from ``buckets``
+    on, so runs of a hot gram never meet in one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, unpack = codec(words)
         held, size = [], 0
@@ -129,8 +135,8 @@ def send_runs(length: int, buckets: int, words: bytes):
             count = np.concatenate((count, many[more]))
             row = np.concatenate((row, np.full(more.sum(), -1)))
             start, n = (np.concatenate((c, np.zeros(more.sum(), np.int64))) for c in (start, n))
-            # a run of a gram known to repeat goes where its row is decided, the rest to the gram
-            order, cut = dealt((gram % np.uint64(buckets)).astype(np.int64), buckets)
+            bucket = np.where(count > 0, (gram % np.uint64(buckets)).astype(np.int64), buckets + part_of(row, buckets))
+            order, cut = dealt(bucket, 2 * buckets)
             rows = []
             for b in np.flatnonzero(np.diff(cut)):
                 i = order[cut[b]:cut[b + 1]]
@@ -161,8 +167,7 @@ SCATTERED = "part int, rows binary, starts binary, windows binary, grams binary"
 
 def scatter(row: np.ndarray, parts: int, **columns) -> pa.RecordBatch:
     """One packed row per part of the row numbers (missing columns empty)."""
-    part = (row.astype(np.uint64) * np.uint64(MULT[0]) >> np.uint64(40)) % np.uint64(parts)
-    order, cut = dealt(part.astype(np.int64), parts)
+    order, cut = dealt(part_of(row, parts), parts)
     used = np.flatnonzero(np.diff(cut))
     packed = {k: [x[order[cut[p]:cut[p + 1]]].tobytes() for p in used] for k, x in ({"rows": row} | columns).items()}
     return pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), **{
@@ -211,11 +216,21 @@ def gather(windows: str):
 
 def repeated_runs(crowd: int, parts: int):
     """A partition's buckets -> the runs of grams met more than once, scattered
-    by row; the crowded grams as part -1 with their numbers of runs."""
+    by row; the crowded grams as part -1 with their numbers of runs. Runs that
+    came by row are passed on."""
+    schema = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("rows", "starts", "windows", "grams"))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[], [], [], [], []]
         for batch in batches:
-            for r in batch.to_pylist():
+            rows = batch.to_pylist()
+            known = [{"part": r["bucket"] - parts} | {c: r[c] for c in ("rows", "starts", "windows", "grams")}
+                     for r in rows if r["bucket"] >= parts]
+            if known:
+                yield pa.RecordBatch.from_pylist(known, schema)
+            for r in rows:
+                if r["bucket"] >= parts:
+                    continue
                 for x, c, t in zip(got, ("grams", "counts", "rows", "starts", "windows"),
                                    ("<u8", "<i4", "<i8", "<u4", "<u1")):
                     x.append(np.frombuffer(r[c], t))
