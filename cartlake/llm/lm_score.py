@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import saved, ship, shuffle_parts, tidy
 
 CHUNK = 3 << 19                    # tokens of a chunk, at about
-SHARD = 1 << 21                    # tokens of the corpus to a shard
+SHARD = 1 << 20                    # tokens of the corpus to a shard
 SMOOTHING = 2.0                    # K
 SEED = 42
 
@@ -161,14 +161,14 @@ class Grams:
         x = np.full(n, -1, np.int64)
         x[self.first], x[self.first + sizes + 1] = self.start, self.end
         x[x < 0] = numbers
-        self.x, self.doc = x, np.repeat(np.arange(docs), sizes + 2)
+        self.x, self.doc = x, np.repeat(np.arange(docs, dtype=np.int32), sizes + 2)
         same = self.doc[1:] == self.doc[:-1]
         self.two, place = np.unique(x[:-1][same] * base + x[1:][same], return_inverse=True)
-        self.at2 = np.full(n, -1, np.int64)
+        self.at2 = np.full(n, -1, np.int32)
         self.at2[1:][same] = place
         both = same[1:] & same[:-1]
-        self.three, place = np.unique(self.at2[1:-1][both] * base + x[2:][both], return_inverse=True)
-        self.at3 = np.full(n, -1, np.int64)
+        self.three, place = np.unique(self.at2[1:-1][both].astype(np.int64) * base + x[2:][both], return_inverse=True)
+        self.at3 = np.full(n, -1, np.int32)
         self.at3[2:][both] = place
         key = np.array([*(xxhash.xxh64_intdigest(w, SEED) for w in words),
                         xxhash.xxh64_intdigest(b" end", SEED), xxhash.xxh64_intdigest(b" start", SEED)], np.uint64)
@@ -373,7 +373,7 @@ def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     id_name, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
     chunks = saved(rows.mapInArrow(tidy(chunk_rows(id_type, CHUNK)), CHUNKS.format(id_name)), "lm-chunks")
-    sums = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(
+    sums = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(
         F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0)).alias("docs")).first()
     shards = max(shuffle_parts(spark), -(-sums.n // SHARD))
     asked = chunks.mapInArrow(tidy(ask(shards)), ASKED).repartition(shards, "shard").sortWithinPartitions("shard")
@@ -382,7 +382,10 @@ def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                                                 F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     n_tokens, n_types = known.tokens + sums.docs, known.types + (1 if sums.docs else 0)
     run = score_chunk(n_tokens, n_types, sums.docs, smoothing, id_type)
-    out = (chunks.groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").select("chunk", "shard", "words", "counts").groupBy("chunk"))
+    # about a chunk a task, however many there are
+    parts = max(shuffle_parts(spark), sums.chunks)
+    said = answers.filter("chunk IS NOT NULL").select("chunk", "shard", "words", "counts").repartition(parts, "chunk")
+    out = (chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(said.groupBy("chunk"))
            .applyInArrow(run, f"id {id_name}, n_tokens long, n_known long, base_score double, score double"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
