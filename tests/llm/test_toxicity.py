@@ -110,6 +110,48 @@ def test_odd_rows(spark):
     assert tx.score(no_docs(spark), tx.fit(no_docs(spark), labels, F.lit(True))).count() == 0
 
 
+def test_scores_equal_the_plain_method(spark):
+    """Plain words only: document counts, log odds, the summary of a text and
+    the model's probability, all recounted."""
+    rng = np.random.default_rng(2)
+    name = lambda k: "".join("bcdfghlmnrst"[int(d)] + "aeiou"[k % 5] for d in str(k + 100))     # noqa: E731
+    rows, toxic = [], {}
+    for i in range(500):
+        toxic[i] = int(rng.random() < 0.4)
+        rows.append((i, " ".join(name(int(k)) for k in (rng.geometric(0.05, 12) % 60) + (25 if toxic[i] else 0)), None, None))
+    df = odd_docs(spark, rows)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    model = tx.fit(df, labels, ~in_fold(5, 0))
+    known = df.filter(~in_fold(5, 0)).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw")).collect()
+    counted, rest = [r for r in known if r.draw % 3], [r for r in known if r.draw % 3 == 0]
+    features = lambda t: {f for w in t.split() for f in (w + "$", w[:6], w[:5], w[:4])}         # noqa: E731
+    n = [sum(toxic[r.doc_id] == k for r in counted) for k in (0, 1)]
+    seen = {}
+    for r in counted:
+        for f in features(r.text):
+            seen.setdefault(f, [0, 0])[toxic[r.doc_id]] += 1
+    odds = {f: np.log((b + 0.5) / (n[1] + 1)) - np.log((a + 0.5) / (n[0] + 1)) for f, (a, b) in seen.items() if a + b >= 4}
+    telling = {f for f, e in odds.items() if e > 0.7}
+    odds = {f: e for f, e in odds.items() if f in telling or any(f[:k] in telling for k in (4, 5, 6) if len(f) > k)}
+    assert model.odds.keys() == odds.keys() and all(np.isclose(model.odds[f], e) for f, e in odds.items()) and len(odds) > 20
+
+    def summary(text):
+        words = set(text.split())
+        found = [next((odds[f] for f in (w + "$", w[:6], w[:5], w[:4]) if f in odds), 0.0) for w in words]
+        found = sorted((e for e in found if e > 0), reverse=True)
+        top = (found + [0.0] * 3)[:3]
+        return [*top, np.log(1 + sum(e > 2 for e in found)), top[0] ** 2 / 10, np.log(1 + len(words))]
+
+    x, y = np.array([summary(r.text) for r in rest]), np.array([toxic[r.doc_id] for r in rest], float)
+    w = tx.logistic(x, y)
+    share = sum(toxic[r.doc_id] for r in known) / sum(1 - toxic[r.doc_id] for r in known)
+    w[-1] += np.log(share) - np.log(y.sum() / (len(y) - y.sum()))
+    text = {i: t for i, t, *_ in rows}
+    for r in tx.score(df, model).collect():
+        p = 1 / (1 + np.exp(-(np.array(summary(text[r.doc_id])) @ w[:-1] + w[-1])))
+        assert abs(r.score - p) < 1e-6 and r.predicted == int(p >= 0.5)
+
+
 def test_logistic_separates():
     x = np.array([[0.0], [1.0], [4.0], [5.0]])
     w = tx.logistic(x, np.array([0, 0, 1, 1.0]))
