@@ -75,20 +75,25 @@ def per_worker(name: str, make):
     return held[name]
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: workers live on, and several
+    share an executor's memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # another C library: nothing to trim
+        pass
+
+
 def tidy(run):
-    """A batch function that gives freed memory back to the system when its
-    task ends: workers live on, and several share an executor's memory."""
+    """A batch function that gives freed memory back when its task ends."""
     def tidied(batches):
         yield from run(batches)
-        import ctypes
-        import gc
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):       # another C library: nothing to trim
-            pass
+        give_back()
     return tidied
 
 

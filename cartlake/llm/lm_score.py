@@ -44,9 +44,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship, shuffle_parts, tidy
+from .common import give_back, saved, ship, shuffle_parts, tidy
 
-CHUNK = 3 << 19                    # tokens of a chunk, at about
+CHUNK = 5 << 18                    # tokens of a chunk, at about
 SHARD = 1 << 20                    # tokens of the corpus to a shard
 SMOOTHING = 2.0                    # K
 SEED = 42
@@ -170,12 +170,14 @@ class Grams:
         self.three, place = np.unique(self.at2[1:-1][both].astype(np.int64) * base + x[2:][both], return_inverse=True)
         self.at3 = np.full(n, -1, np.int32)
         self.at3[2:][both] = place
+        del place, same, both
         key = np.array([*(xxhash.xxh64_intdigest(w, SEED) for w in words),
                         xxhash.xxh64_intdigest(b" end", SEED), xxhash.xxh64_intdigest(b" start", SEED)], np.uint64)
         self.word_key = key[:-2]
         two = joined(key[self.two // base], key[self.two % base], 2)
         three = joined(two[self.three // base], key[self.three % base], 3)
         self.key = np.concatenate((two, three))
+        del two, three
         self.order = np.argsort(self.key, kind="stable")        # the order in which they are asked for
 
 
@@ -228,6 +230,8 @@ def ask(shards: int):
                     {"shard": s, "chunk": row["chunk"], "words": True, "counts": pack(n[i], 4),
                      "names": pack_words([words[k] for k in order[i].tolist()])}
                     for s, i in dealt(g.word_key[order], shards)], schema)
+                del g, key, n, order, learned, n2, n3, words
+                give_back()
     return run
 
 
@@ -292,6 +296,7 @@ class Automaton:
         # with an unseen one behind, for positions where no n-gram ends (-1)
         self.seen2, self.seen3 = np.append(n2 > 0, False), np.append(n3 > 0, False)
         self.log2, self.log3 = np.append(np.log10(p2), 0.0), np.append(np.log10(p3), 0.0)
+        del p2, p3, last, inside, context
         seen = n1 > 0
         seen[g.end] = False                                     # no context
         self.to1 = np.where(seen, 1 + np.arange(base), 0)
@@ -342,24 +347,32 @@ def score_chunk(n_tokens: int, n_types: int, docs: int, smoothing: float, id_typ
         if not chunk.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         row = chunk.to_pylist()[0]
+        ids = pa.array(row["ids"], id_type)
         g, _ = grams_of(row)
+        del row
+        give_back()
         said = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-        counts = {kind: np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"], 8) for r in said if r["words"] is kind)])
-                  for kind in (True, False)}
+        counts = lambda words: np.concatenate(                                                      # noqa: E731
+            [np.zeros(0, np.uint64), *(unpack(r["counts"], 8) for r in said if r["words"] is words)])
         n1 = np.zeros(g.base, np.int64)
-        n1[np.argsort(g.word_key, kind="stable")] = counts[True]
+        n1[np.argsort(g.word_key, kind="stable")] = counts(True)
         n1[g.end] = n1[g.start] = docs
-        n = np.zeros(len(g.key), np.int64)
-        n[g.order] = counts[False]
+        n = np.zeros(len(g.order), np.int64)
+        n[g.order] = counts(False)
+        del said
+        g.key = g.order = None              # asked and answered
         total = n_tokens + n_types + 1
         scores = Automaton(g, n1, n[:len(g.two)], n[len(g.two):], total, smoothing).walk()
+        del n
         # the base score and the known tokens need no context
         inside = g.x != g.start
         x, doc = g.x[inside], g.doc[inside]
         base = np.bincount(doc, np.log10((n1 + 1.0) / total)[x], len(g.sizes))
         known = np.bincount(doc, n1[x] > 0, len(g.sizes)).astype(np.int64)
-        return pa.Table.from_arrays([pa.array(row["ids"], id_type), pa.array(g.sizes + 1), pa.array(known), pa.array(base),
-                                     pa.array(scores)], names)
+        out = pa.Table.from_arrays([ids, pa.array(g.sizes + 1), pa.array(known), pa.array(base), pa.array(scores)], names)
+        del g, x, doc, inside
+        give_back()
+        return out
     return run
 
 
