@@ -4,12 +4,13 @@ Tokens are words (runs without ASCII white space, A-Z lower-cased) and one
 end per text. Every 1-, 2- and 3-gram of the training texts is learned, at
 every size of the corpus: counts are exact sums, kept distributed.
 
-Probabilities are Dirichlet-smoothed, P(w | h) = (n(h w) + K P(w | h')) /
-(n(h) + K), down to the add-one share of the word among all types and one
-unknown. Written as an automaton: a state is a context that was seen (two
+Probabilities are Dirichlet-smoothed, P(w | h) = (n(h w) + K(h) P(w | h')) /
+(n(h) + K(h)), down to the add-one share of the word among all types and one
+unknown; K(h) = a n(h)^b grows with the context's count about as the kinds of
+its successors do. Written as an automaton: a state is a context that was seen (two
 words, one, or none); a seen n-gram is an arc that carries its log10
 probability and leads to the longest context it ends with; any other symbol
-takes the failure arc to the next shorter context, of weight K / (n(h) + K).
+takes the failure arc to the next shorter context, of weight K(h) / (n(h) + K(h)).
 
 The automaton of a whole corpus fits nowhere, so texts are dealt into chunks
 of about CHUNK tokens, and every chunk gets the part of the automaton that
@@ -46,9 +47,9 @@ from pyspark.sql import functions as F
 
 from .common import give_back, saved, ship, shuffle_parts, tidy
 
-CHUNK = 5 << 18                    # tokens of a chunk, at about
+CHUNK = 3 << 19                    # tokens of a chunk, at about
 SHARD = 1 << 20                    # tokens of the corpus to a shard
-SMOOTHING = 2.0                    # K
+SMOOTHING = (2.0, 0.9)             # strength of the shorter context at one occurrence, and its power
 SEED = 42
 
 
@@ -280,18 +281,19 @@ class Automaton:
     chunk are its seen n-grams: ``log1``, ``log2``, ``log3`` are their weights,
     ``to1`` and ``to2`` where they lead (a 3-gram to its last two words)."""
 
-    def __init__(self, g: Grams, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, total: int, smoothing: float):
+    def __init__(self, g: Grams, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, total: int, smoothing: tuple):
         """Counts over all training texts: of the words, END and START (how
         often START is a context), of g.two and g.three; ``total``: tokens,
         types and one."""
-        k, base = smoothing, g.base
+        base = g.base
         p1 = (n1 + 1.0) / total
         h, w = g.two // base, g.two % base
-        p2 = (n2 + k * p1[w]) / (n1[h] + k)
+        k1, k2 = (smoothing[0] * np.maximum(n, 1) ** smoothing[1] for n in (n1, n2))
+        p2 = (n2 + k1[h] * p1[w]) / (n1[h] + k1[h])
         context, last = g.three // base, np.zeros(len(g.three), np.int64)
         inside = g.at3 >= 0
         last[g.at3[inside]] = g.at2[inside]
-        p3 = (n3 + k * p2[last]) / (n2[context] + k)
+        p3 = (n3 + k2[context] * p2[last]) / (n2[context] + k2[context])
         self.grams, self.log1 = g, np.log10(p1)
         # with an unseen one behind, for positions where no n-gram ends (-1)
         self.seen2, self.seen3 = np.append(n2 > 0, False), np.append(n3 > 0, False)
@@ -302,7 +304,7 @@ class Automaton:
         self.to1 = np.where(seen, 1 + np.arange(base), 0)
         self.to2 = 1 + base + np.arange(len(g.two) + 1)
         self.fail = np.concatenate((np.zeros(1 + base, np.int64), self.to1[w]))
-        self.back = np.log10(k / (np.concatenate(([0], n1, n2)) + k))
+        self.back = np.log10(np.concatenate(([1.0], k1 / (n1 + k1), k2 / (n2 + k2))))
         self.begin = int(self.to1[g.start])
 
     def walk(self) -> np.ndarray:
@@ -338,7 +340,7 @@ class Automaton:
         return out
 
 
-def score_chunk(n_tokens: int, n_types: int, docs: int, smoothing: float, id_type: pa.DataType):
+def score_chunk(n_tokens: int, n_types: int, docs: int, smoothing: tuple, id_type: pa.DataType):
     """A chunk's row and its answers -> its texts' rows."""
     names = ["id", "n_tokens", "n_known", "base_score", "score"]
     kinds = [id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -377,7 +379,7 @@ def score_chunk(n_tokens: int, n_types: int, docs: int, smoothing: float, id_typ
 
 
 def lm_score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-             smoothing: float = SMOOTHING) -> DataFrame:
+             smoothing: tuple = SMOOTHING) -> DataFrame:
     """Learn from the rows where ``learn`` is true and score every row:
     n_tokens, n_known, train_tokens, base_score, score (log10)."""
     from pyspark.sql.pandas.types import to_arrow_type

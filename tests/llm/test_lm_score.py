@@ -36,7 +36,8 @@ class Direct:
             return (self.n[0][w] + 1) / (self.total + self.types + 1)
         n = self.n[0][context[0]] if len(context) == 1 else self.n[1][context]
         lower = self.p(context[1:], w)
-        return (self.n[len(context)][(*context, w)] + self.k * lower) / (n + self.k) if n else lower
+        k = self.k[0] * n ** self.k[1]
+        return (self.n[len(context)][(*context, w)] + k * lower) / (n + k) if n else lower
 
     def score(self, t):
         s = ["start", *tokens(t)]
@@ -99,7 +100,7 @@ def test_every_state_is_a_distribution():
 def test_states_and_failure_arcs():
     """One chunk by hand: b follows a twice, c follows a b once; the walk over
     known and unknown words takes the arcs and failure arcs it should."""
-    texts, k = [b"a b c", b"a b", b"x b c a"], 2.0
+    texts, k = [b"a b c", b"a b", b"x b c a"], (2.0, 0.5)
     words = sorted({w for t in texts for w in t.split()})
     g = lm.Grams(np.array([3, 2, 4]), words, np.array([words.index(w) for t in texts for w in t.split()]))
     model = Direct([t.decode() for t in texts[:2]], k)
@@ -112,7 +113,7 @@ def test_states_and_failure_arcs():
     x = words.index(b"x")
     assert a.to1[x] == 0 and a.to1[g.end] == 0              # unknown words and END are no contexts
     ab = int(np.flatnonzero(g.two == words.index(b"a") * g.base + words.index(b"b"))[0])
-    assert a.fail[a.to2[ab]] == a.to1[words.index(b"b")] and math.isclose(10 ** a.back[a.to2[ab]], k / (2 + k))
+    assert a.fail[a.to2[ab]] == a.to1[words.index(b"b")] and math.isclose(10 ** a.back[a.to2[ab]], 2 * 2 ** 0.5 / (2 + 2 * 2 ** 0.5))
 
 
 def test_packing():
