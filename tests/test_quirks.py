@@ -275,3 +275,19 @@ def test_resume_decisions(spark):
                                        "last_part string, attempts int, error_text string")
     assert {r.stream_id: r.decision for r in S.resume_decision(ends).collect()} == {
         1: "no_abort", 2: "resume", 3: "give_up", 4: "done", 5: "resume", 6: "no_credential"}
+
+
+def _rows_meet_rules_in_place(df):
+    """No exchange by a rule's key below the first aggregate, no sort merge join with rules."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_retention_rows_are_not_dealt_by_data_type(spark):
+    from cartlake.operators import policy as P
+    from cartlake.sources.tables import ts_ntz
+    rows = spark.sql("SELECT t AS data_type, CAST(c AS TIMESTAMP_NTZ) AS created_at FROM VALUES ('delivery', '2025-06-29'), "
+                     "('delivery', '2025-06-30'), ('points', '1990-01-01'), ('other', '1990-01-01'), ('delivery', NULL) v(t, c)")
+    got = P.retention_expired(rows, P.rules(spark, "RETENTION"), ts_ntz("2026-06-30 00:00:00"))
+    assert _rows_meet_rules_in_place(got)
+    assert sorted(map(tuple, got.collect())) == [("delivery", 3, 1), ("points", 1, 0)]
