@@ -291,3 +291,18 @@ def test_retention_rows_are_not_dealt_by_data_type(spark):
     got = P.retention_expired(rows, P.rules(spark, "RETENTION"), ts_ntz("2026-06-30 00:00:00"))
     assert _rows_meet_rules_in_place(got)
     assert sorted(map(tuple, got.collect())) == [("delivery", 3, 1), ("points", 1, 0)]
+
+
+def test_points_are_not_dealt_by_tier(spark):
+    from cartlake.operators import policy as P
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        txns = spark.sql("SELECT id AS transaction_id, id % 3 AS customer_id, TIMESTAMP_NTZ '2024-01-01' AS transaction_date, "
+                         "250.0D AS total_amount FROM range(6)")
+        cust = spark.sql("SELECT * FROM VALUES (0L, 'Gold'), (1L, 'Bronze'), (2L, NULL) v(customer_id, membership_tier)")
+        got = P.points_earned(txns, cust, P.rules(spark, "TIER_RULES"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(membership_tier" not in plan and plan.count("SortMergeJoin") == 1
+        assert sorted(r.points for r in got.collect()) == [2.0, 2.0, 4.0, 4.0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
