@@ -306,3 +306,34 @@ def test_points_are_not_dealt_by_tier(spark):
         assert sorted(r.points for r in got.collect()) == [2.0, 2.0, 4.0, 4.0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_price_protection_lists_sale_days_once_a_span(spark):
+    """Rows against all pairs, and rows dealt out: a sale day goes to two spans at most, not to eight days."""
+    import random
+    from datetime import datetime, timedelta
+    from cartlake.operators import policy as P
+    rnd = random.Random(5)
+    day = lambda: datetime(1969, 11, 1) + timedelta(days=rnd.randrange(120), hours=rnd.randrange(24))
+    bought = [(f"p{i}", i % 3, float(rnd.randrange(1, 4)), float(rnd.randrange(50, 99)), day()) for i in range(200)]
+    sold = [(rnd.randrange(4), day(), float(rnd.randrange(40, 99)) if i % 9 else None) for i in range(300)] + [(0, None, 1.0), (None, day(), 1.0)]
+    want = set()
+    for i, product, n, price, at in bought:
+        low = min((x for q, s, x in sold if q == product and s and x and 0 <= (s.date() - at.date()).days <= 7), default=price)
+        if low < price:
+            want.add((i, product, price, low, (price - low) * n))
+    b = spark.createDataFrame(bought, "purchase_id string, product_id int, quantity double, price double, purchased_at timestamp_ntz")
+    s = spark.createDataFrame(sold, "product_id int, sold_at timestamp_ntz, price double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = P.price_protection(b, s)
+        assert {tuple(r) for r in got.collect()} == want
+        todo, dealt = [got._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                dealt += node.metrics().apply("shuffleRecordsWritten").value()
+        assert 0 < dealt <= len(bought) + 3 * len(sold)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
