@@ -1,4 +1,4 @@
-"""Chunk packing by running lengths, run inside Spark tasks (mapInPandas).
+"""Chunk packing by running lengths, run inside Spark tasks (mapInArrow).
 
 Rules: paragraphs (split on ``sep``, stripped, empties dropped) share a chunk,
 joined by a blank line, while it stays within ``size``; every joined
@@ -20,6 +20,8 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import pyarrow as pa
+
 
 class Pieces:
     """Paragraphs or words with their running costs."""
@@ -77,19 +79,31 @@ def chunk_text(text: str, size: int, overlap: int, sep: str) -> list[str]:
     return done + [chunk.strip()] * bool(chunk.strip())
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most 256 rows and about 4 MB."""
+    step = max(1, min(256, (batch.num_rows << 22) // (batch.nbytes + 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def rows_of(make, keys: list[str], extra: tuple[str, str]):
-    """mapInPandas body: ``make(last input column)`` texts per row, numbered,
-    beside the key columns."""
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            lists = [make(t) for t in pdf[pdf.columns[-1]]]
-            sizes = [len(x) for x in lists]
-            out = pdf[keys].loc[pdf.index.repeat(sizes)].reset_index(drop=True)
-            out[extra[0]] = pd.Series([i for n in sizes for i in range(n)], dtype="int64")
-            out[extra[1]] = pd.Series([c for x in lists for c in x], dtype=object)
-            yield out
+    """mapInArrow body: ``make(last input column)`` texts per row, numbered,
+    beside the key columns. A worker holds one slice of texts and its pieces at
+    a time, whatever the size of the input."""
+    def made(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [make(t) for t in part.column(part.num_columns - 1).to_pylist()]
+        owner = pa.array([row for row, x in enumerate(lists) for _ in x], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*(part.column(part.schema.get_field_index(k)).take(owner) for k in keys),
+             pa.array([i for x in lists for i in range(len(x))], pa.int64()),
+             pa.array([c for x in lists for c in x], pa.string())], [*keys, *extra])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield made(part)
+            batch = part = None      # not held while the next one is read
+        pa.default_memory_pool().release_unused()
     return run
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import PY_WHITESPACE_CLASS, cosine, money, ustrip
 from ..functions.vectors import token_vector, top_matches
+from ..plans.session import short_batches
 from . import ivf
 
 CHUNK_SIZE = 1000
@@ -100,7 +101,7 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     """docs(doc_name, text) -> chunks(chunk_id, doc_name, chunk_index, content).
 
     engine="arrow" packs each document in a small Python helper over Arrow
-    batches (mapInPandas, about 90x faster than the interpreted fold on the
+    batches (mapInArrow, about 90x faster than the interpreted fold on the
     driver documents); engine="fold" is the same rules as a native
     aggregate() fold (no Python worker)."""
     if engine == "fold":
@@ -109,7 +110,8 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
         from ..functions.chunking import chunk_batches
         name_type = docs.schema["doc_name"].dataType.simpleString()
         # the scan's split size (spark.sql.files.maxPartitionBytes) sets the number of tasks
-        c = docs.select("doc_name", "text").mapInPandas(
+        short_batches(docs.sparkSession)
+        c = docs.select("doc_name", "text").mapInArrow(
             chunk_batches(size, overlap, sep), f"doc_name {name_type}, chunk_index long, content string")
     return c.select(chunk_id(F.col("doc_name"), F.col("chunk_index")).alias("chunk_id"), "doc_name",
                     F.col("chunk_index").cast("long").alias("chunk_index"), "content")
@@ -122,7 +124,8 @@ def split_oversize(paras: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     from ..functions.chunking import split_batches
     big = paras.filter(F.length("paragraph") > size).select("doc_name", "pos", "paragraph")
     name_type = big.schema["doc_name"].dataType.simpleString()
-    return big.mapInPandas(split_batches(size, overlap), f"doc_name {name_type}, pos long, piece_index long, piece string")
+    short_batches(big.sparkSession)
+    return big.mapInArrow(split_batches(size, overlap), f"doc_name {name_type}, pos long, piece_index long, piece string")
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

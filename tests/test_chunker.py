@@ -94,3 +94,22 @@ def test_chunk_ids_are_md5_prefix(spark):
     rows = rag.chunk_documents(docs).collect()
     for r in rows:
         assert r.chunk_id == hashlib.md5(f"policy::{r.chunk_index}".encode()).hexdigest()[:16]
+
+
+def test_a_batch_is_chunked_in_slices():
+    """A batch of many long texts leaves in small batches, in order, null ids and texts included."""
+    import pyarrow as pa
+    from cartlake.functions.chunking import chunk_batches, chunk_text
+    docs = [(i if i % 50 else None, _para(4000 + i) if i % 97 else None) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.string())],
+                                       ["doc_name", "text"])
+    out = list(chunk_batches(1000, 200, "\n")(iter([batch])))
+    assert max(b.nbytes for b in out) < batch.nbytes / 4
+    want = [(i, n, c) for i, t in docs for n, c in enumerate(chunk_text(t, 1000, 200, "\n"))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_texts_reach_python_in_short_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rag.chunk_documents(spark.sql("SELECT 1L AS doc_name, 'a' AS text"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
