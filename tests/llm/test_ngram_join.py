@@ -104,3 +104,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = union({n for e in edges for n in e}, edges)
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_a_saved_step_leaves_no_shuffle_files(spark):
+    import time
+    from cartlake.llm.common import CLEANUP, saved
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    rows = spark.range(10_000).selectExpr("id % 100 AS k").groupBy("k").count().repartition(4, "count")
+    out = saved(rows, "shuffle-files")
+    for _ in range(50):            # files go in the background
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(CLEANUP) == setting
+    assert sorted(map(tuple, out.collect())) == [(k, 100) for k in range(100)]
